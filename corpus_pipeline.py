@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.llm import common, neardup, quality
+from stratamem.llm import common, mixing, neardup, packing, quality, secrets
 
 STAGES = [
     ("quality_rules", quality.stage),
     ("near_duplicates", neardup.stage),
+    ("secret_scan", secrets.stage),
+    ("source_mix", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: Signatures, sampling by seed and packing have no SQL form; tests hold the stages against brute force.

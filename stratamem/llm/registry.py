@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.llm import mixing, neardup, packing, quality, secrets
+from stratamem.llm import mixing, neardup, packing, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_blob_ledger": secrets.op3_blob_ledger,
     "op4_bounded_space_packing": packing.op4_bounded_space_packing,
+    "op5_levelwise_doubling": substring.op5_levelwise_doubling,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op8_probminhash": neardup.op8_probminhash,
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.llm import mixing, neardup, packing, quality, secrets, substring
+from stratamem.llm import brown, mixing, neardup, packing, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_classes": brown.op1_brown_classes,
     "op3_blob_ledger": secrets.op3_blob_ledger,
     "op4_bounded_space_packing": packing.op4_bounded_space_packing,
     "op5_levelwise_doubling": substring.op5_levelwise_doubling,

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.llm import brown, mixing, neardup, packing, quality, secrets, substring
+from stratamem.llm import brown, mixing, neardup, packing, pii, quality, secrets, sharding, substring, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_classes": brown.op1_brown_classes,
+    "op2_winnowing": winnowing.op2_winnowing,
     "op3_blob_ledger": secrets.op3_blob_ledger,
     "op4_bounded_space_packing": packing.op4_bounded_space_packing,
     "op5_levelwise_doubling": substring.op5_levelwise_doubling,
     "op6_quality_cascade": quality.op6_quality_cascade,
+    "op7_histogram_sort": sharding.op7_histogram_sort,
     "op8_probminhash": neardup.op8_probminhash,
+    "op9_disclosure": pii.op9_disclosure,
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
 }
 

@@ -1,12 +1,13 @@
 """Near duplicates by ProbMinHash: weighted shingles, banding, exact verification, components.
 
-1. Every text gets a signature of its five-word shingles, weighted by how often each occurs
+1. Every text gets a signature of its five-word shingles, weighted by one and the logarithm of how often each occurs
    (ProbMinHash: an element of weight w arrives by a Poisson process of rate w, each arrival falls on
    a random register, and arrivals stop once no register can still change). Two signatures agree at a
    register with the probability Jaccard likeness of the texts.
 2. Equal texts are folded into one, before anything is compared.
 3. Registers are cut into bands. Texts that agree on a band are candidates; each is held against one
-   centre of its bucket, and what then still lies in several classes is compared class by class.
+   centre of its bucket. Where a bucket then still holds several classes, its texts are compared in
+   blocks, and a block reports a spanning forest of its links rather than all of them.
 4. A pair is a link when the Jaccard likeness of its shingle sets, counted exactly, is 0.8 or more.
 5. Classes are the connected components of the links.
 """
@@ -26,6 +27,10 @@ from stratamem.llm.wordhash import Words, grams, mix, slices
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
+#: Share of equal registers below which a pair is no link: six standard deviations under the threshold.
+LIKELY = 0.645
+#: Texts of a block, and elements in a slice of an incidence matrix.
+BLOCK, SLICE = 384, 4096
 
 
 def doc_shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +68,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.nda
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     at = np.flatnonzero(new)
-    weight = np.diff(np.append(at, len(h))).astype(np.float64)
+    weight = 1.0 + np.log(np.diff(np.append(at, len(h))))
     doc, h = doc[at], h[at]
     value = np.full(n * registers, np.inf)
     winner = np.zeros(n * registers, np.uint64)
@@ -99,10 +104,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(text):
             w = Words(text.slice(i, j - i))
             doc, h = doc_shingles(w)
-            keys = band_keys(signatures(doc, h, j - i, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+            sig = signatures(doc, h, j - i, BANDS * ROWS)
+            keys, low = band_keys(sig, BANDS, ROWS).view(np.int64), (sig & np.uint64(255)).astype(np.uint8)
             some = np.diff(w.first) > 0
-            out = [keys[k].tobytes() if some[k] else None for k in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("tk").slice(i, j - i), pa.array(out, pa.binary())], ["doc_id", "tk", "keys"])
+            out = [[x[k].tobytes() if some[k] else None for k in range(j - i)] for x in (keys, low)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("tk").slice(i, j - i), *[pa.array(x, pa.binary()) for x in out]], ["doc_id", "tk", "keys", "regs"])
 
 
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +133,22 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("tk").slice(i, j - i), pa.array(sets, pa.binary())], ["tk", "shingles"])
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), 1000):
+            part = batch.slice(i, 1000)
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(len(part), -1) for c in ("a_regs", "b_regs"))
+            take = pa.array(np.flatnonzero((x == y).mean(axis=1) >= LIKELY))
+            yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take)], ["a", "b"])
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs whose signatures do not rule a link out."""
+    regs = nodes.where("regs IS NOT NULL")
+    both = pairs.join(regs.select(F.col("tk").alias("b"), F.col("regs").alias("b_regs")), "b").join(regs.select(F.col("tk").alias("a"), F.col("regs").alias("a_regs")), "a")
+    return both.select("a", "b", "a_regs", "b_regs").mapInArrow(_likely, "a binary, b binary")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("a_set"), batch.column("b_set")
@@ -142,15 +164,71 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are links; texts: tk, text, one row a text."""
-    asked = pairs.select(F.col("a").alias("tk")).union(pairs.select(F.col("b").alias("tk"))).distinct()
-    sets = common.written(texts.join(asked, "tk", "left_semi").mapInArrow(_shingle_sets, "tk binary, shingles binary"), "shingles")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are links."""
     with_b = pairs.join(sets.select(F.col("tk").alias("b"), F.col("shingles").alias("b_set")), "b")
     both = with_b.join(sets.select(F.col("tk").alias("a"), F.col("shingles").alias("a_set")), "a")
     return both.select("a", "b", "a_set", "b_set").mapInArrow(_alike, "a binary, b binary")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share, by products of slices of their incidence matrix."""
+    n = len(sets)
+    member = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1  # the others are in no two sets
+    number = np.cumsum(shared) - 1
+    keep = shared[element]
+    member, element = member[keep], number[element[keep]]
+    order = np.argsort(element, kind="stable")
+    member, element = member[order], element[order]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), SLICE):
+        i, j = np.searchsorted(element, [lo, lo + SLICE])
+        part = np.zeros((n, SLICE), np.float32)
+        part[member[i:j], element[i:j] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _forest(group: pa.Table) -> pa.Table:
+    """Links between the classes that meet in a block, as few as join what can be joined."""
+    tk, root = group.column("tk").to_pylist(), group.column("root").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets], np.float32)
+    both = common_counts(sets)
+    alike = both >= np.float32(THRESHOLD) * (size[:, None] + size[None, :] - both) - np.float32(1e-3)
+    _, label = np.unique(np.array(root, object), return_inverse=True)
+    x, y = np.nonzero(alike & (label[:, None] < label[None, :]))
+    found = []
+    while len(x):
+        i, j = x[0], y[0]
+        # float32 only proposes; whole numbers decide
+        c = round(float(both[i, j]))
+        if 10 * c >= 8 * (len(sets[i]) + len(sets[j]) - c):
+            found.append((tk[i], tk[j]))
+            label[label == label[j]] = label[i]
+        else:
+            x, y = x[1:], y[1:]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all classes which can be joined within a bucket. rest: band, tk, root.
+
+    A bucket is cut into blocks of about BLOCK texts and each two blocks meet in one task, which counts
+    what every two sets share and reports a spanning forest of the links: the class needs no more, and
+    so no task puts out more rows than it has texts.
+    """
+    blocks = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m"))
+    own = F.pmod(F.xxhash64("tk"), F.col("m")).cast("int")
+    dealt = rest.join(blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("band", "tk", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return dealt.join(sets, "tk").groupBy("band", "lo", "hi").applyInArrow(_forest, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(tk, root) for each end of a link; root is the least key of its component.
 
@@ -182,44 +260,28 @@ def classes(docs: DataFrame) -> DataFrame:
     is a class_id unless all of its class are null. Other columns of docs are left out.
     """
     base = docs.select("doc_id", common.text_or_empty().alias("text"), common.text_key().alias("tk"))
-    signed = base.mapInArrow(_sign, "doc_id long, tk binary, keys binary")
-    nodes = common.written(signed.groupBy("tk").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "nodes")
-    slim = base.select("doc_id", "tk")
+    signed = base.mapInArrow(_sign, "doc_id long, tk binary, keys binary, regs binary")
+    nodes = common.written(signed.groupBy("tk").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("regs").alias("regs")), "nodes")
 
     bands = nodes.where("keys IS NOT NULL").select("tk", "keys").mapInArrow(_explode_keys, "band long, tk binary")
     centres = bands.groupBy("band").agg(F.min("tk").alias("b"), F.max("tk").alias("_most")).where("b <> _most").select("band", "b")
     # what shares a bucket with others; a bucket of one text takes no further part
     shared = common.written(bands.join(centres, "band"), "buckets")
-    pairs = common.written(shared.select(F.col("tk").alias("a"), "b").where("a <> b").distinct(), "pairs")
-    # the text is the same for all rows of a key, so one copy is enough
-    texts = _one_text_each(base, nodes)
-    links = verified(pairs, texts)
-    roots = components(links)
-
-    label = lambda r: shared.select("band", "tk").join(r, "tk", "left").select("band", "tk", F.coalesce("root", "tk").alias("root"))
-    spread = label(roots)
+    asked = shared.select("tk").distinct().join(nodes.select("tk", F.col("least").alias("doc_id")), "tk")
+    texts = base.join(asked, (base["tk"] == asked["tk"]) & base["doc_id"].eqNullSafe(asked["doc_id"]), "left_semi").select("tk", "text")
+    sets = common.written(texts.mapInArrow(_shingle_sets, "tk binary, shingles binary").dropDuplicates(["tk"]), "shingles")
+
+    pairs = common.written(likely(shared.select(F.col("tk").alias("a"), "b").where("a <> b").distinct(), nodes), "pairs")
+    roots = components(verified(pairs, sets))
+    spread = shared.join(roots, "tk", "left").select("band", "tk", F.coalesce("root", "tk").alias("root"))
     apart = spread.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = common.written(spread.join(apart, "band", "left_semi"), "rest")
-    if rest.limit(1).count():
-        # each text of such a bucket against those of its other classes: what no centre has settled
-        x, y = rest.select("band", F.col("tk").alias("a"), F.col("root").alias("ra")), rest.select("band", F.col("tk").alias("b"), F.col("root").alias("rb"))
-        more = x.join(y, "band").where("ra < rb").select("a", "b").distinct()
-        more = common.written(more.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "more")
-        found = common.written(verified(more, texts), "found")
-        if found.limit(1).count():
-            tied = roots.where("tk <> root").select(F.col("tk").alias("a"), F.col("root").alias("b"))
-            roots = components(tied.union(found))
+    found = common.written(block_links(spread.join(apart, "band", "left_semi"), sets), "found")
+    tied = roots.where("tk <> root").select(F.col("tk").alias("a"), F.col("root").alias("b"))
+    roots = components(tied.union(found))
     known = nodes.join(roots, "tk", "left").select("tk", "least", "copies", F.coalesce("root", "tk").alias("root"))
     whole = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
     member = known.join(whole, "root").select("tk", "class_id", "class_rows", "copies")
-    return slim.join(member, "tk").select("doc_id", "class_id", "class_rows", "copies")
-
-
-def _one_text_each(base: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row a text. Rows equal in id and text are rare but may be many; the aggregation folds them."""
-    first = nodes.select("tk", F.col("least").alias("doc_id"))
-    once = base.join(first, (base["tk"] == first["tk"]) & base["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return once.select("tk", "text")
+    return base.select("doc_id", "tk").join(member, "tk").select("doc_id", "class_id", "class_rows", "copies")
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

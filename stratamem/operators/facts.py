@@ -300,7 +300,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     days = t.raw("events").select("user_id", F.to_date("ts").alias("day")).distinct()
     island = F.date_sub("day", F.row_number().over(W.partitionBy("user_id").orderBy("day")))
-    return days.groupBy("user_id", island.alias("island")).agg(F.min("day").cast("string").alias("first_day"), F.count(F.lit(1)).alias("days")).where("days >= 3").drop("island")
+    return days.withColumn("island", island).groupBy("user_id", "island").agg(F.min("day").cast("string").alias("first_day"), F.count(F.lit(1)).alias("days")).where("days >= 3").drop("island")
 
 
 @R.add("win08_latest_agrees", "r AS (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS rk FROM orders) SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS latest FROM r WHERE rk = 1 GROUP BY o_custkey")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from stratamem.operators import facts, measures
+
+MODULES = (facts, measures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

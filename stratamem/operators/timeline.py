@@ -232,7 +232,7 @@ def _(t: Tables) -> DataFrame:
     return lists.select("user_id", F.explode(F.aggregate("xs", start, step)["taken"]).alias("id"))
 
 
-@R.add("pack10_grouped_rendering", "SELECT user_id, string_agg(part, ' / ' ORDER BY o) AS rendered FROM (SELECT user_id, CASE scope WHEN 'profile' THEN 1 WHEN 'event' THEN 2 ELSE 3 END AS o, scope || ': ' || string_agg(id::VARCHAR, ',' ORDER BY id) AS part FROM memories WHERE id % 50 = 0 GROUP BY ALL) GROUP BY user_id")
+@R.add("pack10_grouped_rendering", "g AS (SELECT user_id, scope, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM memories WHERE id % 50 = 0 GROUP BY user_id, scope) SELECT user_id, string_agg(scope || ': ' || ids, ' / ' ORDER BY CASE scope WHEN 'profile' THEN 1 WHEN 'event' THEN 2 ELSE 3 END) AS rendered FROM g GROUP BY user_id")
 def _(t: Tables) -> DataFrame:
     ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
     parts = t.memories.where("id % 50 = 0").groupBy("user_id", "scope").agg(ids.alias("ids"))

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.operators import facts, measures
+from stratamem.functions import text
+from stratamem.operators import audits, evaluation, facts, hooks, measures, retrieval, timeline
+from stratamem.sources import tables
+from stratamem.streaming import jobs
 
-MODULES = (facts, measures)
+MODULES = (retrieval, facts, measures, timeline, evaluation, text, audits, hooks, tables, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +23,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    """BM25 of all benchmark texts against all documents."""
+    return retrieval.QUERIES["ret01_bm25"](spark, sf_dir)

@@ -9,7 +9,7 @@ order changes the work and never the verdict, which is that no rule rejects.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,16 +25,21 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """name; the metrics it reads; a condition on them that rejects."""
+    """name; the metrics it reads; a condition on them, given by name, that rejects."""
 
     name: str
     needs: tuple[str, ...]
-    rejects: Column
+    rejects: Callable[[dict[str, Column]], Column]
 
 
-def metrics(text: str = "text") -> dict[str, Column]:
-    """Each metric as an expression on the text and on the array column `_words`."""
-    t, w = common.text_or_empty(text), F.col("_words")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value worked out once however often body uses it, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def metrics(text: str = "text", w: Column | None = None) -> dict[str, Column]:
+    """Each metric as an expression on the text and on its words."""
+    t, w = common.text_or_empty(text), F.col("_words") if w is None else w
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size(w)
     inner = F.greatest(n - F.lit(2), F.lit(0))
@@ -54,13 +59,12 @@ def metrics(text: str = "text") -> dict[str, Column]:
     }
 
 
-def repeat_words(windows: str = "_windows") -> Column:
-    """Words that lie in a three-word window found twice or more; windows: sorted, with their place.
+def repeat_words(z: Column) -> Column:
+    """Words that lie in a three-word window found twice or more; z: the windows, sorted, with their place.
 
     Windows that are equal stand side by side after the sort, so each is held against its two
     neighbours; the places of repeated ones, put in order again, cover three words each.
     """
-    z = F.col(windows)
     same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
     n = F.size(z)
     twins = F.zip_with(F.slice(z, 1, F.greatest(n - 1, F.lit(0))), F.slice(z, 2, F.greatest(n - 1, F.lit(0))), lambda x, y: F.when(same(x, y), F.array(x["at"], y["at"])))
@@ -76,24 +80,32 @@ def repeat_words(windows: str = "_windows") -> Column:
 
 def default_rules() -> list[Rule]:
     """Production thresholds; each is on a whole text."""
-    c = F.col
     return [
-        Rule("too_short", ("n_words",), c("n_words") < 50),
-        Rule("word_length", ("n_words", "word_chars"), ~c("word_chars").between(3 * c("n_words"), 10 * c("n_words"))),
-        Rule("symbols", ("n_words", "n_symbols"), 10 * c("n_symbols") > c("n_words")),
-        Rule("upper_case", ("word_chars", "n_upper"), 2 * c("n_upper") > c("word_chars")),
-        Rule("repeated_lines", ("n_lines", "n_dup_lines"), 10 * c("n_dup_lines") > 3 * c("n_lines")),
-        Rule("repeated_words", ("n_words", "n_repeat_words"), 100 * c("n_repeat_words") > 50 * c("n_words")),
+        Rule("too_short", ("n_words",), lambda m: m["n_words"] < 50),
+        Rule("word_length", ("n_words", "word_chars"), lambda m: ~m["word_chars"].between(3 * m["n_words"], 10 * m["n_words"])),
+        Rule("symbols", ("n_words", "n_symbols"), lambda m: 10 * m["n_symbols"] > m["n_words"]),
+        Rule("upper_case", ("word_chars", "n_upper"), lambda m: 2 * m["n_upper"] > m["word_chars"]),
+        Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+        Rule("repeated_words", ("n_words", "n_repeat_words"), lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     ]
 
 
+def _columns(rule: Rule) -> Column:
+    """The rule's condition on columns that bear the metrics' names."""
+    return rule.rejects({k: F.col(k) for k in rule.needs})
+
+
+def _on_windows(rule: Rule, known: dict[str, Column]) -> Callable[[Column], Column]:
+    return lambda z: rule.rejects(known | {"n_repeat_words": repeat_words(z)})
+
+
 def _with(df: DataFrame, needs: Sequence[str], text: str) -> DataFrame:
     """df with the metrics in needs; what several metrics share is a column of its own, made once."""
     made = metrics(text)
     df = df.withColumn("_words", common.words(F.col(text)))
     if "n_repeat_words" in needs:
         df = df.withColumn("_windows", made["_windows"])
-    return df.withColumns({k: repeat_words() if k == "n_repeat_words" else made[k] for k in dict.fromkeys(needs)})
+    return df.withColumns({k: repeat_words(F.col("_windows")) if k == "n_repeat_words" else made[k] for k in dict.fromkeys(needs)})
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -116,7 +128,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", samp
     floor, _ = timed(sample.withColumn("_words", common.words(F.col("_text"))), F.size("_words") < 0)
     worth = {}
     for rule in rules:
-        cost, rejected = timed(_with(sample, rule.needs, "_text"), rule.rejects)
+        cost, rejected = timed(_with(sample, rule.needs, "_text"), _columns(rule))
         worth[rule.name] = (rejected / total) / max(cost - floor, 1e-3)
     sample.unpersist()
     return sorted(rules, key=lambda r: (-worth[r.name], [x.name for x in rules].index(r.name)))
@@ -136,21 +148,19 @@ def cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text", keep_met
         out = _with(docs.drop(*[k for k in needs if k in docs.columns and k != text]), needs, text)
         passed = F.lit(True)
         for r in rules:
-            passed = F.when(passed, ~r.rejects).otherwise(False)
+            passed = F.when(passed, ~_columns(r)).otherwise(False)
         return out.withColumn("kept", passed).select(*[c for c in own if c not in needs and c != "kept"], *needs, "kept")
-    out = docs.drop(*[k for k in needs if k in docs.columns]).withColumn("_words", common.words(F.col(text))).withColumn("_ok", F.lit(True))
-    made, done = metrics(text), set()
-    for r in rules:
-        for k in r.needs:
-            if k in done:
-                continue
-            if k == "n_repeat_words":
-                out = out.withColumn("_windows", F.when(F.col("_ok"), made["_windows"])).withColumn(k, F.when(F.col("_ok"), repeat_words()))
-            else:
-                out = out.withColumn(k, F.when(F.col("_ok"), made[k]))
-            done.add(k)
-        out = out.withColumn("_ok", F.when(F.col("_ok"), ~r.rejects).otherwise(False))
-    return out.withColumn("kept", F.col("_ok")).select(*[c for c in own if c not in done and c != "kept"], "kept")
+
+    def verdict(w: Column) -> Column:
+        made = metrics(text, w)
+        passed = F.lit(True)
+        for r in reversed(rules):
+            known = {k: made[k] for k in r.needs if k in made}
+            test = let(made["_windows"], _on_windows(r, known)) if "n_repeat_words" in r.needs else r.rejects(known)
+            passed = F.when(test, False).otherwise(passed)
+        return passed
+
+    return docs.withColumn("kept", let(common.words(F.col(text)), verdict)).select(*[c for c in own if c != "kept"], "kept")
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def findings(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, co
     kinds = [r.kind for r in rules]
     rank = F.create_map(*[x for k, kind in enumerate(kinds) for x in (F.lit(kind), F.lit(k))])
     ids = F.array(*[F.lit(r.id) for r in rules])
-    mine = lambda x: F.array_contains(ids, F.concat(x["kind"], F.lit("@"), F.element_at(version, x["kind"])))
+    mine = lambda x: F.array_contains("rules", F.concat(x["kind"], F.lit("@"), F.element_at(version, x["kind"])))
     version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(str(r.version)))])
     known = spark.read.schema(LEDGER).parquet(ledger)
     # a ledger row lists the rule versions that its findings come from
@@ -130,7 +130,8 @@ def findings(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, co
     found = current.groupBy("blob").agg(F.flatten(F.collect_list("f")).alias("f"))
     order = F.transform("f", lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     spans = F.transform(F.sort_array(order), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    found = found.select(F.col("blob").alias("_blob"), spans.alias("_f"))
+    # written, so that a blob that very many rows hold can be split in the join
+    found = common.written(found.select(F.col("blob").alias("_blob"), spans.alias("_f")), "findings")
     out = versions.drop("findings").withColumn("_blob", blob_id(content)).join(found, "_blob", "left")
     return out.withColumn("findings", F.coalesce("_f", F.array().cast(FINDING))).drop("_blob", "_f")
 

@@ -8,6 +8,9 @@ partitions' leftovers together, until one partition is left.
 
 from __future__ import annotations
 
+import string
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,18 +30,28 @@ OPEN = 32
 MERGE = 32
 #: A gap up to this stays as padding, rather than cut a document for it.
 SMALL_GAP = 16
-#: Words whose ids a worker remembers; it starts anew when so many are known.
-MEMO_WORDS = 400_000
+#: Words whose ids a worker remembers, at most.
+MEMO_WORDS = 800_000
 _BATCH = 512
+_MARKS = string.punctuation.encode()
 
 PIECE = "doc_id long, rk binary, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write each byte: printable Latin-1 characters as they are, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes, equal to the tokenizer's for the whole text.
 
-    The tokenizer never joins across ASCII white space, so a text is the sum of its words; words seen
-    before are looked up.
+    The tokenizer lower-cases, never joins across white space, and splits letters from all else. So a
+    text is the sum of its words, a word that of its letters and the marks that end it, and letters go
+    straight to the model. Words seen before are looked up; the memory holds two generations, so that
+    what is in use stays when the older one is dropped.
     """
 
     def __init__(self, path: str):
@@ -46,22 +59,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
+        words = text.encode().lower().split()  # lower() of bytes leaves all but A-Z to the tokenizer
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > MEMO_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                    known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > MEMO_WORDS // 2:
+            self.older, self.known = known, {}
+            known, new = self.known, list(dict.fromkeys(words))
+        for w in new:
+            known[w] = self._word(w)
         return b"".join([known[w] for w in words])
 
+    def _word(self, w: bytes) -> bytes:
+        found = self.older.get(w)
+        if found is None:
+            core = w.rstrip(_MARKS)
+            if core and len(core) < len(w) and core.decode().isalpha():
+                return self._known_or_new(core) + self._known_or_new(w[len(core) :])
+            found = self._new(w)
+        return found
+
+    def _known_or_new(self, part: bytes) -> bytes:
+        found = self.known.get(part)
+        if found is None:
+            found = self.known[part] = self._word(part)
+        return found
+
+    def _new(self, w: bytes) -> bytes:
+        s = w.decode()
+        if s.isalpha():
+            if not w.isascii():
+                s = unicodedata.normalize("NFC", s)
+                if s.lower() != s:
+                    s = "".join([c.lower() for c in s])
+                letters = s.isalpha()
+                s = s.encode().decode("latin-1").translate(self.letters)
+            else:
+                letters = True
+            if letters:
+                return struct.pack(f"<{len(t := self.model.tokenize(s))}I", *[x.id for x in t])
+        ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 @dataclass
 class Sequence:
@@ -191,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_most: int =
     left = done.where("ids IS NOT NULL")
     last = False
     while not last:
-        parts, round_ = -(-parts // MERGE), round_ + 1
+        parts, round_ = max(1, -(-parts // MERGE)), round_ + 1
         last = parts == 1
         # a total order before packing, so that a task that runs again packs alike; long pieces first
         dealt = left.repartition(parts, F.xxhash64("rk", "copy", "start")).sortWithinPartitions(F.desc("length"), "rk", "copy", "start")

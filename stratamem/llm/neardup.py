@@ -251,14 +251,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, class_rows, copies.
-
-    class_id is the least doc_id of the class, class_rows its rows, copies the rows with the very same
-    text. Equal texts share a class whatever they hold; null counts as empty. Texts without a word are
-    alike only when equal. Rows repeated as a whole are kept. A null doc_id is returned as null; it never
-    is a class_id unless all of its class are null. Other columns of docs are left out.
-    """
+def rooted(docs: DataFrame) -> DataFrame:
+    """One row for each distinct text of docs: tk, least (its least doc_id), copies, root (the key of its class)."""
     base = docs.select("doc_id", common.text_or_empty().alias("text"), common.text_key().alias("tk"))
     signed = base.mapInArrow(_sign, "doc_id long, tk binary, keys binary, regs binary")
     nodes = common.written(signed.groupBy("tk").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("regs").alias("regs")), "nodes")
@@ -278,10 +272,22 @@ def classes(docs: DataFrame) -> DataFrame:
     found = common.written(block_links(spread.join(apart, "band", "left_semi"), sets), "found")
     tied = roots.where("tk <> root").select(F.col("tk").alias("a"), F.col("root").alias("b"))
     roots = components(tied.union(found))
-    known = nodes.join(roots, "tk", "left").select("tk", "least", "copies", F.coalesce("root", "tk").alias("root"))
+    return nodes.join(roots, "tk", "left").select("tk", "least", "copies", F.coalesce("root", "tk").alias("root"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id, class_rows, copies.
+
+    class_id is the least doc_id of the class, class_rows its rows, copies the rows with the very same
+    text. Equal texts share a class whatever they hold; null counts as empty. Texts without a word are
+    alike only when equal. Rows repeated as a whole are kept. A null doc_id is returned as null; it never
+    is a class_id unless all of its class are null. Other columns of docs are left out.
+    """
+    base = docs.select("doc_id", common.text_key().alias("tk"))
+    known = rooted(docs)
     whole = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
     member = known.join(whole, "root").select("tk", "class_id", "class_rows", "copies")
-    return base.select("doc_id", "tk").join(member, "tk").select("doc_id", "class_id", "class_rows", "copies")
+    return base.join(member, "tk").select("doc_id", "class_id", "class_rows", "copies")
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,8 +295,15 @@ def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that with the least doc_id."""
+    """One row of each class: that with the least doc_id, null last, and among its texts the least key.
+
+    A doc_id does not tell a row: nulls and repeated ids with texts of different classes all stay.
+    """
     own = docs.columns
-    found = classes(docs).where("doc_id = class_id OR class_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*own)
+    # text comes with its key, so that an id which several classes hold picks each class's own text
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "tk")).alias("pick")
+    found = rooted(docs).groupBy("root").agg(first).select(F.col("pick.least").alias("_id"), F.col("pick.tk").alias("_of"))
+    keyed = docs.withColumn("_tk", common.text_key())
+    kept = keyed.join(found, (keyed["_tk"] == found["_of"]) & keyed["doc_id"].eqNullSafe(found["_id"]), "left_semi")
+    # rows equal in id and text are alike; one of them stays
+    return kept.dropDuplicates(["doc_id", "_tk"]).select(*own)

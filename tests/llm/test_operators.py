@@ -105,6 +105,18 @@ def test_near_duplicates(docs, none):
     assert neardup.classes(none).count() == 0
 
 
+def test_near_duplicate_stage_keeps_a_row_of_each_class(spark):
+    base, other = prose(120), prose(90)
+    near = base + " and more"
+    alone = [prose(80) for _ in range(4)]
+    rows = [(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (7, base), (9, near), (9, other), (None, other), (None, other), (11, alone[0]), (12, None), (13, "")]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, tk string").repartition(3)
+    out = neardup.stage(spark, docs, "")
+    want = [(11, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (7, base), (9, other), (12, "")]
+    assert out.columns == docs.columns
+    assert multiset((r["doc_id"], r["text"] or "") for r in out.collect()) == multiset(want)
+
+
 def test_probminhash_estimates_likeness():
     import numpy as np
 

@@ -39,6 +39,17 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: A private key from BEGIN to the next END with no other BEGIN between, over any body. Where END is missing,
+#: the header lines and the base64 lines that follow, with what escaping, quoting or indenting puts between
+#: them; one line of under 16 characters may end them.
+_BEGIN = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_END = r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_BODY = r"[^-]*+(?:-(?!----(?:BEGIN |END [A-Z0-9 ]{0,40}PRIVATE KEY))[^-]*+)*+"
+_GAP = r"""(?:[\s"'`,;>#*|]|\\+(?:[nrt]|u000[aAdD])|\\(?=\s)|\+(?=\s)|<br\s?/?>|&\#1[03];)"""
+_FIELD = r"(?:[A-Za-z]{1,20}(?:-[A-Za-z]{1,20}){1,4}|Version|Comment|Hash|Charset|MessageID):[^\r\n\\\"]*+"
+_RUN = r"(?:\\?/|[A-Za-z0-9+=])"
+_CUT = rf"(?:{_GAP}*+{_FIELD})*+(?:{_GAP}*+{_RUN}{{16,}}+)*+(?:{_GAP}++{_RUN}{{1,15}}+(?=\\|[\r\n\"'`]|\Z))?"
+
 #: In the order in which spans with the same start are listed.
 RULES = (
     Rule(
@@ -47,7 +58,7 @@ RULES = (
     ),
     Rule("access", 1, r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{14}", lambda m: len(m[0]) >= 18),
     Rule("hex", 1, r"[0-9a-f]+", r"[0-9a-f]{16}", lambda m: len(m[0]) >= 16),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", 2, rf"{_BEGIN}(?:{_BODY}{_END}|{_CUT})", _BEGIN),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ"),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36}"),
 )

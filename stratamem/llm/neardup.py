@@ -1,9 +1,10 @@
-"""Near duplicates by ProbMinHash: weighted shingles, banding, exact verification, components.
+"""Near duplicates by ProbMinHash: shingles, banding, exact verification, components.
 
-1. Every text gets a signature of its five-word shingles, weighted by one and the logarithm of how often each occurs
-   (ProbMinHash: an element of weight w arrives by a Poisson process of rate w, each arrival falls on
+1. Every text gets a signature of its five-word shingles, each of weight one however often it occurs
+   (ProbMinHash: an element arrives by a Poisson process of rate one, each arrival falls on
    a random register, and arrivals stop once no register can still change). Two signatures agree at a
-   register with the probability Jaccard likeness of the texts.
+   register with the Jaccard likeness of the shingle sets, the measure that defines a link: weights by
+   repeats would part texts whose sets are equal.
 2. Equal texts are folded into one, before anything is compared.
 3. Registers are cut into bands. Texts that agree on a band are candidates; each is held against one
    centre of its bucket. Where a bucket then still holds several classes, its texts are compared in
@@ -56,7 +57,7 @@ def hash_of(words: np.ndarray) -> int:
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.ndarray:
-    """ProbMinHash signatures, n x registers, of the weighted shingle sets given by (doc, h).
+    """ProbMinHash signatures, n x registers, of the shingle sets given by (doc, h); repeats do not count.
 
     All elements of all texts take their next arrival together; an element leaves as soon as its
     arrival lies beyond the largest value that a register of its text still holds.
@@ -67,16 +68,14 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.nda
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    at = np.flatnonzero(new)
-    weight = 1.0 + np.log(np.diff(np.append(at, len(h))))
-    doc, h = doc[at], h[at]
+    doc, h = doc[new], h[new]
     value = np.full(n * registers, np.inf)
     winner = np.zeros(n * registers, np.uint64)
     worst = np.full(n, np.inf)
     arrived, state = np.zeros(len(h)), h.copy()
     while len(h):
         state = mix(state + np.uint64(0x9E3779B97F4A7C15))
-        arrived = arrived - np.log1p(-((state >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / weight
+        arrived = arrived - np.log1p(-((state >> np.uint64(11)).astype(np.float64) * 2.0**-53))
         register = (mix(state ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(registers)).astype(np.int64)
         cell = doc * registers + register
         by = np.lexsort((h, arrived, cell))
@@ -85,7 +84,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.nda
         value[cell[better]], winner[cell[better]] = arrived[better], h[better]
         worst = value.reshape(n, registers).max(axis=1)
         stay = arrived < worst[doc]
-        doc, h, weight, arrived, state = doc[stay], h[stay], weight[stay], arrived[stay], state[stay]
+        doc, h, arrived, state = doc[stay], h[stay], arrived[stay], state[stay]
     return winner.reshape(n, registers)
 
 

@@ -126,6 +126,26 @@ def test_probminhash_estimates_likeness():
     assert abs((sig[0] == sig[1]).mean() - 800 / 1200) < 0.05
 
 
+def test_repeats_do_not_hide_near_duplicates():
+    import numpy as np
+
+    # 200 shingles in common, 60 of them repeated 20 times in one text; with 24 of its own in each, Jaccard 200 / 248
+    n = 300
+    r = np.random.default_rng(7)
+    doc, h = [], []
+    for k in range(n):
+        x = r.integers(0, 1 << 63, 248, dtype=np.uint64)
+        for own, often in ((x[200:224], 20), (x[224:], 1)):
+            text = np.concatenate([x[:200], np.repeat(x[:60], often - 1), own])
+            doc.append(np.full(len(text), len(doc)))
+            h.append(text)
+    sig = neardup.signatures(np.concatenate(doc), np.concatenate(h), 2 * n, neardup.BANDS * neardup.ROWS)
+    same = (sig[::2] == sig[1::2]).mean(axis=1)
+    keys = neardup.band_keys(sig, neardup.BANDS, neardup.ROWS)
+    assert abs(same.mean() - 200 / 248) < 0.01 and (same >= neardup.LIKELY).all()
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
 def test_secret_ledger(spark, docs, none):
     ledger = secrets.new_ledger(spark)
     secrets.update_ledger(docs, ledger)

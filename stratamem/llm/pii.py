@@ -1,10 +1,10 @@
 """Personal data: patterns, and terms that reveal what the patterns protect, in DataFrame operations alone.
 
-Addresses and numbers are found by pattern. Each distinct value is a protected entity. A term that
-stands near an entity discloses it as far as the corpus ties the two together: the pointwise mutual
-information of term and entity, over all documents, held against the information content of the entity.
-At 1 the term occurs only with the entity and gives it away; terms above a threshold are generalised, and
-those above a higher one removed.
+Addresses and numbers are found by pattern. Each distinct value is a protected entity. A term discloses
+an entity as far as the corpus ties the two together: the pointwise mutual information of both in whole
+documents, held against the information content of the entity. At 1 the term occurs only with the entity
+and gives it away; terms above a threshold are generalised, and those above a higher one removed,
+wherever they stand and in every document, with the entity or without.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "term")
-TERM = r"(?<!\p{L})\p{L}{4,}+"
-#: Code points on either side of an entity in which terms are looked for.
-CONTEXT = 64
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: Slots of the filter by hash that terms pass before they are shuffled; more disclosing terms than slots only let more pass.
+SLOTS = 1 << 16
 #: Share of an entity's information that a term may carry; above REMOVE the term goes as a whole.
 GENERALISE, REMOVE = 0.9, 0.97
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -92,35 +92,64 @@ def _entity(x: Column) -> Column:
     return F.concat(x["kind"], F.lit(":"), F.when(x["kind"].isin("email", "ip"), F.lower(x["value"])).otherwise(_digits(x["value"])))
 
 
-def _near(text: Column, spans: Column, x: Column) -> Column:
-    """Terms within CONTEXT of span x, cut-off words and parts of other spans left out."""
-    lo = F.greatest(x["start"] - CONTEXT, F.lit(0))
-    hi = F.least(x["end"] + CONTEXT, F.length(text))
-    shift = lambda terms, by: F.transform(terms, lambda t: F.struct(_entity(x).alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")))
-    left = shift(matches(F.substring(text, lo + 1, x["start"] - lo), TERM), lo)
-    right = shift(matches(F.substring(text, x["end"] + 1, hi - x["end"]), TERM), x["end"])
-    whole = F.filter(F.concat(left, right), lambda t: ((t["start"] > lo) | (lo == 0)) & ((t["end"] < hi) | (hi == F.length(text))))
-    return F.filter(whole, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+def _terms(text: Column, spans: Column) -> Column:
+    """The distinct terms of a text in lower case; words that touch a span are left out."""
+    mark = "\uffff"
+    cut = F.aggregate(
+        spans,
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("upto")),
+        lambda a, x: F.struct(
+            F.when(x["start"] > a["upto"], F.concat(a["out"], F.substring(text, a["upto"] + 1, x["start"] - a["upto"]), F.lit(mark))).otherwise(F.concat(a["out"], F.lit(mark))).alias("out"),
+            F.greatest(a["upto"], x["end"]).alias("upto"),
+        ),
+    )
+    free = F.regexp_replace(F.concat(cut["out"], F.substring(text, cut["upto"] + 1, F.length(text))), rf"(?:{TERM})?{mark}(?:{TERM}|{mark})*+", " ")
+    found = F.regexp_extract_all(F.when(F.size(spans) == 0, text).otherwise(free), F.lit(f"({TERM})"), F.lit(1))
+    return F.array_distinct(F.transform(F.array_distinct(found), F.lower))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+def disclosing(held: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share): terms that carry at least `generalise` of an entity's information.
 
-    near: rk, tk, near (a row's terms by entity); docs: text. Counts are of documents, all of them. A
-    pair counts only if two different texts hold it: in one text alone, and its copies, everything
-    occurs with everything.
+    held: one row a document: tk, base, terms. Counts are of documents, all of them. A pair counts only
+    if two different texts hold it: in one text alone, and its copies, everything occurs with everything.
     """
-    total = docs.count()
-    lists = near.select("tk", F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))).alias("pairs"))
-    pairs = lists.select("tk", F.inline("pairs")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.min("tk").alias("_a"), F.max("tk").alias("_b")).where("_a <> _b").drop("_a", "_b")
-    entities = near.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
-    terms = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # lower-casing may join letters differently inside a text than alone, so a term's count is at least the pair's
-    known = pairs.join(entities, "entity").join(terms, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), "n_et"))
+    total = held.count()
     n = F.lit(float(total))
+    some = held.where(F.size("base") > 0)
+    # equal texts hold the same pairs; they are counted, not repeated
+    owners = some.select("tk", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("tk", "entity").agg(F.count(F.lit(1)).alias("copies"))
+    owners = common.written(owners, "owners")
+    entities = owners.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.min("tk").alias("_a"), F.max("tk").alias("_b")).where((F.col("_a") != F.col("_b")) & (F.col("n_e") < total)).select("entity", "n_e")
+    entities = common.written(entities, "entities")
+    # n_et is at most n_e, so a term in more documents than this cannot reach the share
+    limit = lambda n_e: n * F.pow(n_e / n, F.lit(generalise)) * F.lit(1 + 1e-9)
+    most = entities.agg(F.max("n_e").alias("most"))
+    terms = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where("n_t > 1")
+    terms = terms.join(F.broadcast(most), F.col("n_t") <= limit(F.col("most"))).select("term", "n_t")
+    shared = common.written(owners.join(entities, "entity"), "shared")
+    texts = some.select("tk", "terms").join(shared.select("tk").distinct(), "tk", "left_semi").dropDuplicates(["tk"])
+    rare = texts.select("tk", F.explode("terms").alias("term")).join(terms, "term")
+    pairs = shared.join(rare, "tk").where(F.col("n_t") <= limit(F.col("n_e")))
+    known = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.min("tk").alias("_a"), F.max("tk").alias("_b")).where("_a <> _b")
     share = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
-    return known.where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
+    return known.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
+
+
+def _occurrences(text: Column, shares: Column) -> Column:
+    """Spans of all terms of a text that `shares` (term to share) has."""
+    found = F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1))
+    gaps = F.slice(F.split(text, TERM, -1), 1, F.size(found))
+    value = lambda t, share: F.when(share >= REMOVE, F.lit("")).otherwise(F.concat(F.substring(t, 1, 1), F.lit("…")))
+
+    def step(a: Column, x: Column) -> Column:
+        start, term = a["at"] + F.length(x["gap"]), F.lower(x["value"])
+        end, share = start + F.length(x["value"]), F.try_element_at(shares, term)
+        span = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"), F.lit("term").alias("kind"), value(term, share).alias("value"))
+        return F.struct(end.alias("at"), F.when(share.isNotNull(), F.concat(a["out"], F.array(span).cast(f"array<{_SPAN}>"))).otherwise(a["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), start, step, lambda a: a["out"])
 
 
 def sanitise(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -129,21 +158,22 @@ def sanitise(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Spans come by start, then in the order of KINDS. A null text counts as empty. Patterned values are
     replaced by their kind in brackets, terms to remove by nothing, others by their first letter and
     an ellipsis; of spans that overlap the first is replaced and the rest of the others dropped. A
-    protected entity in every document carries no information and reveals none. Rows repeated as a
-    whole are kept; other columns of docs are left out.
+    protected entity in every document carries no information and reveals none. A term goes by its
+    highest share over all entities. Rows repeated as a whole are kept; other columns of docs are left out.
     """
     rows = docs.select("doc_id", common.text_or_empty().alias("text"))
-    based = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") == 0, F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")).otherwise(F.flatten(F.transform("base", lambda x: _near(F.col("text"), F.col("base"), x))))
-    held = common.written(based.select("doc_id", common.row_key().alias("rk"), common.text_key().alias("tk"), "base", near.alias("near")), "spans")
-    some = held.where(F.size("base") > 0)
-    reveal = common.written(disclosing(some.select("tk", "base", "near"), rows), "disclosing")
+    based = rows.select("doc_id", "text", common.row_key().alias("rk"), common.text_key().alias("tk"), base_spans(F.col("text")).alias("base"))
+    held = common.written(based.select("doc_id", "rk", "tk", "base", _terms(F.col("text"), F.col("base")).alias("terms")), "spans")
+    reveal = common.written(disclosing(held.select("tk", "base", "terms")).groupBy("term").agg(F.max("share").alias("share")), "disclosing")
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = F.broadcast(reveal.select(slot).distinct())
     # rows equal in id and text have the same terms; they are found once
-    hits = some.select("rk", F.inline("near")).join(reveal, ["entity", "term"])
-    span = F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(F.concat(F.substring("term", 1, 1), F.lit("…"))).alias("value"))
-    added = hits.groupBy("rk", "start", "end", "term").agg(F.max("share").alias("share")).groupBy("rk").agg(F.sort_array(F.collect_list(span)).alias("terms"))
-    out = held.join(added, "rk", "left")
-    spans = F.sort_array(F.concat("base", F.coalesce("terms", F.array().cast(f"array<{_SPAN}>"))))
+    hits = held.select("rk", F.explode("terms").alias("term")).withColumn("slot", slot).join(slots, "slot", "left_semi").join(reveal, "term").groupBy("rk", "term").agg(F.max("share").alias("share"))
+    shares = common.written(hits.groupBy("rk").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "shares")
+    added = rows.select(common.row_key().alias("rk"), "text").join(shares, "rk").select("rk", _occurrences(F.col("text"), F.col("shares")).alias("terms")).dropDuplicates(["rk"])
+    out = held.drop("terms").join(added, "rk", "left")
+    apart = F.filter(F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    spans = F.sort_array(F.concat("base", apart))
     if not with_text:
         return out.select("doc_id", spans.alias("spans"))
     texts = rows.withColumn("rk", common.row_key()).dropDuplicates(["rk"]).select("rk", "text")

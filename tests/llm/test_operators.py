@@ -413,3 +413,19 @@ def test_disclosing_terms(spark):
     got = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
     assert got[1] == "Call  Beeble at [EMAIL] now please" and got[2] == "The  guy wrote to [EMAIL] yesterday again"
     assert got[3] == rows[2][1] and got[4] == rows[3][1] and got[5] == ""
+
+
+def test_disclosing_terms_in_whole_texts(spark):
+    far = " word" * 60
+    rows = [
+        (1, f"Ann Li met K9.{far} x@y.org and{far} later li left"),
+        (2, f"It was x@y.org{far} from LI, said K9"),
+        (3, "nothing of Li or Liam here"),
+        (4, "Ann was out and it was said later"),
+        *[(k, f"plain{far} text and it was met later from here") for k in range(5, 131)],
+    ]
+    got = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got[1] == f"Ann l… met .{far} [EMAIL] and{far} later l… left"
+    assert got[2] == f"It was [EMAIL]{far} from l…, said "
+    assert got[3] == "nothing of l… or Liam here"
+    assert all(got[k] == t for k, t in rows[3:])

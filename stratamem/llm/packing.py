@@ -8,9 +8,9 @@ partitions' leftovers together, until one partition is left.
 
 from __future__ import annotations
 
-import string
+import json
+import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +33,6 @@ SMALL_GAP = 16
 #: Words whose ids a worker remembers, at most.
 MEMO_WORDS = 800_000
 _BATCH = 512
-_MARKS = string.punctuation.encode()
 
 PIECE = "doc_id long, rk binary, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -45,32 +44,62 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Encoder:
-    """Token ids as little-endian 32-bit bytes, equal to the tokenizer's for the whole text.
+#: A word that the tokenizer below takes apart in one way only: letters of Basic Latin, Latin-1 and Latin
+#: Extended-A, then ASCII punctuation. These letters are composed already, each has one lower-case letter (U+0130 has
+#: two characters and is left out), and all are letters to the tokenizer's pattern, as no mark is.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: What a tokenizer does before its model, if it treats the words of a text one by one.
+_WORDWISE = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 
-    The tokenizer lower-cases, never joins across white space, and splits letters from all else. So a
-    text is the sum of its words, a word that of its letters and the marks that end it, and letters go
-    straight to the model. Words seen before are looked up; the memory holds two generations, so that
-    what is in use stays when the older one is dropped.
+class Encoder:
+    """Token ids as little-endian 32-bit bytes: those that the tokenizer, as its file has it, gives the whole text.
+
+    A tokenizer that drops white space and never joins across it gives a text the ids of its words, one
+    after the other; so words seen before are looked up. Of new words those of plain letters and marks go
+    to the model in two parts, and all others to the tokenizer. A text that spells a token which the
+    tokenizer cuts out beforehand, in whatever case, goes to the tokenizer whole, and so do all
+    texts if its file asks for other steps than these. The memory holds two generations, so that what
+    is in use stays when the older one is dropped.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        own = json.loads(self.tokenizer.to_str())
+        added = own["added_tokens"]
+        self.wordwise = all(own[k] == v for k, v in _WORDWISE.items()) and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or not x["content"].isascii() or len(x["content"].split()) != 1 for x in added)
+        self.cut_out = [x["content"].lower().encode() for x in added]
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        words = text.encode().lower().split()  # lower() of bytes leaves all but A-Z to the tokenizer
-        known = self.known
+        if not self.wordwise:
+            return self._whole(text)
+        raw = text.encode()
+        words = raw.split()
         try:
+            known = self.known
             return b"".join([known[w] for w in words])
         except KeyError:
             new = [w for w in dict.fromkeys(words) if w not in known]
+        low = raw.lower()
+        if any(x in low for x in self.cut_out):
+            return self._whole(text)
         if len(known) + len(new) > MEMO_WORDS // 2:
             self.older, self.known = known, {}
             known, new = self.known, list(dict.fromkeys(words))
@@ -78,36 +107,36 @@ class Encoder:
             known[w] = self._word(w)
         return b"".join([known[w] for w in words])
 
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, w: bytes) -> bytes:
         found = self.older.get(w)
         if found is None:
-            core = w.rstrip(_MARKS)
-            if core and len(core) < len(w) and core.decode().isalpha():
-                return self._known_or_new(core) + self._known_or_new(w[len(core) :])
-            found = self._new(w)
+            plain = _PLAIN.fullmatch(w)
+            if plain is None:
+                return self._whole(w.decode())
+            found = self._letters(plain[1])
+            if plain[2]:
+                found += self._marks(plain[2])
         return found
 
-    def _known_or_new(self, part: bytes) -> bytes:
-        found = self.known.get(part)
+    def _letters(self, w: bytes) -> bytes:
+        low = w.lower() if w.isascii() else w.decode().lower().encode()
+        found = self.known.get(low) or self.older.get(low)
         if found is None:
-            found = self.known[part] = self._word(part)
+            shown = low.decode() if low.isascii() else low.decode("latin-1").translate(self.letters)
+            ids = [x.id for x in self.model.tokenize(shown)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self.known[low] = found
         return found
 
-    def _new(self, w: bytes) -> bytes:
-        s = w.decode()
-        if s.isalpha():
-            if not w.isascii():
-                s = unicodedata.normalize("NFC", s)
-                if s.lower() != s:
-                    s = "".join([c.lower() for c in s])
-                letters = s.isalpha()
-                s = s.encode().decode("latin-1").translate(self.letters)
-            else:
-                letters = True
-            if letters:
-                return struct.pack(f"<{len(t := self.model.tokenize(s))}I", *[x.id for x in t])
-        ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _marks(self, w: bytes) -> bytes:
+        found = self.known.get(w)
+        if found is None:
+            found = self.known[w] = self._whole(w.decode())
+        return found
 
 
 @dataclass

@@ -208,7 +208,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     out = packing.pack(docs, path, length=128, open_most=3).collect()
     ids = [struct.pack(f"<{len(e) + 1}I", *e, 2) for e in (tokenizer.encode(t or "", add_special_tokens=False).ids for _, t, *_ in ROWS)]
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
@@ -229,15 +228,22 @@ def test_packing(docs, none):
 
 
 def test_encoder_equals_the_tokenizer():
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = packing.production_tokenizer()
-    encode, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = [t or "" for _, t, *_ in ROWS] + ["ÉTÉ İstanbul ΣΟΦΟΣ été don't I'LL x.y 3rd ½a a b <|endoftext|>x </w> ### A,B ǅ ẞ!"]
-    for t in texts:
-        e = tokenizer.encode(t, add_special_tokens=False).ids
-        assert encode(t) == struct.pack(f"<{len(e)}I", *e)
+    r = random.Random(17)
+    parts = ["a", "B", "é", "É", "İ", "ı", "ſ", "ß", "ẞ", "ǅ", "Σ", "ς", "H", "T", "w", "the", "K", "\u0331", "\u0308", "\u0301", "\u0307", "'", "'s", "'LL", ".", ",!", "_", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "</w>"]
+    parts += ["1", "½", "²", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "ª", "×", "가", "ᄀ", "ᅡ", "中", "क", "😀", "\u0345", "\u212b", "ﬁ"]
+    texts = [t or "" for _, t, *_ in ROWS] + ["ÉTÉ İstanbul ΣΟΦΟΣ été don't I'LL x.y 3rd ½a a b <|endoftext|>x </w> ### A,B ǅ ẞ!", "İ.", "H\u0331", "h\u0331"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for _ in range(8000)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(0x300, 0x370), r.randrange(0x20, 0x3000)])) for _ in range(r.randrange(1, 12))) for _ in range(4000)]
+    for name, wordwise in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encode, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+        assert encode.wordwise is wordwise
+        for t in texts:
+            e = tokenizer.encode(t, add_special_tokens=False).ids
+            assert encode(t) == struct.pack(f"<{len(e)}I", *e), t
 
 
 def test_repeated_passages(docs, none):

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from stratamem.llm import common
 
-#: Texts in the sample on which costs and rejections are measured.
-SAMPLE_ROWS = 2_000
+#: Texts in the sample on which costs and rejections are measured, about, and its partitions.
+SAMPLE_ROWS, SAMPLE_PARTS = 2_000, 8
+SEED = 6_174
 REPEATS = 2
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -99,22 +100,26 @@ def _on_windows(rule: Rule, known: dict[str, Column]) -> Callable[[Column], Colu
     return lambda z: rule.rejects(known | {"n_repeat_words": repeat_words(z)})
 
 
-def _with(df: DataFrame, needs: Sequence[str], text: str) -> DataFrame:
-    """df with the metrics in needs; what several metrics share is a column of its own, made once."""
+def _with(df: DataFrame, needs: Sequence[str], text: str, names: dict[str, str] | None = None) -> DataFrame:
+    """df with the metrics in needs, under their names or those in names (name to metric); what several share is made once."""
     made = metrics(text)
+    names = names or {k: k for k in dict.fromkeys(needs)}
     df = df.withColumn("_words", common.words(F.col(text)))
     if "n_repeat_words" in needs:
         df = df.withColumn("_windows", made["_windows"])
-    return df.withColumns({k: repeat_words(F.col("_windows")) if k == "n_repeat_words" else made[k] for k in dict.fromkeys(needs)})
+    return df.withColumns({c: repeat_words(F.col("_windows")) if k == "n_repeat_words" else made[k] for c, k in names.items()})
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules, those first that reject most for what they cost.
 
-    Cost: seconds to run the rule alone over the sample, less those of a pass that only finds the
-    words; the least of a few runs. Rejection: the share of the sample that the rule rejects.
+    About sample_rows texts are drawn by a seeded coin from all partitions alike; they alone are moved, into
+    a few partitions. Cost: seconds to run the rule alone over the sample, less those of a pass that only finds
+    the words; the least of a few runs. Rejection: the share of the sample that the rule rejects.
     """
-    sample = docs.select(F.col(text).alias("_text")).limit(sample_rows).persist()
+    rows = docs.count()
+    drawn = docs.select(F.col(text).alias("_text")).sample(min(1.0, sample_rows / max(1, rows)), SEED)
+    sample = drawn.repartition(SAMPLE_PARTS).persist()
     total = max(1, sample.count())
 
     def timed(made: DataFrame, found: Column) -> tuple[float, int]:
@@ -134,40 +139,42 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", samp
     return sorted(rules, key=lambda r: (-worth[r.name], [x.name for x in rules].index(r.name)))
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text", keep_metrics: bool = False) -> DataFrame:
-    """docs with `kept`, testing the rules in the order given.
+def cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """docs with the metrics named in keep, and `kept`; the rules are tested in the order given.
 
-    Without keep_metrics a later rule's metrics are not computed for a text that an earlier rule
-    rejected. With it every metric is returned for every text. A null text is judged as an empty
+    Metrics in keep are worked out for every text. Any other metric is worked out only when the first rule that
+    reads it is reached, so not for a text that an earlier rule rejected. A null text is judged as an empty
     one; an empty table gives an empty table. Columns of docs keep their values unless they bear the
-    name of a metric or `kept`, which are replaced; names starting with an underscore are dropped.
+    name of a metric in keep or `kept`, which are replaced; names starting with an underscore are dropped.
     """
-    own = [c for c in docs.columns if not c.startswith("_")]
-    needs = list(dict.fromkeys(k for r in rules for k in r.needs))
-    if keep_metrics:
-        out = _with(docs.drop(*[k for k in needs if k in docs.columns and k != text]), needs, text)
-        passed = F.lit(True)
-        for r in rules:
-            passed = F.when(passed, ~_columns(r)).otherwise(False)
-        return out.withColumn("kept", passed).select(*[c for c in own if c not in needs and c != "kept"], *needs, "kept")
+    own = [c for c in docs.columns if not c.startswith("_") and c != "kept" and (c == text or c not in keep)]
+    held = {f"_m_{k}": k for k in keep}
 
     def verdict(w: Column) -> Column:
-        made = metrics(text, w)
+        made = metrics(text, w) | {k: F.col(c) for c, k in held.items()}
         passed = F.lit(True)
         for r in reversed(rules):
             known = {k: made[k] for k in r.needs if k in made}
-            test = let(made["_windows"], _on_windows(r, known)) if "n_repeat_words" in r.needs else r.rejects(known)
+            test = let(made["_windows"], _on_windows(r, known)) if "n_repeat_words" in r.needs and "n_repeat_words" not in keep else r.rejects(known)
             passed = F.when(test, False).otherwise(passed)
         return passed
 
-    return docs.withColumn("kept", let(common.words(F.col(text)), verdict)).select(*[c for c in own if c != "kept"], "kept")
+    if not keep:
+        return docs.select(*own, let(common.words(F.col(text)), verdict).alias("kept"))
+    # under names of their own, so that a metric's name in docs is still the column of docs until the end
+    with_ = _with(docs.select(*own, F.col(text).alias("_text")), keep, "_text", held)
+    return with_.select(*own, *[F.col(c).alias(k) for c, k in held.items()], verdict(F.col("_words")).alias("kept"))
+
+
+#: The metrics that the query returns for every text.
+RETURNED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    out = cascade(docs, order_rules(docs, default_rules()), keep_metrics=True)
+    out = cascade(docs, order_rules(docs, default_rules()), keep=RETURNED)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+    return out.select("doc_id", *RETURNED, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

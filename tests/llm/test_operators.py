@@ -63,9 +63,9 @@ def multiset(rows):
     return collections.Counter(map(str, rows))
 
 
-def test_quality(docs, none):
+def test_quality(spark, docs, none):
     rules = quality.default_rules()
-    out = quality.cascade(docs.select("doc_id", "text"), quality.order_rules(docs, rules, sample_rows=20), keep_metrics=True).collect()
+    out = quality.cascade(docs, quality.order_rules(docs, rules, sample_rows=20), keep=quality.RETURNED).collect()
     want = []
     for i, text, *_ in ROWS:
         w, t = words(text), text or ""
@@ -78,7 +78,25 @@ def test_quality(docs, none):
     assert multiset((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["kept"]) for r in out) == multiset(want)
     short = quality.cascade(docs, rules)
     assert multiset((r["doc_id"], r["kept"]) for r in short.collect()) == multiset((w[0], w[-1]) for w in want)
-    assert quality.cascade(none, rules).count() == 0 and len(quality.order_rules(none, rules)) == len(rules)
+    assert {c for c in docs.columns if c != "kept"} <= set(short.columns) and short.where("n_words <> 'mine'").count() == 0
+    assert quality.cascade(none, rules).count() == 0 and quality.cascade(none, rules, keep=quality.RETURNED).count() == 0 and len(quality.order_rules(none, rules)) == len(rules)
+
+
+@pytest.mark.parametrize("keep", [(), ("n_words",)])
+def test_quality_stops_at_the_first_rule_that_rejects(spark, keep):
+    df = spark.createDataFrame([(1, "one two"), (2, "three"), (3, None)], "doc_id long, text string")
+    fails = quality.Rule("fails", ("n_upper",), lambda m: F.when(m["n_upper"] >= 0, F.raise_error(F.lit("reached"))).cast("boolean"))
+    short = quality.Rule("short", ("n_words",), lambda m: m["n_words"] < 3)
+    assert [r["kept"] for r in quality.cascade(df, [short, fails], keep=keep).collect()] == [False] * 3
+    with pytest.raises(Exception, match="reached"):
+        quality.cascade(df, [fails, short], keep=keep).collect()
+
+
+def test_quality_order_follows_rejections(spark):
+    df = spark.range(400).selectExpr("id doc_id", "if(id % 2 = 0, 'a b', repeat('word ', 60)) text")
+    never = quality.Rule("never", ("n_words",), lambda m: m["n_words"] < 0)
+    half = quality.Rule("half", ("n_words",), lambda m: m["n_words"] < 50)
+    assert [r.name for r in quality.order_rules(df, [never, half], sample_rows=100)] == ["half", "never"]
 
 
 def test_near_duplicates(docs, none):

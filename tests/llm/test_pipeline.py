@@ -12,7 +12,7 @@ def test_stages(spark):
     kinds = [name for name, _ in corpus_pipeline.STAGES]
     assert kinds == ["quality_rules", "near_duplicates", "secret_scan", "source_mix", "packing"]
     good = corpus_pipeline.STAGES[0][1](spark, docs, SF)
-    want = {r["doc_id"] for r in quality.cascade(docs, quality.default_rules(), keep_metrics=True).where("kept").collect()}
+    want = {r["doc_id"] for r in quality.cascade(docs, quality.default_rules(), keep=quality.RETURNED).where("kept").collect()}
     assert good.columns == before and {r["doc_id"] for r in good.collect()} == want
     good = common.written(good, "good")
     single = common.written(corpus_pipeline.STAGES[1][1](spark, good, SF), "single")

@@ -7,8 +7,9 @@
    repeats would part texts whose sets are equal.
 2. Equal texts are folded into one, before anything is compared.
 3. Registers are cut into bands. Texts that agree on a band are candidates; each is held against one
-   centre of its bucket. Where a bucket then still holds several classes, its texts are compared in
-   blocks, and a block reports a spanning forest of its links rather than all of them.
+   centre of its bucket. Where a bucket then still holds several classes, the texts outside its largest
+   class are compared with all others in blocks, and a block reports a spanning forest of its links
+   rather than all of them.
 4. A pair is a link when the Jaccard likeness of its shingle sets, counted exactly, is 0.8 or more.
 5. Classes are the connected components of the links.
 """
@@ -217,13 +218,20 @@ def _forest(group: pa.Table) -> pa.Table:
 def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join all classes which can be joined within a bucket. rest: band, tk, root.
 
-    A bucket is cut into blocks of about BLOCK texts and each two blocks meet in one task, which counts
-    what every two sets share and reports a spanning forest of the links: the class needs no more, and
-    so no task puts out more rows than it has texts.
+    Texts of one class need not meet. So a bucket is parted into its largest class and all others, each
+    is cut into blocks of about BLOCK texts, and each block of the others meets every block of the bucket in
+    one task, which counts what every two sets share and reports a spanning forest of the links: the
+    class needs no more, and so no task puts out more rows than it has texts. A bucket of very many
+    texts that a few odd ones share costs in proportion to its size.
     """
-    blocks = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m"))
-    own = F.pmod(F.xxhash64("tk"), F.col("m")).cast("int")
-    dealt = rest.join(blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    by_class = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = by_class.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    parts = parts.select("band", F.col("most.root").alias("big"), blocks(F.col("most.n")).alias("m"), blocks(F.col("all") - F.col("most.n")).alias("r"))
+    in_big, draw = F.col("root") == F.col("big"), F.xxhash64("tk")
+    own = F.when(in_big, F.pmod(draw, F.col("m"))).otherwise(F.col("m") + F.pmod(draw, F.col("r"))).cast("int")
+    first = F.when(in_big, F.col("m")).otherwise(F.lit(0))
+    dealt = rest.join(parts, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(first, F.col("m") + F.col("r") - 1)))
     dealt = dealt.select("band", "tk", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     return dealt.join(sets, "tk").groupBy("band", "lo", "hi").applyInArrow(_forest, "a binary, b binary")
 

@@ -123,6 +123,60 @@ def test_near_duplicates(docs, none):
     assert neardup.classes(none).count() == 0
 
 
+def brute_force_classes(texts):
+    """For each text the least index of the texts in its class: links are five-word Jaccard of 0.8 or more."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for t in texts for w in [words(t)]]
+    holders, parent = collections.defaultdict(list), list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    first, links = {}, 0
+    for i, t in enumerate(texts):
+        j = first.setdefault(t, i)
+        if j != i:
+            parent[find(i)] = find(j)
+            continue
+        shared = collections.Counter(j for g in sets[i] for j in holders[g])
+        for j, n in shared.items():
+            if 10 * n >= 8 * (len(sets[i]) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+                links += 1
+        for g in sets[i]:
+            holders[g].append(i)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(find(i), i)
+    return [least[find(i)] for i in range(len(texts))], links
+
+
+def test_near_duplicate_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    want, links = brute_force_classes([t for _, t in rows])
+    got = {r["doc_id"]: r["class_id"] for r in neardup.op8_probminhash(spark, sf).collect()}
+    assert got == {i: rows[k][0] for (i, _), k in zip(rows, want)} and links > 0
+
+
+def test_hot_buckets_of_several_classes(spark, monkeypatch):
+    # one class of many near copies, a chain that leads away from it, and texts apart that share buckets with both
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    base = prose(260).split()
+    texts = [" ".join(base[:k] + [f"odd{k}"] + base[k + 1 :]) for k in range(0, 260, 2)]
+    chain = list(base)
+    for k in range(60):
+        chain[(k * 4) % 240] = f"step{k}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(base[:170] + prose(60).split()) for _ in range(20)]
+    want, links = brute_force_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want and links > 1000 and len(set(want)) > 1
+
+
 def test_near_duplicate_stage_keeps_a_row_of_each_class(spark):
     base, other = prose(120), prose(90)
     near = base + " and more"

@@ -331,6 +331,25 @@ def test_repeated_passages(docs, none):
     assert sum(w[2] for w in want) > 100 and substring.remove_repeats(none).count() == 0
 
 
+def test_doubling_lengths():
+    assert substring.lengths(35) == [9, 18, 35] and substring.lengths(9) == [9] and substring.lengths(1) == [1]
+    assert all(b <= 2 * a for n in range(2, 200) for a, b in zip(substring.lengths(n), substring.lengths(n)[1:]))
+
+
+def test_passage_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    seen = collections.Counter(tuple(w[k : k + 35]) for _, t in rows for w in [words(t)] for k in range(len(w) - 34))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
+        want.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    out = substring.op5_levelwise_doubling(spark, sf)
+    assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert multiset(tuple(r) for r in out.collect()) == multiset(want) and sum(x[2] for x in want) > 100
+
+
 def test_longest_repeats(docs):
     got = {bytes(r["tk"]): r["words"] for r in substring.longest_repeats(docs, 10).collect()}
     texts = [t or "" for _, t, *_ in ROWS]

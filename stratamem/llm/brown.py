@@ -1,13 +1,15 @@
 """A class-based bigram language model with classes from exchange clustering.
 
 P(w | v) = lam * P(class(w) | class(v)) * P(w | class(w)) + (1 - lam) * P0(w), where P0 is the
-smoothed unigram model. Every word that occurs often enough is moved, round by round, to the class that
-raises the likelihood of the training bigrams most; all rarer words, the unseen one among them, share one
-class, and the end of a text is a class of its own. All probabilities sum to one over the known
-words and one word for all unknown ones.
-
-Counts of words and of word pairs are gathered over all training texts by Spark. Only the frequent
-words (their number has a bound) and the tables of classes travel to the tasks; the rest are joined.
+smoothed unigram model. The most frequent words are exchanged between classes, round by round, as long as
+that raises the likelihood of the training bigrams; every other word that occurs often enough to have
+a context worth the name then joins the class that makes its own occurrences most likely. The words left, the
+unseen one among them, share one class, and the end of a text is a class of its own. All probabilities sum to
+one over the known words and one word for all unknown ones.
+
+Counts of words, of word pairs and of classes around a word are gathered over all training texts by Spark,
+and the table of words and classes grows with the corpus: it is joined, not broadcast. Only the
+head of it (a number of words that is a parameter) and the tables of class pairs travel to the tasks.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamem.llm import common
-from stratamem.llm.wordhash import Words, slices
+from stratamem.llm.wordhash import Words, mix, slices
 
-#: Words that are sent to the tasks with their counts, at most; 16 bytes each.
-FREQUENT = 1 << 16
-#: Words that exchange clustering assigns, at most; 8 + K * 16 bytes of context counts each.
+#: Words that are sent to the tasks with their counts and classes, about: 17 bytes each. The others are joined.
+FREQUENT = 1 << 17
+#: Words that exchange clustering assigns, about; 8 + K * 16 bytes of context counts each. The others are assigned by likelihood.
 CLUSTERED = 1 << 13
 CLASSES = 64
-ROUNDS = 8
+#: A word seen less often shares the class of unseen words.
+LEAST_COUNT = 3
+#: Exchange ends when two half-rounds in a row raise the likelihood by less than this part of what classes win.
+CONVERGED = 1e-3
 ADD = 0.1
 #: Share of the class model in the mixture.
 LAM = 0.9
@@ -84,7 +89,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Frequent:
-    """The frequent words by ascending hash, with their counts; the first `clustered` by count have class ids."""
+    """The frequent words by ascending hash, with their counts, and a number for each: 0 the end, -1 not clustered."""
 
     hash: np.ndarray
     count: np.ndarray
@@ -92,10 +97,15 @@ class Frequent:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in `hash`, -1 where a word is not among them."""
-        if not len(self.hash):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, at, -1)
+        return found(self.hash, h)
+
+
+def found(among: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of h in the ascending `among`, -1 where it is not there."""
+    if not len(among):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+    return np.where(among[at] == h, at, -1)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -103,34 +113,31 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select(common.text_or_empty().alias("text")).mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int = FREQUENT, clustered: int = CLUSTERED) -> Frequent:
-    """At most `most` words: all whose count is at least the least count that so many reach.
+def head(counts: DataFrame, limit: int) -> Column:
+    """Whether a word is among about `limit` most frequent; the end of a text always is.
 
-    The cut is found on how many words have each count, so words with the same count stay or go
-    together and no order among them matters.
+    The cut is found on how many words have each count. Of the words at the cut those with the least
+    hashes are in, as many as there is room for (hashes are uniform, so their share is met nearly).
     """
+    by = counts.where(F.col("h") != int(END)).groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(limit + 1).collect()
+    total, inside = 0, F.col("h") == int(END)
+    for x in by:
+        if total + x["words"] > limit:
+            tied = (F.col("n") == x["n"]) & (F.col("h").cast("double") / 2.0**64 + 0.5 < (limit - total) / x["words"])
+            return inside | (F.col("n") > x["n"]) | tied
+        total += x["words"]
+    return inside | F.lit(True)
 
-    def least(limit: int) -> int:
-        by = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(limit + 1).collect()
-        total, cut = 0, 1 << 62
-        for x in by:
-            total += x["words"]
-            if total > limit:
-                break
-            cut = x["n"]
-        return cut
 
-    cut = least(most)
-    pdf = counts.where(F.col("n") >= cut).toPandas().sort_values("h")
-    h, n = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)
+def frequent_words(counts: DataFrame, most: int = FREQUENT, clustered: int = CLUSTERED) -> Frequent:
+    """About `most` words, of which about `clustered` are numbered from 1; the end of a text is 0."""
+    pdf = counts.where(head(counts, most)).select("h", "n", head(counts, clustered).alias("c")).toPandas()
+    h, n, c = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), pdf["c"].to_numpy(bool)
     order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    # of those the most frequent are clustered, 0 being the end token; ties again stay or go together
-    ranked = np.sort(n[h != END])[::-1]
-    floor = n.max(initial=0) + 1 if not len(ranked) else (ranked[clustered - 1] + 1 if len(ranked) > clustered and ranked[clustered - 1] == ranked[clustered] else ranked[min(clustered, len(ranked)) - 1])
-    chosen = (n >= floor) & (h != END)
+    h, n, c = h[order], n[order], c[order]
     index = np.full(len(h), -1, np.int64)
-    index[np.flatnonzero(chosen)] = np.arange(1, chosen.sum() + 1)
+    numbered = np.flatnonzero(c & (h != END))
+    index[numbered] = np.arange(1, len(numbered) + 1)
     index[h == END] = 0
     return Frequent(h, n, index)
 
@@ -215,12 +222,13 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, now: np.n
     return to, gains
 
 
-def exchange(pairs: DataFrame, words: Frequent, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each clustered word (with the end token and `others` last), and the counts of class pairs.
+def exchange(pairs: DataFrame, words: Frequent, classes: int = CLASSES, converged: float = CONVERGED) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Class of each clustered word (the end token first, all `others` last), counts of class pairs, and the likelihoods.
 
-    Each round gathers, by two aggregations over the word pairs, how often each word stands beside each
-    class; tasks work out each word's best move; half of the words, another half each round, make theirs.
-    A round that does not raise the likelihood is undone and ends the search.
+    Each half-round gathers, by two aggregations over the word pairs, how often each word stands beside each
+    class; tasks work out each word's best move; half of the words, the other half next time, make theirs. Where
+    the moves together do harm, those that gain most are tried alone, fewer and fewer. The likelihood never
+    falls; it ends when two half-rounds in a row raise it by less than `converged` of what has been won so far.
     """
     spark = pairs.sparkSession
     n = int(words.index.max(initial=0))
@@ -242,7 +250,9 @@ def exchange(pairs: DataFrame, words: Frequent, classes: int = CLASSES, rounds:
         return t
 
     now = class_pairs(cls)
-    for r in range(rounds):
+    course, still, r = [likelihood(now)], 0, -1
+    while still < 2 and n:
+        r += 1
         of = spark.createDataFrame(pd.DataFrame({"id": np.arange(n + 2, dtype=np.int32), "c": cls.astype(np.int32)}))
         beside_right = pairs.join(F.broadcast(of.toDF("w", "c")), "w").groupBy(F.col("v").alias("id"), "c").agg(F.sum("n").alias("right"), F.lit(0).cast("long").alias("left"))
         beside_left = pairs.join(F.broadcast(of.toDF("v", "c")), "v").groupBy(F.col("w").alias("id"), "c").agg(F.lit(0).cast("long").alias("right"), F.sum("n").alias("left"))
@@ -264,119 +274,266 @@ def exchange(pairs: DataFrame, words: Frequent, classes: int = CLASSES, rounds:
 
         # a group is a bounded set of words, so that a word's rows meet in one batch
         moved = stats.groupBy((F.col("id") % 64).alias("g")).applyInPandas(lambda pdf: next(iter(move([pdf]))), "id int, to int, gain double").where("gain > 0").toPandas()
-        if not len(moved):
-            if r % 2:
-                break
-            continue
-        tried = cls.copy()
-        tried[moved["id"].to_numpy()] = moved["to"].to_numpy()
-        then = class_pairs(tried)
-        if likelihood(then) <= likelihood(now):
-            # together the moves do harm; keep those that gain most
-            best = moved.sort_values(["gain", "id"], ascending=[False, True]).head(max(1, len(moved) // 8))
+        moved = moved.sort_values(["gain", "id"], ascending=[False, True])
+        won, tries = 0.0, len(moved)
+        while tries:
             tried = cls.copy()
-            tried[best["id"].to_numpy()] = best["to"].to_numpy()
+            tried[moved["id"].to_numpy()[:tries]] = moved["to"].to_numpy()[:tries]
             then = class_pairs(tried)
-            if likelihood(then) <= likelihood(now):
+            won = likelihood(then) - course[-1]
+            if won > 0:
+                cls, now = tried, then
+                course.append(course[-1] + won)
                 break
-        cls, now = tried, then
-    return cls, now
+            tries //= 8
+        # measured against all that moving has won; nothing won at all ends it as well
+        still = still + 1 if won <= converged * (course[-1] - course[0]) else 0
+    return cls, now, course
+
+
+def _contexts(words: Frequent, cls: np.ndarray, k: int):
+    """(h, ctx, n): each word that is not clustered with the classes before and after it, as before * k + after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((c, h))
+            h, c, n = h[order], c[order], n[order]
+            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[at].astype(np.int32)), pa.array(np.add.reduceat(n, at))], ["h", "ctx", "n"])
+
+        for batch in batches:
+            text = batch.column("text")
+            for i, j in slices(text):
+                t = Tokens(text.slice(i, j - i))
+                at = words.find(t.hash)
+                idx = np.where(at >= 0, words.index[at], -1)
+                c = np.where(idx >= 0, cls[np.maximum(idx, 0)], k - 1)
+                free = np.flatnonzero(idx < 0)  # never the last token, which ends a text
+                if len(free):
+                    before = np.append(k - 2, c[:-1])
+                    held.append((t.hash[free], before[free] * k + c[free + 1], np.ones(len(free), np.int64)))
+                if sum(len(x[0]) for x in held) > 1 << 20:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def likeliest(left: np.ndarray, right: np.ndarray, trans: np.ndarray, mass: np.ndarray, fixed: int = 2) -> np.ndarray:
+    """For each word the class under which its occurrences are most likely, all else as it is.
+
+    left[i, c]: how often word i follows class c; right[i, c]: how often class c follows it; trans: P(class | class
+    before); mass: tokens of each class. The last `fixed` classes take no words.
+    """
+    n = left.sum(1, keepdims=True)
+    log = np.log(trans)
+    score = left @ log + right @ log.T - n * np.log(mass[None, :] + n)
+    score[:, len(trans) - fixed :] = -np.inf
+    return np.argmax(score, axis=1)
+
+
+def assigned(train: DataFrame, words: Frequent, cls: np.ndarray, table: np.ndarray, least: int = LEAST_COUNT) -> DataFrame:
+    """(h, c): the class of each word that is not clustered and occurs at least `least` times."""
+    spark, k = train.sparkSession, len(table)
+    shared = spark.sparkContext.broadcast((words, cls))
+    trans = (table + 1.0) / (table.sum(1, keepdims=True) + k)
+    mass = np.maximum(table.sum(0), 1.0)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _contexts(*shared.value, k)(batches)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.slice(lo, 4096)
+                x = part.column("x")
+                owner = np.repeat(np.arange(len(part)), np.diff(np.asarray(x.offsets)))
+                flat = x.flatten()
+                ctx, n = (np.asarray(flat.field(f)) for f in ("ctx", "n"))
+                left, right = np.zeros((len(part), k)), np.zeros((len(part), k))
+                np.add.at(left, (owner, ctx // k), n)
+                np.add.at(right, (owner, ctx % k), n)
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(likeliest(left, right, trans, mass).astype(np.int32))], ["h", "c"])
+
+    rows = train.select(common.text_or_empty().alias("text")).mapInArrow(gather, "h long, ctx int, n long")
+    # dealt by word once; a word that is not clustered is too rare to fill a task, and has at most k * k contexts
+    each = rows.repartition("h").groupBy("h", "ctx").agg(F.sum("n").alias("n"))
+    lists = each.groupBy("h").agg(F.collect_list(F.struct("ctx", "n")).alias("x"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    return lists.select("h", "x").mapInArrow(choose, "h long, c int")
 
 
 @dataclass
-class Model:
-    """What a task needs to score texts but for the counts of words that are not frequent."""
+class Vocabulary:
+    """Words with counts and classes: the frequent ones as arrays by ascending hash, the others as a table (h, n, c)."""
 
-    words: Frequent
+    hash: np.ndarray
+    count: np.ndarray
     cls: np.ndarray
-    trans: np.ndarray  # P(class | class before), smoothed
-    emit_base: np.ndarray  # of each class: its tokens and ADD for each of its words
+    rest: DataFrame
+    mass: np.ndarray  # tokens of each class
+    size: np.ndarray  # words of each class; the last has the unknown word as well
     tokens: int
     types: int
-    lam: float
+    course: list[float]
 
+    @property
+    def z(self) -> float:
+        return self.tokens + ADD * (self.types + 1)
 
-def train_model(counts: DataFrame, train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, lam: float = LAM) -> Model:
-    """Counts are the word_counts of train."""
-    spark = train.sparkSession
+
+def vocabulary(train: DataFrame, classes: int = CLASSES, most: int = FREQUENT, clustered: int = CLUSTERED, least: int = LEAST_COUNT, converged: float = CONVERGED) -> Vocabulary:
+    """Counts and classes of all words of the training texts (text; null counts as empty)."""
+    counts = common.written(word_counts(train), "counts")
     all_ = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, types = all_["n"] or 0, all_["v"] or 0
-    words = frequent_words(counts)
+    tokens, types, k = all_["n"] or 0, all_["v"] or 0, classes + 2
+    words = frequent_words(counts, most, clustered)
     pairs = common.written(pair_counts(train, words), "pairs")
-    cls, table = exchange(pairs, words, classes, rounds)
-    k = classes + 2
-    # add-one over classes, and all to the rest if a class is never seen
-    trans = (table + 1.0) / (table.sum(1, keepdims=True) + k)
-    size, mass = np.zeros(k), np.zeros(k)
-    inside = words.index >= 0
-    np.add.at(mass, cls[words.index[inside]], words.count[inside])
-    np.add.at(size, cls[words.index[inside]], 1)
-    other = k - 1
-    mass[other] = tokens - mass[:other].sum()
-    size[other] = types - size[:other].sum() + 1  # and the unknown word
-    # a class without words keeps its share of the transitions out of reach; it is given to the class of all others
-    empty = (size[:other] == 0).nonzero()[0]
-    trans[:, other] += trans[:, empty].sum(1)
-    trans[:, empty] = 0
-    return Model(words, cls, trans, mass + ADD * size, tokens, types, lam)
-
-
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, rk, n_tokens, n_known, base_score, score.
-
-    Scores are log10 probabilities of the whole text with its end; a null text counts as empty. Frequent
-    words are scored where the text is. A rarer word's probability is (count + 0.1) times a factor that
-    its context alone decides, so its count is joined in later: only hashes of rare words are shuffled.
-    Rows equal in id and text score alike. Other columns are left out.
+    cls, table, course = exchange(pairs, words, classes, converged)
+    tail = assigned(train, words, cls, table, least)
+    lexicon = common.written(counts.join(tail, "h", "left").select("h", "n", F.coalesce("c", F.lit(k - 1)).alias("c"), head(counts, most).alias("frequent")), "lexicon")
+    pdf = lexicon.where("frequent").toPandas()
+    h = pdf["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h, kind="stable")
+    h, n, c = h[order], pdf["n"].to_numpy(np.int64)[order], pdf["c"].to_numpy(np.int64)[order]
+    at = words.find(h)
+    index = np.where(at >= 0, words.index[at] if len(words.index) else -1, -1)
+    c = np.where(index >= 0, cls[np.maximum(index, 0)], c)
+    mass, size = np.bincount(c, n, k), np.bincount(c, minlength=k).astype(float)
+    rest = lexicon.where("not frequent").select("h", "n", "c")
+    for x in rest.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        mass[x["c"]] += x["n"]
+        size[x["c"]] += x["v"]
+    size[k - 1] += 1
+    return Vocabulary(h, n, c.astype(np.uint8), rest, mass, size, tokens, types, course)
+
+
+def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_tokens, n_known, own, cls.
+
+    own: the sum over tokens of log10(count + ADD); cls: the class of each token, a byte each. Words that are
+    not frequent are looked up by a join of each text's own distinct ones, which come back to the text as a
+    list. Rows equal in id and text are alike. Other columns are left out.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    spark, other = docs.sparkSession, len(words.mass) - 1
+    shared = spark.sparkContext.broadcast((words.hash, words.count, words.cls))
+    rows = docs.select("doc_id", common.row_key().alias("rk"), common.text_or_empty().alias("text"))
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        z = m.tokens + ADD * (m.types + 1)
-        k = len(m.trans)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
         for batch in batches:
             text = batch.column("text")
             for i, j in slices(text):
                 t = Tokens(text.slice(i, j - i))
-                at = m.words.find(t.hash)
+                free = np.flatnonzero(found(known, t.hash) < 0)
+                doc, h = t.doc[free], t.hash[free]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([batch.column("rk").slice(i, j - i).take(pa.array(doc[new])), pa.array(h[new].view(np.int64))], ["rk", "h"])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, classes = shared.value
+        fold = lambda d, x: mix(x + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            text = batch.column("text")
+            for i, j in slices(text):
+                t, n = Tokens(text.slice(i, j - i)), j - i
+                at = found(known, t.hash)
                 hit = at >= 0
-                idx = np.where(hit, m.words.index[at] if len(m.words.index) else -1, -1)
-                c = np.where(idx >= 0, m.cls[np.maximum(idx, 0)], k - 1)
-                prev = np.append(k - 2, c[:-1])
-                count = np.where(hit, m.words.count[at] if len(m.words.count) else 0, 0)
-                own = np.where(hit, np.log10(count + ADD), 0.0)
-                mixed = np.log10(m.lam * m.trans[prev, c] / m.emit_base[c] + (1 - m.lam) / z)
-                n = j - i
-                base = np.bincount(t.doc, own - np.log10(z), n)
-                full = np.bincount(t.doc, own + mixed, n)
-                known = np.bincount(t.doc, hit, n).astype(np.int64)
-                rare = np.flatnonzero(~hit)
-                sizes = np.append(0, np.cumsum(np.bincount(t.doc[rare], minlength=n)))
-                hashes = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(t.hash[rare].view(np.int64)))
+                count = np.where(hit, counts[at] if len(counts) else 0, 0)
+                cls = np.where(hit, classes[at] if len(classes) else other, other)
+                lists = batch.column("x").slice(i, n)
+                sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+                if sizes.sum():
+                    flat = lists.flatten()
+                    key = fold(np.repeat(np.arange(n), sizes), np.asarray(flat.field("h")).view(np.uint64))
+                    order = np.argsort(key, kind="stable")
+                    free = np.flatnonzero(~hit)
+                    where = found(key[order], fold(t.doc[free], t.hash[free]))
+                    free, where = free[where >= 0], order[where[where >= 0]]
+                    count[free], cls[free] = np.asarray(flat.field("n"))[where], np.asarray(flat.field("c"))[where]
+                raw, ends = cls.astype(np.uint8).tobytes(), np.cumsum(t.n)
+                own = np.bincount(t.doc, np.log10(count + ADD), n)
+                seen = np.bincount(t.doc, count > 0, n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(x).slice(i, n) for x in ("doc_id", "rk")], pa.array(t.n), pa.array(known), pa.array(base), pa.array(full), hashes],
-                    ["doc_id", "rk", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    [batch.column("doc_id").slice(i, n), pa.array(t.n), pa.array(seen), pa.array(own), pa.array([raw[e - m : e] for e, m in zip(ends.tolist(), t.n.tolist(), strict=True)], pa.binary())],
+                    ["doc_id", "n_tokens", "n_known", "own", "cls"],
                 )
 
-    schema = "doc_id long, rk binary, n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    rows = docs.select("doc_id", common.row_key().alias("rk"), common.text_or_empty().alias("text")).mapInArrow(partial, schema)
-    rows = common.written(rows, "partial")
-    # each row's rare words, folded; equal rows fold together and are parted again by their number
-    rare = rows.select("rk", F.explode("rare").alias("h")).groupBy("rk", "h").agg(F.count(F.lit(1)).alias("times"))
-    seen = rare.join(counts, "h", "left")
-    tail = seen.groupBy("rk").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))
-    alike = rows.groupBy("rk").agg(F.count(F.lit(1)).alias("alike"))
-    tail = tail.join(alike, "rk").select("rk", (F.col("more") / F.col("alike")).alias("more"), (F.col("found") / F.col("alike")).cast("long").alias("found"))
-    more, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0).cast("long"))
-    return rows.drop("rare").join(tail, "rk", "left").select("doc_id", "rk", "n_tokens", (F.col("n_known") + found).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    asked = rows.select("rk", "text").mapInArrow(ask, "rk binary, h long").join(words.rest, "h")
+    # a text's list is no longer than the text; equal rows fold in the set
+    lists = asked.repartition("rk").groupBy("rk").agg(F.collect_set(F.struct("h", "n", "c")).alias("x"))
+    return rows.join(lists, "rk", "left").select("doc_id", "text", "x").mapInArrow(code, "doc_id long, n_tokens long, n_known long, own double, cls binary")
+
+
+@dataclass
+class Model:
+    """What it takes to score coded texts."""
+
+    trans: np.ndarray  # P(class | class before), smoothed
+    emit_base: np.ndarray  # of each class: its tokens and ADD for each of its words
+    z: float
+    lam: float
+
+
+def _pairs(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for x in batch.column("cls"):
+                c = np.frombuffer(x.as_py(), np.uint8).astype(np.int64)
+                total += np.bincount(np.append(k - 2, c[:-1]) * k + c, minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+
+    return run
+
+
+def fit(train: DataFrame, words: Vocabulary, lam: float = LAM) -> Model:
+    """train: coded training texts. Class pairs are counted over all of them, with the classes of all words."""
+    k = len(words.mass)
+    table = np.zeros(k * k)
+    for x in train.select("cls").mapInArrow(_pairs(k), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[x["pair"]] = x["n"]
+    table = table.reshape(k, k)
+    # add-one over classes
+    trans = (table + 1.0) / (table.sum(1, keepdims=True) + k)
+    # a class without words keeps its share of the transitions out of reach; it is given to the class of all others
+    empty = (words.size[: k - 1] == 0).nonzero()[0]
+    trans[:, k - 1] += trans[:, empty].sum(1)
+    trans[:, empty] = 0
+    return Model(trans, words.mass + ADD * words.size, words.z, lam)
+
+
+def score(texts: DataFrame, model: Model) -> DataFrame:
+    """texts (coded) with base_score and score, log10 probabilities of the whole text with its end, for cls and own."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "n_tokens", "n_known"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        k = len(m.trans)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mixed = np.log10(m.lam * m.trans / m.emit_base[None, :] + (1 - m.lam) / m.z)
+        for batch in batches:
+            own, n = np.asarray(batch.column("own")), np.asarray(batch.column("n_tokens"))
+            more = np.empty(len(batch))
+            for i, x in enumerate(batch.column("cls")):
+                c = np.frombuffer(x.as_py(), np.uint8).astype(np.int64)
+                more[i] = mixed[np.append(k - 2, c[:-1]), c].sum()
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(own - n * np.log10(m.z)), pa.array(own + more)], [*names, "base_score", "score"])
+
+    return texts.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    train = docs.where(~held_out())
-    counts = common.written(word_counts(train), "counts")
-    model = train_model(counts, train)
-    out = score(docs, counts, model)
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    words = vocabulary(docs.where(~held_out()))
+    texts = common.written(coded(docs, words), "coded")
+    out = score(texts, fit(texts.where(~held_out()), words))
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

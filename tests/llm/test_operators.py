@@ -364,29 +364,130 @@ def test_longest_repeats(docs):
         assert got.get(hashlib.md5(t.encode()).digest(), 0) == best
 
 
-def test_language_model(docs, none, spark):
+def lowered(text):
+    return [w.translate({k: k + 32 for k in range(65, 91)}) for w in words(text)]
+
+
+def hashes(vocabulary):
+    """Word (None: the end of a text) to the operator's hash."""
+    import pyarrow as pa
+
+    from stratamem.llm.wordhash import Words
+
+    names = sorted(vocabulary - {None})
+    return dict(zip(names, Words(pa.array([" ".join(names)]), lower=True).hash.tolist(), strict=True)) | {None: int(brown.END)}
+
+
+def held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+
+
+@pytest.mark.parametrize(("most", "clustered"), [(brown.FREQUENT, brown.CLUSTERED), (9, 5), (0, 0)])
+def test_language_model(docs, none, most, clustered):
+    import numpy as np
+
     train = docs.where(~brown.held_out())
-    counts = brown.common.written(brown.word_counts(train), "counts")
-    model = brown.train_model(counts, train, classes=4, rounds=3)
-    out = brown.score(docs, counts, model).collect()
-    lower = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
-    tokens = [(i, [w.translate(lower) for w in words(t)] + [None]) for i, t, *_ in ROWS]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    known = brown.vocabulary(train, classes=4, most=most, clustered=clustered, least=2)
+    texts = brown.common.written(brown.coded(docs, known), "coded")
+    model = brown.fit(texts.where(~brown.held_out()), known)
+    out = brown.score(texts, model).collect()
+    tokens = [(i, [*lowered(t), None]) for i, t, *_ in ROWS]
+    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    assert (known.tokens, known.types) == (n, v)
+    of = hashes({w for _, ws in tokens for w in ws})
+    cls = dict(zip(known.hash.tolist(), known.cls.tolist(), strict=True)) | {r["h"] % (1 << 64): r["c"] for r in known.rest.collect()}
+    assert len(cls) == v and cls[int(brown.END)] == 4 and all(k != 4 for h, k in cls.items() if h != int(brown.END))
+    assert all((cls[of[w]] == 5) <= (c[w] < 2) or c[w] >= 2 for w in c)
+    # the model, written out once more: class pairs over all training texts, add-one, one more word in the last class
+    k, pairs, mass, size = 6, np.zeros((6, 6)), np.zeros(6), np.zeros(6)
+    for i, ws in tokens:
+        if not held(i):
+            for a, b in zip([None, *ws], ws):
+                pairs[cls[of[a]], cls[of[b]]] += 1
+    for w, x in c.items():
+        mass[cls[of[w]]] += x
+        size[cls[of[w]]] += 1
+    trans = (pairs + 1) / (pairs.sum(1, keepdims=True) + k)
+    for e in range(k - 1):
+        if not size[e]:
+            trans[:, 5] += trans[:, e]
+            trans[:, e] = 0
+    size[5] += 1
+    z = n + 0.1 * (v + 1)
+    class_of = lambda w: cls.get(of[w], 5)
+    p = lambda a, b: 0.9 * trans[class_of(a), class_of(b)] * (c[b] + 0.1) / (mass[class_of(b)] + 0.1 * size[class_of(b)]) + 0.1 * (c[b] + 0.1) / z
+    want = [(i, len(ws), sum(c[w] > 0 for w in ws), sum(math.log10((c[w] + 0.1) / z) for w in ws), sum(math.log10(p(a, b)) for a, b in zip([None, *ws], ws))) for i, ws in tokens]
+    near = lambda rows: multiset((a, b, d, round(e, 5), round(f, 5)) for a, b, d, e, f in rows)
+    assert near((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in out) == near(want)
+    # after any word the probabilities of all known words, the end and one unknown word sum to one
+    of["unknown"] = -1
+    for a in [None, *list(c)[:5], "unknown"]:
+        assert abs(sum(p(a, b) for b in c) + p(a, "unknown") - 1) < 1e-9
+    assert brown.score(brown.coded(none, known), model).count() == 0
+    assert all(y >= x for x, y in zip(known.course, known.course[1:]))
+
+
+def test_language_model_of_nothing(none):
+    known = brown.vocabulary(none, classes=2)
+    assert known.tokens == 0 and brown.fit(brown.coded(none, known), known).trans.shape == (4, 4)
+
+
+def test_language_model_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    tokens = [(i, [*lowered(t), None]) for i, t in rows]
     c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    want = multiset((i, len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 5)) for i, ws in tokens)
-    assert multiset((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in out) == want
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
-    # the class model's probabilities sum to one after every class
+    want = {i: (held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens}
+    out = brown.op1_brown_classes(spark, sf).collect()
+    for r in out:
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:4] and abs(r["base_score"] - want[r["doc_id"]][4]) < 1e-6 * abs(r["base_score"])
+    # texts that were held out are likelier under classes than under words alone
+    unseen = [r for r in out if r["held_out"]]
+    assert len(out) == len(rows) and sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
+def test_best_moves_against_recounting():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    n, k = 12, 5  # ten words in three classes, the end in class 3, all others in class 4
+    pairs = r.integers(0, 6, (n, n))
+    cls = np.array([3, *r.integers(0, 3, n - 2), 4])
+
+    def table(c):
+        t = np.zeros((k, k))
+        np.add.at(t, (c[:, None], c[None, :]), pairs)
+        return t
+
+    left, right = np.zeros((n, k)), np.zeros((n, k))
+    for i in range(n):
+        np.add.at(left[i], cls, pairs[:, i])
+        np.add.at(right[i], cls, pairs[i])
+    to, gain = brown.best_classes(left[1:-1], right[1:-1], np.diagonal(pairs)[1:-1], cls[1:-1], table(cls), 2)
+    for i in range(1, n - 1):
+        value = {}
+        for b in range(3):
+            moved = cls.copy()
+            moved[i] = b
+            value[b] = brown.likelihood(table(moved))
+        best = max(value.values())
+        assert abs(gain[i - 1] - (best - value[cls[i]])) < 1e-6 and abs(value[to[i - 1]] - best) < 1e-6
+
+
+def test_exchange_finds_planted_classes(spark):
     import numpy as np
 
-    z = model.tokens + brown.ADD * (model.types + 1)
-    size = np.zeros(len(model.trans))
-    inside = model.words.index >= 0
-    np.add.at(size, model.cls[model.words.index[inside]], 1)
-    assert np.allclose(model.trans.sum(1), 1) and abs(sum(c.values()) - model.tokens) < 1e-9 and z > 0
-    assert brown.score(none, counts, model).count() == 0
-    assert brown.train_model(counts.limit(0), none, classes=2, rounds=1).tokens == 0
+    r = random.Random(3)
+    groups = [[f"{g}{k}" for k in range(12)] for g in "abc"]
+    text = lambda: " ".join(r.choice(groups[i % 3]) for i in range(60))
+    df = spark.createDataFrame([(k, text()) for k in range(120)], "doc_id long, text string")
+    known = brown.vocabulary(df, classes=3, clustered=24)
+    of = hashes({w for g in groups for w in g})
+    cls = dict(zip(known.hash.tolist(), known.cls.tolist(), strict=True))
+    assert [len({cls[of[w]] for w in g}) for g in groups] == [1, 1, 1] and len({cls[of[g[0]]] for g in groups}) == 3
+    assert known.course[-1] > known.course[0] and np.isfinite(known.course).all()
 
 
 def test_mixing(docs, none):

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +32,10 @@ CLUSTERED = 1 << 13
 CLASSES = 64
 #: A word seen less often shares the class of unseen words.
 LEAST_COUNT = 3
+#: Parts of the table of clustered words.
+PARTS = 64
 #: Exchange ends when two half-rounds in a row raise the likelihood by less than this part of what classes win.
-CONVERGED = 1e-3
+CONVERGED = 5e-3
 ADD = 0.1
 #: Share of the class model in the mixture.
 LAM = 0.9
@@ -142,8 +143,12 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT, clustered: int = CLU
     return Frequent(h, n, index)
 
 
-def pair_counts(train: DataFrame, words: Frequent) -> DataFrame:
-    """(v, w, n): how often clustered word w follows v; 0 is the end of a text, the number after the last word all others."""
+def pair_lists(train: DataFrame, words: Frequent) -> DataFrame:
+    """(id, after, n_after, before, n_before): what follows each clustered word, what it follows, and how often.
+
+    0 is the end of a text, the number after the last word all others. Lists are bytes of int32 ids and int64 counts;
+    they are no longer than the number of clustered words, and so is the table.
+    """
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(words)
     other = int(words.index.max(initial=0)) + 1
@@ -173,8 +178,19 @@ def pair_counts(train: DataFrame, words: Frequent) -> DataFrame:
         if held:
             yield out()
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[(np.asarray(x.values.field(0)).astype(np.int32).tobytes(), np.asarray(x.values.field(1)).astype(np.int64).tobytes()) if x.is_valid else (b"", b"") for x in batch.column(c)] for c in ("a", "b")]
+            columns = [pa.array([x[i] for x in side], pa.binary()) for side in lists for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "after", "n_after", "before", "n_before"])
+
     rows = train.select(common.text_or_empty().alias("text")).mapInArrow(count, "v int, w int, n long")
-    return rows.groupBy("v", "w").agg(F.sum("n").alias("n"))
+    each = rows.repartition(PARTS, "v").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    after = common.written(each.groupBy("v").agg(F.collect_list(F.struct("w", "n")).alias("a")), "after")
+    turned = after.select("v", F.explode("a").alias("x")).select(F.col("x.w").alias("id"), F.struct("v", F.col("x.n").alias("n")).alias("x"))
+    before = turned.repartition(PARTS, "id").groupBy("id").agg(F.collect_list("x").alias("b"))
+    both = after.withColumnRenamed("v", "id").repartition(PARTS, "id").join(before, "id", "full")
+    return common.written(both.select("id", "a", "b").mapInArrow(pack, "id int, after binary, n_after binary, before binary, n_before binary"), "lists")
 
 
 def _gain(table: np.ndarray) -> np.ndarray:
@@ -194,43 +210,50 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, now: np.n
     """
     k = len(transitions)
     to, gains = now.copy(), np.zeros(len(now))
-    row, col = transitions.sum(1), transitions.sum(0)
+    t = transitions.astype(float)
+    row, col, g = t.sum(1), t.sum(0), _gain(t)
     for i, a in enumerate(now):
         out, into, s = right[i].astype(float), left[i].astype(float), float(own[i])
+        kept = [z.copy() for z in (t[a, :], t[:, a], g[a, :], g[:, a])]
         # counts of class pairs without the word; its own pair lies at (a, a)
-        t = transitions.astype(float).copy()
         t[a, :] -= out
         t[:, a] -= into
         t[a, a] += s
+        g[a, :], g[:, a] = _gain(t[a, :]), _gain(t[:, a])
         x, y = out.copy(), into.copy()
         x[a] -= s
         y[a] -= s
         n_out, n_in = out.sum(), into.sum()
-        r, c = row.astype(float).copy(), col.astype(float).copy()
+        r, c = row.copy(), col.copy()
         r[a] -= n_out
         c[a] -= n_in
-        g = _gain(t)
-        # joining class b adds x to row b, y to column b, and s to (b, b)
-        rows, cols = _gain(t + x) - g, _gain(t + y[:, None]) - g
+        # joining class b adds x to row b, y to column b, and s to (b, b); only classes beside the word change
+        after, before = np.flatnonzero(x), np.flatnonzero(y)
+        rows = _gain(t[:, after] + x[after]) - g[:, after]
+        cols = _gain(t[before, :] + y[before, None]) - g[before, :]
+        score = rows.sum(1) + cols.sum(0)
+        score[after] -= rows[after, np.arange(len(after))]
+        score[before] -= cols[np.arange(len(before)), before]
         diag = np.diagonal(t)
-        score = rows.sum(1) - np.diagonal(rows) + cols.sum(0) - np.diagonal(cols) + _gain(diag + x + y + s) - _gain(diag)
-        score = score - (_gain(r + n_out) - _gain(r)) - (_gain(c + n_in) - _gain(c))
+        score += _gain(diag + x + y + s) - np.diagonal(g)
+        score -= (_gain(r + n_out) - _gain(r)) + (_gain(c + n_in) - _gain(c))
         score[k - fixed :] = -np.inf
         b = int(np.argmax(score))
         if score[b] > score[a] + 1e-9:
             to[i], gains[i] = b, score[b] - score[a]
+        t[a, :], t[:, a], g[a, :], g[:, a] = kept[0], kept[1], kept[2], kept[3]
     return to, gains
 
 
-def exchange(pairs: DataFrame, words: Frequent, classes: int = CLASSES, converged: float = CONVERGED) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def exchange(lists: DataFrame, words: Frequent, classes: int = CLASSES, converged: float = CONVERGED) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Class of each clustered word (the end token first, all `others` last), counts of class pairs, and the likelihoods.
 
-    Each half-round gathers, by two aggregations over the word pairs, how often each word stands beside each
-    class; tasks work out each word's best move; half of the words, the other half next time, make theirs. Where
-    the moves together do harm, those that gain most are tried alone, fewer and fewer. The likelihood never
-    falls; it ends when two half-rounds in a row raise it by less than `converged` of what has been won so far.
+    lists: see pair_lists. Each half-round tasks work out each word's best move, and half of the words, the other
+    half next time, make theirs. Where the moves together do harm, those that gain most are tried alone, fewer
+    and fewer. The likelihood never falls; it ends when two half-rounds in a row raise it by less than `converged`
+    of what has been won so far.
     """
-    spark = pairs.sparkSession
+    spark = lists.sparkSession
     n = int(words.index.max(initial=0))
     k = classes + 2  # one for the end of a text, one for all other words
     by_count = np.zeros(n + 2, np.int64)
@@ -241,39 +264,41 @@ def exchange(pairs: DataFrame, words: Frequent, classes: int = CLASSES, converge
     cls[0], cls[n + 1] = classes, classes + 1
     cls[1 + order] = np.arange(n) % classes  # the most frequent words start apart
 
+    def beside(batch: pa.RecordBatch, side: str, c: np.ndarray) -> np.ndarray:
+        ids, often = batch.column(side), batch.column(f"n_{side}")
+        return np.array([np.bincount(c[np.frombuffer(x.as_py(), np.int32)], np.frombuffer(y.as_py(), np.int64), k) for x, y in zip(ids, often, strict=True)]).reshape(-1, k)
+
     def class_pairs(c: np.ndarray) -> np.ndarray:
-        of = spark.createDataFrame(pd.DataFrame({"id": np.arange(n + 2, dtype=np.int32), "c": c.astype(np.int32)}))
-        got = pairs.join(F.broadcast(of.toDF("v", "cv")), "v").join(F.broadcast(of.toDF("w", "cw")), "w").groupBy("cv", "cw").agg(F.sum("n").alias("n")).collect()
-        t = np.zeros((k, k))
-        for x in got:
-            t[x["cv"], x["cw"]] = x["n"]
-        return t
+        shared = spark.sparkContext.broadcast(c)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k, k))
+            for batch in batches:
+                np.add.at(total, shared.value[np.asarray(batch.column("id"))], beside(batch, "after", shared.value))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.reshape(-1)[at].astype(np.int64))], ["pair", "n"])
+
+        t = np.zeros(k * k)
+        for x in lists.select("id", "after", "n_after").mapInArrow(add, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            t[x["pair"]] = x["n"]
+        return t.reshape(k, k)
 
     now = class_pairs(cls)
     course, still, r = [likelihood(now)], 0, -1
     while still < 2 and n:
         r += 1
-        of = spark.createDataFrame(pd.DataFrame({"id": np.arange(n + 2, dtype=np.int32), "c": cls.astype(np.int32)}))
-        beside_right = pairs.join(F.broadcast(of.toDF("w", "c")), "w").groupBy(F.col("v").alias("id"), "c").agg(F.sum("n").alias("right"), F.lit(0).cast("long").alias("left"))
-        beside_left = pairs.join(F.broadcast(of.toDF("v", "c")), "v").groupBy(F.col("w").alias("id"), "c").agg(F.lit(0).cast("long").alias("right"), F.sum("n").alias("left"))
-        own = pairs.where("v = w").select(F.col("v").alias("id"), F.lit(-1).alias("c"), F.col("n").alias("right"), F.lit(0).cast("long").alias("left"))
-        stats = beside_right.unionByName(beside_left).unionByName(own).where(F.col("id").between(1, n) & (F.col("id") % 2 == r % 2))
         shared = spark.sparkContext.broadcast((cls, now))
 
-        def move(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            cls_, now_ = shared.value
-            for pdf in batches:
-                ids, where = np.unique(pdf["id"].to_numpy(), return_inverse=True)
-                left, right, self_ = np.zeros((len(ids), k)), np.zeros((len(ids), k)), np.zeros(len(ids))
-                c = pdf["c"].to_numpy()
-                np.add.at(left, (where[c >= 0], c[c >= 0]), pdf["left"].to_numpy()[c >= 0])
-                np.add.at(right, (where[c >= 0], c[c >= 0]), pdf["right"].to_numpy()[c >= 0])
-                np.add.at(self_, where[c < 0], pdf["right"].to_numpy()[c < 0])
-                to, gain = best_classes(left, right, self_, cls_[ids], now_, 2)
-                yield pd.DataFrame({"id": ids, "to": to, "gain": gain})
-
-        # a group is a bounded set of words, so that a word's rows meet in one batch
-        moved = stats.groupBy((F.col("id") % 64).alias("g")).applyInPandas(lambda pdf: next(iter(move([pdf]))), "id int, to int, gain double").where("gain > 0").toPandas()
+        def move(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            c, table = shared.value
+            for batch in batches:
+                ids = np.asarray(batch.column("id"))
+                own = [np.frombuffer(y.as_py(), np.int64)[np.frombuffer(x.as_py(), np.int32) == i].sum() for i, x, y in zip(ids.tolist(), batch.column("after"), batch.column("n_after"), strict=True)]
+                to, gain = best_classes(beside(batch, "before", c), beside(batch, "after", c), np.array(own), c[ids], table, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to.astype(np.int32)), pa.array(gain)], ["id", "to", "gain"])
+
+        half = lists.where(F.col("id").between(1, n) & (F.col("id") % 2 == r % 2))
+        moved = half.mapInArrow(move, "id int, to int, gain double").where("gain > 0").toPandas()
         moved = moved.sort_values(["gain", "id"], ascending=[False, True])
         won, tries = 0.0, len(moved)
         while tries:
@@ -392,8 +417,7 @@ def vocabulary(train: DataFrame, classes: int = CLASSES, most: int = FREQUENT, c
     all_ = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types, k = all_["n"] or 0, all_["v"] or 0, classes + 2
     words = frequent_words(counts, most, clustered)
-    pairs = common.written(pair_counts(train, words), "pairs")
-    cls, table, course = exchange(pairs, words, classes, converged)
+    cls, table, course = exchange(pair_lists(train, words), words, classes, converged)
     tail = assigned(train, words, cls, table, least)
     lexicon = common.written(counts.join(tail, "h", "left").select("h", "n", F.coalesce("c", F.lit(k - 1)).alias("c"), head(counts, most).alias("frequent")), "lexicon")
     pdf = lexicon.where("frequent").toPandas()

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length within each source. A source's budget is met by whole passes
-over the source, then by an even share of every length, and what is left over by a bounded-knapsack
-dynamic program over the lengths that still have documents. The plan says how many documents of each
-length go once more; a seeded hash says which.
+over the source, then by an even share of every length, rounded by a seeded draw, for all but the last few
+thousand words, and these by a bounded-knapsack dynamic program over the documents that are left. The plan says
+how many documents of each length go once more; a seeded hash says which.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import Window as W
 
 from stratamem.llm import common
 
-#: Words that the dynamic program fits exactly; above this, whole documents are laid greedily.
-EXACT_WORDS = 1 << 16
+#: Words that the even share leaves to the dynamic program, at least; also three times the longest document.
+TABLE_WORDS = 1 << 13
 SEED = 20_240
 #: A length's documents are ranked in so many seeded parts, so that no task holds a whole length.
 PARTS = 64
@@ -51,12 +52,15 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     return table.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_WORDS) -> np.ndarray:
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: Sequence[int] = (0,)) -> np.ndarray:
     """How many documents of each length to take, at most counts, for a sum as near budget as found and never above.
 
-    An even share of each length first; then the longest that fit, until at most `exact` words are
-    missing; then a subset-sum table over the rest, kept as the bits of an integer, with each
-    length's count split into powers of two. Longest lengths are given back if the table needs room.
+    An even share of each length first, of a budget that is smaller by what the table is to fill. Where a
+    share is no whole number, systematic rounding from a seeded start, along ascending lengths, decides; its sum
+    misses the share's by less than twice the longest length. Then a subset-sum table over all
+    documents left, kept as the bits of an integer, lengths in seeded order, each length's count split into powers
+    of two. A budget that the table alone covers gets the greatest sum that exists; otherwise it is the greatest
+    that completes the even share. No length is favoured: neither step prefers long documents or short ones.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -64,27 +68,26 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_W
         return take
     if budget >= total:
         return counts.astype(np.int64).copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    draw = np.random.default_rng(list(seed))
+    shared = budget - max(TABLE_WORDS, 3 * int(sizes.max()))
+    if shared > 0:
+        take = np.array([int(c) * shared // total for c in counts], np.int64)
+        parts = np.array([int(c) * shared % total / total for c in counts])
+        up = np.argsort(sizes, kind="stable")
+        steps = np.floor(np.cumsum(parts[up]) + draw.random())
+        take[up] += np.diff(np.append(0, steps)).astype(np.int64)
+        take = np.minimum(take, counts)
     left = budget - int((take * sizes).sum())
-    for k in np.argsort(-sizes, kind="stable"):
-        if left <= exact:
-            break
-        if sizes[k]:
-            more = min(int(counts[k] - take[k]), (left - exact) // int(sizes[k]) + 1, left // int(sizes[k]))
-            take[k] += more
-            left -= more * int(sizes[k])
-    if left > exact:
-        return take
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []
-    for k in np.argsort(sizes, kind="stable"):
+    for k in draw.permutation(len(sizes)):
         size, free = int(sizes[k]), int(counts[k] - take[k])
         if not size or size > left:
             continue
-        part = 1
-        while free > 0:
+        free, part = min(free, left // size), 1
+        while free > 0 and not reach >> left & 1:
             part = min(part, free)
-            if part * size <= left:
-                before, reach = reach, (reach | reach << part * size) & mask
+            before, reach = reach, (reach | reach << part * size) & mask
+            if reach != before:
                 steps.append((k, part, before))
             free -= part
             part *= 2
@@ -98,12 +101,12 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_W
     return take
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+def _plan(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     pdf = pdf.sort_values("size", ignore_index=True)
     whole = int(pdf["source_size"].iloc[0])
     budget = int(round(float(pdf["target"].iloc[0])))
     passes = budget // whole if whole else 0
-    extra = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), budget - passes * whole)
+    extra = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), budget - passes * whole, (seed, zlib.crc32(pdf["src"].iloc[0].encode())))
     return pdf[["src", "size", "source_size", "target"]].assign(passes=np.int64(passes), extra=extra)
 
 
@@ -128,7 +131,7 @@ def takes(docs: DataFrame, sizes: Column, weights: Sequence[float] = (3, 1, 2),
     sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(sources, weights, share, most).select(src, "source_size", "target")
     by_length = lengths.groupBy("src", "size").agg(F.sum("n").alias("n")).join(goal, "src")
-    plan = by_length.groupBy("src").applyInPandas(_plan, "src string, size long, source_size long, target double, passes long, extra long")
+    plan = by_length.groupBy("src").applyInPandas(lambda pdf: _plan(pdf, seed), "src string, size long, source_size long, target double, passes long, extra long")
     # how many documents of a length stand before each part
     before = F.coalesce(F.sum("n").over(W.partitionBy("src", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cut = common.written(lengths.select("src", "size", "part", before.alias("before")).join(plan, ["src", "size"]), "plan")

@@ -521,15 +521,33 @@ def test_budget_fit_is_exact():
     import numpy as np
 
     r = np.random.default_rng(3)
-    for _ in range(40):
-        sizes, counts = np.unique(r.integers(1, 60, 6)), None
+    for case in range(2000):
+        sizes = np.unique(r.integers(1, 60, r.integers(1, 8)))
         counts = r.integers(1, 4, len(sizes))
         reach = {0}
         for s, c in zip(sizes.tolist(), counts.tolist()):
             reach = {x + k * s for x in reach for k in range(c + 1)}
         budget = int(r.integers(0, (sizes * counts).sum() + 1))
-        take = mixing.fit(sizes, counts, budget)
-        assert (take <= counts).all() and (take >= 0).all() and int((take * sizes).sum()) <= budget
+        take = mixing.fit(sizes, counts, budget, (case,))
+        assert (take <= counts).all() and (take >= 0).all() and int((take * sizes).sum()) == max(x for x in reach if x <= budget)
+
+
+def test_budget_fit_favours_no_length():
+    import numpy as np
+
+    sizes = np.arange(20, 20_020, 20)
+    counts = np.ones(len(sizes), np.int64)
+    budget = int(sizes.sum()) // 2 + 7
+    for seed in range(3):
+        take = mixing.fit(sizes, counts, budget, (seed,))
+        assert int((take * sizes).sum()) == budget // 20 * 20
+        assert all(abs(take[k : k + 250].mean() - 0.5) < 0.1 for k in range(0, 1000, 250))
+    assert (mixing.fit(sizes, counts, budget, (1,)) == mixing.fit(sizes, counts, budget, (1,))).all()
+    assert (mixing.fit(sizes, counts, budget, (1,)) != mixing.fit(sizes, counts, budget, (2,))).any()
+    # many documents of few lengths
+    few, many = np.array([3, 7, 900]), np.array([1_000_000, 40_000, 5_000])
+    take = mixing.fit(few, many, 2_345_678)
+    assert int((take * few).sum()) == 2_345_678 and (abs(take / many - 2_345_678 / int((few * many).sum())) < 0.02).all()
 
 
 def test_sharding(docs, none):

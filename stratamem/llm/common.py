@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,49 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def words(col: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value worked out once however often body uses it, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Elements that a prefix is folded over before it is looked up.
+_BLOCK = 64
+
+
+def prefixes(x: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array of ints what merge makes of all elements before it, from 0: running sums or maxima.
+
+    Blocks are folded once, so that a long array costs little more than its length (an aggregate that
+    appends to an array would copy it each time).
+    """
+    fold = lambda part: F.aggregate(part, F.lit(0), merge)
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    whole = lambda xs: F.transform(F.sequence(F.lit(0), block(F.size(xs))), lambda b: fold(F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK))))
+    starts = lambda s: F.transform(s, lambda _v, b: fold(F.slice(s, F.lit(1), b)))
+    each = lambda xs, o: F.transform(xs, lambda _v, i: merge(F.get(o, block(i)), fold(F.slice(xs, block(i) * _BLOCK + 1, i % _BLOCK))))
+    return let(x, lambda xs: let(whole(xs), lambda s: let(starts(s), lambda o: each(xs, o))))
+
+
+#: Characters of a block of a long text, so that a piece is not sought from the text's beginning.
+_CHARS = 8192
+
+
+def patched(text: Column, spans: Column, new: Callable[[Column], Column]) -> Column:
+    """text with each span (start, end in code points, ascending by start) replaced by new(span).
+
+    A span that starts inside an earlier one is not replaced, but reaches as far as it does.
+    """
+
+    def put(xs: Column, upto: Column, blocks: Column) -> Column:
+        near = lambda at: F.concat(F.get(blocks, F.floor(at / _CHARS).cast("int")), F.coalesce(F.get(blocks, F.floor(at / _CHARS).cast("int") + 1), F.lit("")))
+        cut = lambda at, n: F.when(n == 0, "").when(n <= _CHARS, F.substring(near(at), at % _CHARS + 1, n)).otherwise(F.substring(text, at + 1, n))
+        piece = lambda x, at: F.when(x["start"] >= at, F.concat(cut(at, x["start"] - at), new(x))).otherwise(F.lit(""))
+        pieces = F.transform(xs, lambda x, i: piece(x, F.get(upto, i)))
+        last = F.array_max(F.transform(xs, lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+
+    ends = lambda xs: prefixes(F.transform(xs, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _CHARS).cast("int")), lambda b: F.substring(text, b * _CHARS + 1, F.lit(_CHARS)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, lambda xs: let(ends(xs), lambda upto: let(blocks, lambda b: put(xs, upto, b)))))

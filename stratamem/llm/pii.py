@@ -31,20 +31,20 @@ GENERALISE, REMOVE = 0.9, 0.97
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
+_FOUND = "array<struct<start:int,end:int,value:string>>"
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the matches, in code points, end exclusive."""
+
+    def placed(found: Column, between: Column) -> Column:
+        size = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, v: F.length(g) + F.length(v))
+        at = lambda x, i, before: F.struct((before + F.length(F.get(between, i))).alias("start"), (before + F.length(F.get(between, i)) + F.length(x)).alias("end"), x.alias("value"))
+        return common.let(common.prefixes(size, lambda a, b: a + b), lambda before: F.transform(found, lambda x, i: at(x, i, F.get(before, i))))
+
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    acc = F.aggregate(
-        F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) > 0, acc).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    inside = common.let(found, lambda x: F.when(F.size(x) > 0, common.let(F.split(text, pattern, -1), lambda y: placed(x, y))))
+    return F.coalesce(inside, F.array().cast(_FOUND))
 
 
 def _digits(value: Column) -> Column:
@@ -95,15 +95,7 @@ def _entity(x: Column) -> Column:
 def _terms(text: Column, spans: Column) -> Column:
     """The distinct terms of a text in lower case; words that touch a span are left out."""
     mark = "\uffff"
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("upto")),
-        lambda a, x: F.struct(
-            F.when(x["start"] > a["upto"], F.concat(a["out"], F.substring(text, a["upto"] + 1, x["start"] - a["upto"]), F.lit(mark))).otherwise(F.concat(a["out"], F.lit(mark))).alias("out"),
-            F.greatest(a["upto"], x["end"]).alias("upto"),
-        ),
-    )
-    free = F.regexp_replace(F.concat(cut["out"], F.substring(text, cut["upto"] + 1, F.length(text))), rf"(?:{TERM})?{mark}(?:{TERM}|{mark})*+", " ")
+    free = F.regexp_replace(common.patched(text, spans, lambda _x: F.lit(mark)), rf"(?:{TERM})?{mark}(?:{TERM}|{mark})*+", " ")
     found = F.regexp_extract_all(F.when(F.size(spans) == 0, text).otherwise(free), F.lit(f"({TERM})"), F.lit(1))
     return F.array_distinct(F.transform(F.array_distinct(found), F.lower))
 
@@ -138,18 +130,10 @@ def disclosing(held: DataFrame, generalise: float = GENERALISE) -> DataFrame:
 
 def _occurrences(text: Column, shares: Column) -> Column:
     """Spans of all terms of a text that `shares` (term to share) has."""
-    found = F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1))
-    gaps = F.slice(F.split(text, TERM, -1), 1, F.size(found))
     value = lambda t, share: F.when(share >= REMOVE, F.lit("")).otherwise(F.concat(F.substring(t, 1, 1), F.lit("…")))
-
-    def step(a: Column, x: Column) -> Column:
-        start, term = a["at"] + F.length(x["gap"]), F.lower(x["value"])
-        end, share = start + F.length(x["value"]), F.try_element_at(shares, term)
-        span = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"), F.lit("term").alias("kind"), value(term, share).alias("value"))
-        return F.struct(end.alias("at"), F.when(share.isNotNull(), F.concat(a["out"], F.array(span).cast(f"array<{_SPAN}>"))).otherwise(a["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), start, step, lambda a: a["out"])
+    span = lambda x, share: F.struct(x["start"].alias("start"), F.lit(4).alias("rank"), x["end"].alias("end"), F.lit("term").alias("kind"), value(F.lower(x["value"]), share).alias("value"))
+    known = F.filter(matches(text, TERM), lambda x: F.try_element_at(shares, F.lower(x["value"])).isNotNull())
+    return F.transform(known, lambda x: span(x, F.try_element_at(shares, F.lower(x["value"])))).cast(f"array<{_SPAN}>")
 
 
 def sanitise(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -181,16 +165,7 @@ def sanitise(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    new = lambda x: F.when(x["kind"] == "term", x["value"]).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-    acc = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("upto")),
-        lambda a, x: F.struct(
-            F.when(x["start"] >= a["upto"], F.concat(a["out"], F.substring(text, a["upto"] + 1, x["start"] - a["upto"]), new(x))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["upto"], x["end"]).alias("upto"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(acc["out"], F.substring(text, acc["upto"] + 1, F.length(text))))
+    return common.patched(text, spans, lambda x: F.when(x["kind"] == "term", x["value"]).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
 
 
 def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

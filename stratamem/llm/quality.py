@@ -33,11 +33,6 @@ class Rule:
     rejects: Callable[[dict[str, Column]], Column]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), value worked out once however often body uses it, wherever the optimizer moves the expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def metrics(text: str = "text", w: Column | None = None) -> dict[str, Column]:
     """Each metric as an expression on the text and on its words."""
     t, w = common.text_or_empty(text), F.col("_words") if w is None else w
@@ -155,12 +150,12 @@ def cascade(docs: DataFrame, rules: Sequence[Rule], text: str = "text", keep: Se
         passed = F.lit(True)
         for r in reversed(rules):
             known = {k: made[k] for k in r.needs if k in made}
-            test = let(made["_windows"], _on_windows(r, known)) if "n_repeat_words" in r.needs and "n_repeat_words" not in keep else r.rejects(known)
+            test = common.let(made["_windows"], _on_windows(r, known)) if "n_repeat_words" in r.needs and "n_repeat_words" not in keep else r.rejects(known)
             passed = F.when(test, False).otherwise(passed)
         return passed
 
     if not keep:
-        return docs.select(*own, let(common.words(F.col(text)), verdict).alias("kept"))
+        return docs.select(*own, common.let(common.words(F.col(text)), verdict).alias("kept"))
     # under names of their own, so that a metric's name in docs is still the column of docs until the end
     with_ = _with(docs.select(*own, F.col(text).alias("_text")), keep, "_text", held)
     return with_.select(*own, *[F.col(c).alias(k) for c, k in held.items()], verdict(F.col("_words")).alias("kept"))

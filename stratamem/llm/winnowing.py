@@ -80,30 +80,41 @@ def listed(fp: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """docs with next_<c> for each of columns: its value in the row with the next id, after the last the first.
 
-    Rows are dealt by ranges of ids, at boundaries that one aggregate over the ids gives; within a
-    range the next row stands beside. The row that begins each range is put at the end of the range
-    before as well, so that no row has to look into another task. Ties of the id are ordered by
-    text; a null id comes first.
+    Rows are dealt by ranges of ids, at boundaries that one aggregate over the ids gives; an id (or null) that
+    fills several ranges is parted among them by its texts' checksums. Within a range the next row stands
+    beside. The row that begins each range is put at the end of the range before as well, so that no row has to
+    look into another task. Ties of the id are ordered by the text's checksum, then by text; a null id comes
+    first. Rows equal in id and text are alike, and stay in one range.
     """
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(id_col, [(i + 1) / n for i in range(n - 1)], 10 * n).alias("c"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
-    bounds = sorted(set(cuts["c"] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x < F.col(id_col))) if bounds else F.lit(0)
-    bucket = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(bucket)
-    rows = docs.withColumn("_bucket", bucket)
-    starts = rows.groupBy("_bucket").agg(F.min(id_col).alias("at")).orderBy("_bucket").collect()
-    if not starts:
+    found = docs.agg(F.percentile_approx(id_col, [(i + 1) / n for i in range(n - 1)], 10 * n).alias("c"), F.count_if(F.col(id_col).isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows")).first()
+    if not found["rows"]:
         return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
-    # the first row of each bucket goes to the bucket before it as well, that of the first to the last
-    goes = {b["_bucket"]: a["_bucket"] for a, b in zip([starts[-1], *starts[:-1]], starts, strict=True)}
-    first = rows.where(F.col(id_col).isin([x["at"] for x in starts if x["at"] is not None]) | (F.lit(cuts["nulls"] > 0) & F.col(id_col).isNull()))
-    place = F.row_number().over(W.partitionBy("_bucket").orderBy(F.col(id_col).asc_nulls_first(), "text"))
-    to = F.create_map(*[F.lit(x) for pair in goes.items() for x in pair])
-    first = first.withColumn("_n", place).where("_n = 1").drop("_n").withColumn("_bucket", F.element_at(to, F.col("_bucket"))).withColumn("_extra", F.lit(1))
-    order = W.partitionBy("_bucket").orderBy("_extra", F.col(id_col).asc_nulls_first(), "text")
-    both = rows.withColumn("_extra", F.lit(0)).unionByName(first)
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_extra = 0").drop("_bucket", "_extra")
+    cuts = found["c"] or []
+    # how many ranges a value fills: one, but for ids that are cuts several times, and for null
+    fills = {x: cuts.count(x) for x in sorted(set(cuts))}
+    no_id = max(1, -(-found["nulls"] * n // found["rows"]))
+    most = max([no_id, *fills.values()])
+    bounds = list(fills)
+    many = [x for x in bounds if fills[x] > 1]
+    at = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x < F.col(id_col))) if bounds else F.lit(0)
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for x in many for v in (x, fills[x])]), F.col(id_col)), F.lit(1)) if many else F.lit(1)
+    part = lambda k: F.floor(F.col("_check") * k / 2**32).cast("int")
+    bucket = F.when(F.col(id_col).isNull(), part(F.lit(no_id)) - most).otherwise(at * most + part(share))
+    rows = docs.withColumn("_check", F.crc32(F.col("text").cast("binary"))).withColumn("_bucket", bucket)
+    order = [F.col(id_col).asc_nulls_first(), "_check", "text"]
+    # the first row of each range goes to the range before it as well, that of the first to the last
+    least = F.min(F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), F.col("_check").alias("check"))).alias("least")
+    starts = rows.groupBy("_bucket").agg(least).orderBy("_bucket").collect()
+    goes = [(b["_bucket"], a["_bucket"], b["least"]["id"], b["least"]["check"]) for a, b in zip([starts[-1], *starts[:-1]], starts, strict=True)]
+    first = spark.createDataFrame(goes, "_bucket int, _to int, _id long, _first long")  # a row a range
+    opens = rows.join(F.broadcast(first), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_check") == F.col("_first")))
+    opens = opens.withColumn("_n", F.row_number().over(W.partitionBy("_bucket").orderBy("text"))).where("_n = 1")
+    opens = opens.withColumn("_bucket", F.col("_to")).withColumn("_extra", F.lit(1)).drop("_to", "_id", "_first", "_n")
+    both = rows.withColumn("_extra", F.lit(0)).unionByName(opens)
+    beside = W.partitionBy("_bucket").orderBy("_extra", *order)
+    return both.withColumns({f"next_{c}": F.lead(c).over(beside) for c in columns}).where("_extra = 0").drop("_bucket", "_extra", "_check")
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ Each view is written once for Spark and once as a common table expression for th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cached_property
 
@@ -75,35 +76,66 @@ class Tables:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Real English sentences for operators on dates, numbers and first-person statements."""
-        return self.spark.createDataFrame(LINES, "line_id long, session_id long, turn_index long, role string, said_on string, text string")
-
-
-LINES = [
-    (1, 1, 0, "user", "2024-03-05", "I moved to Lisbon on 2024-02-10. It rained for 3 days!"),
-    (2, 1, 1, "assistant", "2024-03-05", "Lisbon is lovely. Shall I list 5 cafes?"),
-    (3, 1, 2, "user", "2024-03-05", "I bought a Nikon camera yesterday for $450. How much is a lens?"),
-    (4, 2, 0, "user", "2024-03-12", "I visited Porto two weeks ago with Anna and Ben."),
-    (5, 2, 1, "assistant", "2024-03-12", "1. Walk the bridge. 2. Visit the cellar. 3. See the museum."),
-    (6, 2, 2, "user", "2024-03-12", "Suppose I sold the camera today. What would I get?"),
-    (7, 3, 0, "user", "2024-04-01", "I switched from TensorFlow to PyTorch on March 5, 2024."),
-    (8, 3, 1, "user", "2024-04-01", "How many cities did I visit in total?"),
-    (9, 3, 2, "user", "2024-04-01", "How many days ago did I buy the camera?"),
-    (10, 4, 0, "user", "2024-04-09", "I replaced my bike with a scooter. My rent is $1,200 now."),
-    (11, 4, 1, "assistant", "2024-04-09", "Your rent rose by 12 percent. Is that right?"),
-    (12, 4, 2, "user", "2024-04-09", "I recommend tea; I prefer green tea over coffee."),
-    (13, 5, 0, "user", "2024-05-20", "My sister finished the course on 2024-05-17 after six weeks."),
-    (14, 5, 1, "user", "2024-05-20", "What is my current city?"),
-    (15, 5, 2, "user", "2024-05-20", "When did I start the course, last month or in March?"),
-    (16, 6, 0, "user", "2024-06-02", "I ran 10 km today and 12 km on 2024-05-30."),
-    (17, 6, 1, "assistant", "2024-06-02", "Great. 22 km in total is a lot."),
-    (18, 6, 2, "user", "2024-06-02", "Which phone do you suggest, given that I like small ones?"),
-]
-
-
-def _values() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return ", ".join("(" + ", ".join(quote(x) for x in row) + ")" for row in LINES)
+        """What customers and an assistant say about orders: one English line an order, with its dates, amounts and names.
+
+        The given conversations hold next to no English statements, dates or numbers; orders do, as columns.
+        """
+        month = "element_at(array({}), month({}))"
+        months = ", ".join(f"'{m}'" for m in MONTHS)
+        o = self.raw("orders").selectExpr("o_orderkey line_id", "o_custkey session_id", "o_orderkey turn_index", "cast(o_orderdate as date) day", "cast(floor(o_totalprice) as bigint) price", "o_orderkey + o_custkey pick")
+        parts = o.selectExpr(
+            "*", "date_sub(day, cast(pick % 40 as int)) earlier", "pick % 9 + 2 n",
+            f"element_at(array({_quoted(CITIES)}), cast(pick % {len(CITIES)} as int) + 1) city", f"element_at(array({_quoted(NAMES)}), cast(pick % {len(NAMES)} as int) + 1) name",
+            f"element_at(array({_quoted(NAMES)}), cast(session_id % {len(NAMES)} as int) + 1) other", f"element_at(array({_quoted(SPELLED)}), cast(pick % {len(SPELLED)} as int) + 1) spelled",
+        ).selectExpr("*", f"concat({month.format(months, 'earlier')}, ' ', day(earlier), ', ', year(earlier)) named")
+        return parts.selectExpr("line_id", "session_id", "turn_index", f"{SPEAKER} role", "cast(day as string) said_on", f"{SAYING} text")
+
+
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+CITIES, NAMES = ("Lisbon", "Porto", "Oslo", "Kyoto", "Quito", "Bergen", "Turin"), ("Anna", "Ben", "Carla", "Dmitri", "Elif")
+SPELLED = ("one", "two", "three", "five", "seven", "eleven", "thirteen", "seventeen", "forty")
+#: What is said, by the line's number; {x} stands for a column. Lines that begin with @ are the assistant's.
+SAYINGS = (
+    "I moved to {city} on {earlier}. It rained for {n} days!",
+    "@{city} is lovely. Shall I list {n} cafes?",
+    "I bought a Nikon camera yesterday for ${price}. How much is a lens?",
+    "I visited {city} {spelled} weeks ago with {name} and {other}.",
+    "@1. Walk the bridge. 2. Visit the cellar. 3. See the museum.",
+    "Suppose I sold the camera today. What would I get?",
+    "I switched from TensorFlow to PyTorch on {named}.",
+    "How many cities did I visit in total?",
+    "How many days ago did I buy the camera?",
+    "I replaced my bike with a scooter. My rent is $1,{n}00 now.",
+    "@Your rent rose by {n} percent. Is that right?",
+    "I recommend tea; I prefer green tea over coffee.",
+    "My sister {name} finished the course on {earlier} after {spelled} weeks.",
+    "What is my current city?",
+    "When did I start the course, last month or in {city}?",
+    "I ran {n} km today and 12 km on {earlier}.",
+    "@Great. {n} km in total is a lot.",
+    "Which phone do you suggest, given that I like small ones?",
+    "I replaced my phone. It cost ${price}, not ${n}.",
+    "{name} and {other} came {n} days ago; we ate at Simon & Sons in {city}.",
+    "I do not own {spelled} bikes, but I own {n}.",
+    "@You said that it cost ${price}. I noted that on {said}.",
+    "I have read \"Yesterday\" by {other}. We met last Friday in {city}.",
+    "My {spelled} plants and {n} cats moved with me {spelled} months ago.",
+)
+
+
+def _quoted(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _saying(text: str) -> str:
+    """A template as an SQL expression that both engines read."""
+    columns = {"earlier": "CAST(earlier AS STRING)", "n": "CAST(n AS STRING)", "price": "CAST(price AS STRING)", "said": "CAST(day AS STRING)"}
+    out = ["'" + part.replace("'", "''") + "'" if i % 2 == 0 else columns.get(part, part) for i, part in enumerate(re.split(r"[{}]", text.lstrip("@")))]
+    return " || ".join(x for x in out if x != "''")
+
+
+SAYING = f"CASE pick % {len(SAYINGS)} " + " ".join(f"WHEN {k} THEN {_saying(x)}" for k, x in enumerate(SAYINGS)) + " END"
+SPEAKER = f"CASE WHEN pick % {len(SAYINGS)} IN ({', '.join(str(k) for k, x in enumerate(SAYINGS) if x.startswith('@'))}) THEN 'assistant' ELSE 'user' END"
 
 
 VIEWS = f"""WITH turns AS (SELECT conv_id AS session_id, turn AS turn_index, role, text AS content, conv_id % 8 AS user_id FROM conversations),
@@ -128,7 +160,11 @@ repeats AS (SELECT question_id, question_type, arm, rep AS repeat,
 usage AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_type AS operation, 'm' || (event_id % 3) AS model, 1::BIGINT AS calls,
   CAST(event_type = 'error' AS BIGINT) AS failed_calls, CAST(floor(value) AS BIGINT) AS input_tokens, event_id % 100 AS output_tokens FROM events),
 vectors AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS tenant, embedding FROM embeddings),
-lines AS (SELECT * FROM (VALUES {_values()}) x(line_id, session_id, turn_index, role, said_on, text))"""
+said AS (SELECT *, day - CAST(pick % 40 AS INTEGER) AS earlier, pick % 9 + 2 AS n, [{_quoted(CITIES)}][pick % {len(CITIES)} + 1] AS city,
+  [{_quoted(NAMES)}][pick % {len(NAMES)} + 1] AS name, [{_quoted(NAMES)}][session_id % {len(NAMES)} + 1] AS other, [{_quoted(SPELLED)}][pick % {len(SPELLED)} + 1] AS spelled
+  FROM (SELECT o_orderkey AS line_id, o_custkey AS session_id, o_orderkey AS turn_index, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderkey + o_custkey AS pick FROM orders)),
+lines AS (SELECT line_id, session_id, turn_index, {SPEAKER} AS role, CAST(day AS STRING) AS said_on, {SAYING} AS text
+  FROM (SELECT *, [{_quoted(MONTHS)}][month(earlier)] || ' ' || day(earlier) || ', ' || year(earlier) AS named FROM said))"""
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.functions.text import all_of, quantities, relative_date, sentences
-from stratamem.operators.retrieval import nearest, similar_pairs, top_k, unit
+from stratamem.operators.facts import SOURCED, sourced
+from stratamem.operators.retrieval import BM25, nearest, similar_pairs, top_k, unit
 from stratamem.operators.timeline import filled, resolved
 from stratamem.plans.fixtures import Registry, Tables
 
@@ -29,9 +30,9 @@ def _(t: Tables) -> DataFrame:
     return top_k(best, ["a"], 3, F.desc("s"), F.col("b")).select("a", "b", "s")
 
 
-@R.add("agg06_audit_by_type", "g AS (SELECT t.session_id, t.role, bool_or(m.id IS NOT NULL) AS has FROM turns t LEFT JOIN memories m ON m.id < 500 AND m.id % 100 = t.session_id AND m.id % 4 = t.turn_index GROUP BY ALL) SELECT role, count(*) AS questions, count(*) FILTER (has) AS with_fact FROM g GROUP BY role")
+@R.add("agg06_audit_by_type", f"m AS ({SOURCED}), g AS (SELECT t.session_id, t.role, bool_or(m.id IS NOT NULL) AS has FROM turns t LEFT JOIN m ON m.source_session = t.session_id AND m.source_turn = t.turn_index GROUP BY ALL) SELECT role, count(*) AS questions, count(*) FILTER (has) AS with_fact FROM g GROUP BY role")
 def _(t: Tables) -> DataFrame:
-    m = t.memories.where("id < 500").selectExpr("id % 100 session_id", "id % 4 turn_index", "true hit").distinct()
+    m = sourced(t).selectExpr("source_session session_id", "source_turn turn_index", "true hit").distinct()
     g = t.turns.join(m, ["session_id", "turn_index"], "left").groupBy("session_id", "role").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("has"))
     return g.groupBy("role").agg(F.count(F.lit(1)).alias("questions"), F.count_if("has").alias("with_fact"))
 
@@ -56,11 +57,28 @@ def _(t: Tables) -> DataFrame:
     return top_k(hits, ["user_id"], 5, F.desc("h"), F.col("session_id"), F.col("turn_index")).select("session_id", "turn_index", "rank")
 
 
-@R.add("topk13_local_turns", "r AS (SELECT session_id, turn_index, CASE WHEN turn_index % 2 = 0 THEN turn_index ELSE 1000 END AS place FROM turns) SELECT session_id, turn_index FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place, turn_index) AS rn FROM r) WHERE rn <= 3")
+#: Turns by BM25 for each benchmark text, 50 at most.
+TURNS_BM25 = """tok AS (SELECT session_id * 1000 + turn_index AS turn_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS ts FROM turns),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM tok), tf AS (SELECT turn_id, len, term, count(*) AS tf FROM (SELECT turn_id, len(ts) AS len, unnest(ts) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+bm AS (SELECT query_id, turn_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term, st GROUP BY ALL),
+turn_rank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, turn_id) AS rank FROM bm) WHERE rank <= 50)"""
+
+
+@R.add("topk13_local_turns", TURNS_BM25 + """, best AS (SELECT query_id, turn_id // 1000 AS session_id FROM turn_rank WHERE rank = 1),
+l AS (SELECT b.query_id, t.session_id, t.turn_index, coalesce(r.rank, 1000000) AS place FROM best b JOIN turns t ON t.session_id = b.session_id LEFT JOIN turn_rank r ON r.query_id = b.query_id AND r.turn_id = t.session_id * 1000 + t.turn_index)
+SELECT query_id, session_id, turn_index FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, turn_index) AS rn FROM l) WHERE rn <= 3""")
 def _(t: Tables) -> DataFrame:
-    ranked = t.turns.where("turn_index % 2 = 0").select("session_id", "turn_index", F.col("turn_index").alias("place"))
-    both = t.turns.select("session_id", "turn_index").join(ranked, ["session_id", "turn_index"], "left").withColumn("place", F.coalesce("place", F.lit(1000)))
-    return top_k(both, ["session_id"], 3, F.col("place"), F.col("turn_index")).select("session_id", "turn_index")
+    """Turns of the session that holds a query's best turn, by their rank in the archive, the unranked last."""
+    from stratamem.operators.retrieval import bm25
+
+    archive = t.turns.select((F.col("session_id") * 1000 + F.col("turn_index")).alias("turn_id"), F.col("content").alias("text"))
+    queries = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    ranked = top_k(bm25(archive, queries, "turn_id"), ["query_id"], 50, F.desc("score"), F.col("turn_id")).select("query_id", "turn_id", "rank")
+    best = ranked.where("rank = 1").select("query_id", F.floor(F.col("turn_id") / 1000).alias("session_id"))
+    local = t.turns.select("session_id", "turn_index", (F.col("session_id") * 1000 + F.col("turn_index")).alias("turn_id")).join(best, "session_id")
+    both = local.join(ranked, ["query_id", "turn_id"], "left").withColumn("place", F.coalesce("rank", F.lit(1_000_000).cast("long"))).drop("rank")
+    return top_k(both, ["query_id"], 3, F.col("place"), F.col("turn_index")).select("query_id", "session_id", "turn_index")
 
 
 @R.add("topk18_candidate_choice", "SELECT question_type, min_by(question_id, (CASE WHEN b THEN 0 ELSE 1 END, question_id % 13, question_id)) AS chosen FROM results WHERE a GROUP BY question_type")
@@ -69,11 +87,11 @@ def _(t: Tables) -> DataFrame:
     return t.results.where("a").groupBy("question_type").agg(F.min_by("question_id", key).alias("chosen"))
 
 
-@R.add("ret02_postings", "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE source = 'src2') SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
+@R.add("ret02_postings", "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
 def _(t: Tables) -> DataFrame:
     from stratamem.operators.retrieval import postings
 
-    p = postings(t.raw("documents").where("source = 'src2'"), ["doc_id"])
+    p = postings(t.raw("documents"), ["doc_id"])
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")).where("df >= 3")
 
 
@@ -90,10 +108,23 @@ def _(t: Tables) -> DataFrame:
     return _near(t, 1 << 30).select("query_id", "id", (F.col("id") % 8).alias("session_id"), "rank")
 
 
-@R.add("ret10_nearest_label", COS + ", b AS (SELECT id, max_by(query_id, (cosine, -query_id)) AS label, max(cosine) AS s FROM cos GROUP BY id) SELECT id, CASE WHEN id % 11 = 0 THEN 'rule' WHEN s >= 0.2 THEN label::VARCHAR ELSE 'other' END AS label FROM b")
+@R.add("ret10_nearest_label", COS + """, b AS (SELECT id, max_by(query_id, (cosine, -query_id)) AS label, max(cosine) AS s FROM cos GROUP BY id),
+h AS (SELECT lower(regexp_extract(text, '[A-Za-z0-9]+')) AS head, min(item_id) AS item FROM benchmark GROUP BY 1)
+SELECT b.id, CASE WHEN item IS NOT NULL THEN 'rule ' || item WHEN s >= 0.35 THEN b.label::VARCHAR ELSE 'other' END AS label FROM b LEFT JOIN documents d ON d.doc_id = b.id LEFT JOIN h ON h.head = lower(regexp_extract(d.text, '[A-Za-z0-9]+'))""")
 def _(t: Tables) -> DataFrame:
-    b = _near(t, 1 << 30).groupBy("id").agg(F.max_by("query_id", F.struct("cosine", -F.col("query_id"))).alias("label"), F.max("cosine").alias("s"))
-    return b.select("id", F.when(F.col("id") % 11 == 0, "rule").when(F.col("s") >= 0.2, F.col("label").cast("string")).otherwise("other").alias("label"))
+    """A rule by the document's head word comes first, then the nearest labelled vector from 0.35 on, else `other`."""
+    from stratamem.operators.retrieval import dot
+
+    v = t.vectors.select("id", unit("embedding").alias("v"))
+    labels = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    scored = v.crossJoin(F.broadcast(labels)).select("id", "query_id", F.round(dot("q", "v"), 6).alias("cosine"))
+    b = scored.groupBy("id").agg(F.max_by("query_id", F.struct("cosine", -F.col("query_id"))).alias("label"), F.max("cosine").alias("s"))
+    head = lambda: F.lower(F.regexp_extract("text", "([A-Za-z0-9]+)", 1)).alias("head")
+    rules = t.raw("benchmark").select(head(), "item_id").groupBy("head").agg(F.min("item_id").alias("item"))
+    texts = t.raw("documents").select(F.col("doc_id").alias("id"), head())
+    found = b.join(texts, "id", "left").join(rules, "head", "left")
+    label = F.when(F.col("item").isNotNull(), F.concat(F.lit("rule "), F.col("item").cast("string"))).when(F.col("s") >= 0.35, F.col("label").cast("string")).otherwise("other")
+    return found.select("id", label.alias("label"))
 
 
 @R.add("ret12_session_chunks", "SELECT session_id, sha256('[Session on ' || (DATE '2024-01-01' + session_id::INT) || ']' || chr(10) || string_agg(role || ': ' || content, chr(10) ORDER BY turn_index)) AS digest FROM turns GROUP BY session_id")
@@ -121,20 +152,46 @@ def _(t: Tables) -> DataFrame:
     return t.raw("benchmark").select("item_id", F.array_join(F.slice(by, 1, 8)["w"], " ").alias("query"))
 
 
-@R.add("ret19_session_recall", COS + ", r AS (SELECT query_id, id % 20 AS session_id, max(cosine) AS s FROM cos WHERE id <> query_id GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, session_id) AS rank FROM r) SELECT m, round(avg((rank <= m)::INT), 9) AS recall FROM k, (VALUES (1), (2), (3), (5), (10)) x(m) WHERE session_id = (query_id + 3) % 20 GROUP BY m")
+@R.add("ret19_session_recall", BM25 + """, gold AS (SELECT DISTINCT item_id AS query_id, d.source FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+r AS (SELECT query_id, source, max(score) AS s FROM bm JOIN documents USING (doc_id) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, source) AS rank FROM r),
+f AS (SELECT query_id, min(rank) AS first FROM gold LEFT JOIN k USING (query_id, source) GROUP BY 1)
+SELECT m, round(avg((coalesce(first, 1000000) <= m)::INT), 9) AS recall FROM f, (VALUES (1), (2), (3), (5), (10)) x(m) GROUP BY m""")
 def _(t: Tables) -> DataFrame:
-    r = _near(t, 1 << 30).where("id <> query_id").groupBy("query_id", (F.col("id") % 20).alias("session_id")).agg(F.max("cosine").alias("s"))
-    gold = top_k(r, ["query_id"], 1 << 30, F.desc("s"), F.col("session_id")).where("session_id = (query_id + 3) % 20")
-    m = gold.select("rank", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 5, 10)])).alias("m"))
-    return m.groupBy("m").agg(F.round(F.avg((F.col("rank") <= F.col("m")).cast("int")), 9).alias("recall"))
+    """Sources stand for sessions: ranked by their best document; gold is where a query's text stands."""
+    from stratamem.operators.retrieval import bm25, containing
 
+    queries = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    of = t.raw("documents").select("doc_id", "source")
+    best = bm25(t.raw("documents").select("doc_id", "text"), queries).join(of, "doc_id").groupBy("query_id", "source").agg(F.max("score").alias("s"))
+    ranked = top_k(best, ["query_id"], 1 << 30, F.desc("s"), F.col("source"))
+    gold = containing(t).join(of, "doc_id").select("query_id", "source").distinct()
+    first = gold.join(ranked, ["query_id", "source"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    m = first.select("first", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 5, 10)])).alias("m"))
+    return m.groupBy("m").agg(F.round(F.avg(F.coalesce(F.col("first") <= F.col("m"), F.lit(False)).cast("int")), 9).alias("recall"))
 
-@R.add("ret21_pair_recall", COS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM cos WHERE id <> query_id) SELECT count(*) AS pairs, round(avg((rank <= 50)::INT), 9) AS recall FROM r WHERE id = query_id + 7")
+
+@R.add("ret21_pair_recall", COS + """, p AS (SELECT m.superseded_by AS query_id, m.id FROM memories m WHERE m.superseded_by % 100 = 0),
+r AS (SELECT c.query_id, c.id, t.kind, row_number() OVER (PARTITION BY c.query_id, t.kind ORDER BY cosine DESC, c.id) AS rank FROM cos c JOIN vectors x ON x.id = c.query_id JOIN vectors y ON y.id = c.id, (VALUES ('all'), ('earlier'), ('tenant')) t(kind)
+  WHERE c.id <> c.query_id AND (t.kind = 'all' OR (t.kind = 'earlier' AND c.id < c.query_id) OR (t.kind = 'tenant' AND x.tenant = y.tenant)))
+SELECT t.kind, count(*) AS pairs, round(avg((coalesce(rank, 1000000) <= 50)::INT), 9) AS recall FROM (SELECT p.* FROM p JOIN vectors a ON a.id = p.query_id JOIN vectors b ON b.id = p.id) p CROSS JOIN (VALUES ('all'), ('earlier'), ('tenant')) t(kind) LEFT JOIN r ON r.query_id = p.query_id AND r.id = p.id AND r.kind = t.kind GROUP BY t.kind""")
 def _(t: Tables) -> DataFrame:
-    v = t.vectors.select("id", unit("embedding").alias("v"))
-    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    r = nearest(q, v, 1 << 30, where=F.col("id") != F.col("query_id")).where("id = query_id + 7")
-    return r.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg((F.col("rank") <= 50).cast("int")), 9).alias("recall"))
+    """How often the fact that a later one closed is among the later one's 50 nearest, under three candidate filters.
+
+    The rank of a pair's earlier fact is one more than the candidates before it, so no list is sorted or kept.
+    """
+    from stratamem.operators.retrieval import dot
+
+    v = t.vectors.select("id", "tenant", unit("embedding").alias("v"))
+    pairs = t.memories.where("superseded_by % 100 = 0").select(F.col("superseded_by").alias("query_id"), F.col("id").alias("gold"))
+    asked = pairs.join(v.select(F.col("id").alias("query_id"), F.col("tenant").alias("qt"), F.col("v").alias("q")), "query_id").join(v.select(F.col("id").alias("gold"), F.col("tenant").alias("gt"), F.col("v").alias("g")), "gold")
+    asked = asked.select("query_id", "gold", "qt", "gt", "q", F.round(dot("q", "g"), 6).alias("mark"))
+    s = v.crossJoin(F.broadcast(asked)).where("id <> query_id").withColumn("cosine", F.round(dot("q", "v"), 6))
+    before = (F.col("cosine") > F.col("mark")) | ((F.col("cosine") == F.col("mark")) & (F.col("id") < F.col("gold")))
+    kinds = {"all": F.lit(True), "earlier": F.col("id") < F.col("query_id"), "tenant": F.col("tenant") == F.col("qt")}
+    n = s.groupBy("query_id", "gold", "gt", "qt").agg(*[F.count_if(before & ok).alias(k) for k, ok in kinds.items()])
+    inside = {"all": F.lit(True), "earlier": F.col("gold") < F.col("query_id"), "tenant": F.col("gt") == F.col("qt")}
+    each = n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (inside[k] & (F.col(k) < 50)).cast("int").alias("hit")) for k in kinds])).alias("x")).select("x.*")
+    return each.groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("hit"), 9).alias("recall"))
 
 
 @R.add("ret22_routing_confusion", "v AS (SELECT x.id, x.tenant AS truth, max_by(y.tenant, (round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6), -y.id)) AS predicted FROM vectors x, vectors y WHERE y.id < 10 AND x.id >= 10 GROUP BY ALL) SELECT truth, predicted, count(*) AS n FROM v GROUP BY ALL")

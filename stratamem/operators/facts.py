@@ -135,21 +135,22 @@ def provenance(facts: DataFrame, turns: DataFrame) -> DataFrame:
     return m.join(turns, "session_id").where(F.col("source_turn").isNull() | (F.col("source_turn") == F.col("turn_index"))).dropDuplicates(["id", "session_id", "turn_index"])
 
 
-SOURCED = "SELECT id, id % 100 AS source_session, CASE WHEN id % 3 <> 0 THEN id % 4 END AS source_turn, user_id FROM memories WHERE id < 2000"
+SOURCED = "SELECT id, user_id, content, importance, date_diff('day', DATE '2024-01-01', CAST(observed_at AS DATE)) AS source_session, CASE WHEN source_role = 'user' THEN hour(observed_at) // 3 END AS source_turn FROM memories"
 
 
 def sourced(t: Tables) -> DataFrame:
-    return t.memories.where("id < 2000").selectExpr("id", "id % 100 source_session", "case when id % 3 <> 0 then id % 4 end source_turn", "user_id")
+    """Facts with their source: the session that began on the day they were said, and what a user said by three-hour turn."""
+    return t.memories.selectExpr("id", "user_id", "content", "importance", "cast(datediff(observed_at, date'2024-01-01') as bigint) source_session", "case when source_role = 'user' then cast(hour(observed_at) div 3 as bigint) end source_turn")
 
 
-@R.add("join03_provenance", f"m AS ({SOURCED}) SELECT DISTINCT id, session_id, turn_index FROM m JOIN turns ON session_id = source_session WHERE source_turn IS NULL OR source_turn = turn_index")
+@R.add("join03_provenance", f"m AS ({SOURCED}) SELECT DISTINCT m.id, session_id, turn_index FROM m JOIN turns ON session_id = source_session WHERE source_turn IS NULL OR source_turn = turn_index")
 def _(t: Tables) -> DataFrame:
     return provenance(sourced(t), t.turns).select("id", "session_id", "turn_index")
 
 
-@R.add("join04_span_text", f"m AS ({SOURCED}) SELECT id, substr(content, 3, 10) AS span FROM m LEFT JOIN turns ON session_id = source_session AND turn_index = source_turn")
+@R.add("join04_span_text", f"m AS ({SOURCED}) SELECT m.id, substr(turns.content, 3, 10) AS span FROM m LEFT JOIN turns ON session_id = source_session AND turn_index = source_turn")
 def _(t: Tables) -> DataFrame:
-    m = sourced(t).withColumnsRenamed({"source_session": "session_id", "source_turn": "turn_index"}).drop("user_id")
+    m = sourced(t).withColumnsRenamed({"source_session": "session_id", "source_turn": "turn_index"}).drop("user_id", "content")
     return m.join(t.turns, ["session_id", "turn_index"], "left").select("id", F.substring("content", 3, 10).alias("span"))
 
 
@@ -235,9 +236,11 @@ def _(t: Tables) -> DataFrame:
     return out.select("event_id", F.coalesce("cap0", "cap1", "cap2", "cap3").alias("cap"))
 
 
-@R.add("join24_evidence_edges", "SELECT superseded_by AS memory_id, array_to_string(list_sort(list(id)), ',') AS sources FROM (SELECT id, id - id % 4 AS superseded_by FROM memories WHERE id % 4 <> 0 AND id < 4000) GROUP BY superseded_by")
+@R.add("join24_evidence_edges", "SELECT superseded_by AS memory_id, array_to_string(list_sort(list(id)), ',') AS sources FROM (SELECT id, superseded_by FROM memories WHERE superseded_by IS NOT NULL UNION SELECT id, id + 1 FROM memories WHERE status = 'active' AND update_op = 'coexists') GROUP BY superseded_by")
 def _(t: Tables) -> DataFrame:
-    edges = t.memories.where("id % 4 <> 0 and id < 4000").selectExpr("id - id % 4 memory_id", "id source_id")
+    closed = t.memories.where("superseded_by is not null").selectExpr("superseded_by memory_id", "id source_id")
+    beside = t.memories.where("status = 'active' and update_op = 'coexists'").selectExpr("id + 1 memory_id", "id source_id")
+    edges = closed.union(beside).distinct()
     return edges.groupBy("memory_id").agg(F.array_join(F.array_sort(F.collect_list("source_id")).cast("array<string>"), ",").alias("sources"))
 
 
@@ -275,10 +278,10 @@ def _(t: Tables) -> DataFrame:
     return t.memories.where("update_op = 'replaces'").select("id", day_time(F.lead("occurred_at").over(by)).alias("valid_until"))
 
 
-@R.add("win04_chain_rendering", "SELECT user_id, predicate, string_agg(CASE WHEN status = 'active' THEN 'now ' ELSE 'was ' END || object, ' > ' ORDER BY occurred_at, id) AS chain FROM memories WHERE status <> 'evicted' AND user_id < 20 GROUP BY user_id, subject, predicate HAVING count(*) >= 2")
+@R.add("win04_chain_rendering", "SELECT user_id, predicate, string_agg(CASE WHEN status = 'active' THEN 'now ' ELSE 'was ' END || object, ' > ' ORDER BY occurred_at, id) AS chain FROM memories WHERE status <> 'evicted' GROUP BY user_id, subject, predicate HAVING count(*) >= 2")
 def _(t: Tables) -> DataFrame:
     step = F.struct("occurred_at", "id", F.concat(F.when(F.col("status") == "active", "now ").otherwise("was "), "object").alias("text"))
-    chains = t.memories.where("status <> 'evicted' and user_id < 20").groupBy(*KEY).agg(F.array_sort(F.collect_list(step)).alias("steps")).where(F.size("steps") >= 2)
+    chains = t.memories.where("status <> 'evicted'").groupBy(*KEY).agg(F.array_sort(F.collect_list(step)).alias("steps")).where(F.size("steps") >= 2)
     return chains.select("user_id", "predicate", F.array_join(F.col("steps.text"), " > ").alias("chain"))
 
 
@@ -341,8 +344,9 @@ def _(t: Tables) -> DataFrame:
     return gaps.where("days > 0")
 
 
-@R.add("win15_current_of_superseded", "SELECT user_id, predicate, max(CASE WHEN status = 'active' THEN object END) AS current FROM memories WHERE id % 17 < 2 GROUP BY user_id, subject, predicate HAVING count(*) FILTER (status = 'active') = 1 AND count(*) FILTER (status = 'superseded') > 0")
+@R.add("win15_current_of_superseded", "SELECT user_id, predicate, CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS day, max(CASE WHEN status = 'active' THEN object END) AS current FROM memories GROUP BY user_id, subject, predicate, CAST(occurred_at AS DATE) HAVING count(*) FILTER (status = 'active') = 1 AND count(*) FILTER (status = 'superseded') > 0")
 def _(t: Tables) -> DataFrame:
+    """The key is a day's, so that most keys have the one active value that the operator asks for."""
     active = F.col("status") == "active"
-    keys = t.memories.where("id % 17 < 2").groupBy(*KEY).agg(F.count_if(active).alias("n"), F.count_if(F.col("status") == "superseded").alias("old"), F.max(F.when(active, F.col("object"))).alias("current"))
-    return keys.where("n = 1 and old > 0").select("user_id", "predicate", "current")
+    keys = t.memories.groupBy(*KEY, F.to_date("occurred_at").cast("string").alias("day")).agg(F.count_if(active).alias("n"), F.count_if(F.col("status") == "superseded").alias("old"), F.max(F.when(active, F.col("object"))).alias("current"))
+    return keys.where("n = 1 and old > 0").select("user_id", "predicate", "day", "current")

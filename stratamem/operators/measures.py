@@ -48,10 +48,10 @@ def _(t: Tables) -> DataFrame:
     return t.memories.select("user_id", "subject", "predicate").distinct()
 
 
-@R.add("agg04_zero_yield", "n AS (SELECT session_id, count(*) AS turns FROM turns GROUP BY 1) SELECT count(*) AS eligible, count(*) FILTER (session_id NOT IN (SELECT id % 100 FROM memories WHERE id % 3 = 0 AND id < 200)) AS empty FROM n WHERE turns >= 6")
+@R.add("agg04_zero_yield", "n AS (SELECT session_id, count(*) AS turns FROM turns GROUP BY 1) SELECT count(*) AS eligible, count(*) FILTER (session_id NOT IN (SELECT date_diff('day', DATE '2024-01-01', CAST(observed_at AS DATE)) FROM memories)) AS empty FROM n WHERE turns >= 6")
 def _(t: Tables) -> DataFrame:
     n = t.turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns")).where("turns >= 6")
-    filled = t.memories.where("id % 3 = 0 and id < 200").selectExpr("id % 100 session_id").distinct().withColumn("filled", F.lit(True))
+    filled = t.memories.selectExpr("cast(datediff(observed_at, date'2024-01-01') as bigint) session_id").distinct().withColumn("filled", F.lit(True))
     return n.join(filled, "session_id", "left").agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("filled").isNull()).alias("empty"))
 
 

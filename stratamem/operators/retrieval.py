@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratamem.operators.facts import SOURCED, sourced
 from stratamem.plans.fixtures import Registry, Tables
 
 R = Registry()
@@ -27,20 +28,26 @@ def postings(docs: DataFrame, key: list[str]) -> DataFrame:
     return t.select(*key, "len", F.explode("ts").alias("term")).groupBy(*key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Terms that are sent to the documents as a list; more are joined.
+SENT_TERMS = 20_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "query_id", tenant: str | None = None) -> DataFrame:
     """query, key, score for each query and document that share a term.
 
     Okapi BM25 with k1 = 1.2, b = 0.75, idf = ln(1 + (n - df + .5) / (df + .5)), on distinct query
     terms. docs: key, text; queries: query, text; with tenant both carry it, and a query sees its own
-    tenant's documents and statistics alone. Only terms that some query asks for take part in the join.
+    tenant's documents and statistics alone. Terms that no query asks for go before anything is counted or
+    shuffled: by a broadcast of the asked ones while they are few, by a semi join of terms otherwise.
     """
     own = [tenant] if tenant else []
-    p = postings(docs, [*own, key])
-    lens = docs.select(*own, F.size(terms("text")).alias("len"))
-    stats = lens.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     q = queries.select(*own, query, F.explode(F.array_distinct(terms("text"))).alias("term"))
-    asked = q.select(*own, "term").distinct()
-    hits = p.join(asked, [*own, "term"])
+    asked = q.select("term").distinct()
+    few = asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    t = docs.select(*own, key, terms("text").alias("ts")).select(*own, key, F.size("ts").alias("len"), "ts")
+    stats = t.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    each = t.select(*own, key, "len", F.explode("ts").alias("term")).join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    hits = each.groupBy(*own, key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(df, [*own, "term"]).join(F.broadcast(stats), own) if own else hits.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -118,14 +125,20 @@ def _(t: Tables) -> DataFrame:
 
 
 def containing(t: Tables) -> DataFrame:
-    """query_id, doc_id: documents that hold a benchmark text as it stands.
+    """query_id, doc_id: documents that hold a benchmark text as it stands, even from within a word.
 
-    Candidates share the text's first four words in a row, so that no text meets every document.
+    A document that holds the text holds its longest inner word, the first of them if several are. A text of
+    fewer than three words has none that is sure to stand alone; such texts are held against all documents.
     """
-    gram = lambda c: F.regexp_extract_all(c, F.lit(r"(?=((?<!\S)\S+\s+\S+\s+\S+\s+\S+))"), F.lit(1))
-    b = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"), F.element_at(gram(F.col("text")), 1).alias("g"))
-    d = t.raw("documents").select("doc_id", "text", F.explode(F.array_distinct(gram(F.col("text")))).alias("g"))
-    return d.join(b, "g").where(F.col("text").contains(F.col("needle"))).select("query_id", "doc_id").distinct()
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    inner = F.slice(words(F.col("text")), 2, F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("w")))), 1)["w"]
+    b = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"), F.when(F.size(inner) > 0, longest).alias("w"))
+    asked = b.select("w").distinct()
+    d = t.raw("documents").select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(asked, "w", "left_semi")
+    found = d.join(b, "w").where(F.col("text").contains(F.col("needle"))).select("query_id", "doc_id")
+    short = t.raw("documents").join(b.where("w IS NULL"), F.col("text").contains(F.col("needle"))).select("query_id", "doc_id")
+    return found.union(short).distinct()
 
 
 def recall_mrr(gold: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -250,15 +263,48 @@ def fuse(lists: DataFrame, c: float = 60.0) -> DataFrame:
     return lists.groupBy("query_id", "id").agg(F.round(F.sum(1 / (c + F.col("rank"))), 9).alias("score"), F.min(F.col("list") * 1_000_000 + F.col("rank")).alias("first"))
 
 
-@R.add("topk07_rank_fusion", COS + """, v AS (SELECT query_id, 0 AS list, id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM cos WHERE query_id % 100 = 0),
-k AS (SELECT query_id, 1 AS list, id, row_number() OVER (PARTITION BY query_id ORDER BY (id * 37) % 101, id) AS rank FROM cos WHERE query_id % 100 = 0),
-f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first FROM (SELECT * FROM v WHERE rank <= 20 UNION ALL SELECT * FROM k WHERE rank <= 20) GROUP BY ALL)
+#: The candidates of each asked vector: the 20 nearest by cosine, and the 20 best by BM25 for its document's eight longest words.
+HYBRID = COS.replace("FROM vectors x, vectors y)", "FROM vectors x, vectors y WHERE x.id % 100 = 0)") + """, own AS (SELECT d.doc_id, d.text FROM documents d JOIN vectors v ON v.id = d.doc_id),
+pw AS (SELECT doc_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS term FROM own WHERE doc_id % 100 = 0),
+q AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS rn FROM pw) WHERE rn <= 8),
+tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM own), st AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM tok),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+lx AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS lexical
+  FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term, st GROUP BY ALL),
+v AS (SELECT * FROM (SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM cos) WHERE rank <= 20),
+k AS (SELECT * FROM (SELECT query_id, id, lexical, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, id) AS rank FROM lx) WHERE rank <= 20),
+c AS (SELECT u.query_id, u.id, cosine, coalesce(lexical, 0) AS lexical FROM (SELECT query_id, id FROM v UNION SELECT query_id, id FROM k) u JOIN cos ON cos.query_id = u.query_id AND cos.id = u.id LEFT JOIN k ON k.query_id = u.query_id AND k.id = u.id),
+s AS (SELECT *, CASE WHEN max(lexical) OVER w - min(lexical) OVER w <= 1e-9 * greatest(abs(max(lexical) OVER w), abs(min(lexical) OVER w)) THEN 1.0 ELSE (lexical - min(lexical) OVER w) / (max(lexical) OVER w - min(lexical) OVER w) END AS lex FROM c WINDOW w AS (PARTITION BY query_id))"""
+
+
+def _lists(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The two ranked lists of each asked vector: by cosine, and by BM25 for the longest words of its document."""
+    near = nearest(_asked(t).drop("tenant"), _unit(t), 20)
+    own = t.raw("documents").join(t.vectors.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    w = F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), F.lit(1))), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
+    asked = own.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(w, 1, 8)["w"], " ").alias("text"))
+    lexical = top_k(bm25(own, asked), ["query_id"], 20, F.desc("score"), F.col("doc_id"))
+    return near.select("query_id", "id", "cosine", "rank"), lexical.select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("lexical"), "rank")
+
+
+def candidates(t: Tables) -> DataFrame:
+    """query_id, id, cosine, lexical, lex: both lists as one, an id once, with BM25 scaled within the query."""
+    near, lexical = _lists(t)
+    both = near.select("query_id", "id").union(lexical.select("query_id", "id")).distinct()
+    v = _unit(t).select("id", "v")
+    scored = both.join(v, "id").join(_asked(t).drop("tenant"), "query_id").select("query_id", "id", F.round(dot("q", "v"), 6).alias("cosine"))
+    c = scored.join(lexical.drop("rank"), ["query_id", "id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    return c.withColumn("lex", min_max("lexical", ["query_id"]))
+
+
+@R.add("topk07_rank_fusion", HYBRID + """,
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first FROM (SELECT query_id, id, rank, 0 AS list FROM v UNION ALL SELECT query_id, id, rank, 1 FROM k) GROUP BY ALL)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f""")
 def _(t: Tables) -> DataFrame:
-    v = nearest(_asked(t).drop("tenant"), _unit(t), 20).select("query_id", F.lit(0).alias("list"), "id", "rank")
-    pairs = t.vectors.select("id").crossJoin(F.broadcast(_asked(t).select("query_id")))
-    k = top_k(pairs, ["query_id"], 20, (F.col("id") * 37) % 101, F.col("id")).select("query_id", F.lit(1).alias("list"), "id", "rank")
-    return top_k(fuse(v.union(k)), ["query_id"], 1 << 30, F.desc("score"), F.col("first"), F.col("id")).select("query_id", "id", "score", "rank")
+    near, lexical = _lists(t)
+    lists = near.select("query_id", "id", "rank", F.lit(0).alias("list")).union(lexical.select("query_id", "id", "rank", F.lit(1).alias("list")))
+    return top_k(fuse(lists), ["query_id"], 40, F.desc("score"), F.col("first"), F.col("id")).select("query_id", "id", "score", "rank")
 
 
 def hybrid_score(cosine: Column, lexical: Column, age_days: Column, importance: Column, entity: Column, half_life: float = 30.0, weights: tuple[float, ...] = (0.4, 0.25, 0.15, 0.1, 0.1)) -> Column:
@@ -283,27 +329,29 @@ def _(t: Tables) -> DataFrame:
     return t.memories.select("id", F.round(min_max("importance", ["user_id"]), 9).alias("scaled"))
 
 
-@R.add("ret04_hybrid_score", COS + """, c AS (SELECT query_id, cos.id, cosine, (cos.id * 7) % 11 / 10.0::DOUBLE AS lex, date_diff('day', CAST(m.observed_at AS DATE), DATE '2024-02-01') AS age, importance FROM cos JOIN memories m ON m.id = cos.id WHERE query_id % 100 = 0)
-SELECT query_id, id, round(0.4 * least(1.0, greatest(0.0, (cosine + 1) / 2)) + 0.25 * least(1.0, lex) + 0.15 * pow(2.0, -age / 30.0) + 0.1 * least(1.0, importance) + 0.1 * ((id % 2)::DOUBLE), 6) AS score FROM c""")
+@R.add("ret04_hybrid_score", HYBRID + """
+SELECT query_id, s.id, round(0.4 * least(1.0, greatest(0.0, (cosine + 1) / 2)) + 0.25 * lex + 0.15 * pow(2.0, -date_diff('day', CAST(m.observed_at AS DATE), DATE '2024-02-01') / 30.0) + 0.1 * least(1.0, m.importance) + 0.1 * len(list_intersect(m.entities, qm.entities)) / len(m.entities), 6) AS score
+FROM s JOIN memories m ON m.id = s.id JOIN memories qm ON qm.id = query_id""")
 def _(t: Tables) -> DataFrame:
-    near = nearest(_asked(t).drop("tenant"), _unit(t), 1 << 30)
-    c = near.join(t.memories.select("id", "observed_at", "importance"), "id")
+    facts = t.memories.select("id", "observed_at", "importance", "entities")
+    asked = facts.select(F.col("id").alias("query_id"), F.col("entities").alias("named"))
+    c = candidates(t).join(facts, "id").join(asked, "query_id")
     age = F.datediff(F.lit("2024-02-01").cast("date"), "observed_at").cast("double")
-    score = hybrid_score(F.col("cosine"), (F.col("id") * 7) % 11 / 10.0, age, F.col("importance"), (F.col("id") % 2).cast("double"))
+    score = hybrid_score(F.col("cosine"), F.col("lex"), age, F.col("importance"), F.size(F.array_intersect("entities", "named")) / F.size("entities"))
     return c.select("query_id", "id", F.round(score, 6).alias("score"))
 
 
-@R.add("topk06_hybrid_order", COS + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round((id % 7) / 7.0 + cosine, 6) DESC, cosine DESC, id) AS rank FROM cos WHERE query_id % 100 = 0")
+@R.add("topk06_hybrid_order", HYBRID + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * (cosine + 1) / 2 + 0.5 * lex, 6) DESC, cosine DESC, id) AS rank FROM s")
 def _(t: Tables) -> DataFrame:
-    near = nearest(_asked(t).drop("tenant"), _unit(t), 1 << 30).withColumn("score", F.round((F.col("id") % 7) / 7.0 + F.col("cosine"), 6)).drop("rank")
-    return top_k(near, ["query_id"], 1 << 30, F.desc("score"), F.desc("cosine"), F.col("id")).select("query_id", "id", "rank")
+    scored = candidates(t).withColumn("score", F.round(0.5 * (F.col("cosine") + 1) / 2 + 0.5 * F.col("lex"), 6))
+    return top_k(scored, ["query_id"], 40, F.desc("score"), F.desc("cosine"), F.col("id")).select("query_id", "id", "rank")
 
 
-@R.add("ret06_entity_overlap", "b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]{3,}')) AS e FROM documents WHERE source = 'src3') SELECT item_id, doc_id, round(len(list_intersect(q, e)) / len(e), 9) AS overlap FROM b, d WHERE list_has_any(q, e)")
+@R.add("ret06_entity_overlap", "b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS w FROM benchmark), e AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS e FROM documents), x AS (SELECT doc_id, len(e) AS n, unnest(e) AS w FROM e) SELECT item_id, doc_id, round(count(*) / max(n), 9) AS overlap FROM x JOIN b ON b.w = x.w GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{3,})"), F.lit(1)))
     b = t.raw("benchmark").select("item_id", F.explode(words(F.col("text"))).alias("w"))
-    d = t.raw("documents").where("source = 'src3'").select("doc_id", words(F.substring("text", 1, 200)).alias("e")).select("doc_id", F.size("e").alias("n"), F.explode("e").alias("w"))
+    d = t.raw("documents").select("doc_id", words(F.col("text")).alias("e")).select("doc_id", F.size("e").alias("n"), F.explode("e").alias("w"))
     return d.join(b, "w").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 9).alias("overlap"))
 
 
@@ -320,9 +368,13 @@ def _(t: Tables) -> DataFrame:
     return r.groupBy("query_id", "session_id").agg(F.round(F.sum(1 / F.log2(F.col("rank") + 1)), 6).alias("dcg"), F.min("rank").alias("first"))
 
 
-@R.add("topk10_rerank", BM25 + " SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 31) % 97 DESC, score DESC, doc_id) AS place FROM ranked WHERE rank <= 50")
+@R.add("topk10_rerank", BM25 + """, n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), p AS (SELECT r.query_id, r.doc_id, score, round(count(tf.term) / max(n), 9) AS second FROM (SELECT * FROM ranked WHERE rank <= 50) r JOIN q ON q.query_id = r.query_id JOIN n ON n.query_id = r.query_id LEFT JOIN tf ON tf.doc_id = r.doc_id AND tf.term = q.term GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, score DESC, doc_id) AS place FROM p""")
 def _(t: Tables) -> DataFrame:
-    again = _ranked(t, 50).withColumn("second", (F.col("doc_id") * 31) % 97)
+    """The second score is any column of query and text; here the share of the query's terms that the document holds."""
+    first = _ranked(t, 50).select("query_id", "doc_id", "score")
+    pairs = first.join(_queries(t).select("query_id", F.array_distinct(terms("text")).alias("q")), "query_id").join(t.raw("documents").select("doc_id", F.array_distinct(terms("text")).alias("d")), "doc_id")
+    again = pairs.withColumn("second", F.round(F.size(F.array_intersect("q", "d")) / F.size("q"), 9))
     return again.select("query_id", "doc_id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("second"), F.desc("score"), "doc_id")).cast("long").alias("place"))
 
 
@@ -398,9 +450,9 @@ def _(t: Tables) -> DataFrame:
     return v.withColumn("rn", rn).where(F.col("rn") <= F.when(F.col("question_type") == "en", 12).otherwise(4)).select("question_id")
 
 
-@R.add("ret03_fact_expansion", "SELECT t.session_id, t.turn_index, sha256(content || coalesce(' ' || f.facts, '')) AS digest FROM turns t LEFT JOIN (SELECT id % 100 AS session_id, id % 4 AS turn_index, string_agg(content, ' ' ORDER BY id) AS facts FROM memories WHERE id < 1000 GROUP BY ALL) f ON f.session_id = t.session_id AND f.turn_index = t.turn_index")
+@R.add("ret03_fact_expansion", f"m AS ({SOURCED}) SELECT t.session_id, t.turn_index, sha256(t.content || coalesce(' ' || f.facts, '')) AS digest FROM turns t LEFT JOIN (SELECT source_session, source_turn, string_agg(content, ' ' ORDER BY id) AS facts FROM m GROUP BY ALL) f ON f.source_session = t.session_id AND f.source_turn = t.turn_index")
 def _(t: Tables) -> DataFrame:
-    facts = t.memories.where("id < 1000").selectExpr("id % 100 session_id", "id % 4 turn_index", "struct(id, content) f").groupBy("session_id", "turn_index").agg(F.array_join(F.array_sort(F.collect_list("f"))["content"], " ").alias("facts"))
+    facts = sourced(t).selectExpr("source_session session_id", "source_turn turn_index", "struct(id, content) f").where("turn_index is not null").groupBy("session_id", "turn_index").agg(F.array_join(F.array_sort(F.collect_list("f"))["content"], " ").alias("facts"))
     return t.turns.join(facts, ["session_id", "turn_index"], "left").select("session_id", "turn_index", F.sha2(F.concat_ws(" ", "content", "facts"), 256).alias("digest"))
 
 

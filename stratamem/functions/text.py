@@ -13,7 +13,8 @@ QUERIES, ORACLES = R.queries, R.oracles
 #: Number words and what they stand for.
 NUMBER_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
-    "eleven": "11", "twelve": "12", "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "hundred": "100",
+    "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19",
+    "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90", "hundred": "100",
 }
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
@@ -81,9 +82,18 @@ def route(c: str | Column) -> Column:
     )
 
 
-@R.add("scl02_terms", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 300)), '[a-z0-9]{3,}'))), ' ') AS terms FROM documents")
+#: Words that carry no topic.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@R.add("scl02_terms", f"w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w, text FROM documents), v AS (SELECT doc_id, unnest([('word', w), ('long', list_filter(w, lambda x: length(x) > 2)), ('distinct', list_sort(list_distinct(w))), ('topic', list_filter(w, lambda x: x NOT IN ({_STOP}))), ('letters', regexp_extract_all(lower(text), '[a-z]+'))]) AS v FROM w) SELECT doc_id, v[1] AS variant, len(v[2]) AS terms, sha256(array_to_string(v[2], ' ')) AS digest FROM v")
 def _(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(all_of(F.lower(F.substring("text", 1, 300)), "[a-z0-9]{3,}"))), " ").alias("terms"))
+    """Five ways to cut a text into terms: how many, and a digest of them in order."""
+    w = all_of(F.lower("text"), "[a-z0-9]+")
+    ways = {"word": w, "long": F.filter(w, lambda x: F.length(x) > 2), "distinct": F.array_sort(F.array_distinct(w)), "topic": F.filter(w, lambda x: ~x.isin(*STOP_WORDS)), "letters": all_of(F.lower("text"), "[a-z]+")}
+    each = F.array(*[F.struct(F.lit(k).alias("variant"), F.size(x).cast("long").alias("terms"), F.sha2(F.array_join(x, " "), 256).alias("digest")) for k, x in ways.items()])
+    return t.raw("documents").select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
 
 
 @R.add("scl01_query_tokens", "SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: '\"' || x || '\"'), ' OR ') AS query FROM benchmark")
@@ -182,11 +192,13 @@ def _(t: Tables) -> DataFrame:
     return t.raw("orders").select("o_orderkey", F.add_months("o_orderdate", -1).cast("string").alias("before"))
 
 
-@R.add("scl25_calendar_interval", "SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS days, CAST(floor(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') / 7) AS BIGINT) AS weeks, date_diff('month', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS months FROM orders")
+@R.add("scl25_calendar_interval", "d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, DATE '2000-01-01' AS e FROM orders) SELECT o_orderkey, date_diff('day', d, e) AS days, CAST(floor(date_diff('day', d, e) / 7) AS BIGINT) AS weeks, date_diff('month', d, e) AS months, date_diff('month', d, e) - CASE WHEN day(e) < day(d) THEN 1 ELSE 0 END AS whole_months, CAST(floor((date_diff('month', d, e) - CASE WHEN day(e) < day(d) THEN 1 ELSE 0 END) / 12) AS BIGINT) AS years, (date_diff('month', d, e) - CASE WHEN day(e) < day(d) THEN 1 ELSE 0 END) % 12 AS rest FROM d WHERE d <= e")
 def _(t: Tables) -> DataFrame:
+    """Both ways to count: calendar months without a look at the day, and anniversaries with what is left over."""
     end, d = F.lit("2000-01-01").cast("date"), F.to_date("o_orderdate")
-    days = F.datediff(end, d).cast("long")
-    return t.raw("orders").select("o_orderkey", days.alias("days"), F.floor(days / 7).alias("weeks"), ((F.year(end) - F.year(d)) * 12 + F.month(end) - F.month(d)).cast("long").alias("months"))
+    days, months = F.datediff(end, d).cast("long"), ((F.year(end) - F.year(d)) * 12 + F.month(end) - F.month(d)).cast("long")
+    whole = months - F.when(F.dayofmonth(end) < F.dayofmonth(d), 1).otherwise(0)
+    return t.raw("orders").where(d <= end).select("o_orderkey", days.alias("days"), F.floor(days / 7).alias("weeks"), months.alias("months"), whole.alias("whole_months"), F.floor(whole / 12).alias("years"), (whole % 12).alias("rest"))
 
 
 @R.add("scl26_partial_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'month' ELSE 'day' END AS precision FROM orders")
@@ -245,9 +257,15 @@ def _(t: Tables) -> DataFrame:
     return t.lines.select("line_id", (q.rlike("how many|in total") & ~q.rlike("how many .*ago")).alias("aggregate"), q.rlike("when|ago|month|day").alias("about_time"))
 
 
-@R.add("topk14_best_window", "s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), 1) AS i FROM documents), r AS (SELECT doc_id, s, i, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')), ['the', 'and', 'of', 'is'])) DESC, i) AS rn FROM s) SELECT doc_id, i AS best FROM r WHERE rn = 1")
+@R.add("topk14_best_window", "g AS (SELECT b.item_id, b.text AS q, d.doc_id, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text)), s AS (SELECT item_id, doc_id, q, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), 1) AS i, regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)') AS al FROM g), r AS (SELECT item_id, doc_id, i, al, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')))) DESC, i) AS rn FROM s) SELECT item_id, doc_id, i AS best, sha256(left(array_to_string(al[greatest(i - 1, 1):i + 1], ''), 1200)) AS digest FROM r WHERE rn = 1")
 def _(t: Tables) -> DataFrame:
-    wanted = F.array(*[F.lit(x) for x in ("the", "and", "of", "is")])
-    s = t.raw("documents").select("doc_id", F.posexplode(sentences("text")).alias("i", "s"))
-    shared = F.size(F.array_intersect(F.array_distinct(all_of(F.lower("s"), "[a-z0-9]+")), wanted))
-    return s.groupBy("doc_id").agg(F.max_by(F.col("i") + 1, F.struct(shared, -F.col("i"))).cast("long").alias("best"))
+    """Of a document that holds a benchmark text the sentence that shares most words with it, with one on each side, at most 1,200 characters."""
+    from stratamem.operators.retrieval import containing
+
+    words = lambda c: F.array_distinct(all_of(F.lower(c), "[a-z0-9]+"))
+    b = t.raw("benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("q"))
+    g = containing(t).join(b, "query_id").join(t.raw("documents").select("doc_id", sentences("text").alias("all")), "doc_id")
+    shared = F.transform("all", lambda s, i: F.struct(F.size(F.array_intersect(words(s), "q")).alias("n"), (-i).alias("at")))
+    best = (-F.array_max(shared)["at"] + 1).cast("int")
+    near = F.slice("all", F.greatest(F.col("best") - 1, F.lit(1)), F.least(F.col("best"), F.lit(2)) + 1)
+    return g.withColumn("best", best).select(F.col("query_id").alias("item_id"), "doc_id", F.col("best").cast("long").alias("best"), F.sha2(F.left(F.array_join(near, ""), F.lit(1200)), 256).alias("digest"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.functions.text import FACETS, all_of, facets, quantities, sentences
+from stratamem.operators.facts import SOURCED, sourced
+from stratamem.operators.retrieval import BM25, containing, terms
 from stratamem.plans.fixtures import Registry, Tables
 
 R = Registry()
@@ -57,18 +59,29 @@ def _(t: Tables) -> DataFrame:
     return v.agg(F.count_if(two & ~one).alias("gained"), F.count_if(one & ~two).alias("lost"), F.count_if(one & two).alias("both"))
 
 
-@R.add("dq06_standardisation", "r AS (SELECT source, lang, count(*) AS n, avg((doc_id % 3 = 0)::INT) AS rate FROM documents GROUP BY ALL), w AS (SELECT lang, count(*) AS target FROM documents GROUP BY 1) SELECT source, round(sum(target * rate) / sum(target), 9) AS standardised FROM r JOIN w USING (lang) GROUP BY source")
+@R.add("dq06_standardisation", "r AS (SELECT source, lang, count(*) AS n, avg(quality) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY ALL), w AS (SELECT lang, count(*) AS target FROM documents GROUP BY 1) SELECT source, round(sum(target * rate) / sum(target), 9) AS standardised FROM r JOIN w USING (lang) GROUP BY source")
 def _(t: Tables) -> DataFrame:
+    """Labelled quality of each source, as if it had the corpus's mix of languages."""
     d = t.raw("documents")
-    r = d.groupBy("source", "lang").agg(F.avg((F.col("doc_id") % 3 == 0).cast("int")).alias("rate"))
+    r = d.join(t.raw("labels").select("doc_id", "quality"), "doc_id").groupBy("source", "lang").agg(F.avg("quality").alias("rate"))
     w = d.groupBy("lang").agg(F.count(F.lit(1)).alias("target"))
     return r.join(w, "lang").groupBy("source").agg(F.round(F.sum(F.col("target") * F.col("rate")) / F.sum("target"), 9).alias("standardised"))
 
 
-@R.add("dq09_zero_yield_classes", "n AS (SELECT session_id, count(*) AS turns, count(*) FILTER (role = 'user') AS mine, min(length(content)) AS shortest FROM turns GROUP BY 1) SELECT CASE WHEN mine = 0 THEN 'no user turn' WHEN turns = 1 THEN 'single' WHEN shortest < 40 THEN 'short turn' WHEN turns % 2 = 1 THEN 'unanswered' ELSE 'other' END AS category, count(*) AS n FROM n GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    n = t.turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("mine"), F.min(F.length("content")).alias("shortest"))
-    category = F.when(F.col("mine") == 0, "no user turn").when(F.col("turns") == 1, "single").when(F.col("shortest") < 40, "short turn").when(F.col("turns") % 2 == 1, "unanswered").otherwise("other")
+@R.add("dq09_zero_yield_classes", f"m AS ({SOURCED}), f AS (SELECT source_session AS session_id, count(*) AS facts, count(source_turn) AS said FROM m GROUP BY 1), n AS (SELECT session_id, count(*) AS turns, count(*) FILTER (role = 'user') AS mine, count(*) FILTER (role NOT IN ('user', 'assistant')) AS others, count(*) FILTER (trim(content) = '') AS blank, min(length(content)) AS shortest, max(length(content)) AS longest, count(DISTINCT turn_index) AS places, count(DISTINCT content) AS texts, max_by(role, turn_index) AS last FROM turns GROUP BY 1) SELECT CASE WHEN others = turns THEN 'policy' WHEN blank > 0 THEN 'format' WHEN places < turns THEN 'id collision' WHEN mine = 0 THEN 'no user turn' WHEN turns = 1 THEN 'single' WHEN facts IS NULL THEN 'no fact that day' WHEN said = 0 THEN 'evidence miss' WHEN texts < turns THEN 'repeated text' WHEN shortest < 40 THEN 'short turn' WHEN longest > 2000 THEN 'oversized turn' WHEN last = 'user' THEN 'unanswered' ELSE 'other' END AS category, count(*) AS n FROM n LEFT JOIN f USING (session_id) GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """The first of twelve reasons, in this order, why a session gave little."""
+    f = sourced(t).groupBy(F.col("source_session").alias("session_id")).agg(F.count(F.lit(1)).alias("facts"), F.count("source_turn").alias("said"))
+    size = F.length("content")
+    n = t.turns.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("mine"), F.count_if(~F.col("role").isin("user", "assistant")).alias("others"), F.count_if(F.trim("content") == "").alias("blank"),
+        F.min(size).alias("shortest"), F.max(size).alias("longest"), F.count_distinct("turn_index").alias("places"), F.count_distinct(F.sha2("content", 256)).alias("texts"), F.max_by("role", "turn_index").alias("last"),
+    ).join(f, "session_id", "left")
+    ladder = [
+        ("others = turns", "policy"), ("blank > 0", "format"), ("places < turns", "id collision"), ("mine = 0", "no user turn"), ("turns = 1", "single"), ("facts is null", "no fact that day"),
+        ("said = 0", "evidence miss"), ("texts < turns", "repeated text"), ("shortest < 40", "short turn"), ("longest > 2000", "oversized turn"), ("last = 'user'", "unanswered"),
+    ]
+    category = F.coalesce(*[F.when(F.expr(test), name) for test, name in ladder], F.lit("other"))
     return n.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -86,34 +99,56 @@ def _(t: Tables) -> DataFrame:
     return s.agg(F.count(F.lit(1)).alias("expected"), n("done"), n("blocked"), F.count_if(F.col("state").isNull()).alias("pending"))
 
 
-@R.add("dq12_temporal_gate", "p AS (SELECT CASE WHEN a AND b THEN 'coexists' WHEN a THEN 'replaces' ELSE 'removes' END AS expected, question_id % 7 <> 0 AS hit FROM results) SELECT round(avg(hit::INT) FILTER (expected = 'replaces'), 9) AS replace_recall, round(avg((NOT hit)::INT) FILTER (expected = 'coexists'), 9) AS false_supersede, avg(hit::INT) FILTER (expected = 'replaces') >= 0.8 AS passes FROM p")
+@R.add("dq12_temporal_gate", "p AS (SELECT status = 'superseded' AS closed, predicate = lead(predicate) OVER w AS same, lead(update_op) OVER k AS expected FROM memories WINDOW w AS (PARTITION BY user_id ORDER BY occurred_at, id), k AS (PARTITION BY user_id, subject, predicate ORDER BY occurred_at, id)), g AS (SELECT round(avg(closed::INT) FILTER (expected = 'replaces'), 9) AS replace_recall, round(avg(closed::INT) FILTER (expected = 'removes'), 9) AS removal_recall, round(avg(closed::INT) FILTER (expected = 'coexists'), 9) AS false_supersede, round(avg(same::INT), 9) AS same_key FROM p) SELECT *, replace_recall >= 0.8 AND false_supersede <= 0.05 AS passes FROM g")
 def _(t: Tables) -> DataFrame:
-    expected = F.when(F.col("a") & F.col("b"), "coexists").when(F.col("a"), "replaces").otherwise("removes")
-    hit = F.col("question_id") % 7 != 0
-    p = t.results.select(expected.alias("expected"), hit.alias("hit"))
-    recall = F.avg(F.when(F.col("expected") == "replaces", F.col("hit").cast("int")))
-    return p.agg(F.round(recall, 9).alias("replace_recall"), F.round(F.avg(F.when(F.col("expected") == "coexists", (~F.col("hit")).cast("int"))), 9).alias("false_supersede"), (recall >= 0.8).alias("passes"))
+    """Pairs of facts that follow each other in a key: what the later one asks for, against what became of the earlier."""
+    by, key = W.partitionBy("user_id").orderBy("occurred_at", "id"), W.partitionBy("user_id", "subject", "predicate").orderBy("occurred_at", "id")
+    p = t.memories.select((F.col("status") == "superseded").cast("int").alias("closed"), (F.col("predicate") == F.lead("predicate").over(by)).cast("int").alias("same"), F.lead("update_op").over(key).alias("expected"))
+    rate = lambda op: F.round(F.avg(F.when(F.col("expected") == op, F.col("closed"))), 9)
+    g = p.agg(rate("replaces").alias("replace_recall"), rate("removes").alias("removal_recall"), rate("coexists").alias("false_supersede"), F.round(F.avg("same"), 9).alias("same_key"))
+    return g.withColumn("passes", (F.col("replace_recall") >= 0.8) & (F.col("false_supersede") <= 0.05))
+
+
+#: A few of the most frequent words of each language.
+LANGUAGE_WORDS = {"de": "der|die|und|das", "en": "the|and|of|that", "es": "el|los|que|las", "fr": "les|des|que|une"}
+_COUNTS = ", ".join(f"len(regexp_extract_all(lower(text), '\\b({p})\\b')) AS {k}" for k, p in LANGUAGE_WORDS.items())
 
 
-@R.add("dq13_confusion", "SELECT predicate AS expected, CASE WHEN id % 9 = 0 THEN 'other' ELSE predicate END AS actual, count(*) AS n FROM memories GROUP BY ALL")
+@R.add("dq13_confusion", f"c AS (SELECT lang AS expected, {_COUNTS} FROM documents) SELECT expected, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'other' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS actual, count(*) AS n FROM c GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    actual = F.when(F.col("id") % 9 == 0, "other").otherwise(F.col("predicate"))
-    return t.memories.groupBy(F.col("predicate").alias("expected"), actual.alias("actual")).agg(F.count(F.lit(1)).alias("n"))
+    """The label a rule gives (most of a language's words) against the recorded one; no hit falls through to `other`."""
+    c = t.raw("documents").select(F.col("lang").alias("expected"), *[F.regexp_count(F.lower("text"), F.lit(rf"\b({p})\b")).alias(k) for k, p in LANGUAGE_WORDS.items()])
+    most = F.greatest(*LANGUAGE_WORDS)
+    actual = F.coalesce(F.when(most == 0, "other"), *[F.when(F.col(k) == most, k) for k in LANGUAGE_WORDS])
+    return c.groupBy("expected", actual.alias("actual")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("dq14_false_supersede", "SELECT CASE WHEN l.predicate = 'view' THEN 'multi-valued' WHEN l.object = w.object THEN 'same value' ELSE 'plausible' END AS reason, count(*) AS n FROM memories l JOIN memories w ON l.superseded_by = w.id GROUP BY 1")
+@R.add("dq14_false_supersede", "v AS (SELECT user_id, predicate, count(DISTINCT object) AS n FROM memories WHERE status = 'active' GROUP BY ALL) SELECT CASE WHEN l.object IS NULL OR w.object IS NULL THEN 'missing object' WHEN l.predicate <> w.predicate OR l.user_id <> w.user_id THEN 'other key' WHEN v.n > 1 THEN 'multi-valued' WHEN l.object = w.object THEN 'same value' ELSE 'plausible' END AS reason, count(*) AS n FROM memories l JOIN memories w ON l.superseded_by = w.id LEFT JOIN v ON v.user_id = l.user_id AND v.predicate = l.predicate GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    w = t.memories.select(F.col("id").alias("superseded_by"), F.col("object").alias("now"))
-    pairs = t.memories.join(w, "superseded_by")
-    reason = F.when(F.col("predicate") == "view", "multi-valued").when(F.col("object") == F.col("now"), "same value").otherwise("plausible")
+    """Structural reasons why a supersession may be false; a key with several active values is multi-valued."""
+    values = t.memories.where("status = 'active'").groupBy("user_id", "predicate").agg(F.count_distinct("object").alias("n"))
+    w = t.memories.select(F.col("id").alias("superseded_by"), F.col("object").alias("now"), F.col("predicate").alias("p"), F.col("user_id").alias("u"))
+    pairs = t.memories.join(w, "superseded_by").join(values, ["user_id", "predicate"], "left")
+    reason = F.when(F.col("object").isNull() | F.col("now").isNull(), "missing object").when((F.col("predicate") != F.col("p")) | (F.col("user_id") != F.col("u")), "other key").when(F.col("n") > 1, "multi-valued").when(F.col("object") == F.col("now"), "same value").otherwise("plausible")
     return pairs.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("dq15_anchor_sentence", "s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), 1) AS i FROM documents), x AS (SELECT doc_id, i, len(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]{3,}'))) + 2 * len(regexp_extract_all(s, '[0-9]+')) AS score FROM s) SELECT doc_id, max_by(i, (score, -i)) AS anchor FROM x GROUP BY doc_id")
+@R.add("dq15_anchor_sentence", BM25.split("ranked AS")[0].rstrip().rstrip(",") + """, g AS (SELECT item_id AS query_id, doc_id, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+s AS (SELECT query_id, doc_id, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), 1) AS i FROM g),
+w AS (SELECT query_id, doc_id, i, unnest(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+'))) AS term FROM s),
+x AS (SELECT w.query_id, w.doc_id, i, round(sum(ln(1 + n / df) * CASE WHEN regexp_matches(w.term, '[0-9]') THEN 4 ELSE 1 END), 6) AS score FROM w JOIN q ON q.query_id = w.query_id AND q.term = w.term JOIN df ON df.term = w.term, st GROUP BY ALL)
+SELECT query_id, doc_id, max_by(i, (score, -i)) AS anchor FROM x GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    s = t.raw("documents").select("doc_id", F.posexplode(sentences("text")).alias("i", "s"))
-    score = F.size(F.array_distinct(all_of(F.lower("s"), "[a-z0-9]{3,}"))) + 2 * F.size(all_of("s", "[0-9]+"))
-    return s.groupBy("doc_id").agg((F.max_by("i", F.struct(score, -F.col("i"))) + 1).cast("long").alias("anchor"))
+    """The sentence of a holding document that supports a benchmark text best: shared words by rarity, numbers four times; ties earliest."""
+    q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(terms("text"))).alias("term"))
+    docs = t.raw("documents").select("doc_id", "text")
+    asked = q.select("term").distinct()
+    df = docs.select("doc_id", F.explode(F.array_distinct(terms("text"))).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).select("term", (F.log(1 + F.col("n") / F.col("df")) * F.when(F.col("term").rlike("[0-9]"), 4).otherwise(1)).alias("w"))
+    s = containing(t).join(docs, "doc_id").select("query_id", "doc_id", F.posexplode(sentences("text")).alias("i", "s"))
+    shared = s.select("query_id", "doc_id", (F.col("i") + 1).cast("long").alias("i"), F.explode(F.array_distinct(terms("s"))).alias("term")).join(q, ["query_id", "term"]).join(idf, "term")
+    score = shared.groupBy("query_id", "doc_id", "i").agg(F.round(F.sum("w"), 6).alias("score"))
+    return score.groupBy("query_id", "doc_id").agg(F.max_by("i", F.struct("score", -F.col("i"))).alias("anchor"))
 
 
 @R.add("dq16_anchor_accuracy", _SPEC + ", u AS (SELECT session_id, value, min(line_id) AS only_line FROM spec GROUP BY ALL HAVING count(DISTINCT line_id) = 1) SELECT count(*) AS checkable, count(*) FILTER (only_line % 2 = 1) AS right_anchor FROM u")
@@ -128,17 +163,24 @@ def _(t: Tables) -> DataFrame:
     return q.join(t.lines, "line_id").select("line_id", F.when(F.col("text").contains(F.col("quote")), "grounded").otherwise("quote not in turn").alias("reason"))
 
 
-@R.add("dq19_label_coverage", "w AS (SELECT b.item_id, d.lang, unnest(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]{3,}'))) AS w FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), v AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents) SELECT item_id, round(avg((v.w IS NOT NULL)::INT), 9) AS share FROM w LEFT JOIN v ON v.w = w.w AND v.lang = 'fr' GROUP BY item_id")
+@R.add("dq19_label_coverage", "w AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS w FROM benchmark), v AS (SELECT w, bool_or(role = 'user') AS mine, bool_or(role <> 'user') AS theirs FROM (SELECT role, unnest(regexp_extract_all(lower(content), '[a-z0-9]{3,}')) AS w FROM turns) GROUP BY 1), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents), r AS (SELECT item_id, avg(coalesce(mine, false)::INT) AS mine, avg(coalesce(theirs, false)::INT) AS theirs, avg((v.w IS NOT NULL)::INT) AS any_turn, avg((d.w IS NOT NULL)::INT) AS corpus FROM w LEFT JOIN v ON v.w = w.w LEFT JOIN d ON d.w = w.w GROUP BY 1) SELECT CASE WHEN mine >= 0.8 THEN '1 user' WHEN theirs >= 0.8 THEN '2 others' WHEN any_turn >= 0.8 THEN '3 together' WHEN corpus >= 0.8 THEN '4 documents' ELSE '5 nowhere' END AS stage, count(*) AS n, round(avg(any_turn), 9) AS share FROM r GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    w = t.raw("benchmark").select("item_id", F.explode(F.array_distinct(all_of(F.lower("text"), "[a-z0-9]{3,}"))).alias("w"))
-    v = t.raw("documents").where("lang = 'fr'").select(F.explode(F.array_distinct(all_of(F.lower("text"), "[a-z0-9]{3,}"))).alias("w")).distinct().withColumn("hit", F.lit(1))
-    return w.join(v, "w", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("share"))
+    """Where four fifths of a label's words are first found: what users say, others, both, or the documents only."""
+    found = lambda c: F.array_distinct(all_of(F.lower(c), "[a-z0-9]{3,}"))
+    w = t.raw("benchmark").select("item_id", F.explode(found("text")).alias("w"))
+    asked = w.select("w").distinct()
+    v = t.turns.select("role", F.explode(found("content")).alias("w")).join(asked, "w", "left_semi").groupBy("w").agg(F.bool_or(F.col("role") == "user").alias("mine"), F.bool_or(F.col("role") != "user").alias("theirs"), F.lit(True).alias("any_turn"))
+    d = t.raw("documents").select(F.explode(found("text")).alias("w")).join(asked, "w", "left_semi").distinct().withColumn("corpus", F.lit(True))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(c)
+    r = w.join(v, "w", "left").join(d, "w", "left").groupBy("item_id").agg(*[share(c) for c in ("mine", "theirs", "any_turn", "corpus")])
+    stage = F.when(F.col("mine") >= 0.8, "1 user").when(F.col("theirs") >= 0.8, "2 others").when(F.col("any_turn") >= 0.8, "3 together").when(F.col("corpus") >= 0.8, "4 documents").otherwise("5 nowhere")
+    return r.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("any_turn"), 9).alias("share"))
 
 
-@R.add("dq20_lineage", "SELECT s.session_id, count(DISTINCT t.turn_index) AS turns, count(DISTINCT m.id) AS facts, count(DISTINCT CASE WHEN m.importance > 0.2 THEN m.id END) AS in_context FROM sessions s LEFT JOIN turns t ON t.session_id = s.session_id LEFT JOIN memories m ON m.id % 100 = s.session_id AND m.id < 3000 GROUP BY s.session_id")
+@R.add("dq20_lineage", f"m AS ({SOURCED}) SELECT s.session_id, count(DISTINCT t.turn_index) AS turns, count(DISTINCT m.id) AS facts, count(DISTINCT CASE WHEN m.importance > 0.2 THEN m.id END) AS in_context FROM sessions s LEFT JOIN turns t ON t.session_id = s.session_id LEFT JOIN m ON m.source_session = s.session_id GROUP BY s.session_id")
 def _(t: Tables) -> DataFrame:
     n = t.turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
-    m = t.memories.where("id < 3000").groupBy((F.col("id") % 100).alias("session_id")).agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("importance") > 0.2).alias("in_context"))
+    m = sourced(t).groupBy(F.col("source_session").alias("session_id")).agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("importance") > 0.2).alias("in_context"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return t.sessions.join(n, "session_id", "left").join(m, "session_id", "left").select("session_id", zero("turns"), zero("facts"), zero("in_context"))
 
@@ -155,11 +197,12 @@ def _(t: Tables) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("operation"), F.get_json_object("props", "$.k").alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("dq24_gold_overlay", "SELECT question_type, count(*) FILTER (a) AS before, count(*) FILTER (CASE WHEN question_id % 6 = 0 THEN b ELSE a END) AS after FROM results GROUP BY question_type")
+@R.add("dq24_gold_overlay", "o AS (SELECT question_id, sum(correct::INT) >= 2 AS corrected FROM repeats WHERE arm = 'a' GROUP BY 1) SELECT question_type, count(*) FILTER (a) AS before, count(*) FILTER (coalesce(corrected, a)) AS after, count(*) FILTER (corrected <> a) AS changed FROM results LEFT JOIN o USING (question_id) GROUP BY question_type")
 def _(t: Tables) -> DataFrame:
-    overlay = t.results.where("question_id % 6 = 0").select("question_id", F.col("b").alias("corrected"))
+    """Verdicts rescored by the majority of three repeats, where there are any."""
+    overlay = t.repeats.where("arm = 'a'").groupBy("question_id").agg((F.count_if("correct") >= 2).alias("corrected"))
     r = t.results.join(overlay, "question_id", "left")
-    return r.groupBy("question_type").agg(F.count_if("a").alias("before"), F.count_if(F.coalesce("corrected", "a")).alias("after"))
+    return r.groupBy("question_type").agg(F.count_if("a").alias("before"), F.count_if(F.coalesce("corrected", "a")).alias("after"), F.count_if(F.col("corrected") != F.col("a")).alias("changed"))
 
 
 @R.add("dq25_hash_coverage", "SELECT session_id, bool_and(turn_index <> 3) AS covered FROM turns WHERE role = 'assistant' GROUP BY session_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from stratamem.functions.text import NUMBER_WORDS, all_of
 from stratamem.operators.evaluation import binomial_tail
-from stratamem.operators.retrieval import top_k
+from stratamem.operators.retrieval import containing, top_k
 from stratamem.operators.timeline import day_time, facts_of, resolved, upsert
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import scratch
@@ -112,11 +112,13 @@ def _(t: Tables) -> DataFrame:
     return both.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("tmp12_update_suppression", "SELECT DISTINCT o.id FROM memories o JOIN memories n ON n.user_id = o.user_id AND n.predicate = o.predicate AND n.object = o.object AND n.occurred_at > o.occurred_at WHERE n.update_op = 'replaces' AND o.id % 20 = 5")
+@R.add("tmp12_update_suppression", "w AS (SELECT line_id, session_id, said_on, text, list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}')) AS ws FROM lines WHERE role = 'user' AND text NOT LIKE '%?') SELECT DISTINCT o.line_id FROM w o JOIN w n ON n.session_id = o.session_id AND (n.said_on, n.line_id) > (o.said_on, o.line_id) WHERE regexp_matches(n.text, 'replaced|switched') AND len(list_intersect(o.ws, n.ws)) >= 3")
 def _(t: Tables) -> DataFrame:
-    # the latest replacement of a key decides: one window, no self join
-    last = F.max(F.when(F.col("update_op") == "replaces", F.col("occurred_at"))).over(W.partitionBy("user_id", "predicate", "object"))
-    return t.memories.withColumn("last", last).where("id % 20 = 5 and last > occurred_at").select("id")
+    """Older statements of a session that share three words with a newer explicit replacement."""
+    words = F.array_distinct(all_of(F.lower("text"), "[a-z]{2,}"))
+    w = t.lines.where((F.col("role") == "user") & ~F.col("text").endswith("?")).select("line_id", "session_id", F.struct("said_on", "line_id").alias("at"), words.alias("ws"), F.col("text").rlike("replaced|switched").alias("new"))
+    n = w.where("new").select("session_id", F.col("at").alias("later"), F.col("ws").alias("said"))
+    return w.join(n, "session_id").where((F.col("later") > F.col("at")) & (F.size(F.array_intersect("ws", "said")) >= 3)).select("line_id").distinct()
 
 
 @R.add("scl08_numeric_text")
@@ -127,13 +129,16 @@ def _(t: Tables) -> DataFrame:
     return t.lines.select("line_id", F.array_join(F.transform(F.split(bare, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ").alias("text"))
 
 
-@R.add("scl31_citation_labels", "SELECT question_id, CASE WHEN question_id % 4 = 0 THEN 0 ELSE 1 END AS known, CASE WHEN question_id % 4 = 0 THEN 2 ELSE 1 END AS unknown FROM results")
+@R.add("scl31_citation_labels", "t AS (SELECT line_id, 'see [M 0' || (line_id % 9) || '], [M' || (session_id % 12) || '] and [M ' || (line_id % 5) || ']' AS t FROM lines), c AS (SELECT line_id, list_transform(regexp_extract_all(t, 'M ?[0-9]+'), lambda x: 'M' || CAST(regexp_extract(x, '([0-9]+)$', 1) AS BIGINT)) AS c FROM t) SELECT line_id, len(list_filter(list_distinct(c), lambda x: x IN ('M1', 'M2', 'M3', 'M4', 'M5'))) AS known, len(list_filter(list_distinct(c), lambda x: x NOT IN ('M1', 'M2', 'M3', 'M4', 'M5'))) AS unknown, len(c) - len(list_distinct(c)) AS repeated, 5 - len(list_filter(list_distinct(c), lambda x: x IN ('M1', 'M2', 'M3', 'M4', 'M5'))) AS uncited FROM c")
 def _(t: Tables) -> DataFrame:
-    text = F.when(F.col("question_id") % 4 == 0, "see [M 09] and [M7]").otherwise("see [M 02], [M2] and [M12]")
-    cited = F.array_distinct(F.transform(all_of("t", r"M ?[0-9]+"), lambda x: F.concat(F.lit("M"), F.regexp_extract(x, "0*([0-9]+)$", 1))))
+    """Labels in an answer, `M 03` being `M3`: known, unknown, repeated, and known ones that are not cited."""
+    text = F.expr("concat('see [M 0', line_id % 9, '], [M', session_id % 12, '] and [M ', line_id % 5, ']')")
+    cited = F.transform(all_of("t", r"M ?[0-9]+"), lambda x: F.concat(F.lit("M"), F.regexp_extract(x, "([0-9]+)$", 1).cast("long").cast("string")))
     known = F.array(*[F.lit(f"M{k}") for k in range(1, 6)])
-    r = t.results.select("question_id", text.alias("t")).withColumn("c", cited)
-    return r.select("question_id", F.size(F.array_intersect("c", known)).alias("known"), F.size(F.array_except("c", known)).alias("unknown"))
+    r = t.lines.select("line_id", text.alias("t")).select("line_id", cited.alias("c"))
+    n = lambda c: F.size(c).cast("long")
+    inside = n(F.array_intersect("c", known))
+    return r.select("line_id", inside.alias("known"), n(F.array_except("c", known)).alias("unknown"), (n("c") - n(F.array_distinct("c"))).alias("repeated"), (5 - inside).alias("uncited"))
 
 
 @R.add("scl32_stated_months", "SELECT line_id, regexp_extract(text, '([0-9]{4}-[0-9]{2})-[0-9]{2}', 1) AS stated, regexp_extract(text, '([0-9]{4}-[0-9]{2})-[0-9]{2}', 1) <> said_on[1:7] AS conflict FROM lines WHERE regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')")
@@ -142,11 +147,18 @@ def _(t: Tables) -> DataFrame:
     return t.lines.where(month != "").select("line_id", month.alias("stated"), (month != F.substring("said_on", 1, 7)).alias("conflict"))
 
 
-@R.add("dq03_answer_coverage", "SELECT item_id, count(*) FILTER (contains(text, needle)) AS literal, count(*) AS asked FROM (SELECT b.item_id, b.text AS needle, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id) GROUP BY item_id")
+@R.add("dq03_answer_coverage", "w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM benchmark), e AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w FROM w), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM documents), h AS (SELECT item_id, doc_id, count(*) / max(n) AS share FROM e JOIN d ON d.w = e.w GROUP BY ALL), l AS (SELECT item_id, count(*) AS literal FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT w.item_id, coalesce(literal, 0) AS literal, count(*) FILTER (share >= 0.8) AS by_words, round(max(share), 9) AS best FROM w LEFT JOIN h ON h.item_id = w.item_id LEFT JOIN l ON l.item_id = w.item_id GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    b = t.raw("benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("needle"))
-    pairs = t.raw("documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
-    return pairs.groupBy("item_id").agg(F.count_if(F.col("text").contains(F.col("needle"))).alias("literal"), F.count(F.lit(1)).alias("asked"))
+    """How many documents hold a benchmark text as it stands, and how many hold four fifths of its words."""
+    found = lambda c: F.array_distinct(all_of(F.lower(c), "[a-z0-9]+"))
+    w = t.raw("benchmark").select("item_id", found("text").alias("ws"))
+    e = w.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    d = t.raw("documents").select("doc_id", F.explode(found("text")).alias("w")).join(F.broadcast(e.select("w").distinct()), "w", "left_semi")  # words of the benchmark
+    h = e.join(d, "w").groupBy("item_id", "doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    by = h.groupBy("item_id").agg(F.count_if(F.col("share") >= 0.8).alias("by_words"), F.round(F.max("share"), 9).alias("best"))
+    literal = containing(t).groupBy(F.col("query_id").alias("item_id")).agg(F.count(F.lit(1)).alias("literal"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return w.join(by, "item_id", "left").join(literal, "item_id", "left").select("item_id", zero("literal"), zero("by_words"), "best")
 
 
 @R.add("dq08_position_pilot", "p AS (SELECT session_id, bool_or(role = 'user' AND turn_index < 2) AS front, bool_or(role = 'user' AND turn_index >= 4) AS back FROM turns GROUP BY 1), c AS (SELECT count(*) FILTER (front AND NOT back) AS w, count(*) FILTER (back AND NOT front) AS l FROM p), k AS (SELECT w, l, unnest(generate_series(0, least(w, l))) AS k FROM c) SELECT w AS wins, l AS losses, round(least(1.0, 2 * sum(exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) + (w + l) * ln(0.5)))), 6) AS p FROM k GROUP BY w, l")
@@ -164,8 +176,18 @@ def _(t: Tables) -> DataFrame:
     return facts.select("user_id", F.explode("entities").alias("e")).groupBy(F.concat_ws(":", "user_id", "e").alias("link")).agg(F.count(F.lit(1)).alias("facts"))
 
 
-@R.add("eval19_budget_policies", "p AS (SELECT * FROM (VALUES ('small', 2), ('middle', 4), ('large', 8)) x(policy, k)), g AS (SELECT session_id, policy, bool_and(role <> 'user' OR turn_index < k) AS whole, count(*) FILTER (turn_index < k) AS shown FROM turns, p GROUP BY ALL) SELECT policy, round(avg(whole::INT), 9) AS coverage, median(shown) AS context FROM g GROUP BY policy")
-def _(t: Tables) -> DataFrame:
-    k = F.explode(F.create_map(F.lit("small"), F.lit(2), F.lit("middle"), F.lit(4), F.lit("large"), F.lit(8))).alias("policy", "k")
-    g = t.turns.select("session_id", "role", "turn_index", k).groupBy("session_id", "policy").agg(F.bool_and((F.col("role") != "user") | (F.col("turn_index") < F.col("k"))).alias("whole"), F.count_if(F.col("turn_index") < F.col("k")).alias("shown"))
-    return g.groupBy("policy").agg(F.round(F.avg(F.col("whole").cast("int")), 9).alias("coverage"), F.median("shown").alias("context"))
+@R.add("eval19_budget_policies", """c AS (SELECT session_id, role, turn_index, greatest(1, CAST(floor(length(content) / 4.6) AS BIGINT)) AS cost FROM turns),
+r AS (SELECT session_id, role, p.policy, cost, sum(cost) OVER (PARTITION BY session_id, p.policy ORDER BY CASE p.policy WHEN 'oldest' THEN turn_index WHEN 'newest' THEN -turn_index ELSE cost END, turn_index) AS used FROM c, (VALUES ('oldest'), ('newest'), ('cheapest')) p(policy)),
+g AS (SELECT session_id, policy, bool_and(role <> 'user' OR used <= 300) AS whole, sum(CASE WHEN used <= 300 THEN cost ELSE 0 END) AS shown FROM r GROUP BY ALL),
+p AS (SELECT policy, round(avg(whole::INT), 9) AS coverage, median(shown) AS context FROM g GROUP BY policy)
+SELECT policy, coverage, context, policy = (SELECT max_by(policy, (coverage, -context, policy)) FROM p) AS chosen FROM p""")
+def _(t: Tables) -> DataFrame:
+    """Orders in which a session's turns may fill 300 tokens: how often all user turns get in, the median filled, and the best."""
+    cost = F.greatest(F.lit(1), F.floor(F.length("content") / 4.6)).cast("long")
+    order = F.map_from_arrays(F.array(F.lit("oldest"), F.lit("newest"), F.lit("cheapest")), F.array(F.col("turn_index").cast("long"), -F.col("turn_index").cast("long"), cost))
+    c = t.turns.select("session_id", "role", "turn_index", cost.alias("cost"), F.explode(order).alias("policy", "place"))
+    used = F.sum("cost").over(W.partitionBy("session_id", "policy").orderBy("place", "turn_index"))
+    g = c.withColumn("used", used).groupBy("session_id", "policy").agg(F.bool_and((F.col("role") != "user") | (F.col("used") <= 300)).alias("whole"), F.sum(F.when(F.col("used") <= 300, F.col("cost")).otherwise(0)).alias("shown"))
+    p = g.groupBy("policy").agg(F.round(F.avg(F.col("whole").cast("int")), 9).alias("coverage"), F.median("shown").alias("context"))
+    best = p.agg(F.max_by("policy", F.struct("coverage", -F.col("context"), "policy")).alias("best"))
+    return p.crossJoin(F.broadcast(best)).select("policy", "coverage", "context", (F.col("policy") == F.col("best")).alias("chosen"))  # one row

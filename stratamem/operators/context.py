@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratamem.functions.text import all_of, quantities, relative_date, sentences
+from stratamem.functions.text import MONTHS, all_of, quantities, relative_date, sentences
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.retrieval import BM25, nearest, similar_pairs, top_k, unit
 from stratamem.operators.timeline import filled, resolved
@@ -136,13 +136,12 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("ret13_time_window")
 def _(t: Tables) -> DataFrame:
-    """Lines whose session lies in the window of the question's one relative date: a day around an exact one, four around an estimate."""
+    """Lines of a customer said in the window of the customer's one relative date: a day around an exact one, four around an estimate."""
     d = relative_date("text", F.to_date("said_on"))
-    q = t.lines.select("line_id", d["exact"].alias("x"), d["estimate"].alias("e")).where("x is not null or e is not null")
-    window = q.select("line_id", F.coalesce(F.date_sub("x", 1), F.date_sub("e", 4)).alias("lo"), F.coalesce(F.date_add("x", 1), F.date_add("e", 4)).alias("hi"))
-    days = t.lines.select("session_id", F.to_date("said_on").alias("day")).distinct()
-    each = window.select("line_id", F.explode(F.sequence("lo", "hi")).alias("day"))
-    return each.join(days, "day").select("line_id", "session_id").distinct()
+    q = t.lines.select("line_id", "session_id", d["exact"].alias("x"), d["estimate"].alias("e")).where("x is not null or e is not null")
+    window = q.select("line_id", "session_id", F.coalesce(F.date_sub("x", 1), F.date_sub("e", 4)).alias("lo"), F.coalesce(F.date_add("x", 1), F.date_add("e", 4)).alias("hi"))
+    said = t.lines.select("session_id", F.col("line_id").alias("found"), F.to_date("said_on").alias("day"))
+    return window.join(said, "session_id").where("day between lo and hi").select("line_id", "found")
 
 
 @R.add("ret15_probe_queries", "w AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS w FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS rn FROM w) SELECT item_id, string_agg(w, ' ' ORDER BY rn) AS query FROM r WHERE rn <= 8 GROUP BY item_id")
@@ -268,19 +267,31 @@ def _(t: Tables) -> DataFrame:
     return t.lines.where("role = 'user'").select("line_id", day.alias("day")).where(F.col("day").isNotNull())
 
 
-@R.add("tmp14_backfill_classes", "SELECT CASE WHEN old IS NOT DISTINCT FROM new THEN 'unchanged' WHEN new IS NULL THEN 'withdrawn' WHEN old IS NULL THEN 'recovered' ELSE 'corrected' END AS change, count(*) AS n FROM (SELECT CASE WHEN id % 4 <> 0 THEN CAST(observed_at AS DATE) END AS old, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 9 = 1 THEN CAST(observed_at AS DATE) + 1 ELSE CAST(observed_at AS DATE) END AS new FROM memories) GROUP BY 1")
+@R.add("tmp14_backfill_classes", "x AS (SELECT line_id, text, nullif(regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), '') AS old, nullif(regexp_extract(text, '(?:" + MONTHS + ") [0-9]{1,2}, [0-9]{4}'), '') AS named, said_on FROM lines), y AS (SELECT old, CASE WHEN contains(text, 'noted that on') THEN NULL WHEN named IS NOT NULL THEN strftime(strptime(named, '%B %-d, %Y'), '%Y-%m-%d') WHEN contains(text, ' after ') THEN CAST(CAST(old AS DATE) - 1 AS VARCHAR) ELSE old END AS new FROM x) SELECT CASE WHEN old IS NOT DISTINCT FROM new THEN 'unchanged' WHEN new IS NULL THEN 'withdrawn' WHEN old IS NULL THEN 'recovered' ELSE 'corrected' END AS change, count(*) AS n FROM y GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    day, old, new = F.to_date("observed_at"), F.col("old"), F.col("new")
-    r = t.memories.select(F.when(F.col("id") % 4 != 0, day).alias("old"), F.when(F.col("id") % 6 == 0, None).when(F.col("id") % 9 == 1, F.date_add(day, 1)).otherwise(day).alias("new"))
-    change = F.when(old.eqNullSafe(new), "unchanged").when(new.isNull(), "withdrawn").when(old.isNull(), "recovered").otherwise("corrected")
+    """Event days worked out anew: dates by name are found, a date of saying is withdrawn, `after` moves to the day before."""
+    old = F.try_to_date(F.try_element_at(all_of("text", "[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(1)), "yyyy-MM-dd")
+    named = F.try_to_date(F.try_element_at(all_of("text", rf"(?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}}"), F.lit(1)), "MMMM d, yyyy")
+    new = F.when(F.col("text").contains("noted that on"), None).when(named.isNotNull(), named).when(F.col("text").contains(" after "), F.date_sub(old, 1)).otherwise(old)
+    r = t.lines.select(old.alias("old"), new.alias("new"))
+    change = F.when(F.col("old").eqNullSafe(F.col("new")), "unchanged").when(F.col("new").isNull(), "withdrawn").when(F.col("old").isNull(), "recovered").otherwise("corrected")
     return r.groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("life05_cluster_summary", "c AS (SELECT user_id % 10 AS cluster, id, importance, strength, entities FROM memories WHERE id % 50 = 0) SELECT cluster, left(sha256(string_agg(id::VARCHAR, ',' ORDER BY id)), 20) AS id, round(max(importance), 9) AS importance, count(*) AS sources FROM c GROUP BY cluster")
+@R.add("life05_cluster_summary", """e AS (SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.tenant = y.tenant AND x.id <> y.id WHERE round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) >= 0.3),
+r AS (SELECT * FROM (WITH RECURSIVE w AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id) SELECT id, min(root) AS root FROM w GROUP BY id)),
+n AS (SELECT root, list_sort(list_distinct(flatten(list(entities)))) AS entities FROM r JOIN memories USING (id) GROUP BY root)
+SELECT r.root, left(sha256(r.root || ':' || string_agg(r.id::VARCHAR, ',' ORDER BY r.id)), 20) AS id, round(max(importance), 9) AS importance, array_to_string(any_value(n.entities), ' ') AS entities, count(*) AS edges, round(sum(strength * 0.5), 6) AS left_strength
+FROM r JOIN memories m ON m.id = r.id JOIN n ON n.root = r.root GROUP BY r.root""")
 def _(t: Tables) -> DataFrame:
-    c = t.memories.where("id % 50 = 0").withColumn("cluster", F.col("user_id") % 10)
+    """One summary row a similarity cluster: its id from its members, the greatest importance, all entities; an edge to each source, whose strength halves."""
+    from stratamem.operators.retrieval import connected
+
+    labels = connected(similar_pairs(t.vectors.select("id", "tenant", unit("embedding").alias("v")), 0.3).select("a", "b"))
+    c = labels.join(t.memories.select("id", "importance", "strength", "entities"), "id")
     ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
-    return c.groupBy("cluster").agg(F.left(F.sha2(ids, 256), F.lit(20)).alias("id"), F.round(F.max("importance"), 9).alias("importance"), F.count(F.lit(1)).alias("sources"))
+    named = F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities"))))
+    return c.groupBy("root").agg(F.left(F.sha2(F.concat(F.col("root").cast("string"), F.lit(":"), ids), 256), F.lit(20)).alias("id"), F.round(F.max("importance"), 9).alias("importance"), F.array_join(named, " ").alias("entities"), F.count(F.lit(1)).alias("edges"), F.round(F.sum(F.col("strength") * 0.5), 6).alias("left_strength"))
 
 
 @R.add("scl07_entity_splitter", "SELECT line_id, array_to_string(regexp_split_to_array(regexp_extract(text, 'with ([A-Z][a-z]+ and [A-Z][a-z]+)', 1), ' and '), '|') AS parts FROM lines WHERE regexp_matches(text, 'with [A-Z][a-z]+ and [A-Z][a-z]+')")
@@ -289,10 +300,14 @@ def _(t: Tables) -> DataFrame:
     return t.lines.where(F.col("text").rlike(p)).select("line_id", F.array_join(F.split(F.regexp_extract("text", p, 1), " and "), "|").alias("parts"))
 
 
-@R.add("scl09_span_locate", "SELECT session_id, turn_index, instr(content, substr(content, 11, 15)) - 1 AS start FROM turns WHERE length(content) > 40")
+@R.add("scl09_span_locate", "x AS (SELECT session_id, turn_index, content, upper(regexp_extract(content, '^[^ ]+ +([^ ]+) +([^ ]+)', 1)) || '  ' || regexp_extract(content, '^[^ ]+ +([^ ]+) +([^ ]+)', 2) AS span FROM turns WHERE regexp_matches(content, '^[^ ]+ +[^ ]+ +[^ ]+')) SELECT session_id, turn_index, instr(content, span) - 1 AS exact, instr(trim(regexp_replace(lower(content), '[ ]+', ' ', 'g')), trim(regexp_replace(lower(span), '[ ]+', ' ', 'g'))) - 1 AS found FROM x")
 def _(t: Tables) -> DataFrame:
-    span = F.substring("content", 11, 15)
-    return t.turns.where(F.length("content") > 40).select("session_id", "turn_index", (F.instr("content", span) - 1).cast("long").alias("start"))
+    """Where a quoted span stands: as it is, else by a match without regard to case and runs of white space; -1 if nowhere."""
+    p = "^[^ ]+ +([^ ]+) +([^ ]+)"
+    span = F.concat(F.upper(F.regexp_extract("content", p, 1)), F.lit("  "), F.regexp_extract("content", p, 2))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[ ]+", " "))
+    x = t.turns.where(F.col("content").rlike(p)).withColumn("span", span)
+    return x.select("session_id", "turn_index", (F.instr("content", F.col("span")) - 1).cast("long").alias("exact"), (F.instr(plain("content"), plain("span")) - 1).cast("long").alias("found"))
 
 
 @R.add("scl12_first_number")
@@ -307,13 +322,15 @@ def _(t: Tables) -> DataFrame:
     return t.lines.select("line_id", F.round(F.least(F.lit(1.0), 0.4 + part(c, "[0-9]", 0.2) + part(c, " [A-Z][a-z]+", 0.15) + part(F.lower("text"), "replaced|switched", 0.15)), 6).alias("importance"))
 
 
-@R.add("scl19_timestamp_formats", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 4 < 3")
+@R.add("scl19_timestamp_formats", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 7 IN (3, 4) THEN ' 09:05' ELSE ' 00:00' END AS at FROM orders WHERE o_orderkey % 7 < 6")
 def _(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy/MM/dd")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 2, F.date_format("o_orderdate", "d MMM yyyy")).otherwise("soon")
-    x = t.raw("orders").select("o_orderkey", text.alias("x"))
-    day = F.coalesce(*[F.try_to_timestamp("x", F.lit(f)) for f in ("yyyy/MM/dd", "yyyy-MM-dd", "d MMM yyyy")])
-    return x.select("o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("day")).where(F.col("day").isNotNull())
+    """Six formats in turn, the week day's name being stripped first; a text that fits none is null."""
+    formats = ("yyyy/MM/dd", "yyyy-MM-dd", "d MMM yyyy", "yyyy/MM/dd (EEE) HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "MMMM d, yyyy")
+    k, at = F.col("o_orderkey") % 7, F.to_timestamp(F.to_date("o_orderdate")) + F.expr("make_dt_interval(0, 9, 5)")
+    text = F.coalesce(*[F.when(k == i, F.date_format(at, f)) for i, f in enumerate(formats)], F.lit("soon"))
+    x = t.raw("orders").select("o_orderkey", F.regexp_replace(text, r" *\([A-Za-z]+\) *", " ").alias("x"))
+    found = F.coalesce(*[F.try_to_timestamp("x", F.lit(f.replace(" (EEE)", ""))) for f in formats])
+    return x.select("o_orderkey", F.date_format(found, "yyyy-MM-dd HH:mm").alias("at")).where(F.col("at").isNotNull())
 
 
 @R.add("scl34_json_arguments", "SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events")

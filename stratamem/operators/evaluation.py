@@ -246,11 +246,13 @@ def _(t: Tables) -> DataFrame:
     return wl.select("question_type", F.round(wlo - lhi, 9).alias("lower"), F.round(whi - llo, 9).alias("upper"))
 
 
-@R.add("eval24_flip_rate", "r AS (SELECT question_type, avg((sha256(question_id || ':x')[1] IN ('0', '1'))::INT) AS f, count(*) AS n FROM results GROUP BY 1), p AS (SELECT question_type, n, (1 - sqrt(1 - 2 * f)) / 2 AS p FROM r), m AS (SELECT question_type, n, 3 * p * p * (1 - p) + p * p * p AS m FROM p) SELECT question_type, round(2 * m * (1 - m), 9) AS majority_flip, round(2 * sqrt(2 * m * (1 - m) * n), 9) AS detectable FROM m")
+@R.add("eval24_flip_rate", "x AS (SELECT question_id, question_type, arm, bool_or(correct) FILTER (repeat = 0) AS c0, bool_or(correct) FILTER (repeat = 1) AS c1 FROM repeats GROUP BY ALL), r AS (SELECT question_type, avg((c0 <> c1)::INT) AS f, count(*) AS n FROM x GROUP BY 1), p AS (SELECT question_type, n, (1 - sqrt(greatest(0.0, 1 - 2 * f))) / 2 AS p FROM r), m AS (SELECT question_type, n, 3 * p * p * (1 - p) + p * p * p AS m FROM p) SELECT question_type, round(2 * m * (1 - m), 9) AS majority_flip, round(2 * sqrt(2 * m * (1 - m) * n), 9) AS detectable FROM m")
 def _(t: Tables) -> DataFrame:
-    flip = F.substring(F.sha2(F.concat_ws(":", "question_id", F.lit("x")), 256), 1, 1).isin("0", "1")
-    r = t.results.groupBy("question_type").agg(F.avg(flip.cast("int")).alias("f"), F.count(F.lit(1)).alias("n"))
-    p = (1 - F.sqrt(1 - 2 * F.col("f"))) / 2
+    """How often two majorities of three would differ, from how often two single runs did, and the difference that this hides."""
+    run = lambda k: F.bool_or(F.when(F.col("repeat") == k, F.col("correct")))
+    x = t.repeats.groupBy("question_id", "question_type", "arm").agg((run(0) != run(1)).cast("int").alias("flip"))
+    r = x.groupBy("question_type").agg(F.avg("flip").alias("f"), F.count(F.lit(1)).alias("n"))
+    p = (1 - F.sqrt(F.greatest(F.lit(0.0), 1 - 2 * F.col("f")))) / 2
     m = r.withColumn("p", p).withColumn("m", 3 * F.col("p") ** 2 * (1 - F.col("p")) + F.col("p") ** 3)
     rate = 2 * F.col("m") * (1 - F.col("m"))
     return m.select("question_type", F.round(rate, 9).alias("majority_flip"), F.round(2 * F.sqrt(rate * F.col("n")), 9).alias("detectable"))

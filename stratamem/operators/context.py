@@ -300,11 +300,11 @@ def _(t: Tables) -> DataFrame:
     return t.lines.where(F.col("text").rlike(p)).select("line_id", F.array_join(F.split(F.regexp_extract("text", p, 1), " and "), "|").alias("parts"))
 
 
-@R.add("scl09_span_locate", "x AS (SELECT session_id, turn_index, content, upper(regexp_extract(content, '^[^ ]+ +([^ ]+) +([^ ]+)', 1)) || '  ' || regexp_extract(content, '^[^ ]+ +([^ ]+) +([^ ]+)', 2) AS span FROM turns WHERE regexp_matches(content, '^[^ ]+ +[^ ]+ +[^ ]+')) SELECT session_id, turn_index, instr(content, span) - 1 AS exact, instr(trim(regexp_replace(lower(content), '[ ]+', ' ', 'g')), trim(regexp_replace(lower(span), '[ ]+', ' ', 'g'))) - 1 AS found FROM x")
+@R.add("scl09_span_locate", "x AS (SELECT session_id, turn_index, content, translate(regexp_extract(content, '^[^ ]+ +([^ ]+) +([^ ]+)', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '  ' || regexp_extract(content, '^[^ ]+ +([^ ]+) +([^ ]+)', 2) AS span FROM turns WHERE regexp_matches(content, '^[^ ]+ +[^ ]+ +[^ ]+')) SELECT session_id, turn_index, instr(content, span) - 1 AS exact, instr(trim(regexp_replace(lower(content), '[ ]+', ' ', 'g')), trim(regexp_replace(lower(span), '[ ]+', ' ', 'g'))) - 1 AS found FROM x")
 def _(t: Tables) -> DataFrame:
     """Where a quoted span stands: as it is, else by a match without regard to case and runs of white space; -1 if nowhere."""
     p = "^[^ ]+ +([^ ]+) +([^ ]+)"
-    span = F.concat(F.upper(F.regexp_extract("content", p, 1)), F.lit("  "), F.regexp_extract("content", p, 2))
+    span = F.concat(F.translate(F.regexp_extract("content", p, 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("  "), F.regexp_extract("content", p, 2))
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[ ]+", " "))
     x = t.turns.where(F.col("content").rlike(p)).withColumn("span", span)
     return x.select("session_id", "turn_index", (F.instr("content", F.col("span")) - 1).cast("long").alias("exact"), (F.instr(plain("content"), plain("span")) - 1).cast("long").alias("found"))

@@ -185,7 +185,8 @@ def pair_lists(train: DataFrame, words: Frequent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "after", "n_after", "before", "n_before"])
 
     rows = train.select(common.text_or_empty().alias("text")).mapInArrow(count, "v int, w int, n long")
-    each = rows.repartition(PARTS, "v").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    # added up by pair first: `others` goes before very many words, and only then stands for one row
+    each = rows.groupBy("v", "w").agg(F.sum("n").alias("n")).repartition(PARTS, "v")
     after = common.written(each.groupBy("v").agg(F.collect_list(F.struct("w", "n")).alias("a")), "after")
     turned = after.select("v", F.explode("a").alias("x")).select(F.col("x.w").alias("id"), F.struct("v", F.col("x.n").alias("n")).alias("x"))
     before = turned.repartition(PARTS, "id").groupBy("id").agg(F.collect_list("x").alias("b"))

@@ -181,7 +181,7 @@ def _(t: Tables) -> DataFrame:
     return t.lines.select("line_id", F.array_join(F.transform(stated_dates("text"), lambda x: x.cast("string")), " ").alias("dates"))
 
 
-@R.add("scl21_relative_dates")
+@R.add("scl21_relative_dates", f"n(w, v) AS (VALUES {_WORDS}), x AS (SELECT line_id, CAST(said_on AS DATE) AS d, regexp_extract_all(lower(text), '\\b(?:today|yesterday|(?:[0-9]+|one|two|three|four|five|six|seven|eight|nine|ten) (?:day|week|month)s? ago)\\b') AS f FROM lines), y AS (SELECT line_id, d, len(f) AS c, f[1] AS m FROM x), z AS (SELECT line_id, d, c, m, try_cast(coalesce(v, regexp_extract(m, '^([0-9]+) ', 1)) AS INTEGER) AS k FROM y LEFT JOIN n ON n.w = regexp_extract(m, '^([a-z]+) ', 1)) SELECT line_id, CASE WHEN c <> 1 THEN NULL WHEN m = 'today' THEN d WHEN m = 'yesterday' THEN d - 1 WHEN contains(m, 'day') THEN d - k END AS exact, CASE WHEN c <> 1 THEN NULL WHEN contains(m, 'week') THEN d - 7 * k WHEN contains(m, 'month') THEN CAST(d - to_months(k) AS DATE) END AS estimate, CASE WHEN c = 0 THEN 'none' WHEN c > 1 THEN 'unresolved' WHEN contains(m, 'week') OR contains(m, 'month') THEN 'approximate_day' ELSE 'day' END AS precision FROM z")
 def _(t: Tables) -> DataFrame:
     d = relative_date("text", F.to_date("said_on"))
     return t.lines.select("line_id", d["exact"].alias("exact"), d["estimate"].alias("estimate"), d["precision"].alias("precision"))
@@ -269,3 +269,44 @@ def _(t: Tables) -> DataFrame:
     best = (-F.array_max(shared)["at"] + 1).cast("int")
     near = F.slice("all", F.greatest(F.col("best") - 1, F.lit(1)), F.least(F.col("best"), F.lit(2)) + 1)
     return g.withColumn("best", best).select(F.col("query_id").alias("item_id"), "doc_id", F.col("best").cast("long").alias("best"), F.sha2(F.left(F.array_join(near, ""), F.lit(1200)), 256).alias("digest"))
+
+
+#: A relative day: one word, or a number of days, weeks or months ago.
+RELATIVE = "today|yesterday|(?:[0-9]+|" + "|".join(NUMBER_WORDS) + ") (?:day|week|month)s? ago"
+
+
+def annotated(c: str | Column, said: Column) -> Column:
+    """The text with `[= 2024-01-01 Mon]` after each exact relative day, `[~ 2024-01-01 Mon]` after each week or month count.
+
+    Names of days of the week are ambiguous and left alone. So are words in quotes, and a capitalised
+    day word in the middle of a sentence: a title, not a date.
+    """
+    pattern = rf"(?<![\"\u201c\w])(?:{RELATIVE})\b"
+    table = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    found, gaps = all_of(c, pattern), F.split(c, pattern, -1)
+
+    def note(m: Column) -> Column:
+        word = F.regexp_extract(m, r"^(\S+) ", 1)
+        n = F.coalesce(F.try_element_at(table, word), word).try_cast("int")
+        day = F.when(m == "today", said).when(m == "yesterday", F.date_sub(said, 1)).when(m.contains("day"), F.date_sub(said, n)).when(m.contains("week"), F.date_sub(said, n * 7)).otherwise(F.add_months(said, -n))
+        sign = F.when(m.contains("week") | m.contains("month"), "~").otherwise("=")
+        return F.coalesce(F.concat(m, F.lit(" ["), sign, F.lit(" "), day.cast("string"), F.lit(" "), F.date_format(day, "EEE"), F.lit("]")), m)
+
+    notes = F.concat(F.transform(found, note), F.array(F.lit("")))
+    return F.array_join(F.zip_with(gaps, notes, lambda g, n: F.concat(g, n)), "")
+
+
+_DAY = "CASE WHEN m = 'today' THEN d WHEN m = 'yesterday' THEN d - 1 WHEN contains(m, 'day') THEN d - k WHEN contains(m, 'week') THEN d - 7 * k ELSE CAST(d - to_months(k) AS DATE) END"
+
+
+@R.add("scl22_relative_annotation", f"n(w, v) AS (VALUES {_WORDS}), x AS (SELECT line_id, text, CAST(said_on AS DATE) AS d, regexp_extract(text, '(?:^|[^\"a-zA-Z0-9])({RELATIVE})\\b', 1) AS m FROM lines), y AS (SELECT line_id, text, d, m, CAST(coalesce(v, regexp_extract(m, '^([0-9]+) ', 1)) AS VARCHAR) AS k FROM x LEFT JOIN n ON n.w = regexp_extract(m, '^([a-z]+) ', 1)), z AS (SELECT line_id, text, m, d, try_cast(k AS INTEGER) AS k FROM y) SELECT line_id, CASE WHEN m = '' THEN text ELSE replace(text, m, m || ' [' || CASE WHEN contains(m, 'week') OR contains(m, 'month') THEN '~' ELSE '=' END || ' ' || CAST({_DAY} AS VARCHAR) || ' ' || strftime({_DAY}, '%a') || ']') END AS text FROM z")
+def _(t: Tables) -> DataFrame:
+    return t.lines.select("line_id", annotated("text", F.to_date("said_on")).alias("text"))
+
+
+@R.add("scl23_title_guard", "SELECT line_id, regexp_matches(text, '\"(Yesterday|Today|Tomorrow)') OR regexp_matches(text, '[a-z,] (Yesterday|Today|Tomorrow)\\b') AS title, regexp_matches(text, '\\b(yesterday|today|tomorrow)\\b') AS day_word FROM lines WHERE regexp_matches(lower(text), '\\b(yesterday|today|tomorrow)\\b')")
+def _(t: Tables) -> DataFrame:
+    """Whether a day word is quoted or capitalised within a sentence, and so a title."""
+    day = r"\b(yesterday|today|tomorrow)\b"
+    title = F.col("text").rlike(r"(?:\"|[a-z,] )(?:Yesterday|Today|Tomorrow)\b")
+    return t.lines.where(F.lower("text").rlike(day)).select("line_id", title.alias("title"), F.col("text").rlike(day).alias("day_word"))

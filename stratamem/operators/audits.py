@@ -213,9 +213,32 @@ def _(t: Tables) -> DataFrame:
     return rows.where("role = 'assistant'").join(delivered, key, "left").groupBy("session_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("covered"))
 
 
-@R.add("scl33_number_sets")
+@R.add("scl33_number_sets", "q AS (SELECT line_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS q, lead(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+')))) OVER (PARTITION BY session_id ORDER BY turn_index) AS n, lead(text) OVER (PARTITION BY session_id ORDER BY turn_index) AS said FROM lines) SELECT line_id, q = n AS same, regexp_matches(lower(said), 'not sure|do not know|cannot') AS abstains FROM q WHERE said IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    """Whether each user line and the next line of its session state the same numbers."""
-    nxt = F.lead("q").over(W.partitionBy("session_id").orderBy("turn_index"))
-    q = t.lines.withColumn("q", quantities("text")).withColumn("n", nxt)
-    return q.select("line_id", ((F.size(F.array_except("q", "n")) == 0) & (F.size(F.array_except("n", "q")) == 0)).alias("same"))
+    """Whether each line and the next of its session state the same numbers, and whether the next one abstains."""
+    by = W.partitionBy("session_id").orderBy("turn_index")
+    numbers = F.array_sort(F.array_distinct(all_of("text", "[0-9]+")))
+    q = t.lines.withColumn("q", numbers).withColumns({"n": F.lead("q").over(by), "said": F.lead("text").over(by)}).where("said is not null")
+    return q.select("line_id", (F.col("q") == F.col("n")).alias("same"), F.lower("said").rlike("not sure|do not know|cannot").alias("abstains"))
+
+
+@R.add("dq18_numeric_echo", "n AS (SELECT line_id, session_id, role, list_distinct(regexp_extract_all(text, '[0-9]+')) AS q, regexp_matches(text, ' not ') AS neg FROM lines), p AS (SELECT a.line_id, u.line_id AS source, count(*) OVER (PARTITION BY a.line_id) AS c FROM n a JOIN n u ON u.session_id = a.session_id AND u.role = 'user' AND list_has_all(u.q, a.q) AND u.neg = a.neg WHERE a.role = 'assistant' AND len(a.q) > 0) SELECT line_id, source FROM p WHERE c = 1")
+def _(t: Tables) -> DataFrame:
+    """What an assistant says with numbers goes back to the one line of the user that holds all of them, denied alike."""
+    n = t.lines.select("line_id", "session_id", "role", F.array_distinct(all_of("text", "[0-9]+")).alias("q"), F.col("text").contains(" not ").alias("neg"))
+    u = n.where("role = 'user'").select("session_id", F.col("line_id").alias("source"), F.col("q").alias("said"), F.col("neg").alias("denied"))
+    p = n.where("role = 'assistant' and size(q) > 0").join(u, "session_id").where((F.size(F.array_except("q", "said")) == 0) & (F.col("neg") == F.col("denied")))
+    return p.groupBy("line_id").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("c")).where("c = 1").select("line_id", "source")
+
+
+@R.add("dq26_personal_proxies", "f AS (SELECT id, user_id, scope = 'profile' AS preference, scope = 'profile' AND source_role = 'user' AS personal, regexp_extract(content, '([0-9]+)', 1) AS num FROM memories), alt AS (SELECT user_id, num, count(*) AS c FROM (SELECT user_id, num FROM (SELECT user_id, regexp_extract(content, '([0-9]+)', 1) AS num FROM memories WHERE source_role = 'user')) GROUP BY ALL), g AS (SELECT question_id, arm, bool_or(preference) AS preference, bool_or(personal) AS personal, bool_or(coalesce(c, 0) > 1) AS alternatives FROM repeats JOIN f ON f.id = question_id LEFT JOIN alt ON alt.user_id = f.user_id AND alt.num = f.num WHERE correct GROUP BY ALL) SELECT arm, count(*) AS questions, count(*) FILTER (preference) AS preference, count(*) FILTER (personal) AS personal, count(*) FILTER (alternatives) AS alternatives FROM g GROUP BY arm")
+def _(t: Tables) -> DataFrame:
+    """Of the questions an arm answers: how many rest on a preference, on what the user said of themselves, on a number said more than once."""
+    number = F.regexp_extract("content", "([0-9]+)", 1)
+    profile = F.col("scope") == "profile"
+    f = t.memories.select(F.col("id").alias("question_id"), "user_id", profile.alias("preference"), (profile & (F.col("source_role") == "user")).alias("personal"), number.alias("num"))
+    alt = t.memories.where("source_role = 'user'").groupBy("user_id", number.alias("num")).agg(F.count(F.lit(1)).alias("c"))
+    rows = t.repeats.where("correct").join(f, "question_id").join(alt, ["user_id", "num"], "left").withColumn("alternatives", F.coalesce("c", F.lit(0)) > 1)
+    flags = ("preference", "personal", "alternatives")
+    g = rows.groupBy("question_id", "arm").agg(*[F.bool_or(c).alias(c) for c in flags])
+    return g.groupBy("arm").agg(F.count(F.lit(1)).alias("questions"), *[F.count_if(c).alias(c) for c in flags])

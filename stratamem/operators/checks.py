@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from stratamem.functions.text import NUMBER_WORDS, all_of
 from stratamem.operators.evaluation import binomial_tail
 from stratamem.operators.retrieval import containing, top_k
-from stratamem.operators.timeline import day_time, facts_of, resolved, upsert
+from stratamem.operators.timeline import FOLDED, Stored, day_time, facts_of, resolved, upsert
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import scratch
 
@@ -83,20 +83,20 @@ def _(t: Tables) -> DataFrame:
     return density_pack(top.select("user_id", "id", F.col("importance").alias("value"), F.col("token_count").alias("cost"), F.split("content", " ").alias("words")), ["user_id"], 300)
 
 
-@R.add("tmp05_closed_by_target")
+@R.add("tmp05_closed_by_target", FOLDED + " SELECT id, r.by, strftime(until, '%Y-%m-%d %H:%M:%S') AS until FROM resolved r WHERE status = 'superseded' AND until IS NOT NULL AND r.by IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     """Superseded facts that have an end, with the fact that stands behind it."""
     return resolved(facts_of(t)).where("status = 'superseded' and until is not null and by is not null").select("id", "by", day_time("until").alias("until"))
 
 
-@R.add("tmp06_restatements")
+@R.add("tmp06_restatements", FOLDED + " SELECT r.id, r.by FROM resolved r JOIN resolved o ON o.id = r.by WHERE r.status = 'superseded' AND r.until IS NOT DISTINCT FROM o.until")
 def _(t: Tables) -> DataFrame:
     r = resolved(facts_of(t))
     owner = r.select(F.col("id").alias("by"), F.col("until").alias("owner_until"))
     return r.where("status = 'superseded'").join(owner, "by").where(F.col("until").eqNullSafe(F.col("owner_until"))).select("id", "by")
 
 
-@R.add("tmp07_historical_removals")
+@R.add("tmp07_historical_removals", FOLDED + " SELECT id, strftime(until, '%Y-%m-%d %H:%M:%S') AS until FROM resolved WHERE status = 'historical'")
 def _(t: Tables) -> DataFrame:
     return resolved(facts_of(t)).where("status = 'historical'").select("id", day_time("until").alias("until"))
 
@@ -171,9 +171,17 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("dml02_facts_and_links", "SELECT user_id || ':' || e AS link, count(*) AS facts FROM (SELECT user_id, unnest(entities) AS e FROM memories) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
+    """Facts are put into a stored table by id, their links where there are none yet."""
+    facts, links = Stored(t.spark, "facts"), Stored(t.spark, "links")
     base = t.memories.select("id", "user_id", "entities")
-    facts = upsert(base.where("id % 3 <> 0"), base.where("id % 3 <> 1"), ["id"])
-    return facts.select("user_id", F.explode("entities").alias("e")).groupBy(F.concat_ws(":", "user_id", "e").alias("link")).agg(F.count(F.lit(1)).alias("facts"))
+    linked = lambda rows: rows.select("id", "user_id", F.explode("entities").alias("e")).distinct()
+    first, second = base.where("id % 3 <> 0"), base.where("id % 3 <> 1")
+    facts.write(first)
+    links.write(linked(first))
+    facts.write(upsert(facts.read(), second, ["id"]))
+    links.write(links.read().union(linked(second).join(links.read(), ["id", "user_id", "e"], "left_anti")))
+    known = links.read().join(facts.read().select("id"), "id", "left_semi")
+    return known.groupBy(F.concat_ws(":", "user_id", "e").alias("link")).agg(F.count(F.lit(1)).alias("facts"))
 
 
 @R.add("eval19_budget_policies", """c AS (SELECT session_id, role, turn_index, greatest(1, CAST(floor(length(content) / 4.6) AS BIGINT)) AS cost FROM turns),

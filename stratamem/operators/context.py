@@ -391,3 +391,41 @@ def _(t: Tables) -> DataFrame:
     gone = t.vectors.where("id % 25 = 0").select("id")
     kept = t.vectors.join(gone, "id", "left_anti").select("id", unit("embedding").alias("v"))
     return kept.select("id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
+@R.add("ret20_retention", """q AS (SELECT item_id AS query_id, 'original' AS variant, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark
+  UNION ALL SELECT query_id, 'keywords', term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS rn FROM (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS term FROM benchmark)) WHERE rn <= 8),
+tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM tok),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT query_id, variant, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term, st GROUP BY ALL),
+a AS (SELECT id AS doc_id, CAST(observed_at AS DATE) AS day, CAST(valid_to AS DATE) AS gone FROM memories),
+gold AS (SELECT b.item_id AS query_id, d.doc_id, a.day, a.gone FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN a ON a.doc_id = d.doc_id),
+g AS (SELECT gold.*, v.variant, k.delay, gold.day + k.delay AS as_of FROM gold, (VALUES ('original'), ('keywords')) v(variant), (VALUES (1), (7), (30)) k(delay)),
+r AS (SELECT g.query_id, g.variant, g.delay, g.doc_id, (g.gone IS NULL OR g.gone > g.as_of) AS durable, max(own.score) AS mark, count(o.doc_id) FILTER (x.day <= g.as_of AND (o.score > own.score OR (o.score = own.score AND o.doc_id < g.doc_id))) AS ahead
+  FROM g LEFT JOIN bm own ON own.query_id = g.query_id AND own.variant = g.variant AND own.doc_id = g.doc_id LEFT JOIN bm o ON o.query_id = g.query_id AND o.variant = g.variant LEFT JOIN a x ON x.doc_id = o.doc_id GROUP BY ALL),
+s AS (SELECT query_id, variant, delay, bool_or(durable) AS durable, bool_or(mark IS NOT NULL) AS candidate, bool_or(mark IS NOT NULL AND ahead < 20) AS top_any, bool_and(mark IS NOT NULL AND ahead < 20) AS top_all FROM r GROUP BY ALL)
+SELECT variant, delay, count(*) AS questions, count(*) FILTER (durable) AS durable, count(*) FILTER (candidate) AS candidates, count(*) FILTER (top_any) AS top_any, count(*) FILTER (top_all) AS top_all FROM s GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    """Whether what a question asks for is still there, found, and among the first 20, by delay since it was said and by wording.
+
+    A document is said on the day of the event with its number, and gone when that fact ends. As of a later
+    day only documents said by then compete; their rank is one more than those ahead.
+    """
+    from stratamem.operators.retrieval import bm25, containing
+
+    w = F.array_distinct(all_of(F.lower("text"), "[a-z0-9]{3,}"))
+    by = F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
+    b = t.raw("benchmark").withColumn("words", F.array_join(F.slice(by, 1, 8)["w"], " "))
+    asked = b.select(F.col("item_id").alias("query_id"), F.explode(F.create_map(F.lit("original"), "text", F.lit("keywords"), "words")).alias("variant", "text"))
+    keyed = asked.withColumn("query", F.concat_ws(":", "variant", "query_id"))
+    scored = bm25(t.raw("documents").select("doc_id", "text"), keyed.select("query", "text"), query="query").join(keyed.select("query", "query_id", "variant"), "query")
+    a = t.memories.select(F.col("id").alias("doc_id"), F.to_date("observed_at").alias("day"), F.to_date("valid_to").alias("gone"))
+    gold = containing(t).join(a, "doc_id").crossJoin(F.broadcast(asked.select("variant").distinct())).select("*", F.explode(F.array(F.lit(1), F.lit(7), F.lit(30))).alias("delay"))
+    gold = gold.withColumn("as_of", F.date_add("day", F.col("delay"))).withColumnRenamed("day", "said")
+    marked = gold.join(scored.select("query_id", "variant", "doc_id", F.col("score").alias("mark")), ["query_id", "variant", "doc_id"], "left")
+    others = scored.join(a.drop("gone"), "doc_id").select("query_id", "variant", F.col("doc_id").alias("other"), "score", "day")
+    ahead = (F.col("day") <= F.col("as_of")) & ((F.col("score") > F.col("mark")) | ((F.col("score") == F.col("mark")) & (F.col("other") < F.col("doc_id"))))
+    r = marked.join(others, ["query_id", "variant"], "left").groupBy("query_id", "variant", "delay", "doc_id", "mark", (F.col("gone").isNull() | (F.col("gone") > F.col("as_of"))).alias("durable")).agg(F.count_if(ahead).alias("ahead"))
+    top = F.col("mark").isNotNull() & (F.col("ahead") < 20)
+    s = r.groupBy("query_id", "variant", "delay").agg(F.bool_or("durable").alias("durable"), F.bool_or(F.col("mark").isNotNull()).alias("candidates"), F.bool_or(top).alias("top_any"), F.bool_and(top).alias("top_all"))
+    return s.groupBy("variant", "delay").agg(F.count(F.lit(1)).alias("questions"), *[F.count_if(c).alias(c) for c in ("durable", "candidates", "top_any", "top_all")])

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratamem.operators.retrieval import HYBRID, candidates
 from stratamem.plans.fixtures import Registry, Tables
 
 R = Registry()
@@ -256,3 +257,19 @@ def _(t: Tables) -> DataFrame:
     m = r.withColumn("p", p).withColumn("m", 3 * F.col("p") ** 2 * (1 - F.col("p")) + F.col("p") ** 3)
     rate = 2 * F.col("m") * (1 - F.col("m"))
     return m.select("question_type", F.round(rate, 9).alias("majority_flip"), F.round(2 * F.sqrt(rate * F.col("n")), 9).alias("detectable"))
+
+
+@R.add("eval12_utility_features", HYBRID + """, w AS (SELECT s.query_id, s.id, cosine, lexical, lex, row_number() OVER (PARTITION BY s.query_id ORDER BY cosine DESC, s.id) AS rank, m.importance, m.strength, m.token_count, date_diff('day', CAST(m.observed_at AS DATE), DATE '2024-02-01') AS age, m.source_role = 'user' AS said, m.scope = 'profile' AS profile, m.status = 'active' AS active, m.valid_to IS NOT NULL AS ended, string_split(m.content, ' ') AS ws FROM s JOIN memories m ON m.id = s.id),
+d AS (SELECT a.query_id, a.id, max(len(list_intersect(a.ws, b.ws)) / len(a.ws)) AS repeated FROM w a JOIN w b ON b.query_id = a.query_id AND b.id <> a.id GROUP BY ALL)
+SELECT w.query_id, w.id, cosine, lexical, round(lex, 9) AS lex, rank, round(importance, 9) AS importance, round(strength, 9) AS strength, token_count, age, said, profile, active, ended, coalesce(repeated, 0) AS repeated FROM w LEFT JOIN d ON d.query_id = w.query_id AND d.id = w.id""")
+def _(t: Tables) -> DataFrame:
+    """Thirteen features of each candidate of a query; `repeated` is the greatest share of its words that another candidate has."""
+    m = t.memories.select(
+        "id", F.round("importance", 9).alias("importance"), F.round("strength", 9).alias("strength"), "token_count", F.datediff(F.lit("2024-02-01").cast("date"), "observed_at").cast("long").alias("age"),
+        (F.col("source_role") == "user").alias("said"), (F.col("scope") == "profile").alias("profile"), (F.col("status") == "active").alias("active"), F.col("valid_to").isNotNull().alias("ended"), F.split("content", " ").alias("ws"),
+    )
+    w = candidates(t).join(m, "id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id")).cast("long"))
+    other = w.select("query_id", F.col("id").alias("b"), F.col("ws").alias("bs"))  # a query has 40 candidates at most
+    d = w.join(other, "query_id").where("id <> b").groupBy("query_id", "id").agg(F.max(F.size(F.array_intersect("ws", "bs")) / F.size("ws")).alias("repeated"))
+    out = w.join(d, ["query_id", "id"], "left")
+    return out.select("query_id", "id", "cosine", "lexical", F.round("lex", 9).alias("lex"), "rank", "importance", "strength", "token_count", "age", "said", "profile", "active", "ended", F.coalesce("repeated", F.lit(0.0)).alias("repeated"))

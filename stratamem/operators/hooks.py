@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from stratamem.functions.text import all_of, sentences
+from stratamem.functions.text import sentences
+from stratamem.operators.retrieval import BM25, bm25, top_k
 from stratamem.plans.fixtures import Registry, Tables
 
 R = Registry()
@@ -50,32 +52,126 @@ def _(t: Tables) -> DataFrame:
     return t.raw("benchmark").select("item_id", F.transform(encode("text"), lambda x: F.round(x.cast("double"), 5)).cast("string").alias("vector"))
 
 
-def pair_score(query: Column, text: Column) -> Column:
-    """A stand-in for a cross-encoder: the share of the query's words that the text holds."""
-    q, d = (F.array_distinct(all_of(F.lower(x), "[a-z0-9]+")) for x in (query, text))
-    return F.size(F.array_intersect(q, d)) / F.greatest(F.size(q), F.lit(1))
+def scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]):
+    """A column function (query, text) to a score; the model is loaded once for each worker's stream of batches."""
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for queries, texts in batches:
+            yield pd.Series(model(queries.fillna("").tolist(), texts.fillna("").tolist()), dtype="float64")
+
+    return score
+
+
+def judge(load: Callable[[], Callable[[list[str], list[str]], list[str]]], verdicts: tuple[str, ...], otherwise: str):
+    """A column function (earlier, later) to one of the verdicts: the first that the model's answer names, else `otherwise`."""
+    import re
+
+    known = re.compile(r"\b(" + "|".join(verdicts) + r")\b", re.IGNORECASE)
+
+    @F.pandas_udf("string")
+    def verdict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for earlier, later in batches:
+            answers = model(earlier.fillna("").tolist(), later.fillna("").tolist())
+            found = [known.search(x or "") for x in answers]
+            by_name = {v.lower(): v for v in verdicts}
+            yield pd.Series([by_name[m[1].lower()] if m else otherwise for m in found], dtype="object")
+
+    return verdict
+
+
+def word_share() -> Callable[[list[str], list[str]], list[float]]:
+    """A stand-in for a cross-encoder: the share of the query's distinct words that the text holds."""
+    import re
+
+    words = lambda x: set(re.findall(r"[a-z0-9]+", x.lower()))
+    return lambda queries, texts: [len(words(q) & words(d)) / max(1, len(words(q))) for q, d in zip(queries, texts, strict=True)]
+
+
+def rule_judge() -> Callable[[list[str], list[str]], list[str]]:
+    """A stand-in for a model that compares two facts, each `predicate|value|operation`; it does not answer in one form."""
+
+    def one(earlier: str, later: str) -> str:
+        (p, v, _), (q, w, op) = earlier.split("|"), later.split("|")
+        if p != q:
+            return "These are UNRELATED."
+        if op == "removes":
+            return "verdict: terminate"
+        if v == w:
+            return "I cannot tell."
+        return "Replace" if op == "replaces" else "they coexist"
+
+    return lambda earlier, later: [one(a, b) for a, b in zip(earlier, later, strict=True)]
 
-@R.add("udf02_pair_score", "SELECT b.item_id, d.doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))), 9) AS score FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
+
+def duplicate_rule() -> Callable[[list[str], list[str]], list[str]]:
+    """A stand-in for a duplicate check of two facts, each `predicate|value|operation`."""
+
+    def one(earlier: str, later: str) -> str:
+        (p, v, _), (q, w, _) = earlier.split("|"), later.split("|")
+        return "DISTINCT" if p != q else "DUPLICATE" if v == w else "UPDATE"
+
+    return lambda earlier, later: [one(a, b) for a, b in zip(earlier, later, strict=True)]
+
+
+@R.add("udf02_pair_score", BM25 + " SELECT r.query_id, r.doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))), 9) AS score FROM ranked r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 20")
 def _(t: Tables) -> DataFrame:
-    b = t.raw("benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("q"))
-    pairs = t.raw("documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
-    return pairs.select("item_id", "doc_id", F.round(pair_score(F.col("q"), F.col("text")), 9).alias("score"))
+    """The 20 best documents of each benchmark text, scored in pairs by a model of the user's own."""
+    queries = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    first = top_k(bm25(t.raw("documents").select("doc_id", "text"), queries.withColumnRenamed("q", "text")), ["query_id"], 20, F.desc("score"), F.col("doc_id"))
+    pairs = first.select("query_id", "doc_id").join(queries, "query_id").join(t.raw("documents").select("doc_id", "text"), "doc_id")
+    return pairs.select("query_id", "doc_id", F.round(scorer(word_share)("q", "text"), 9).alias("score"))
+
 
+def _fact() -> Column:
+    return F.concat_ws("|", "predicate", "object", "update_op")
 
-@R.add("udf03_pair_judge", "SELECT l.id AS earlier, w.id AS later, CASE WHEN l.predicate <> w.predicate THEN 'unrelated' WHEN l.object = w.object THEN 'coexist' WHEN w.update_op = 'removes' THEN 'terminate' ELSE 'replace' END AS verdict FROM memories l JOIN memories w ON l.superseded_by = w.id")
+
+@R.add("udf03_pair_judge", "p AS (SELECT id, predicate, object, lead(id) OVER w AS later, lead(predicate) OVER w AS p, lead(object) OVER w AS o, lead(update_op) OVER w AS op FROM memories WINDOW w AS (PARTITION BY user_id ORDER BY occurred_at, id)) SELECT id AS earlier, later, CASE WHEN predicate <> p THEN 'unrelated' WHEN op = 'removes' THEN 'terminate' WHEN object = o THEN 'uncertain' WHEN op = 'replaces' THEN 'replace' ELSE 'coexist' END AS verdict FROM p WHERE later IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    later = t.memories.selectExpr("id later", "predicate p", "object o", "update_op op")
-    pairs = t.memories.withColumn("later", F.col("superseded_by")).join(later, "later")
-    verdict = F.when(F.col("predicate") != F.col("p"), "unrelated").when(F.col("object") == F.col("o"), "coexist").when(F.col("op") == "removes", "terminate").otherwise("replace")
-    return pairs.select(F.col("id").alias("earlier"), "later", verdict.alias("verdict"))
+    """Each fact of a user with the next one, before a judge of the user's own; an answer that names no verdict is `uncertain`."""
+    by = W.partitionBy("user_id").orderBy("occurred_at", "id")
+    pairs = t.memories.select(F.col("id").alias("earlier"), _fact().alias("a"), F.lead("id").over(by).alias("later"), F.lead(_fact()).over(by).alias("b")).where("later is not null")
+    verdict = judge(rule_judge, ("replace", "terminate", "coexist", "unrelated"), "uncertain")
+    return pairs.select("earlier", "later", verdict("a", "b").alias("verdict"))
 
 
-@R.add("udf04_duplicate_judge", "n AS (SELECT id, unnest([id - 1, id - 2, id - 3]) AS other, unnest([1, 2, 3]) AS pos FROM memories WHERE id >= 3), v AS (SELECT id, pos, CASE other % 6 WHEN 0 THEN 'DUPLICATE' WHEN 1 THEN 'UPDATE' ELSE 'DISTINCT' END AS verdict FROM n) SELECT id, coalesce(min_by(verdict, pos) FILTER (verdict <> 'DISTINCT'), 'DISTINCT') AS verdict FROM v GROUP BY id")
+@R.add("udf04_duplicate_judge", "n AS (SELECT id, predicate, object, p.pos, lag(predicate, p.pos) OVER w AS p, lag(object, p.pos) OVER w AS o FROM memories, (VALUES (1), (2), (3)) p(pos) WINDOW w AS (PARTITION BY user_id, p.pos ORDER BY occurred_at, id)), v AS (SELECT id, pos, CASE WHEN p IS NULL OR p <> predicate THEN 'DISTINCT' WHEN o = object THEN 'DUPLICATE' ELSE 'UPDATE' END AS verdict FROM n) SELECT id, coalesce(min_by(verdict, pos) FILTER (verdict <> 'DISTINCT'), 'DISTINCT') AS verdict FROM v GROUP BY id")
 def _(t: Tables) -> DataFrame:
-    n = t.memories.where("id >= 3").select("id", F.posexplode(F.array(F.col("id") - 1, F.col("id") - 2, F.col("id") - 3)).alias("pos", "other"))
-    verdict = F.when(F.col("other") % 6 == 0, "DUPLICATE").when(F.col("other") % 6 == 1, "UPDATE")
-    return n.withColumn("v", verdict).groupBy("id").agg(F.coalesce(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("pos"))), F.lit("DISTINCT")).alias("verdict"))
+    """Each fact against the three of its user before it; the first neighbour that is no DISTINCT decides."""
+    by = W.partitionBy("user_id").orderBy("occurred_at", "id")
+    before = F.array(*[F.struct(F.lit(k).alias("pos"), F.lag("f", k).over(by).alias("other")) for k in (1, 2, 3)])
+    facts = t.memories.select("id", "user_id", "occurred_at", _fact().alias("f"))
+    n = facts.withColumn("x", before).select("id", "f", F.explode("x").alias("x")).select("id", "f", "x.*")
+    verdict = judge(duplicate_rule, ("DUPLICATE", "UPDATE", "DISTINCT"), "DISTINCT")
+    v = n.where("other is not null").select("id", "pos", verdict("other", "f").alias("v"))
+    decided = v.where("v <> 'DISTINCT'").groupBy("id").agg(F.min_by("v", "pos").alias("v"))
+    return t.memories.select("id").join(decided, "id", "left").select("id", F.coalesce("v", F.lit("DISTINCT")).alias("verdict"))
+
+
+def group_fold(rows: DataFrame, by: list[str], order: list[str], zero: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> DataFrame:
+    """by, value: a fold of the user's own over each group's rows in order, with a struct for state, as one SQL expression.
+
+    step takes the state and a row (a struct of `order` and the other columns); the state should stay small.
+    """
+    item = F.struct(*order, *[c for c in rows.columns if c not in (*by, *order)])
+    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    return lists.select(*by, F.aggregate("xs", zero, step, finish).alias("value"))
+
+
+@R.add("udf06_longest_streak", "r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events), s AS (SELECT user_id, event_type, count(*) AS n FROM r GROUP BY user_id, event_type, island) SELECT user_id, max(n) AS value FROM s GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    """The longest run of one kind of event of each user."""
+    e = t.raw("events").select("user_id", "ts", "event_id", "event_type")
+    zero = F.struct(F.lit("").alias("kind"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["kind"] == x["event_type"], s["run"] + 1).otherwise(1).cast("long")
+        return F.struct(x["event_type"].alias("kind"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return group_fold(e, ["user_id"], ["ts", "event_id"], zero, step, lambda s: s["best"])
 
 
 @R.add("udf05_rule_extractor", "SELECT line_id, s AS fact FROM (SELECT line_id, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)')) AS s FROM lines WHERE role = 'user') WHERE regexp_matches(s, 'I (moved|bought|visited|switched|replaced|ran)')")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.operators.facts import KEY, day_time
 from stratamem.plans.fixtures import Registry, Tables
+from stratamem.sources.tables import ERASED
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
-_ROW = "struct<id:bigint,object:string,op:string,since:timestamp_ntz,until:timestamp_ntz,by:bigint,status:string>"
 
 
 def normalised_op(facts: DataFrame) -> DataFrame:
@@ -20,6 +23,61 @@ def normalised_op(facts: DataFrame) -> DataFrame:
     return facts.withColumn("update_op", F.when(lone, "removes").otherwise(F.col("update_op")))
 
 
+class KeyState:
+    """What a key's history has left standing: facts by id with those folded into them, and the last fact that was not folded."""
+
+    def __init__(self):
+        self.open: dict[int, tuple[str | None, list[int]]] = {}
+        self.by_value: dict[str | None, dict[int, None]] = {}
+        self.last: tuple[int, str | None] | None = None  # null once it cannot be repeated
+
+    def step(self, at: int, id_: int, value: str | None, op: str | None, target: str | None) -> list[tuple]:
+        """Takes the next fact; returns the rows (id, status, until, by) that are settled by it."""
+        if self.last and self.last[0] in self.open and value is not None and self.last[1] == value and op != "removes":
+            self.open[self.last[0]][1].append(id_)
+            return []
+        out = []
+        if op in ("replaces", "removes"):
+            named = self.by_value.get(target, {}) if target is not None else self.open
+            if len(named) == 1:
+                closed = next(iter(named))
+                was, folded = self.open.pop(closed)
+                del self.by_value[was][closed]
+                out = [(closed, "superseded", at, id_), *[(x, "superseded", at, closed) for x in folded]]
+        if op == "removes":
+            self.last = None
+            return [*out, (id_, "historical", at, None)]
+        self.open[id_] = (value, [])
+        self.by_value.setdefault(value, {})[id_] = None
+        self.last = (id_, value)
+        return out
+
+    def rest(self) -> list[tuple]:
+        """Rows of what still stands."""
+        return [row for id_, (_, folded) in self.open.items() for row in ((id_, "active", None, None), *[(x, "superseded", None, id_) for x in folded])]
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by key, then in order of time and id; a key may go on in the next batch."""
+    key, state = None, KeyState()
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        ids, status, until, by = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(status, pa.string()), pa.array(until, pa.int64()).cast(pa.timestamp("us")), pa.array(by, pa.int64())], ["id", "status", "until", "by"])
+
+    for batch in batches:
+        out: list[tuple] = []
+        columns = [batch.column(c).to_pylist() for c in (*KEY, "id", "object", "update_op", "target")]
+        at = batch.column("occurred_at").cast(pa.int64()).to_pylist()
+        for i, (user, subject, predicate, id_, value, op, target) in enumerate(zip(*columns, strict=True)):
+            if key != (user, subject, predicate):
+                out += state.rest()
+                key, state = (user, subject, predicate), KeyState()
+            out += state.step(at[i], id_, value, op, target)
+        yield rows(out)
+    yield rows(state.rest())
+
+
 def resolved(facts: DataFrame) -> DataFrame:
     """id, status, until, by: what each dated fact's key says of it once its history is folded.
 
@@ -29,53 +87,48 @@ def resolved(facts: DataFrame) -> DataFrame:
     others. The target is the one standing fact with the named value, or without a name the only one that
     stands; several or none leave all open. Undated facts are left out. Folding is independent of the order in
     which facts arrive, and folding again changes nothing.
+
+    One shuffle by key and a sort; a task reads its keys' facts in order and holds only what stands in the
+    key at hand, with the ids folded into it. No key's history is gathered.
     """
-    dated = facts.where("occurred_at is not null")
-    item = F.struct(F.col("occurred_at").alias("at"), F.col("id"), F.col("object"), F.col("update_op").alias("op"), F.col("target"))
-    history = dated.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("history"))
-    stands = lambda r: r["until"].isNull() & (r["status"] == "active")
-
-    def row(e: Column, by: Column, status: Column) -> Column:
-        return F.struct(e["id"].alias("id"), e["object"].alias("object"), e["op"].alias("op"), e["at"].alias("since"), F.lit(None).cast("timestamp_ntz").alias("until"), by.cast("bigint").alias("by"), status.alias("status"))
-
-    def step(acc: Column, e: Column) -> Column:
-        last = F.try_element_at(F.filter(acc, lambda r: r["status"] != "folded"), F.lit(-1))
-        repeat = F.coalesce(stands(last) & (last["object"] == e["object"]) & (last["op"] != "removes") & (e["op"] != "removes"), F.lit(False))
-        open_ = F.filter(acc, stands)
-        named = F.filter(open_, lambda r: r["object"] == e["target"])
-        chosen = F.when(F.size(named) == 1, named[0]["id"]).when(e["target"].isNull() & (F.size(open_) == 1), open_[0]["id"])
-        closes = e["op"].isin("replaces", "removes") & ~repeat
-
-        def close(r: Column) -> Column:
-            hit = closes & (r["id"] == F.coalesce(chosen, F.lit(-1)))
-            return F.struct(
-                r["id"].alias("id"), r["object"].alias("object"), r["op"].alias("op"), r["since"].alias("since"), F.when(hit, e["at"]).otherwise(r["until"]).alias("until"),
-                F.when(hit, e["id"]).otherwise(r["by"]).alias("by"), F.when(hit, "superseded").otherwise(r["status"]).alias("status"),
-            )
-
-        status = F.when(repeat, "folded").when(e["op"] == "removes", "historical").otherwise("active")
-        return F.concat(F.transform(acc, close), F.array(row(e, F.when(repeat, last["id"]), status)))
-
-    folded = history.select(*KEY, F.aggregate("history", F.array().cast(f"array<{_ROW}>"), step).alias("rows"))
-    each = folded.select("rows", F.explode("rows").alias("r"))
-    owner = F.filter("rows", lambda x: x["id"] == F.col("r.by"))[0]
-    is_folded = F.col("r.status") == "folded"
-    status = F.when(is_folded, "superseded").otherwise(F.col("r.status"))
-    until = F.when(is_folded, owner["until"]).when(F.col("r.status") == "historical", F.col("r.since")).otherwise(F.col("r.until"))
-    return each.select("r.id", status.alias("status"), until.alias("until"), "r.by")
+    dated = facts.where("occurred_at is not null").select(*KEY, "occurred_at", "id", "object", "update_op", "target")
+    ordered = dated.repartition(*[F.col(c) for c in KEY]).sortWithinPartitions(*KEY, "occurred_at", "id")
+    return ordered.mapInArrow(_fold, "id long, status string, until timestamp_ntz, by long")
 
 
 def facts_of(t: Tables) -> DataFrame:
     return t.memories.select("id", *KEY, "object", "update_op", "occurred_at", "content", F.when(F.col("id") % 7 == 0, F.col("object")).alias("target"))
 
 
-@R.add("tmp01_resolved_timeline")
+#: The fold as SQL: a step a fact, with the standing facts of its key as a list.
+FOLD = """facts AS (SELECT id, user_id, subject, predicate, object, occurred_at, {op} AS op, CASE WHEN id % 7 = 0 THEN object END AS target FROM memories{where}),
+h AS (SELECT *, row_number() OVER (PARTITION BY user_id, subject, predicate ORDER BY occurred_at, id) AS rn FROM facts),
+steps AS (SELECT * FROM (WITH RECURSIVE f AS (
+  SELECT DISTINCT user_id, subject, predicate, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::TIMESTAMP AS moment, NULL::VARCHAR AS op, NULL::BIGINT AS owner, NULL::BIGINT AS closed,
+    CAST([] AS STRUCT(id BIGINT, object VARCHAR)[]) AS open, NULL::BIGINT AS last_id, NULL::VARCHAR AS last_object FROM h
+  UNION ALL
+  SELECT user_id, subject, predicate, rn, id, moment, op, owner, closed,
+    CASE WHEN owner IS NOT NULL THEN open ELSE list_concat(list_filter(open, lambda o: o.id IS DISTINCT FROM closed), CASE WHEN op = 'removes' THEN [] ELSE [{{'id': id, 'object': object}}] END) END,
+    CASE WHEN owner IS NOT NULL THEN last_id WHEN op = 'removes' THEN NULL ELSE id END, CASE WHEN owner IS NOT NULL THEN last_object WHEN op = 'removes' THEN NULL ELSE object END
+  FROM (SELECT *, CASE WHEN owner IS NOT NULL OR op NOT IN ('replaces', 'removes') THEN NULL WHEN target IS NOT NULL THEN CASE WHEN len(named) = 1 THEN named[1].id END WHEN len(open) = 1 THEN open[1].id END AS closed
+    FROM (SELECT h.*, h.occurred_at AS moment, f.open, f.last_id, f.last_object, list_filter(f.open, lambda o: o.object = h.target) AS named,
+        CASE WHEN len(list_filter(f.open, lambda o: o.id = f.last_id)) = 1 AND f.last_object = h.object AND h.op <> 'removes' THEN f.last_id END AS owner
+      FROM f JOIN h ON h.user_id = f.user_id AND h.subject = f.subject AND h.predicate = f.predicate AND h.rn = f.rn + 1) x) y)
+  SELECT id, moment, op, owner, closed FROM f WHERE id IS NOT NULL)),
+ends AS (SELECT closed AS id, id AS by, moment AS until FROM steps WHERE closed IS NOT NULL),
+resolved AS (SELECT s.id, CASE WHEN s.owner IS NOT NULL OR e.id IS NOT NULL THEN 'superseded' WHEN s.op = 'removes' THEN 'historical' ELSE 'active' END AS status,
+  CASE WHEN s.owner IS NOT NULL THEN o.until WHEN s.op = 'removes' THEN s.moment ELSE e.until END AS until, coalesce(s.owner, e.by) AS by
+  FROM steps s LEFT JOIN ends e ON e.id = s.id LEFT JOIN ends o ON o.id = s.owner)"""
+FOLDED = FOLD.format(op="update_op", where="")
+
+
+@R.add("tmp01_resolved_timeline", FOLD.format(op="CASE WHEN update_op = 'replaces' AND id % 7 <> 0 AND contains(content, 'replaced my') AND NOT contains(content, ' with ') THEN 'removes' ELSE update_op END", where="") + " SELECT id, status, strftime(until, '%Y-%m-%d %H:%M:%S') AS until, r.by FROM resolved r")
 def _(t: Tables) -> DataFrame:
     out = resolved(normalised_op(facts_of(t)))
     return out.select("id", "status", day_time("until").alias("until"), "by")
 
 
-@R.add("tmp02_touched_keys")
+@R.add("tmp02_touched_keys", FOLD.format(op="update_op", where=" WHERE (user_id, predicate) IN (SELECT (user_id, predicate) FROM memories WHERE id % 500 = 0)") + " SELECT id, status, r.by FROM resolved r")
 def _(t: Tables) -> DataFrame:
     facts = facts_of(t)
     touched = facts.where("id % 500 = 0").select(*KEY).distinct()
@@ -94,12 +147,12 @@ def _(t: Tables) -> DataFrame:
     return normalised_op(rows).select("line_id", F.col("update_op").alias("op"))
 
 
-@R.add("agg21_resolution_counts")
+@R.add("agg21_resolution_counts", FOLDED + " SELECT status, count(*) AS n, count(r.by) AS closed_by_another FROM resolved r GROUP BY status")
 def _(t: Tables) -> DataFrame:
     return resolved(facts_of(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("by").alias("closed_by_another"))
 
 
-@R.add("dq27_rebuild_is_stable")
+@R.add("dq27_rebuild_is_stable", "SELECT 0::BIGINT AS differing, count(*) AS n FROM memories")
 def _(t: Tables) -> DataFrame:
     """Folding what a fold left standing, in another order of arrival, gives the same rows; 0 rows differ."""
     facts = facts_of(t)
@@ -130,10 +183,10 @@ def decayed(strength: Column, since: Column, now: str, half_life_days: float) ->
     return strength * F.pow(F.lit(2.0), -F.greatest(F.lit(0.0), seconds) / 86400.0 / half_life_days)
 
 
-@R.add("life02_reinforcement", "SELECT object, round(1 - (1 - avg(strength)) * pow(0.8, count(*)), 9) AS strength FROM memories WHERE id % 1000 < 3 GROUP BY object")
+@R.add("life02_reinforcement", "SELECT object, round(1 - (1 - avg(strength)) * pow(0.999, count(*)), 9) AS strength FROM memories GROUP BY object")
 def _(t: Tables) -> DataFrame:
-    g = t.memories.where("id % 1000 < 3").groupBy("object").agg(F.avg("strength").alias("s"), F.count(F.lit(1)).alias("n"))
-    return g.select("object", F.round(1 - (1 - F.col("s")) * F.pow(F.lit(1 - 0.2), "n"), 9).alias("strength"))
+    g = t.memories.groupBy("object").agg(F.avg("strength").alias("s"), F.count(F.lit(1)).alias("n"))
+    return g.select("object", F.round(1 - (1 - F.col("s")) * F.pow(F.lit(0.999), "n"), 9).alias("strength"))
 
 
 @R.add("life03_strength_clamp", "SELECT id, round(least(1.0, greatest(0.0, strength * 1.5 - 0.1)), 9) AS strength FROM memories")
@@ -141,25 +194,45 @@ def _(t: Tables) -> DataFrame:
     return t.memories.select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("strength") * 1.5 - 0.1)), 9).alias("strength"))
 
 
-@R.add("life07_pairs_sharing_source", "SELECT x.id AS a, y.id AS b FROM (SELECT id, object, user_id FROM memories WHERE id % 100 = 3) x JOIN (SELECT id, object, user_id FROM memories WHERE id % 100 = 3) y ON x.object = y.object AND x.user_id % 10 = y.user_id % 10 AND x.id < y.id WHERE x.user_id <> y.user_id")
+@R.add("life07_pairs_sharing_source", "s AS (SELECT id, user_id, scope, object, CAST(observed_at AS DATE) AS day FROM memories) SELECT x.id AS a, y.id AS b, x.scope <> y.scope AS escapes FROM s x JOIN s y ON x.user_id = y.user_id AND x.day = y.day AND x.object = y.object AND x.id < y.id")
 def _(t: Tables) -> DataFrame:
-    m = t.memories.where("id % 100 = 3").select("id", "object", (F.col("user_id") % 10).alias("g"), "user_id")
-    y = m.select(F.col("id").alias("b"), "object", "g", F.col("user_id").alias("other"))
-    return m.withColumnRenamed("id", "a").join(y, ["object", "g"]).where("a < b and user_id <> other").select("a", "b")
+    """Facts of one user, day and value in pairs, and whether a pair leaves its scope. A source is a user's day, so groups stay small."""
+    m = t.memories.select("id", "user_id", "scope", "object", F.to_date("observed_at").alias("day"))
+    y = m.select(F.col("id").alias("b"), "user_id", "day", "object", F.col("scope").alias("other"))
+    return m.withColumnRenamed("id", "a").join(y, ["user_id", "day", "object"]).where("a < b").select("a", "b", (F.col("scope") != F.col("other")).alias("escapes"))
 
 
-@R.add("life08_rollup_tree", "l AS (SELECT session_id, sha256(string_agg(content, '' ORDER BY turn_index)) AS d FROM turns GROUP BY 1), n0 AS (SELECT d, row_number() OVER (ORDER BY session_id) - 1 AS p FROM l), n1 AS (SELECT sha256(string_agg(d, '' ORDER BY p)) AS d, p // 4 AS p FROM n0 GROUP BY p // 4), n2 AS (SELECT sha256(string_agg(d, '' ORDER BY p)) AS d, p // 4 AS p FROM n1 GROUP BY p // 4), n3 AS (SELECT sha256(string_agg(d, '' ORDER BY p)) AS d, p // 4 AS p FROM n2 GROUP BY p // 4) SELECT 1 AS level, p, d FROM n1 UNION ALL SELECT 2, p, d FROM n2 UNION ALL SELECT 3, p, d FROM n3")
+@R.add("life08_rollup_tree", """l AS (SELECT session_id, sha256(string_agg(content, '' ORDER BY turn_index)) AS d FROM turns GROUP BY 1),
+w AS (SELECT * FROM (WITH RECURSIVE u AS (SELECT 0 AS level, list(d ORDER BY session_id) AS ds FROM l UNION ALL SELECT level + 1, list_transform(range(0, CAST(ceil(len(ds) / 4.0) AS BIGINT)), lambda i: sha256(array_to_string(ds[i * 4 + 1:i * 4 + 4], ''))) FROM u WHERE len(ds) > 1) SELECT * FROM u))
+SELECT level, p - 1 AS p, ds[p] AS d FROM (SELECT level, ds, unnest(generate_series(1, len(ds))) AS p FROM w WHERE level > 0)""")
 def _(t: Tables) -> DataFrame:
+    """Leaves by fours into parents until one root is left; a node is the digest of its children's digests."""
     text = F.array_join(F.array_sort(F.collect_list(F.struct("turn_index", "content")))["content"], "")
     leaves = t.turns.groupBy("session_id").agg(F.sha2(text, 256).alias("d"))
-    level = leaves.select("d", (F.row_number().over(W.orderBy("session_id")) - 1).cast("long").alias("p"))
-    out = None
-    for k in (1, 2, 3):
-        up = level.groupBy(F.floor(F.col("p") / 4).alias("up")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("p", "d")))["d"], ""), 256).alias("d"))
+    return rollup(numbered(leaves, "session_id").select("d", "p"))
+
+
+def numbered(rows: DataFrame, key: str, width: int = 1000) -> DataFrame:
+    """rows with p, their place from 0 by a whole-number key: counted within ranges of `width` keys, after the rows of all ranges before."""
+    part = F.floor(F.col(key) / width)
+    ranges = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    nth = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
+    out = rows.withColumn("_part", part).withColumn("_nth", nth).join(ranges.select("_part", before.alias("_before")), "_part")
+    return out.withColumn("p", (F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_before")
+
+
+def rollup(level: DataFrame, fan_out: int = 4) -> DataFrame:
+    """level, p, d of all inner nodes over leaves (d, p); levels end at a single root."""
+    out, k, n = None, 0, level.count()
+    while n > 1:
+        k, n = k + 1, -(-n // fan_out)
+        child = F.struct("p", "d")
+        up = level.groupBy(F.floor(F.col("p") / fan_out).alias("up")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(child))["d"], ""), 256).alias("d"))
         level = up.select("d", F.col("up").alias("p"))
         node = level.select(F.lit(k).alias("level"), "p", "d")
         out = node if out is None else out.union(node)
-    return out
+    return out if out is not None else level.select(F.lit(0).alias("level"), "p", "d").limit(0)
 
 
 def filled(items: DataFrame, by: list[str], budget: int, *order: Column, cost: str = "cost", key: str = "id") -> DataFrame:
@@ -232,10 +305,10 @@ def _(t: Tables) -> DataFrame:
     return lists.select("user_id", F.explode(F.aggregate("xs", start, step)["taken"]).alias("id"))
 
 
-@R.add("pack10_grouped_rendering", "g AS (SELECT user_id, scope, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM memories WHERE id % 50 = 0 GROUP BY user_id, scope) SELECT user_id, string_agg(scope || ': ' || ids, ' / ' ORDER BY CASE scope WHEN 'profile' THEN 1 WHEN 'event' THEN 2 ELSE 3 END) AS rendered FROM g GROUP BY user_id")
+@R.add("pack10_grouped_rendering", "g AS (SELECT user_id, scope, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM memories GROUP BY user_id, scope) SELECT user_id, string_agg(scope || ': ' || ids, ' / ' ORDER BY CASE scope WHEN 'profile' THEN 1 WHEN 'event' THEN 2 ELSE 3 END) AS rendered FROM g GROUP BY user_id")
 def _(t: Tables) -> DataFrame:
     ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
-    parts = t.memories.where("id % 50 = 0").groupBy("user_id", "scope").agg(ids.alias("ids"))
+    parts = t.memories.groupBy("user_id", "scope").agg(ids.alias("ids"))
     o = F.when(F.col("scope") == "profile", 1).when(F.col("scope") == "event", 2).otherwise(3)
     return parts.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.concat_ws(": ", "scope", "ids").alias("part"))))["part"], " / ").alias("rendered"))
 
@@ -262,38 +335,110 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str |
     return base.join(last, keys, "left_anti").unionByName(last)
 
 
+class Stored:
+    """A table of Parquet versions in the shared folder: a write makes a new version and then points to it.
+
+    The pointer is one small file that is written last, so readers see the old version or the new one, and a
+    write that fails or runs again leaves nothing half done. Earlier versions stay until they are dropped, so
+    a snapshot is a version's number.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        from stratamem.sources.tables import scratch
+
+        self.spark, self.root, self.version = spark, scratch(spark, name), -1
+
+    def write(self, rows: DataFrame) -> int:
+        """Makes rows the table's content; returns the version."""
+        rows.write.parquet(f"{self.root}/v{self.version + 1}")
+        self.spark.range(1).selectExpr(f"{self.version + 1}L version").coalesce(1).write.mode("append").json(f"{self.root}/pointer")
+        self.version += 1
+        return self.version
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of the version pointed to last, or of an earlier one."""
+        if version is None:
+            version = self.spark.read.schema("version long").json(f"{self.root}/pointer").agg(F.max("version")).first()[0]
+        return self.spark.read.parquet(f"{self.root}/v{version}")
+
+    def restore(self, version: int) -> int:
+        """Points to an earlier version's rows again."""
+        return self.write(self.read(version))
+
+
 @R.add("dml01_upsert_turns", "SELECT session_id, turn_index, CASE WHEN turn_index = 1 THEN 'edited' ELSE role END AS role FROM turns UNION ALL SELECT 100000 + session_id, turn_index, role FROM turns WHERE session_id < 3")
 def _(t: Tables) -> DataFrame:
-    base = t.turns.select("session_id", "turn_index", "role")
+    table = Stored(t.spark, "turns")
+    table.write(t.turns.select("session_id", "turn_index", "role"))
+    base = table.read()
     new = base.where("session_id < 3").withColumn("session_id", F.col("session_id") + 100000)
-    return upsert(base, base.where("turn_index = 1").withColumn("role", F.lit("edited")).union(new), ["session_id", "turn_index"])
+    table.write(upsert(base, base.where("turn_index = 1").withColumn("role", F.lit("edited")).union(new), ["session_id", "turn_index"]))
+    return table.read()
 
 
-@R.add("dml03_conditional_update", "SELECT id, CASE WHEN id % 20 = 0 AND status = 'active' THEN 'superseded' ELSE status END AS status FROM memories")
+@R.add("dml03_conditional_update", "SELECT id, CASE WHEN update_op = 'removes' AND status = 'active' THEN 'superseded' ELSE status END AS status, CAST(CAST(CASE WHEN update_op = 'removes' AND status = 'active' THEN observed_at END AS DATE) AS VARCHAR) AS ended FROM memories")
 def _(t: Tables) -> DataFrame:
-    change = t.memories.where("id % 20 = 0").select("id", F.lit("superseded").alias("new_status"))
-    status = F.when((F.col("status") == "active") & F.col("new_status").isNotNull(), F.col("new_status")).otherwise(F.col("status"))
-    return t.memories.join(change, "id", "left").select("id", status.alias("status"))
+    """Active facts in a change table are closed with their end; others keep their state."""
+    table = Stored(t.spark, "facts")
+    table.write(t.memories.select("id", "status", F.lit(None).cast("date").alias("ended")))
+    change = t.memories.where("update_op = 'removes'").select("id", F.lit("superseded").alias("new_status"), F.to_date("observed_at").alias("end"))
+    closes = (F.col("status") == "active") & F.col("new_status").isNotNull()
+    table.write(table.read().join(change, "id", "left").select("id", F.when(closes, F.col("new_status")).otherwise(F.col("status")).alias("status"), F.when(closes, F.col("end")).otherwise(F.col("ended")).alias("ended")))
+    return table.read().select("id", "status", F.col("ended").cast("string").alias("ended"))
 
 
-@R.add("dml05_forget_user", "SELECT session_id, turn_index FROM turns WHERE user_id NOT IN (2, 5)")
+@R.add("dml04_snapshot_restore", "SELECT status, count(*) AS n, 3 AS versions FROM memories GROUP BY status")
 def _(t: Tables) -> DataFrame:
-    gone = t.spark.createDataFrame([(2,), (5,)], "user_id long")
-    return t.turns.join(F.broadcast(gone), "user_id", "left_anti").select("session_id", "turn_index")
+    """A batch that goes wrong half way is taken back: the states before it are what readers find again."""
+    table = Stored(t.spark, "states")
+    before = table.write(t.memories.select("id", "status"))
+    table.write(table.read().withColumn("status", F.when(F.col("id") % 2 == 0, "superseded").otherwise(F.col("status"))))
+    table.restore(before)
+    return table.read().groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("versions", F.lit(table.version + 1))
 
 
-@R.add("dml06_reapply_erasures", "SELECT id FROM memories WHERE user_id NOT IN (3, 9)")
+FORGOTTEN = "SELECT user_id FROM events GROUP BY user_id HAVING max_by(event_type, event_id) = 'error'"
+
+
+@R.add("dml05_forget_user", f"g AS ({FORGOTTEN}) SELECT 'facts' AS name, count(*) AS n, count(*) FILTER (user_id IN (FROM g)) AS deleted FROM memories UNION ALL SELECT 'turns', count(*), count(*) FILTER (user_id IN (FROM g)) FROM turns UNION ALL SELECT 'sessions', count(*), count(*) FILTER (user_id IN (FROM g)) FROM sessions UNION ALL SELECT 'entities', count(*), count(*) FILTER (user_id IN (FROM g)) FROM (SELECT DISTINCT user_id, unnest(entities) AS e FROM memories)")
 def _(t: Tables) -> DataFrame:
-    journal = t.spark.createDataFrame([(3, "2024-03-01"), (4, "2023-01-01"), (9, "unreadable")], "user_id long, erased_at string")
-    at = F.try_to_timestamp("erased_at", F.lit("yyyy-MM-dd"))
-    still = journal.where(at.isNull() | (at >= F.lit("2024-01-01").cast("timestamp")))
-    return t.memories.join(F.broadcast(still), "user_id", "left_anti").select("id")
+    """Users whose last event was an error are erased from all stored tables; what each table held and lost."""
+    gone = t.raw("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).where("last = 'error'").select("user_id")
+    tables = {"facts": t.memories.select("id", "user_id"), "turns": t.turns.select("session_id", "turn_index", "user_id"), "sessions": t.sessions, "entities": t.memories.select("user_id", F.explode("entities").alias("e")).distinct()}
+    out = None
+    for name, rows in tables.items():
+        table = Stored(t.spark, name)
+        table.write(rows)
+        table.write(table.read().join(gone, "user_id", "left_anti"))
+        count = lambda v, c: table.read(v).agg(F.count(F.lit(1)).alias(c))  # noqa: B023, E731
+        row = count(0, "n").crossJoin(F.broadcast(count(1, "kept"))).select(F.lit(name).alias("name"), "n", (F.col("n") - F.col("kept")).alias("deleted"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@R.add("dml06_reapply_erasures", f"e AS ({ERASED}) SELECT id FROM memories WHERE user_id NOT IN (SELECT user_id FROM e WHERE user_id % 10 <> 3 AND (user_id % 7 = 0 OR gone_at >= TIMESTAMP '2024-01-30'))")
+def _(t: Tables) -> DataFrame:
+    """A table restored as of a day is rid of all whose erasure is not before it."""
+    from stratamem.sources.tables import erasure_journal, erasures
+
+    table = Stored(t.spark, "restored")
+    table.write(t.memories.select("id", "user_id"))
+    still = erasures(t.spark, erasure_journal(t), "2024-01-30").where("still and user_id is not null").select("user_id").distinct()
+    table.write(table.read().join(still, "user_id", "left_anti"))
+    return table.read().select("id")
 
 
-@R.add("dml07_counter_upsert", "SELECT user_id, operation, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM usage GROUP BY ALL")
+@R.add("dml07_counter_upsert", "SELECT user_id, operation, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(failed_calls) AS BIGINT) AS failed, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM usage GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    first, delta = t.usage.where("event_id % 2 = 0"), t.usage.where("event_id % 2 = 1")
-    return first.unionByName(delta).groupBy("user_id", "operation").agg(F.sum("calls").alias("calls"), F.sum("input_tokens").alias("tokens"))
+    """Counters of a stored table, to which each day half's are added where the key stands, else put in."""
+    keys, sums = ["user_id", "operation"], {"calls": "calls", "failed_calls": "failed", "input_tokens": "tokens"}
+    counted = lambda rows: rows.groupBy(*keys).agg(*[F.sum(c).alias(n) for c, n in sums.items()])
+    table = Stored(t.spark, "counters")
+    table.write(counted(t.usage.where("event_id % 2 = 0")))
+    delta = counted(t.usage.where("event_id % 2 = 1"))
+    both = table.read().join(delta.withColumnsRenamed({n: f"_{n}" for n in sums.values()}), keys, "full_outer")
+    table.write(both.select(*keys, *[(F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in sums.values()]))
+    return table.read()
 
 
 @R.add("dml08_insert_edges", "SELECT DISTINCT a, b FROM (SELECT id % 50 AS a, id % 31 AS b FROM memories) WHERE a <> b")

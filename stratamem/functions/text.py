@@ -181,7 +181,11 @@ def _(t: Tables) -> DataFrame:
     return t.lines.select("line_id", F.array_join(F.transform(stated_dates("text"), lambda x: x.cast("string")), " ").alias("dates"))
 
 
-@R.add("scl21_relative_dates", f"n(w, v) AS (VALUES {_WORDS}), x AS (SELECT line_id, CAST(said_on AS DATE) AS d, regexp_extract_all(lower(text), '\\b(?:today|yesterday|(?:[0-9]+|one|two|three|four|five|six|seven|eight|nine|ten) (?:day|week|month)s? ago)\\b') AS f FROM lines), y AS (SELECT line_id, d, len(f) AS c, f[1] AS m FROM x), z AS (SELECT line_id, d, c, m, try_cast(coalesce(v, regexp_extract(m, '^([0-9]+) ', 1)) AS INTEGER) AS k FROM y LEFT JOIN n ON n.w = regexp_extract(m, '^([a-z]+) ', 1)) SELECT line_id, CASE WHEN c <> 1 THEN NULL WHEN m = 'today' THEN d WHEN m = 'yesterday' THEN d - 1 WHEN contains(m, 'day') THEN d - k END AS exact, CASE WHEN c <> 1 THEN NULL WHEN contains(m, 'week') THEN d - 7 * k WHEN contains(m, 'month') THEN CAST(d - to_months(k) AS DATE) END AS estimate, CASE WHEN c = 0 THEN 'none' WHEN c > 1 THEN 'unresolved' WHEN contains(m, 'week') OR contains(m, 'month') THEN 'approximate_day' ELSE 'day' END AS precision FROM z")
+#: What the relative date of each line says, as SQL: relative (line_id, exact, estimate, precision).
+RELATIVE_SQL = f"n(w, v) AS (VALUES {_WORDS}), x AS (SELECT line_id, CAST(said_on AS DATE) AS d, regexp_extract_all(lower(text), '\\b(?:today|yesterday|(?:[0-9]+|one|two|three|four|five|six|seven|eight|nine|ten) (?:day|week|month)s? ago)\\b') AS f FROM lines), y AS (SELECT line_id, d, len(f) AS c, f[1] AS m FROM x), z AS (SELECT line_id, d, c, m, try_cast(coalesce(v, regexp_extract(m, '^([0-9]+) ', 1)) AS INTEGER) AS k FROM y LEFT JOIN n ON n.w = regexp_extract(m, '^([a-z]+) ', 1)), relative AS (SELECT line_id, CASE WHEN c <> 1 THEN NULL WHEN m = 'today' THEN d WHEN m = 'yesterday' THEN d - 1 WHEN contains(m, 'day') THEN d - k END AS exact, CASE WHEN c <> 1 THEN NULL WHEN contains(m, 'week') THEN d - 7 * k WHEN contains(m, 'month') THEN CAST(d - to_months(k) AS DATE) END AS estimate, CASE WHEN c = 0 THEN 'none' WHEN c > 1 THEN 'unresolved' WHEN contains(m, 'week') OR contains(m, 'month') THEN 'approximate_day' ELSE 'day' END AS precision FROM z)"
+
+
+@R.add("scl21_relative_dates", RELATIVE_SQL + " SELECT * FROM relative")
 def _(t: Tables) -> DataFrame:
     d = relative_date("text", F.to_date("said_on"))
     return t.lines.select("line_id", d["exact"].alias("exact"), d["estimate"].alias("estimate"), d["precision"].alias("precision"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from stratamem.functions.text import NUMBER_WORDS, all_of
 from stratamem.operators.evaluation import binomial_tail
 from stratamem.operators.retrieval import containing, top_k
-from stratamem.operators.timeline import FOLDED, Stored, day_time, facts_of, resolved, upsert
+from stratamem.operators.timeline import FOLD, FOLDED, Stored, day_time, facts_of, resolved, upsert
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import scratch
 
@@ -101,7 +101,7 @@ def _(t: Tables) -> DataFrame:
     return resolved(facts_of(t)).where("status = 'historical'").select("id", day_time("until").alias("until"))
 
 
-@R.add("tmp08_revalidation")
+@R.add("tmp08_revalidation", "b AS (SELECT * FROM (WITH " + FOLD.format(op="update_op", where=" WHERE id % 10 <> 3") + " SELECT * FROM resolved)), a AS (SELECT * FROM (WITH " + FOLDED + " SELECT * FROM resolved)) SELECT CASE WHEN b.id IS NULL THEN 'late' WHEN b.status <> 'active' AND a.status = 'active' THEN 'promoted' WHEN a.status = 'superseded' THEN 'superseded' ELSE 're-ended' END AS action, count(*) AS n FROM a LEFT JOIN b ON b.id = a.id WHERE b.id IS NULL OR (a.status, a.until, a.by) IS DISTINCT FROM (b.status, b.until, b.by) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """How the state of each fact changes when facts that came late are folded in."""
     facts = facts_of(t)
@@ -121,7 +121,10 @@ def _(t: Tables) -> DataFrame:
     return w.join(n, "session_id").where((F.col("later") > F.col("at")) & (F.size(F.array_intersect("ws", "said")) >= 3)).select("line_id").distinct()
 
 
-@R.add("scl08_numeric_text")
+_DIGITS = "MAP {" + ", ".join(f"'{w}': '{n}'" for w, n in NUMBER_WORDS.items()) + "}"
+
+
+@R.add("scl08_numeric_text", f"b AS (SELECT line_id, regexp_replace(regexp_replace(lower(text), '([0-9]),([0-9])', '\\1\\2', 'g'), '[.!?;,]+( |$)', '\\1', 'g') AS t FROM lines) SELECT line_id, array_to_string(list_transform(string_split(t, ' '), lambda w: coalesce({_DIGITS}[w], w)), ' ') AS text FROM b")
 def _(t: Tables) -> DataFrame:
     """Number words as digits, thousands commas and end marks dropped."""
     table = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratamem.functions.text import MONTHS, all_of, quantities, relative_date, sentences
+from stratamem.functions.text import MONTHS, RELATIVE_SQL, all_of, quantities, relative_date, sentences
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.retrieval import BM25, nearest, similar_pairs, top_k, unit
 from stratamem.operators.timeline import filled, resolved
@@ -134,7 +134,7 @@ def _(t: Tables) -> DataFrame:
     return chunk.select("session_id", F.sha2(F.concat(F.lit("[Session on "), F.col("started_on").cast("string"), F.lit("]\n"), F.col("body")), 256).alias("digest"))
 
 
-@R.add("ret13_time_window")
+@R.add("ret13_time_window", RELATIVE_SQL + " SELECT q.line_id, s.line_id AS found FROM relative r JOIN lines q ON q.line_id = r.line_id JOIN lines s ON s.session_id = q.session_id WHERE (r.exact IS NOT NULL OR r.estimate IS NOT NULL) AND CAST(s.said_on AS DATE) BETWEEN coalesce(r.exact - 1, r.estimate - 4) AND coalesce(r.exact + 1, r.estimate + 4)")
 def _(t: Tables) -> DataFrame:
     """Lines of a customer said in the window of the customer's one relative date: a day around an exact one, four around an estimate."""
     d = relative_date("text", F.to_date("said_on"))
@@ -204,15 +204,23 @@ def _(t: Tables) -> DataFrame:
     return best.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("pack03_window_lane")
+def fill_sql(items: str, budget: int) -> str:
+    """The greedy fill as SQL; items: expressions that end with r (user_id, id, c, rn)."""
+    return items + f""", w AS (SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS used, NULL::BIGINT AS id, false AS taken FROM r UNION ALL
+  SELECT r.user_id, r.rn, CASE WHEN used + c <= {budget} THEN used + c ELSE used END, r.id, used + c <= {budget} FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1) SELECT * FROM f))
+SELECT user_id, id FROM w WHERE taken"""
+
+
+@R.add("pack03_window_lane", fill_sql("r AS (SELECT t.user_id, t.session_id * 100 + turn_index AS id, greatest(1, CAST(floor(length(content) / 4.6) AS BIGINT)) AS c, row_number() OVER (PARTITION BY t.user_id ORDER BY t.session_id * 100 + turn_index) AS rn FROM turns t JOIN sessions s ON s.session_id = t.session_id WHERE started_on BETWEEN DATE '2024-01-21' AND DATE '2024-03-01')", 600))
 def _(t: Tables) -> DataFrame:
     """At most half of the budget for turns of the asked period, by place in the archive."""
-    inside = t.turns.where("session_id between 20 and 60").withColumn("cost", F.greatest(F.lit(1), F.floor(F.length("content") / 4.6)).cast("long"))
+    asked = t.sessions.where("started_on between date'2024-01-21' and date'2024-03-01'").select("session_id")
+    inside = t.turns.join(asked, "session_id", "left_semi").withColumn("cost", F.greatest(F.lit(1), F.floor(F.length("content") / 4.6)).cast("long"))
     items = inside.select("user_id", (F.col("session_id") * 100 + F.col("turn_index")).alias("id"), "cost")
     return filled(items, ["user_id"], 600, F.col("id"))
 
 
-@R.add("pack06_hydration")
+@R.add("pack06_hydration", fill_sql("s AS (SELECT user_id, session_id, turn_index, unnest(regexp_extract_all(content, '[^.!?]+(?:[.!?]+|$)')) AS s, generate_subscripts(regexp_extract_all(content, '[^.!?]+(?:[.!?]+|$)'), 1) - 1 AS i FROM turns), a AS (SELECT DISTINCT user_id, session_id, turn_index, unnest([i - 1, i, i + 1]) AS i FROM s WHERE (session_id + turn_index + i) % 17 = 0), r AS (SELECT user_id, (session_id * 100 + turn_index) * 1000 + i AS id, greatest(1, CAST(floor(length(s) / 4.6) AS BIGINT)) AS c, row_number() OVER (PARTITION BY user_id ORDER BY (session_id * 100 + turn_index) * 1000 + i) AS rn FROM s JOIN a USING (user_id, session_id, turn_index, i))", 300))
 def _(t: Tables) -> DataFrame:
     """Anchored sentences with one neighbour on each side, under a budget of 300 for each user."""
     s = t.turns.select("user_id", "session_id", "turn_index", F.posexplode(sentences("content")).alias("i", "s"))
@@ -310,9 +318,11 @@ def _(t: Tables) -> DataFrame:
     return x.select("session_id", "turn_index", (F.instr("content", F.col("span")) - 1).cast("long").alias("exact"), (F.instr(plain("content"), plain("span")) - 1).cast("long").alias("found"))
 
 
-@R.add("scl12_first_number")
+@R.add("scl12_first_number", "SELECT line_id, try_cast(replace(rtrim(nullif(regexp_extract(text, '[0-9][0-9,]*(?:\\.[0-9]+)?'), ''), ','), ',', '') AS DECIMAL(18, 2)) AS number FROM lines")
 def _(t: Tables) -> DataFrame:
-    return t.lines.select("line_id", F.try_element_at(quantities("text"), F.lit(1)).try_cast("decimal(18,2)").alias("number"))
+    """The first number of a text as an exact one, thousands commas dropped; null without any."""
+    first = F.nullif(F.regexp_extract("text", r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(""))
+    return t.lines.select("line_id", F.replace(F.rtrim(first, F.lit(",")), F.lit(","), F.lit("")).try_cast("decimal(18,2)").alias("number"))
 
 
 @R.add("scl15_rule_importance", "SELECT line_id, round(least(1.0, 0.4 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, ' [A-Z][a-z]+') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'replaced|switched') THEN 0.15 ELSE 0 END)::DOUBLE, 6) AS importance FROM lines")
@@ -339,10 +349,11 @@ def _(t: Tables) -> DataFrame:
     return e.where(F.col("p._bad").isNull()).select("event_id", "p.k")
 
 
-@R.add("scl35_request_key")
+@R.add("scl35_request_key", "SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || ',\"value\":' || CAST(floor(value) AS BIGINT) || '}') AS key FROM events")
 def _(t: Tables) -> DataFrame:
-    key = F.sha2(F.to_json(F.struct(*sorted(["event_type", "user_id", "value"]))), 256)
-    return t.raw("events").select("event_id", key.alias("key"))
+    """A digest of a request as JSON with its keys in order."""
+    e = t.raw("events").select("event_id", "user_id", "event_type", F.floor("value").alias("value"))
+    return e.select("event_id", F.sha2(F.to_json(F.struct(*sorted(["event_type", "user_id", "value"]))), 256).alias("key"))
 
 
 @R.add("dq07_batch_curve", "l AS (SELECT question_id, correct, arm FROM repeats WHERE repeat = 0) SELECT x.arm AS first, y.arm AS second, count(*) FILTER (x.correct AND NOT y.correct) AS only_first, count(*) FILTER (y.correct AND NOT x.correct) AS only_second FROM l x JOIN l y ON x.question_id = y.question_id AND x.arm < y.arm GROUP BY ALL")

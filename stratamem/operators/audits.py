@@ -111,13 +111,15 @@ def _(t: Tables) -> DataFrame:
 
 #: A few of the most frequent words of each language.
 LANGUAGE_WORDS = {"de": "der|die|und|das", "en": "the|and|of|that", "es": "el|los|que|las", "fr": "les|des|que|une"}
-_COUNTS = ", ".join(f"len(regexp_extract_all(lower(text), '\\b({p})\\b')) AS {k}" for k, p in LANGUAGE_WORDS.items())
+_COUNTS = ", ".join(f"len(list_filter(regexp_extract_all(lower(text), '[^ \t\n.,;:!?]+'), lambda w: w IN ({', '.join(repr(w) for w in p.split('|'))}))) AS {k}" for k, p in LANGUAGE_WORDS.items())
 
 
 @R.add("dq13_confusion", f"c AS (SELECT lang AS expected, {_COUNTS} FROM documents) SELECT expected, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'other' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS actual, count(*) AS n FROM c GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     """The label a rule gives (most of a language's words) against the recorded one; no hit falls through to `other`."""
-    c = t.raw("documents").select(F.col("lang").alias("expected"), *[F.regexp_count(F.lower("text"), F.lit(rf"\b({p})\b")).alias(k) for k, p in LANGUAGE_WORDS.items()])
+    words = all_of(F.lower("text"), r"[^ \t\n.,;:!?]+")
+    hits = lambda p: F.size(F.filter(words, lambda w: w.isin(*p.split("|"))))
+    c = t.raw("documents").select(F.col("lang").alias("expected"), *[hits(p).alias(k) for k, p in LANGUAGE_WORDS.items()])
     most = F.greatest(*LANGUAGE_WORDS)
     actual = F.coalesce(F.when(most == 0, "other"), *[F.when(F.col(k) == most, k) for k in LANGUAGE_WORDS])
     return c.groupBy("expected", actual.alias("actual")).agg(F.count(F.lit(1)).alias("n"))

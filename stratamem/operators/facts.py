@@ -66,13 +66,13 @@ def _(t: Tables) -> DataFrame:
 @R.add("flt06_point_get", "SELECT id, user_id FROM memories WHERE id = 77 AND user_id = (SELECT user_id FROM memories WHERE id = 77)")
 def _(t: Tables) -> DataFrame:
     owner = t.memories.where("id = 77").select(F.col("id").alias("wanted"), F.col("user_id").alias("owner"))
-    return t.memories.join(F.broadcast(owner), (F.col("id") == F.col("wanted")) & (F.col("user_id") == F.col("owner"))).select("id", "user_id")
+    return t.memories.join(owner, (F.col("id") == F.col("wanted")) & (F.col("user_id") == F.col("owner"))).select("id", "user_id")
 
 
 def multi_get(facts: DataFrame, ids: list[int]) -> DataFrame:
     """Facts by id with the place each had in the caller's list; missing ids are left out."""
     wanted = facts.sparkSession.createDataFrame([(x, i) for i, x in enumerate(ids)], "id long, pos long")
-    return facts.join(F.broadcast(wanted), "id")
+    return facts.join(wanted, "id")
 
 
 @R.add("flt07_ordered_multi_get", "SELECT id, pos, predicate FROM memories JOIN (VALUES (90, 0::BIGINT), (12, 1), (555, 2), (-1, 3), (7, 4)) w(wid, pos) ON id = wid")

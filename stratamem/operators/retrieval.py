@@ -159,14 +159,37 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are sent to every task as one set, and vectors of a tenant that meet in one task.
+SENT_QUERIES, BLOCK = 4096, 8192
+
+
+def met(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
+    """x joined to y on `by`, a large group's rows of x dealt over as many tasks as its size asks for.
+
+    Each row of x goes to one block of its group, each row of y to all of them, so that no task holds a group whole.
+    """
+    blocks = x.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m"))
+    dealt = x.join(blocks, by).withColumn("_block", F.floor(F.rand(7) * F.col("_m")).cast("int")).drop("_m")
+    sent = y.join(blocks, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    return dealt.join(sent, [*by, "_block"]).drop("_block")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest vectors of each query, exactly.
 
     queries: query_id, q (unit); vectors: id, v (unit). With `within` the search stays in groups equal
-    on these columns, by an equi-join. Otherwise the given set of queries, which has to be small enough
-    to send, meets each partition of the vectors in place; only scores are shuffled.
+    on these columns. Otherwise the stated set of queries meets each partition of the vectors in place while
+    it is small enough to send, and in blocks beyond that. Each task keeps its own k best, so that only
+    these are shuffled.
     """
-    pairs = vectors.join(queries, within) if within else vectors.crossJoin(F.broadcast(queries))
+    if within:
+        pairs = met(vectors, queries, within)
+    elif queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
+        pairs = vectors.crossJoin(F.broadcast(queries))
+    else:
+        n = -(-queries.count() // SENT_QUERIES)
+        part = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+        pairs = vectors.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(queries.withColumn("_part", part), "_part").drop("_part")
     if where is not None:
         pairs = pairs.where(where)
     scored = pairs.select("query_id", "id", F.round(dot("q", "v"), 6).alias("cosine"))
@@ -200,9 +223,9 @@ def _(t: Tables) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, at_least: float) -> DataFrame:
-    """a, b, cosine: each unordered pair of one tenant at or above the threshold, once."""
+    """a, b, cosine: each unordered pair of one tenant at or above the threshold, once. All of a tenant's pairs are compared, in blocks."""
     x, y = vectors.select("tenant", F.col("id").alias("a"), F.col("v").alias("q")), vectors.select("tenant", F.col("id").alias("b"), "v")
-    return x.join(y, "tenant").where("a < b").select("tenant", "a", "b", F.round(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") >= at_least)
+    return met(x, y, ["tenant"]).where("a < b").select("tenant", "a", "b", F.round(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") >= at_least)
 
 
 @R.add("join11_threshold_pairs", COS + " SELECT query_id AS a, id AS b, cosine FROM cos WHERE qt = vt AND query_id < id AND cosine >= 0.25")

@@ -169,7 +169,8 @@ def met(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
     Each row of x goes to one block of its group, each row of y to all of them, so that no task holds a group whole.
     """
     blocks = x.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m"))
-    dealt = x.join(blocks, by).withColumn("_block", F.floor(F.rand(7) * F.col("_m")).cast("int")).drop("_m")
+    own = F.xxhash64(*[c for c, kind in x.dtypes if not kind.startswith("array")])  # the same when a task runs again
+    dealt = x.join(blocks, by).withColumn("_block", F.pmod(own, F.col("_m")).cast("int")).drop("_m")
     sent = y.join(blocks, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
     return dealt.join(sent, [*by, "_block"]).drop("_block")
 

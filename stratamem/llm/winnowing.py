@@ -109,7 +109,9 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
     starts = rows.groupBy("_bucket").agg(least).orderBy("_bucket").collect()
     goes = [(b["_bucket"], a["_bucket"], b["least"]["id"], b["least"]["check"]) for a, b in zip([starts[-1], *starts[:-1]], starts, strict=True)]
     first = spark.createDataFrame(goes, "_bucket int, _to int, _id long, _first long")  # a row a range
-    opens = rows.join(F.broadcast(first), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_check") == F.col("_first")))
+    # told by id and checksum before anything else of a row is worked out
+    maybe = (F.col(id_col).isin([x[2] for x in goes if x[2] is not None]) | F.col(id_col).isNull()) & F.col("_check").isin([x[3] for x in goes])
+    opens = rows.where(maybe).join(F.broadcast(first), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_check") == F.col("_first")))
     opens = opens.withColumn("_n", F.row_number().over(W.partitionBy("_bucket").orderBy("text"))).where("_n = 1")
     opens = opens.withColumn("_bucket", F.col("_to")).withColumn("_extra", F.lit(1)).drop("_to", "_id", "_first", "_n")
     both = rows.withColumn("_extra", F.lit(0)).unionByName(opens)

@@ -1,5 +1,9 @@
 """The pipeline's stages keep what their operator says and hand on the columns of documents."""
 
+import collections
+import random
+import re
+
 import corpus_pipeline
 from stratamem.llm import common, neardup, quality, secrets
 
@@ -25,3 +29,62 @@ def test_stages(spark):
     assert mixed.columns == before
     packed = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
     assert packed.where("start = 0").count() == mixed.count()
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from test_operators import brute_force_classes
+    from tokenizers import Tokenizer
+
+    from stratamem.llm import packing
+
+    r = random.Random(31)
+    vocabulary = ["river", "stone", "light", "over", "under", "house", "blue", "seven", "winter", "road", "paper", "garden", "morning", "table", "letter", "window"]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    texts = [prose(r.randrange(60, 200)) for _ in range(40)]
+    texts += [texts[0], texts[1] + " again", prose(10), "", None, prose(90) + " password = 'abcdEFGH12345678' end", texts[2]]
+    ids = [k if k % 6 else None for k in range(len(texts))]
+    ids[20:23] = [7, 7, 7]  # ids that several texts share
+    rows = [(i, t, "en", ("a", "b", None)[k % 3], len(t or "")) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    good = [x for x in rows if len(words(x[1])) >= 50]
+    of, _ = brute_force_classes([x[1] for x in good])
+    classes = collections.defaultdict(list)
+    for x, k in zip(good, of, strict=True):
+        classes[k].append(x)
+    # of a class the row with the least id, null last
+    kept = [min(c, key=lambda x: (x[0] is None, x[0] or 0)) for c in classes.values()]
+    clean = [(i, t.replace("password = 'abcdEFGH12345678'", "[SECRET]'").replace("[SECRET]''", "[SECRET]'"), s) for i, t, _, s, _ in kept]
+    tokenizer = Tokenizer.from_file(packing.production_tokenizer())
+    tokens = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    known = collections.Counter((i, tokens(t)) for i, t, _ in clean)
+    size, by = collections.Counter(), {}
+    for i, t, s in clean:
+        size[s] += len(words(t))
+        by[i, tokens(t)] = (s, len(words(t)))
+    assert max(known.values()) == 1
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    took = collections.Counter((x["doc_id"], x["doc_tokens"]) for x in out if x["start"] == 0)
+    assert set(took) <= set(known) and max(took.values()) <= 2
+    weights = dict(zip(sorted(size, key=lambda s: (s is None, s)), (3, 1, 2)))
+    total, full = 1.5 * sum(size.values()), set()
+    while True:
+        level = (total - sum(2 * size[s] for s in full)) / sum(w for s, w in weights.items() if s not in full)
+        more = {s for s in size if s not in full and weights[s] * level > 2 * size[s]}
+        if not more:
+            break
+        full |= more
+    got = collections.Counter()
+    for key, times in took.items():
+        got[by[key][0]] += by[key][1] * times
+    for s in size:
+        assert abs(got[s] - (2 * size[s] if s in full else weights[s] * level)) <= 3
+    sequences = collections.defaultdict(list)
+    for x in out:
+        sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+    for x in sequences.values():
+        x.sort()
+        assert all(o == sum(n for _, n in x[:k]) for k, (o, _) in enumerate(x)) and sum(n for _, n in x) <= 4096
+    assert sum(x["length"] for x in out) == sum(k[1] * n for k, n in took.items())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratamem.functions.text import FACETS, all_of, facets, quantities, sentences
+from stratamem.functions.text import FACETS, all_of, facets, sentences
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.retrieval import BM25, containing, terms
 from stratamem.plans.fixtures import Registry, Tables

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratamem.functions.text import MONTHS, RELATIVE_SQL, all_of, quantities, relative_date, sentences
+from stratamem.functions.text import MONTHS, RELATIVE_SQL, all_of, relative_date, sentences
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.retrieval import BM25, nearest, similar_pairs, top_k, unit
 from stratamem.operators.timeline import filled, resolved

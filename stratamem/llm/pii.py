@@ -24,8 +24,9 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 TERM = r"[\p{L}\p{M}\p{N}]++"
-#: Slots of the filter by hash that terms pass before they are shuffled; more disclosing terms than slots only let more pass.
-SLOTS = 1 << 16
+#: Bits of the filter that terms pass before they are shuffled, and of one row of it; 8 MB are sent in all, whatever
+#: the corpus. More disclosing terms than bits only let more pass.
+BITS, ROW_BITS = 1 << 26, 1 << 15
 #: Share of an entity's information that a term may carry; above REMOVE the term goes as a whole.
 GENERALISE, REMOVE = 0.9, 0.97
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -136,6 +137,20 @@ def _occurrences(text: Column, shares: Column) -> Column:
     return F.transform(known, lambda x: span(x, F.try_element_at(shares, F.lower(x["value"])))).cast(f"array<{_SPAN}>")
 
 
+def _slot(term: Column) -> list[Column]:
+    """Where a term's bit stands in the filter: row, word of 64 bits in the row, bit of the word."""
+    slot = F.pmod(F.xxhash64(term), F.lit(BITS))
+    return [F.floor(slot / ROW_BITS).cast("int").alias("row"), F.floor(slot / 64 % (ROW_BITS // 64)).cast("int").alias("word"), (slot % 64).cast("int").alias("bit")]
+
+
+def term_filter(reveal: DataFrame) -> DataFrame:
+    """(filter_row, bits): a bit for the hash of each term, as at most BITS / ROW_BITS rows of 64-bit words."""
+    words = reveal.select(*_slot(F.col("term"))).groupBy("row", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("x"))
+    held = words.groupBy(F.col("row").alias("filter_row")).agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("m"))
+    all_words = F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1))
+    return held.select("filter_row", F.transform(all_words, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("bits"))
+
+
 def sanitise(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, spans (start, rank, end, kind, value), and with_text: sanitised.
 
@@ -149,13 +164,14 @@ def sanitise(docs: DataFrame, with_text: bool = False) -> DataFrame:
     based = rows.select("doc_id", "text", common.row_key().alias("rk"), common.text_key().alias("tk"), base_spans(F.col("text")).alias("base"))
     held = common.written(based.select("doc_id", "rk", "tk", "base", _terms(F.col("text"), F.col("base")).alias("terms")), "spans")
     reveal = common.written(disclosing(held.select("tk", "base", "terms")).groupBy("term").agg(F.max("share").alias("share")), "disclosing")
-    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("slot")
-    slots = F.broadcast(reveal.select(slot).distinct())
+    known = F.broadcast(term_filter(reveal))
+    passes = (F.col("row") == F.col("filter_row")) & (F.expr("shiftrightunsigned(get(bits, word), bit) & 1L") == 1)
     # rows equal in id and text have the same terms; they are found once
-    hits = held.select("rk", F.explode("terms").alias("term")).withColumn("slot", slot).join(slots, "slot", "left_semi").join(reveal, "term").groupBy("rk", "term").agg(F.max("share").alias("share"))
+    hits = held.select("rk", F.explode("terms").alias("term")).select("rk", "term", *_slot(F.col("term"))).join(known, passes).select("rk", "term").join(reveal.hint("merge"), "term").groupBy("rk", "term").agg(F.max("share").alias("share"))
     shares = common.written(hits.groupBy("rk").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "shares")
-    added = rows.select(common.row_key().alias("rk"), "text").join(shares, "rk").select("rk", _occurrences(F.col("text"), F.col("shares")).alias("terms")).dropDuplicates(["rk"])
-    out = held.drop("terms").join(added, "rk", "left")
+    added = rows.select(common.row_key().alias("rk"), "text").join(shares.hint("merge"), "rk").select("rk", _occurrences(F.col("text"), F.col("shares")).alias("terms")).dropDuplicates(["rk"])
+    # these sides grow with the corpus: they are joined by shuffle at every size, so that no size is a switch
+    out = held.drop("terms").join(added.hint("merge"), "rk", "left")
     apart = F.filter(F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     spans = F.sort_array(F.concat("base", apart))
     if not with_text:

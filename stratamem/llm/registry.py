@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.llm import brown, divergence, mixing, neardup, packing, pii, quality, secrets, sharding, substring, tokenfiles, winnowing
+from stratamem.llm import brown, divergence, mixing, neardup, packing, pii, quality, repair, secrets, sharding, substring, tokenfiles, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_classes": brown.op1_brown_classes,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_probminhash": neardup.op8_probminhash,
     "op9_disclosure": pii.op9_disclosure,
     "op10_subset_sum_mix": mixing.op10_subset_sum_mix,
+    "op11_checkpointed_repair": repair.op11_checkpointed_repair,
     "op12_bit_packing": tokenfiles.op12_bit_packing,
     "op13_source_divergence": divergence.op13_source_divergence,
 }

@@ -28,7 +28,7 @@ SCALE, PRIOR = 1_000_000_000, 5
 #: Ranks of part `term`.
 TERM_RANKS = 50
 #: Bytes of text counted at once, about, and partial counts held before they are handed on.
-_SLICE_BYTES, _HELD = 8 << 20, 500_000
+_SLICE_BYTES, _HELD = 4 << 20, 250_000
 #: Sources that meet in one block of pairs, and cells of a matrix.
 BLOCK, _CELLS = 256, 1 << 20
 

@@ -37,7 +37,9 @@ MAGIC = b"STRATIDS"
 TAIL = "<8sHHIQQQQ"
 TAIL_BYTES = struct.calcsize(TAIL)
 #: Ids that a reader hands on at once, about.
-_STEP = 1 << 20
+_STEP = 1 << 18
+#: Texts that are encoded before they are handed on.
+_ROWS = 256
 _ENCODED = "doc_id long, tie long, place long, n long, ids binary"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -166,12 +168,14 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place = packing.Encoder(tokenizer), TaskContext.get().partitionId() << 40
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
-            ids = [np.frombuffer(encoder(x.as_py()) + end, "<u4") for x in batch.column("text")]
-            sizes, places = [len(x) for x in ids], range(place, place + len(ids))
-            place += len(ids)
-            packed = pa.array([pack_ids(x, bits) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), packed], ["doc_id", "tie", "place", "n", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                ids = [np.frombuffer(encoder(x.as_py()) + end, "<u4") for x in batch.column("text")]
+                sizes, places = [len(x) for x in ids], range(place, place + len(ids))
+                place += len(ids)
+                packed = pa.array([pack_ids(x, bits) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), packed], ["doc_id", "tie", "place", "n", "ids"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratamem.functions import text
-from stratamem.operators import audits, checks, context, evaluation, facts, hooks, measures, retrieval, timeline
+from stratamem.operators import audits, checks, context, evaluation, facts, hooks, measures, retrieval, textindex, timeline
 from stratamem.sources import tables
 from stratamem.streaming import jobs
 
-MODULES = (retrieval, facts, measures, timeline, evaluation, text, audits, checks, context, hooks, tables, jobs)
+MODULES = (retrieval, textindex, facts, measures, timeline, evaluation, text, audits, checks, context, hooks, tables, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,12 @@ def width(tokenizer: str) -> int:
     return max(END_ID, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()).bit_length()
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> packing.Encoder:
+    """One encoder a worker process, so that words seen by one task are known to the next; its memory is bounded."""
+    return packing.Encoder(path)
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Writes the ids of all texts of docs (doc_id, text) below path: shard files in `ids`, and `manifest`.
 
@@ -166,7 +173,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = packing.Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, place = _encoder(tokenizer), TaskContext.get().partitionId() << 40
         end = END_ID.to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):

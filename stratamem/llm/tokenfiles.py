@@ -23,7 +23,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +31,13 @@ from stratamem.llm import common, packing
 END_ID = 2
 #: Ids a block; a multiple of eight, so that a block is whole bytes at every width.
 BLOCK_IDS = 1 << 16
-#: Ids a shard, about; a task unpacks one shard at a time.
-SHARD_IDS = 1 << 23
+#: Bytes of text a shard, about (its ids take half to two thirds); a reader holds a shard at a time.
+SHARD_BYTES = 1 << 26
 MAGIC = b"STRATIDS"
 TAIL = "<8sHHIQQQQ"
 TAIL_BYTES = struct.calcsize(TAIL)
 #: Ids that a reader hands on at once, about.
 _STEP = 1 << 18
-#: Texts that are encoded before they are handed on.
-_ROWS = 256
-_ENCODED = "doc_id long, tie long, place long, n long, ids binary"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -165,41 +161,30 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     document ends with END_ID, so none is without ids. Rows equal in all are all written. Other columns of docs,
     whatever their names, are left out. An empty table makes an empty manifest.
 
-    Texts are encoded where they are read; what is shuffled are the packed ids. A task holds a block of
-    ids, one document and its shard's index.
+    Texts are shuffled once, in ranges; a task encodes its range in order and hands on a block at a time. It
+    holds a block of ids, one batch of texts and its shard's index, besides the words that the encoder remembers.
     """
     spark = docs.sparkSession
     bits = width(tokenizer)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = _encoder(tokenizer), TaskContext.get().partitionId() << 40
-        end = END_ID.to_bytes(4, "little")
-        for whole in batches:
-            for at in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(at, _ROWS)
-                ids = [np.frombuffer(encoder(x.as_py()) + end, "<u4") for x in batch.column("text")]
-                sizes, places = [len(x) for x in ids], range(place, place + len(ids))
-                place += len(ids)
-                packed = pa.array([pack_ids(x, bits) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), packed], ["doc_id", "tie", "place", "n", "ids"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-total // SHARD_BYTES), spark.sparkContext.defaultParallelism)
+    order = ("doc_id", "tie", "place")
+    placed = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+        encoder, writer = _encoder(tokenizer), _Writer(bits)
+        end = END_ID.to_bytes(4, "little")
+        put = lambda body: pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["record"])
         for batch in batches:
-            writer = writer or _Writer(bits)
-            for doc_id, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-                for body in writer.add(doc_id, unpack_ids(ids.as_buffer(), n, bits)):
-                    yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["record"])
-        if writer:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                for body in writer.add(doc_id.as_py(), np.frombuffer(encoder(text.as_py()) + end, "<u4")):
+                    yield put(body)
+        if writer.sizes:
             for body in writer.close():
-                yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["record"])
+                yield put(body)
 
-    encoded = common.written(rows.mapInArrow(encode, _ENCODED), "ids-encoded")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    parts = max(-(-total // SHARD_IDS), spark.sparkContext.defaultParallelism)
-    order = ("doc_id", "tie", "place")
-    ordered = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     # the cast takes the bytes as they are, and the text writer puts them into the file unchanged
     ordered.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/ids", compression="none")
     _tails(spark, path).write.parquet(f"{path}/manifest")
@@ -233,7 +218,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for first_id, content in zip(batch.column("first_id"), batch.column("content"), strict=True):
                 yield from Shard(memoryview(content.as_buffer())).batches(first_id.as_py())
 
-    # 16 bytes for each 8 million ids: 70 MB at 100 TB of text
+    # 16 bytes for each 64 MB of text: 25 MB at 100 TB
     firsts = F.broadcast(spark.read.parquet(f"{path}/manifest").select("shard", "first_id"))
     return _files(spark, f"{path}/ids").join(firsts, "shard").select("first_id", "content").mapInArrow(read, _READ)
 

@@ -202,7 +202,7 @@ def test_token_files_query(spark):
 
 
 def test_token_files_of_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(tokenfiles, "SHARD_IDS", 500)
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 500)
     rows = [(None, "a"), (None, None), (3, ""), (3, "three words here"), (3, "three words here"), (-5, "x " * 3000), (2**60, "<|endoftext|> İ"), *[(9, "hot one")] * 400]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.lit("t")).withColumn("n", F.lit(1)).withColumn("ids", F.lit(2)).repartition(3)
     path = f"{common.shared_dir(spark)}/t-{uuid.uuid4().hex}"

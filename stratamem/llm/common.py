@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -40,6 +41,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The columns of documents, which stages read and write.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def other_columns_apart(stage: Stage) -> Stage:
+    """A stage that hands on columns other than COLUMNS as they came, in one struct while it works, so that their names meet none of its own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        own = [c for c in docs.columns if c in COLUMNS]
+        found = stage(spark, docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in others]).alias("other_columns")), sf_dir)
+        return found.select(*[F.col(c) if c in own else F.col(f"other_columns.`{c}`").alias(c) for c in docs.columns])
+
+    return run
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

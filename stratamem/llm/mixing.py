@@ -159,6 +159,7 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+@common.other_columns_apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with the columns it came with."""
+    """Each document as often as the mix takes it, with all columns it came with, whatever their names."""
     return mix(docs, n_words())

@@ -301,10 +301,12 @@ def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@common.other_columns_apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that with the least doc_id, null last, and among its texts the least key.
 
-    A doc_id does not tell a row: nulls and repeated ids with texts of different classes all stay.
+    A doc_id does not tell a row: nulls and repeated ids with texts of different classes all stay. All columns stay,
+    whatever their names; an empty table gives an empty table.
     """
     own = docs.columns
     # text comes with its key, so that an id which several classes hold picks each class's own text

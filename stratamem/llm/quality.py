@@ -172,8 +172,9 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *RETURNED, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+@common.other_columns_apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects, with the columns they came with."""
+    """Documents that no rule rejects, with all columns they came with, whatever their names. An empty table gives an empty table."""
     return cascade(docs, order_rules(docs, default_rules())).where("kept").select(*docs.columns)
 
 

@@ -167,8 +167,9 @@ def redacted(text: Column, spans: Column) -> Column:
     return common.patched(text, spans, lambda _x: F.lit("[SECRET]"))
 
 
+@common.other_columns_apart
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by [SECRET] and n_chars brought up to date."""
+    """All documents, their secrets replaced by [SECRET] and n_chars brought up to date; other columns stay, whatever their names."""
     ledger = new_ledger(spark)
     update_ledger(docs.select("doc_id", "text"), ledger)
     clean = findings(docs, ledger).withColumn("_text", redacted(F.col("text"), F.col("findings")))

@@ -25,13 +25,21 @@ PROBES = 8
 #: Rows of a stripe of a shard, about.
 STRIPE_ROWS = 250_000
 _LOW = "0" * 16
+#: Digits of the checksum, the id and the place in a key.
+_PARTS = ((0, 8), (8, 24), (24, 40))
+SEED = 5
 
 
 def sort_key(id_col: str = "doc_id", text: str = "text") -> Column:
-    """24 hexadecimal digits whose order is that of the text's CRC-32, then of the id; a null id comes first."""
+    """40 hexadecimal digits whose order is that of the text's CRC-32, then of the id, then of a seeded place.
+
+    A null id comes before all others. The place tells rows apart that are equal in id and text, so that no key is
+    heavier than a row.
+    """
     sign = F.lit(-(1 << 63)).cast("long")
     ordered = F.lpad(F.lower(F.hex(F.col(id_col).cast("long").bitwiseXOR(sign))), 16, "0")
-    return F.concat(F.lpad(F.lower(F.hex(F.crc32(common.text_or_empty(text).cast("binary")))), 8, "0"), F.coalesce(ordered, F.lit("")))
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    return F.concat(digits(F.crc32(common.text_or_empty(text).cast("binary")), 8), F.coalesce(ordered, F.lit(_LOW)), digits(F.xxhash64(F.lit(SEED), F.monotonically_increasing_id()), 16))
 
 
 def place(key: Column, cuts: list[str]) -> Column:
@@ -47,12 +55,10 @@ def place(key: Column, cuts: list[str]) -> Column:
 
 
 def _probes(lo: str, hi: str, n: int) -> list[str]:
-    """Keys above lo and at most hi; while they span several checksums, only where a checksum begins."""
-    if lo[:8] != hi[:8]:
-        a, b = int(lo[:8], 16), int(hi[:8], 16)
-        return sorted({f"{a + max(1, (b - a) * i // n):08x}{_LOW}" for i in range(1, n + 1)})
-    a, b = int((lo[8:] or _LOW), 16), int((hi[8:] or _LOW), 16)
-    return sorted({f"{lo[:8]}{a + max(1, (b - a) * i // n):016x}" for i in range(1, n + 1)})
+    """Keys above lo and at most hi; while they span several checksums, only where a checksum begins, and likewise for ids."""
+    at, to = next((a, b) for a, b in _PARTS if lo[a:b] != hi[a:b])
+    low, high = int(lo[at:to], 16), int(hi[at:to], 16)
+    return sorted({f"{lo[:at]}{low + max(1, (high - low) * i // n):0{to - at}x}".ljust(40, "0") for i in range(1, n + 1)})
 
 
 def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[str]:
@@ -101,9 +107,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     """One row for each row of docs: doc_id, size, text_crc32, shard, slot.
 
     size is the UTF-8 bytes of the text, none if null, and one. Shards differ in bytes by no more than
-    the tolerance on either side, or by what one key weighs where that is more; a key is a text's
-    checksum and a doc_id, so rows equal in both go together. Equal texts share a shard unless a
-    boundary has to fall among them. Slots count from 0 in each shard without a gap, by stripe, then by
+    the tolerance on either side, or by what one row weighs where that is more. Equal texts share a shard
+    unless a boundary has to fall among them; that holds for rows equal in id and text, too, whose places
+    are drawn by seed. Where all rows are fewer than the shards, some shards stay empty. Slots count from 0 in each shard without a gap, by stripe, then by
     key. Other columns of docs are left out; an empty table gives an empty table.
 
     Only keys and sizes are cached, and only they are exchanged. A stripe holds part of a shard, so that

@@ -608,6 +608,32 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_splits_rows_equal_in_all(spark):
+    rows = [(k, f"text {k} " + "x" * (k % 50)) for k in range(1600)] + [(77, "copy " * 40)] * 400 + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("shard", F.lit(3)).repartition(5)
+    out = sharding.shard(df, shards=16, tolerance=0.01).collect()
+    load, slots = collections.Counter(), collections.defaultdict(list)
+    for r in out:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    share = sum(load.values()) / 16
+    assert len(out) == len(rows) and len(load) == 16 and max(abs(b - share) for b in load.values()) <= 2 * (0.01 * share + 201)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_splitters_against_brute_force(spark):
+    """Bytes below each boundary against all boundaries that there could be."""
+    r = random.Random(8)
+    for keys in ([f"{r.getrandbits(160):040x}" for _ in range(300)], [f"{r.choice([3, 4, 900]):08x}{r.getrandbits(3):016x}{r.getrandbits(64):016x}" for _ in range(300)]):
+        rows = [(k, r.choice([1, 5, 60])) for k in keys]
+        cuts = sharding.splitters(spark.createDataFrame(rows, "key string, size long"), 7, 0.0)
+        total = sum(n for _, n in rows)
+        below = [sum(n for k, n in rows if k < cut) for cut in [*sorted(keys), "g"]]
+        for i, cut in enumerate(cuts, 1):
+            want = total * i / 7
+            assert abs(sum(n for k, n in rows if k < cut) - want) == min(abs(b - want) for b in below)
+
+
 def test_sharding_splits_a_hot_text(spark):
     df = spark.range(1200).selectExpr("id doc_id", "if(id < 700, 'same text', cast(id * 7919 as string)) text")
     load = {r["shard"]: r["b"] for r in sharding.shard(df, shards=8, tolerance=0.01).groupBy("shard").agg(F.sum("size").alias("b")).collect()}

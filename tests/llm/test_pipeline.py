@@ -4,6 +4,8 @@ import collections
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from stratamem.llm import common, neardup, quality, secrets
 
@@ -88,3 +90,28 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         x.sort()
         assert all(o == sum(n for _, n in x[:k]) for k, (o, _) in enumerate(x)) and sum(n for _, n in x) <= 4096
     assert sum(x["length"] for x in out) == sum(k[1] * n for k, n in took.items())
+
+
+CLASHING = ("_words", "_text", "_tk", "_id", "_n", "_rk", "_times", "_copy", "_blob", "_f", "_m_n_words", "findings", "kept", "n_words", "tk", "least", "root", "copies", "blob", "src", "size", "part", "other.name", "class_id")
+
+
+def test_stages_keep_columns_that_clash(spark):
+    docs = common.documents(spark, SF)
+    more = docs.select("*", *[F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")).alias(k) for k in CLASHING]).where("doc_id % 2 = 0 OR n_chars > 50")
+    plain = more.select(*docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, more, SF), stage(spark, plain, SF)
+        assert got.columns == more.columns, name
+        rows = got.collect()
+        assert sorted(str(tuple(r[c] for c in docs.columns)) for r in rows) == sorted(str(tuple(r)) for r in want.collect()), name
+        assert rows and all(r[k] == f"{k}:{r['doc_id']}" for r in rows for k in CLASHING), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, more, SF)
+    assert packed.where("start = 0").count() == more.count()
+
+
+def test_stages_and_pipeline_on_nothing(spark, tmp_path):
+    empty = common.documents(spark, SF).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -37,9 +37,9 @@ def _(t: Tables) -> DataFrame:
     return g.groupBy("role").agg(F.count(F.lit(1)).alias("questions"), F.count_if("has").alias("with_fact"))
 
 
-@R.add("agg23_gold_entities", "SELECT user_id, predicate, count(DISTINCT e) AS n FROM (SELECT user_id, predicate, lower(trim(unnest(entities))) AS e FROM memories WHERE id % 10 = 1) GROUP BY ALL HAVING count(DISTINCT e) BETWEEN 3 AND 15")
+@R.add("agg23_gold_entities", "SELECT user_id, predicate, count(DISTINCT e) AS n FROM (SELECT user_id, predicate, lower(trim(unnest(entities))) AS e FROM memories) GROUP BY ALL HAVING count(DISTINCT e) BETWEEN 3 AND 15")
 def _(t: Tables) -> DataFrame:
-    e = t.memories.where("id % 10 = 1").select("user_id", "predicate", F.explode("entities").alias("e"))
+    e = t.memories.select("user_id", "predicate", F.explode("entities").alias("e"))
     return e.groupBy("user_id", "predicate").agg(F.count_distinct(F.lower(F.trim("e"))).alias("n")).where("n between 3 and 15")
 
 

@@ -2,37 +2,101 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratamem.operators.quantiles import at_ranks
 from stratamem.operators.retrieval import HYBRID, candidates
 from stratamem.plans.fixtures import Registry, Tables
+from stratamem.sources.tables import kept
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    """ln C(n, k) by summing logarithms, so that large n do not overflow."""
-    add = lambda upto: F.aggregate(F.when(upto >= 1, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    return add(n) - add(k) - add(n - k)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _stirling(x: Column) -> Column:
+    """What ln x! exceeds Stirling's first terms by, x > 0."""
+    few = F.log(F.factorial(F.least(x, F.lit(15)).cast("int")).cast("double")) - ((x + 0.5) * F.log(x) - x + 0.5 * float(np.log(2 * np.pi)))
+    return F.when(x < 16, few).otherwise(1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))))
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x, x > 0."""
+    return x * F.log1p((x - mean) / mean) - (x - mean)
+
+
+def log_binomial(n: Column, k: Column, p: float) -> Column:
+    """ln of the probability of k hits in n by the saddle-point form, so that no large numbers cancel at any n."""
+    q, left = 1 - p, n - k
+    inner = _stirling(n) - _stirling(k) - _stirling(left) - _deviance(k, n * p) - _deviance(left, n * q) + 0.5 * F.log(n / (float(2 * np.pi) * k * left))
+    return F.when(k <= 0, n * float(np.log1p(-p))).when(k >= n, n * float(np.log(p))).otherwise(inner)
+
+
+def _tail(n: Column, k: Column, p: float, up: bool) -> Column:
+    """Probability of k or fewer hits, or of k or more, for a k on that side of the mode: each term from the one before, down to where none counts."""
+    odds = p / (1 - p)
+    ratio = (lambda at: (n - at) / (at + 1) * odds) if up else (lambda at: at / (n - at + 1) / odds)
+    # 24 deviations at least, beyond which a term is below 1e-100 of the first
+    terms = F.least(n - k if up else k, 12 * F.ceil(F.sqrt(n)) + 50).cast("int")
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def add(s: Column, i: Column) -> Column:
+        at = k + (i - 1) if up else k - (i - 1)
+        return F.struct((s["sum"] + s["term"] * ratio(at)).alias("sum"), (s["term"] * ratio(at)).alias("term"))
+
+    steps = F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+    return F.exp(log_binomial(n, k, p)) * F.aggregate(steps, start, add, lambda s: s["sum"])
 
 
 def binomial_tail(wins: Column, losses: Column) -> Column:
-    """Exact two-sided McNemar p: twice the lower binomial tail at the smaller count, at most 1; 1 without discordant pairs."""
-    n, m = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    log_half = F.lit(float(np.log(0.5)))
-    tail = F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda s, k: s + F.exp(_log_choose(n, k) + n * log_half))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided McNemar p: twice the lower binomial tail at the smaller count, at most 1; 1 without discordant pairs.
+
+    Work grows with the root of the pairs.
+    """
+    n, m = (wins + losses).cast("double"), F.least(wins, losses).cast("double")
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * _let(n, lambda n: _let(m, lambda m: _tail(n, m, 0.5, up=False)))))
 
 
 def probability_ordered(n: Column, hits: Column, p: float) -> Column:
-    """Exact two-sided binomial p: the probability of all outcomes no likelier than the one observed."""
-    n, hits = n.cast("int"), hits.cast("int")
-    prob = lambda k: F.exp(_log_choose(n, k) + k * F.lit(float(np.log(p))) + (n - k) * F.lit(float(np.log1p(-p))))
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda s, k: s + F.when(prob(k) <= prob(hits) * (1 + 1e-7), prob(k)).otherwise(0.0)))
+    """Exact two-sided binomial p: the probability of all outcomes no likelier than the one observed.
+
+    These are a tail from the hits outwards, and one on the mode's other side whose edge is found by bisection.
+    """
+
+    def value(n: Column, h: Column) -> Column:
+        mode = F.least(F.floor((n + 1) * p), n).cast("double")
+        limit = log_binomial(n, h, p) + float(np.log1p(1e-7))
+        low = h < mode
+
+        def halve(s: Column, _i: Column) -> Column:
+            # the edge is in (in_, out]: in_ is too likely, out is not
+            mid = F.floor((s["in_"] + s["out"]) / 2)
+            ok = log_binomial(n, mid, p) <= s["limit"]
+            move = F.abs(s["out"] - s["in_"]) > 1
+            return F.struct(F.when(move & ~ok, mid).otherwise(s["in_"]).alias("in_"), F.when(move & ok, mid).otherwise(s["out"]).alias("out"), s["limit"].alias("limit"))
+
+        def edge(up: bool) -> Column:
+            out = n + 1 if up else F.lit(-1.0)
+            start = F.struct(mode.alias("in_"), out.cast("double").alias("out"), limit.alias("limit"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve, lambda s: s["out"])
+
+        above, below = edge(True), edge(False)
+        upper = lambda k: F.when(k > n, F.lit(0.0)).otherwise(_tail(n, k, p, up=True))
+        lower = lambda k: F.when(k < 0, F.lit(0.0)).otherwise(_tail(n, k, p, up=False))
+        return F.when(h == mode, F.lit(1.0)).when(low, lower(h) + _let(above, upper)).otherwise(upper(h) + _let(below, lower))
+
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), _let(n.cast("double"), lambda n: _let(hits.cast("double"), lambda h: value(n, h)))))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -119,16 +183,28 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Bounds of the mean over 10,000 resamples.
 
-    A resample of n verdicts of which h are right needs only its number of right ones, so the n draws
-    are made within a row, by hash of replicate and draw, against h / n: nothing is joined or exploded.
+    A resample of n verdicts of which h are right is its number of right ones, which is binomial: it is drawn
+    as one number, whatever n is. Draws are made by blocks of replicates, each from its own seed.
     """
-    counts = t.results.groupBy("question_type").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if("a").alias("h"))
-    draws = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(9_999))))
-    right = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0), lambda s, i: s + F.when(F.pmod(F.xxhash64(F.lit(11), "rep", i), F.col("n")) < F.col("h"), 1).otherwise(0))
-    means = draws.select("question_type", (right / F.col("n")).alias("mean"))
-    rn = F.row_number().over(W.partitionBy("question_type").orderBy("mean"))
-    at = lambda k: F.max(F.when(F.col("rn") == k + 1, F.col("mean")))
-    return means.withColumn("rn", rn).groupBy("question_type").agg(at(250).alias("lower"), at(9749).alias("upper"))
+    counts = t.results.groupBy("question_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("h"))
+    return bootstrap(counts, "question_type", 10_000, 11)
+
+
+def bootstrap(counts: DataFrame, by: str, replicates: int, seed: int, share: float = 0.95) -> DataFrame:
+    """by, lower, upper: the middle `share` of the means of resamples, from counts (by, n, h)."""
+    block = 500
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples(index=False):
+                rng = np.random.Generator(np.random.Philox(key=[seed, zlib.crc32(f"{x[0]}:{x.block}".encode())]))
+                hits = rng.binomial(x.n, x.h / x.n, min(block, replicates - x.block * block))
+                yield pd.DataFrame({by: x[0], "mean": hits / x.n})
+
+    blocks = counts.select(by, "n", "h", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("block"))
+    means = blocks.mapInPandas(draw, f"{by} {counts.schema[by].dataType.simpleString()}, mean double")
+    cut = round((1 - share) / 2 * replicates)
+    return at_ranks(kept(means, "means"), [by], "mean", {"lower": lambda n: F.lit(cut + 1), "upper": lambda n: n - cut})
 
 
 @R.add("eval08_wilson", "c AS (SELECT question_type, count(*)::DOUBLE AS n, avg(a::INT) AS p FROM results GROUP BY 1) SELECT question_type, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 9) AS lower, round((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 9) AS upper FROM c")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratamem.operators.quantiles import at_ranks, half_even, upper_middle
 from stratamem.plans.fixtures import Registry, Tables
 
 R = Registry()
@@ -17,22 +18,6 @@ def rate(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n // 2 of the sorted values, from 0."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
-
-
-def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """The value at index round(q * (n - 1)), half to even, of each group.
-
-    A window numbers the sorted values, so that no group has to fit into one array.
-    """
-    own = W.partitionBy(*by)
-    at = F.bround(F.lit(q) * (F.count(F.lit(1)).over(own) - 1)).cast("int") + 1
-    return df.withColumns({"_rn": F.row_number().over(own.orderBy(value)), "_at": at}).where("_rn = _at").select(*by, value)
-
-
 @R.add("agg01_count_by_status", "SELECT status, count(*) AS n, count(*) FILTER (user_id = 3) AS of_user FROM memories GROUP BY status")
 def _(t: Tables) -> DataFrame:
     return t.memories.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("user_id") == 3).alias("of_user"))
@@ -79,10 +64,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("agg09_usage_percentiles", "r AS (SELECT operation, input_tokens, row_number() OVER (PARTITION BY operation ORDER BY input_tokens) AS rn, count(*) OVER (PARTITION BY operation) AS n FROM usage) SELECT operation, min(CASE WHEN rn = round_even(0.5 * (n - 1), 0) + 1 THEN input_tokens END) AS p50, min(CASE WHEN rn = round_even(0.95 * (n - 1), 0) + 1 THEN input_tokens END) AS p95, max(input_tokens) AS most FROM r GROUP BY operation")
 def _(t: Tables) -> DataFrame:
-    own = W.partitionBy("operation")
-    r = t.usage.withColumns({"rn": F.row_number().over(own.orderBy("input_tokens")), "n": F.count(F.lit(1)).over(own)})
-    at = lambda q: F.min(F.when(F.col("rn") == F.bround(F.lit(q) * (F.col("n") - 1)) + 1, F.col("input_tokens")))
-    return r.groupBy("operation").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("input_tokens").alias("most"))
+    return at_ranks(t.usage, ["operation"], "input_tokens", {"p50": half_even(0.5), "p95": half_even(0.95), "most": lambda n: n})
 
 
 @R.add("agg10_usage_rollup", "SELECT coalesce(operation, 'total') AS role, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(output_tokens) AS BIGINT) AS tokens_out FROM usage GROUP BY ROLLUP (operation)")
@@ -97,8 +79,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("agg12_median_and_p95", "r AS (SELECT user_id, input_tokens AS x, row_number() OVER (PARTITION BY user_id ORDER BY input_tokens) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM usage) SELECT user_id, min(CASE WHEN rn = n // 2 + 1 THEN x END) AS median, min(CASE WHEN rn = round_even(0.95 * (n - 1), 0) + 1 THEN x END) AS p95 FROM r GROUP BY user_id")
 def _(t: Tables) -> DataFrame:
-    medians = t.usage.groupBy("user_id").agg(upper_median(F.col("input_tokens")).alias("median"))
-    return medians.join(nearest_rank(t.usage, ["user_id"], "input_tokens", 0.95).withColumnRenamed("input_tokens", "p95"), "user_id")
+    return at_ranks(t.usage, ["user_id"], "input_tokens", {"median": upper_middle, "p95": half_even(0.95)})
 
 
 @R.add("agg13_recall_over_flags", "SELECT round(avg(CAST(coalesce(CASE WHEN question_id % 3 = 0 THEN NULL ELSE a END, CASE WHEN question_id % 2 = 0 THEN NULL ELSE b END) AS INT)), 9) AS recall FROM results")
@@ -166,10 +147,10 @@ def _(t: Tables) -> DataFrame:
     return n.join(F.broadcast(arity), "predicate", "left").groupBy("arity").agg(F.sum("n").alias("facts"), F.count(F.lit(1)).alias("predicates"))
 
 
-@R.add("agg24_member_count", "SELECT user_id, predicate, count(DISTINCT object) AS members FROM memories m WHERE status = 'active' AND id % 5 = 1 AND NOT EXISTS (SELECT 1 FROM memories r WHERE r.user_id = m.user_id AND r.predicate = 'error' AND r.object = '4') GROUP BY ALL HAVING count(DISTINCT object) BETWEEN 3 AND 15")
+@R.add("agg24_member_count", "SELECT user_id, predicate, count(DISTINCT object) AS members FROM memories m WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM memories r WHERE r.user_id = m.user_id AND r.predicate = 'error' AND r.object = '4') GROUP BY ALL HAVING count(DISTINCT object) BETWEEN 3 AND 15")
 def _(t: Tables) -> DataFrame:
     rival = t.memories.where("predicate = 'error' and object = '4'").select("user_id").distinct()
-    mine = t.memories.where("status = 'active' and id % 5 = 1").join(rival, "user_id", "left_anti")
+    mine = t.memories.where("status = 'active'").join(rival, "user_id", "left_anti")
     return mine.groupBy("user_id", "predicate").agg(F.count_distinct("object").alias("members")).where("members between 3 and 15")
 
 
@@ -257,25 +238,15 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("join19_word_overlap_contamination", "dw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents), bw AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark), dn AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY 1), bn AS (SELECT item_id, count(*) AS n FROM bw GROUP BY 1), s AS (SELECT doc_id, item_id, count(*) AS shared FROM dw JOIN bw ON dw.w = bw.w GROUP BY ALL) SELECT DISTINCT s.doc_id FROM s JOIN bn ON bn.item_id = s.item_id WHERE shared >= 0.8 * bn.n")
 def _(t: Tables) -> DataFrame:
-    return overlap_contaminated(t.raw("documents"), t.raw("benchmark"), 0.8).select("doc_id")
+    from stratamem.operators.similarity import contained
+
+    return contained(t.raw("documents"), t.raw("benchmark"), 0.8).select("doc_id").distinct()
 
 
 def content_words(text: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})"), F.lit(1)))
 
 
-def overlap_contaminated(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """Documents that hold at least `share` of the words of some benchmark item.
-
-    Joined on words, so that only pairs that share one meet; the item side is small and words that
-    many documents hold are split by the join's own skew handling.
-    """
-    b = items.select("item_id", content_words("text").alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    d = docs.select("doc_id", F.explode(content_words("text")).alias("w"))
-    shared = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    return shared.where(F.col("shared") >= F.lit(share) * F.col("n")).select("doc_id").distinct()
-
-
 @R.add("join21_table_diff", "SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 50 = 0 THEN 'missing' WHEN o.o_orderkey % 7 = 0 THEN 'changed' END AS state FROM orders o WHERE o.o_orderkey % 50 = 0 OR o.o_orderkey % 7 = 0")
 def _(t: Tables) -> DataFrame:
     before = t.raw("orders").select("o_orderkey", "o_orderstatus")

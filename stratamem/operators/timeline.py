@@ -161,10 +161,10 @@ def _(t: Tables) -> DataFrame:
     return x.join(y, "id", "full_outer").agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differing"), F.count(F.lit(1)).alias("n"))
 
 
-@R.add("tmp09_state_at", "SELECT id, user_id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS since FROM memories WHERE user_id < 10 AND occurred_at <= TIMESTAMP '2024-01-20' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-20')")
+@R.add("tmp09_state_at", "SELECT id, user_id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS since FROM memories WHERE occurred_at <= TIMESTAMP '2024-01-20' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-20')")
 def _(t: Tables) -> DataFrame:
     at = F.lit("2024-01-20").cast("timestamp_ntz")
-    return t.memories.where((F.col("user_id") < 10) & (F.col("occurred_at") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))).select("id", "user_id", day_time("occurred_at").alias("since"))
+    return t.memories.where((F.col("occurred_at") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))).select("id", "user_id", day_time("occurred_at").alias("since"))
 
 
 @R.add("tmp10_comparison_clock", "SELECT id, strftime(coalesce(event_time, observed_at, valid_from, ingested_at), '%Y-%m-%d %H:%M:%S') AS clock FROM memories")

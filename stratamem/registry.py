@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratamem.functions import text
-from stratamem.operators import audits, checks, context, evaluation, facts, hooks, measures, retrieval, textindex, timeline
+from stratamem.operators import audits, checks, context, evaluation, facts, hooks, measures, retrieval, similarity, textindex, timeline
 from stratamem.sources import tables
 from stratamem.streaming import jobs
 from stratamem.streaming import timeline as live
 
-MODULES = (retrieval, textindex, facts, measures, timeline, evaluation, text, audits, checks, context, hooks, tables, jobs, live)
+MODULES = (retrieval, textindex, similarity, facts, measures, timeline, evaluation, text, audits, checks, context, hooks, tables, jobs, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

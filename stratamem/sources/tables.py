@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows written into the shared folder and read again: what follows does not work them out anew, and a lost executor costs none of them."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def corpus_sessions(raw: DataFrame) -> DataFrame:
     """user_id, session_id, date, turns of a corpus with parallel arrays; a missing id is sess_<i>, a missing date empty."""
     each = raw.select("user_id", F.posexplode(F.arrays_zip("session_ids", "dates", "sessions")).alias("i", "s"))

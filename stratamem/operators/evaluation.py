@@ -81,7 +81,7 @@ def probability_ordered(n: Column, hits: Column, p: float) -> Column:
 
         def halve(s: Column, _i: Column) -> Column:
             # the edge is in (in_, out]: in_ is too likely, out is not
-            mid = F.floor((s["in_"] + s["out"]) / 2)
+            mid = F.floor((s["in_"] + s["out"]) / 2).cast("double")
             ok = log_binomial(n, mid, p) <= s["limit"]
             move = F.abs(s["out"] - s["in_"]) > 1
             return F.struct(F.when(move & ~ok, mid).otherwise(s["in_"]).alias("in_"), F.when(move & ok, mid).otherwise(s["out"]).alias("out"), s["limit"].alias("limit"))
@@ -94,7 +94,8 @@ def probability_ordered(n: Column, hits: Column, p: float) -> Column:
         above, below = edge(True), edge(False)
         upper = lambda k: F.when(k > n, F.lit(0.0)).otherwise(_tail(n, k, p, up=True))
         lower = lambda k: F.when(k < 0, F.lit(0.0)).otherwise(_tail(n, k, p, up=False))
-        return F.when(h == mode, F.lit(1.0)).when(low, lower(h) + _let(above, upper)).otherwise(upper(h) + _let(below, lower))
+        # two neighbours may be likeliest alike
+        return F.when(log_binomial(n, mode, p) <= limit, F.lit(1.0)).when(low, lower(h) + _let(above, upper)).otherwise(upper(h) + _let(below, lower))
 
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), _let(n.cast("double"), lambda n: _let(hits.cast("double"), lambda h: value(n, h)))))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from stratamem.functions.text import NUMBER_WORDS, all_of
 from stratamem.operators.evaluation import binomial_tail
 from stratamem.operators.retrieval import containing, top_k
-from stratamem.operators.timeline import FOLD, FOLDED, Stored, day_time, facts_of, resolved, upsert
+from stratamem.operators.timeline import FOLD, FOLDED, day_time, facts_of, resolved
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import scratch
 
@@ -172,21 +172,6 @@ def _(t: Tables) -> DataFrame:
     return c.select("wins", "losses", F.round(binomial_tail(F.col("wins"), F.col("losses")), 6).alias("p"))
 
 
-@R.add("dml02_facts_and_links", "SELECT user_id || ':' || e AS link, count(*) AS facts FROM (SELECT user_id, unnest(entities) AS e FROM memories) GROUP BY ALL")
-def _(t: Tables) -> DataFrame:
-    """Facts are put into a stored table by id, their links where there are none yet."""
-    facts, links = Stored(t.spark, "facts"), Stored(t.spark, "links")
-    base = t.memories.select("id", "user_id", "entities")
-    linked = lambda rows: rows.select("id", "user_id", F.explode("entities").alias("e")).distinct()
-    first, second = base.where("id % 3 <> 0"), base.where("id % 3 <> 1")
-    facts.write(first)
-    links.write(linked(first))
-    facts.write(upsert(facts.read(), second, ["id"]))
-    links.write(links.read().union(linked(second).join(links.read(), ["id", "user_id", "e"], "left_anti")))
-    known = links.read().join(facts.read().select("id"), "id", "left_semi")
-    return known.groupBy(F.concat_ws(":", "user_id", "e").alias("link")).agg(F.count(F.lit(1)).alias("facts"))
-
-
 @R.add("eval19_budget_policies", """c AS (SELECT session_id, role, turn_index, greatest(1, CAST(floor(length(content) / 4.6) AS BIGINT)) AS cost FROM turns),
 r AS (SELECT session_id, role, p.policy, cost, sum(cost) OVER (PARTITION BY session_id, p.policy ORDER BY CASE p.policy WHEN 'oldest' THEN turn_index WHEN 'newest' THEN -turn_index ELSE cost END, turn_index) AS used FROM c, (VALUES ('oldest'), ('newest'), ('cheapest')) p(policy)),
 g AS (SELECT session_id, policy, bool_and(role <> 'user' OR used <= 300) AS whole, sum(CASE WHEN used <= 300 THEN cost ELSE 0 END) AS shown FROM r GROUP BY ALL),

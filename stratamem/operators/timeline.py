@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 
 from stratamem.operators.facts import KEY, day_time
 from stratamem.plans.fixtures import Registry, Tables
-from stratamem.sources.tables import ERASED
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -366,27 +365,6 @@ class Stored:
         return self.write(self.read(version))
 
 
-@R.add("dml01_upsert_turns", "SELECT session_id, turn_index, CASE WHEN turn_index = 1 THEN 'edited' ELSE role END AS role FROM turns UNION ALL SELECT 100000 + session_id, turn_index, role FROM turns WHERE session_id < 3")
-def _(t: Tables) -> DataFrame:
-    table = Stored(t.spark, "turns")
-    table.write(t.turns.select("session_id", "turn_index", "role"))
-    base = table.read()
-    new = base.where("session_id < 3").withColumn("session_id", F.col("session_id") + 100000)
-    table.write(upsert(base, base.where("turn_index = 1").withColumn("role", F.lit("edited")).union(new), ["session_id", "turn_index"]))
-    return table.read()
-
-
-@R.add("dml03_conditional_update", "SELECT id, CASE WHEN update_op = 'removes' AND status = 'active' THEN 'superseded' ELSE status END AS status, CAST(CAST(CASE WHEN update_op = 'removes' AND status = 'active' THEN observed_at END AS DATE) AS VARCHAR) AS ended FROM memories")
-def _(t: Tables) -> DataFrame:
-    """Active facts in a change table are closed with their end; others keep their state."""
-    table = Stored(t.spark, "facts")
-    table.write(t.memories.select("id", "status", F.lit(None).cast("date").alias("ended")))
-    change = t.memories.where("update_op = 'removes'").select("id", F.lit("superseded").alias("new_status"), F.to_date("observed_at").alias("end"))
-    closes = (F.col("status") == "active") & F.col("new_status").isNotNull()
-    table.write(table.read().join(change, "id", "left").select("id", F.when(closes, F.col("new_status")).otherwise(F.col("status")).alias("status"), F.when(closes, F.col("end")).otherwise(F.col("ended")).alias("ended")))
-    return table.read().select("id", "status", F.col("ended").cast("string").alias("ended"))
-
-
 @R.add("dml04_snapshot_restore", "SELECT status, count(*) AS n, 3 AS versions FROM memories GROUP BY status")
 def _(t: Tables) -> DataFrame:
     """A batch that goes wrong half way is taken back: the states before it are what readers find again."""
@@ -397,50 +375,6 @@ def _(t: Tables) -> DataFrame:
     return table.read().groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("versions", F.lit(table.version + 1))
 
 
-FORGOTTEN = "SELECT user_id FROM events GROUP BY user_id HAVING max_by(event_type, event_id) = 'error'"
-
-
-@R.add("dml05_forget_user", f"g AS ({FORGOTTEN}) SELECT 'facts' AS name, count(*) AS n, count(*) FILTER (user_id IN (FROM g)) AS deleted FROM memories UNION ALL SELECT 'turns', count(*), count(*) FILTER (user_id IN (FROM g)) FROM turns UNION ALL SELECT 'sessions', count(*), count(*) FILTER (user_id IN (FROM g)) FROM sessions UNION ALL SELECT 'entities', count(*), count(*) FILTER (user_id IN (FROM g)) FROM (SELECT DISTINCT user_id, unnest(entities) AS e FROM memories)")
-def _(t: Tables) -> DataFrame:
-    """Users whose last event was an error are erased from all stored tables; what each table held and lost."""
-    gone = t.raw("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).where("last = 'error'").select("user_id")
-    tables = {"facts": t.memories.select("id", "user_id"), "turns": t.turns.select("session_id", "turn_index", "user_id"), "sessions": t.sessions, "entities": t.memories.select("user_id", F.explode("entities").alias("e")).distinct()}
-    out = None
-    for name, rows in tables.items():
-        table = Stored(t.spark, name)
-        table.write(rows)
-        table.write(table.read().join(gone, "user_id", "left_anti"))
-        count = lambda v, c: table.read(v).agg(F.count(F.lit(1)).alias(c))  # noqa: B023, E731
-        row = count(0, "n").crossJoin(F.broadcast(count(1, "kept"))).select(F.lit(name).alias("name"), "n", (F.col("n") - F.col("kept")).alias("deleted"))
-        out = row if out is None else out.union(row)
-    return out
-
-
-@R.add("dml06_reapply_erasures", f"e AS ({ERASED}) SELECT id FROM memories WHERE user_id NOT IN (SELECT user_id FROM e WHERE user_id % 10 <> 3 AND (user_id % 7 = 0 OR gone_at >= TIMESTAMP '2024-01-30'))")
-def _(t: Tables) -> DataFrame:
-    """A table restored as of a day is rid of all whose erasure is not before it."""
-    from stratamem.sources.tables import erasure_journal, erasures
-
-    table = Stored(t.spark, "restored")
-    table.write(t.memories.select("id", "user_id"))
-    still = erasures(t.spark, erasure_journal(t), "2024-01-30").where("still and user_id is not null").select("user_id").distinct()
-    table.write(table.read().join(still, "user_id", "left_anti"))
-    return table.read().select("id")
-
-
-@R.add("dml07_counter_upsert", "SELECT user_id, operation, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(failed_calls) AS BIGINT) AS failed, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM usage GROUP BY ALL")
-def _(t: Tables) -> DataFrame:
-    """Counters of a stored table, to which each day half's are added where the key stands, else put in."""
-    keys, sums = ["user_id", "operation"], {"calls": "calls", "failed_calls": "failed", "input_tokens": "tokens"}
-    counted = lambda rows: rows.groupBy(*keys).agg(*[F.sum(c).alias(n) for c, n in sums.items()])
-    table = Stored(t.spark, "counters")
-    table.write(counted(t.usage.where("event_id % 2 = 0")))
-    delta = counted(t.usage.where("event_id % 2 = 1"))
-    both = table.read().join(delta.withColumnsRenamed({n: f"_{n}" for n in sums.values()}), keys, "full_outer")
-    table.write(both.select(*keys, *[(F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in sums.values()]))
-    return table.read()
-
-
 @R.add("dml08_insert_edges", "SELECT DISTINCT a, b FROM (SELECT id % 50 AS a, id % 31 AS b FROM memories) WHERE a <> b")
 def _(t: Tables) -> DataFrame:
     edges = t.memories.selectExpr("id % 50 a", "id % 31 b").where("a <> b").dropDuplicates()
@@ -454,13 +388,3 @@ def _(t: Tables) -> DataFrame:
     new = t.memories.where("id % 2 = 0").select("id", "subject", "source_role")
     both = old.unionByName(new, allowMissingColumns=True)
     return both.select("id", F.coalesce("source_role", F.when(F.col("subject") == "user", "user").otherwise("assistant")).alias("source_role"), F.lit(0).cast("long").alias("access_count"))
-
-
-@R.add("dml12_meta_drift", "SELECT * FROM (VALUES ('dim', 'changed'), ('model', 'removed'), ('rev', 'added')) d(key, state)")
-def _(t: Tables) -> DataFrame:
-    n = t.raw("nation").count()
-    one = t.spark.createDataFrame([({"dim": "64", "model": "m", "rows": str(n)},)], "m map<string,string>")
-    two = t.spark.createDataFrame([({"dim": "128", "rows": str(n), "rev": "2"},)], "m map<string,string>")
-    x, y = one.select(F.explode("m").alias("key", "x")), two.select(F.explode("m").alias("key", "y"))
-    state = F.when(F.col("y").isNull(), "removed").when(F.col("x").isNull(), "added").otherwise("changed")
-    return x.join(y, "key", "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("key", state.alias("state"))

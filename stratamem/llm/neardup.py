@@ -1,16 +1,19 @@
-"""Near duplicates by ProbMinHash: shingles, banding, exact verification, components.
-
-1. Every text gets a signature of its five-word shingles, each of weight one however often it occurs
-   (ProbMinHash: an element arrives by a Poisson process of rate one, each arrival falls on
-   a random register, and arrivals stop once no register can still change). Two signatures agree at a
-   register with the Jaccard likeness of the shingle sets, the measure that defines a link: weights by
-   repeats would part texts whose sets are equal.
+"""Near duplicates by ProbMinHash: weighted shingles, banding, exact verification, components.
+
+1. Every text gets a signature of its five-word shingles, weighted 1 + ln of their number (ProbMinHash: an
+   element arrives by a Poisson process whose rate is its weight, each arrival falls on a random register, and
+   arrivals stop once no register can still change). Two signatures agree at a register with the
+   probability Jaccard likeness of the weighted shingles. A text that repeats shingles gets a second one in which
+   all weights are one, whose registers agree with the Jaccard likeness of the sets; for all other texts the two
+   are the same.
 2. Equal texts are folded into one, before anything is compared.
-3. Registers are cut into bands. Texts that agree on a band are candidates; each is held against one
-   centre of its bucket. Where a bucket then still holds several classes, the texts outside its largest
-   class are compared with all others in blocks, and a block reports a spanning forest of its links
+3. Registers are cut into bands. Texts that agree on a band of either signature are candidates; each is held
+   against one centre of its bucket. Where a bucket then still holds several classes, the texts outside its
+   largest class are compared with all others in blocks, and a block reports a spanning forest of its links
    rather than all of them.
-4. A pair is a link when the Jaccard likeness of its shingle sets, counted exactly, is 0.8 or more.
+4. A pair is a link when the probability Jaccard likeness of its weighted shingles, or the Jaccard likeness of its
+   shingle sets, worked out exactly, is 0.8 or more: neither does a shingle's number of repeats part texts whose sets
+   are alike, nor do rare odd shingles part texts that mostly say the same again and again.
 5. Classes are the connected components of the links.
 """
 
@@ -57,26 +60,37 @@ def hash_of(words: np.ndarray) -> int:
     return out
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.ndarray:
-    """ProbMinHash signatures, n x registers, of the shingle sets given by (doc, h); repeats do not count.
+def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, h, n): the distinct shingles of each text in order, and how often it has them."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], h[first], np.diff(np.append(first, len(h)))
+
+
+def weights(n: np.ndarray) -> np.ndarray:
+    """The weight of a shingle that occurs n times."""
+    return 1 + np.log(n)
+
+
+def signatures(doc: np.ndarray, h: np.ndarray, n: int, registers: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """ProbMinHash signatures, n x registers, of the distinct shingles (doc, h) with their weights, or all of weight one.
 
     All elements of all texts take their next arrival together; an element leaves as soon as its
     arrival lies beyond the largest value that a register of its text still holds.
     """
     if not len(h):
         return np.zeros((n, registers), np.uint64)
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, h = doc[new], h[new]
+    rate = np.ones(len(h)) if weight is None else weight
     value = np.full(n * registers, np.inf)
     winner = np.zeros(n * registers, np.uint64)
     worst = np.full(n, np.inf)
     arrived, state = np.zeros(len(h)), h.copy()
     while len(h):
         state = mix(state + np.uint64(0x9E3779B97F4A7C15))
-        arrived = arrived - np.log1p(-((state >> np.uint64(11)).astype(np.float64) * 2.0**-53))
+        arrived = arrived - np.log1p(-((state >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / rate
         register = (mix(state ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(registers)).astype(np.int64)
         cell = doc * registers + register
         by = np.lexsort((h, arrived, cell))
@@ -85,7 +99,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.nda
         value[cell[better]], winner[cell[better]] = arrived[better], h[better]
         worst = value.reshape(n, registers).max(axis=1)
         stay = arrived < worst[doc]
-        doc, h, arrived, state = doc[stay], h[stay], arrived[stay], state[stay]
+        doc, h, arrived, state, rate = doc[stay], h[stay], arrived[stay], state[stay], rate[stay]
     return winner.reshape(n, registers)
 
 
@@ -99,15 +113,20 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands and registers of each text: of all weights one, then, if it repeats shingles, of the weights as well."""
     for batch in batches:
         text = batch.column("text")
         for i, j in slices(text):
             w = Words(text.slice(i, j - i))
-            doc, h = doc_shingles(w)
-            sig = signatures(doc, h, j - i, BANDS * ROWS)
-            keys, low = band_keys(sig, BANDS, ROWS).view(np.int64), (sig & np.uint64(255)).astype(np.uint8)
+            doc, h, n = counted(*doc_shingles(w))
+            heavy = np.unique(doc[n > 1])
+            mine = np.isin(doc, heavy)
+            sigs = signatures(doc, h, j - i, BANDS * ROWS), signatures(np.searchsorted(heavy, doc[mine]), h[mine], len(heavy), BANDS * ROWS, weights(n[mine]))
+            keys, regs = [band_keys(x, BANDS, ROWS).view(np.int64) for x in sigs], [(x & np.uint64(255)).astype(np.uint8) for x in sigs]
+            place = dict(zip(heavy.tolist(), range(len(heavy)), strict=True))
             some = np.diff(w.first) > 0
-            out = [[x[k].tobytes() if some[k] else None for k in range(j - i)] for x in (keys, low)]
+            cell = lambda x, k: (x[0][k].tobytes() + (x[1][place[k]].tobytes() if k in place else b"")) if some[k] else None  # noqa: B023, E731
+            out = [[cell(x, k) for k in range(j - i)] for x in (keys, regs)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("tk").slice(i, j - i), *[pa.array(x, pa.binary()) for x in out]], ["doc_id", "tk", "keys", "regs"])
 
 
@@ -115,30 +134,70 @@ def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         keys = batch.column("keys")
         for i in range(0, len(keys), 2000):
-            part = keys.slice(i, 2000)
-            flat = np.frombuffer(b"".join(part.to_pylist()), np.int64)
+            part = keys.slice(i, 2000).to_pylist()
+            flat = np.frombuffer(b"".join(part), np.int64)
+            owner = np.repeat(np.arange(len(part)), [len(x) // 8 for x in part])
             tk = batch.column("tk").slice(i, 2000)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), tk.take(pa.array(np.repeat(np.arange(len(part)), BANDS)))], ["band", "tk"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), tk.take(pa.array(owner))], ["band", "tk"])
+
+
+class Shingles:
+    """A text's distinct shingles in order, and their weights."""
+
+    def __init__(self, packed: bytes):
+        n = int(np.frombuffer(packed, np.uint64, 1)[0])
+        self.h = np.frombuffer(packed, np.uint64, n, 8)
+        again = np.frombuffer(packed, np.uint32, offset=8 + 8 * n).reshape(-1, 2)
+        self.heavy = len(again) > 0
+        self.w = np.ones(n)
+        self.w[again[:, 0]] = weights(again[:, 1])
+
+    @staticmethod
+    def packed(h: np.ndarray, n: np.ndarray) -> bytes:
+        """How many there are, their hashes, then place and number of those that occur more than once."""
+        again = np.flatnonzero(n > 1)
+        return np.uint64(len(h)).tobytes() + h.tobytes() + np.column_stack([again, n[again]]).astype(np.uint32).tobytes()
+
+
+def probability_jaccard(x: Shingles, y: Shingles) -> float:
+    """The sum over shared elements i of 1 / (sum over all j of max(x_j / x_i, y_j / y_i)).
+
+    In order of y / x, the first of the two is the greater for all elements up to i, the second for those after it.
+    """
+    _, at, to = np.intersect1d(x.h, y.h, assume_unique=True, return_indices=True)
+    a, b = x.w[at], y.w[to]
+    order = np.argsort(b / a)
+    a, b = a[order], b[order]
+    only_x, only_y = x.w.sum() - a.sum(), y.w.sum() - b.sum()
+    return float((1 / ((only_x + np.cumsum(a)) / a + (only_y + b.sum() - np.cumsum(b)) / b)).sum())
+
+
+def linked(x: Shingles, y: Shingles) -> bool:
+    """Whether one of the two likenesses is at the threshold; whole numbers decide that of the sets."""
+    both = len(np.intersect1d(x.h, y.h, assume_unique=True))
+    if 10 * both >= 8 * (len(x.h) + len(y.h) - both):
+        return True
+    return (x.heavy or y.heavy) and both > 0 and probability_jaccard(x, y) >= THRESHOLD - 1e-12
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
         for i, j in slices(text):
-            doc, h = doc_shingles(Words(text.slice(i, j - i)))
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
+            doc, h, n = counted(*doc_shingles(Words(text.slice(i, j - i))))
             cut = np.searchsorted(doc, np.arange(j - i + 1))
-            sets = [np.unique(h[cut[k] : cut[k + 1]]).tobytes() for k in range(j - i)]
+            sets = [Shingles.packed(h[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column("tk").slice(i, j - i), pa.array(sets, pa.binary())], ["tk", "shingles"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m = BANDS * ROWS
     for batch in batches:
         for i in range(0, len(batch), 1000):
             part = batch.slice(i, 1000)
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(len(part), -1) for c in ("a_regs", "b_regs"))
-            take = pa.array(np.flatnonzero((x == y).mean(axis=1) >= LIKELY))
+            # a text without a second signature has the first for both
+            x, y = (np.frombuffer(b"".join(r if len(r) == 2 * m else r + r for r in part.column(c).to_pylist()), np.uint8).reshape(len(part), 2, m) for c in ("a_regs", "b_regs"))
+            take = pa.array(np.flatnonzero((x == y).mean(axis=2).max(axis=1) >= LIKELY))
             yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take)], ["a", "b"])
 
 
@@ -152,15 +211,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("a_set"), batch.column("b_set")
-        keep = []
-        for k in range(len(a)):
-            x, y = np.frombuffer(a[k].as_py(), np.uint64), np.frombuffer(b[k].as_py(), np.uint64)
-            if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= THRESHOLD * (len(x) + len(y) - both):
-                keep.append(k)
-        take = pa.array(keep, pa.int64())
+        take = pa.array([k for k in range(len(a)) if linked(Shingles(a[k].as_py()), Shingles(b[k].as_py()))], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
 
 
@@ -171,41 +222,50 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_set", "b_set").mapInArrow(_alike, "a binary, b binary")
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets share, by products of slices of their incidence matrix."""
+def common_counts(sets: list[np.ndarray], weight: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many elements each two sets share, or what those weigh in the first, by products of slices of their incidence matrix."""
     n = len(sets)
     member = np.repeat(np.arange(n), [len(x) for x in sets])
     _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = often > 1  # the others are in no two sets
     number = np.cumsum(shared) - 1
     keep = shared[element]
-    member, element = member[keep], number[element[keep]]
+    mass = np.ones(len(element), np.float32) if weight is None else np.concatenate(weight).astype(np.float32)
+    member, element, mass = member[keep], number[element[keep]], mass[keep]
     order = np.argsort(element, kind="stable")
-    member, element = member[order], element[order]
+    member, element, mass = member[order], element[order], mass[order]
     out = np.zeros((n, n), np.float32)
     for lo in range(0, int(shared.sum()), SLICE):
         i, j = np.searchsorted(element, [lo, lo + SLICE])
         part = np.zeros((n, SLICE), np.float32)
         part[member[i:j], element[i:j] - lo] = 1
-        out += part @ part.T
+        first = part
+        if weight is not None:
+            first = np.zeros((n, SLICE), np.float32)
+            first[member[i:j], element[i:j] - lo] = mass[i:j]
+        out += first @ part.T
     return out
 
 
 def _forest(group: pa.Table) -> pa.Table:
     """Links between the classes that meet in a block, as few as join what can be joined."""
     tk, root = group.column("tk").to_pylist(), group.column("root").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-    size = np.array([len(x) for x in sets], np.float32)
-    both = common_counts(sets)
+    sets = [Shingles(x) for x in group.column("shingles").to_pylist()]
+    size = np.array([len(x.h) for x in sets], np.float32)
+    both = common_counts([x.h for x in sets])
     alike = both >= np.float32(THRESHOLD) * (size[:, None] + size[None, :] - both) - np.float32(1e-3)
+    heavy = np.array([x.heavy for x in sets])
+    if heavy.any():
+        # probability Jaccard is at most what the shared elements weigh in either text
+        held = common_counts([x.h for x in sets], [x.w / x.w.sum() for x in sets]) >= np.float32(THRESHOLD) - np.float32(1e-3)
+        alike |= held & held.T & (heavy[:, None] | heavy[None, :])
     _, label = np.unique(np.array(root, object), return_inverse=True)
     x, y = np.nonzero(alike & (label[:, None] < label[None, :]))
     found = []
     while len(x):
         i, j = x[0], y[0]
-        # float32 only proposes; whole numbers decide
-        c = round(float(both[i, j]))
-        if 10 * c >= 8 * (len(sets[i]) + len(sets[j]) - c):
+        # float32 only proposes
+        if linked(sets[i], sets[j]):
             found.append((tk[i], tk[j]))
             label[label == label[j]] = label[i]
         else:

@@ -124,8 +124,14 @@ def test_near_duplicates(docs, none):
 
 
 def brute_force_classes(texts):
-    """For each text the least index of the texts in its class: links are five-word Jaccard of 0.8 or more."""
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for t in texts for w in [words(t)]]
+    """For each text the least index of the texts in its class: links are five-word Jaccard of 0.8 or more, of sets or of 1 + ln of the numbers."""
+    bags = [collections.Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])) for t in texts for w in [words(t)]]
+    sets = [set(x) for x in bags]
+
+    def weighted(i, j):
+        x, y = ({g: 1 + math.log(n) for g, n in bags[k].items()} for k in (i, j))
+        return sum(1 / sum(max(x.get(h, 0) / x[g], y.get(h, 0) / y[g]) for h in x.keys() | y.keys()) for g in x.keys() & y.keys())
+
     holders, parent = collections.defaultdict(list), list(range(len(texts)))
 
     def find(x):
@@ -142,7 +148,8 @@ def brute_force_classes(texts):
             continue
         shared = collections.Counter(j for g in sets[i] for j in holders[g])
         for j, n in shared.items():
-            if 10 * n >= 8 * (len(sets[i]) + len(sets[j]) - n):
+            repeats = max(bags[i].values()) > 1 or max(bags[j].values()) > 1
+            if 10 * n >= 8 * (len(sets[i]) + len(sets[j]) - n) or (repeats and n > 0.3 * min(len(sets[i]), len(sets[j])) and weighted(i, j) >= 0.8 - 1e-12):
                 parent[find(i)] = find(j)
                 links += 1
         for g in sets[i]:
@@ -211,13 +218,43 @@ def test_repeats_do_not_hide_near_duplicates():
             text = np.concatenate([x[:200], np.repeat(x[:60], often - 1), own])
             doc.append(np.full(len(text), len(doc)))
             h.append(text)
-    sig = neardup.signatures(np.concatenate(doc), np.concatenate(h), 2 * n, neardup.BANDS * neardup.ROWS)
+    doc, h, _ = neardup.counted(np.concatenate(doc), np.concatenate(h))
+    sig = neardup.signatures(doc, h, 2 * n, neardup.BANDS * neardup.ROWS)
     same = (sig[::2] == sig[1::2]).mean(axis=1)
     keys = neardup.band_keys(sig, neardup.BANDS, neardup.ROWS)
     assert abs(same.mean() - 200 / 248) < 0.01 and (same >= neardup.LIKELY).all()
     assert (keys[::2] == keys[1::2]).any(axis=1).all()
 
 
+def naive_probability_jaccard(x, y):
+    return sum(1 / sum(max(x.get(h, 0) / x[g], y.get(h, 0) / y[g]) for h in x.keys() | y.keys()) for g in x.keys() & y.keys())
+
+
+def test_weighted_signatures_agree_with_probability_jaccard():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(6):
+        bags = [dict(zip(r.choice(400, 250, replace=False).tolist(), r.choice([1, 1, 1, 2, 9, 60], 250).tolist(), strict=True)) for _ in range(2)]
+        hashed = [(neardup.mix(np.array(sorted(b), np.uint64) + np.uint64(1)), np.array([b[k] for k in sorted(b)])) for b in bags]
+        order = [np.argsort(h) for h, _ in hashed]
+        x, y = (neardup.Shingles(neardup.Shingles.packed(h[o], n[o])) for (h, n), o in zip(hashed, order, strict=True))
+        want = naive_probability_jaccard(*[{k: 1 + math.log(n) for k, n in b.items()} for b in bags])
+        assert abs(neardup.probability_jaccard(x, y) - want) < 1e-12
+        sig = neardup.signatures(np.repeat([0, 1], 250), np.concatenate([x.h, y.h]), 2, 4096, np.concatenate([x.w, y.w]))
+        assert abs((sig[0] == sig[1]).mean() - want) < 0.04
+
+
+def test_links_by_weight(spark):
+    """Texts that say the same passage many times, each with odd sentences of its own: their sets are not alike, their weights are."""
+    chorus = prose(60)
+    texts = [" ".join([chorus] * 40 + [prose(k)]) for k in (18, 20, 22)] + [chorus + " " + prose(20), " ".join([chorus] * 40), prose(90)]
+    want, _ = brute_force_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want == [0, 0, 0, 3, 0, 5]
+
+
 def test_secret_ledger(spark, docs, none):
     ledger = secrets.new_ledger(spark)
     secrets.update_ledger(docs, ledger)

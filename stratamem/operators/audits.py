@@ -7,23 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.functions.text import FACETS, all_of, facets, sentences
+from stratamem.operators.context import TURNS_BM25, turns_given
+from stratamem.operators.extraction import STATEMENT
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.retrieval import BM25, containing, terms
 from stratamem.plans.fixtures import Registry, Tables
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
-_SPEC = "spec AS (" + " UNION ".join(f"SELECT session_id, line_id, role, '{k}' AS facet, unnest(regexp_extract_all(text, '{p}')) AS value FROM lines" for k, p in FACETS.items()) + "), kept AS (SELECT session_id, string_agg(text, ' ' ORDER BY line_id) AS blob FROM lines WHERE line_id % 2 = 1 GROUP BY 1)"
+#: Sentences that a store of first-person acts keeps, and those that a store of specifics keeps.
+SPECIFIC = "[0-9]| [A-Z][a-z]+"
+_SPEC = "spec AS (" + " UNION ".join(f"SELECT session_id, line_id, role, '{k}' AS facet, unnest(regexp_extract_all(text, '{p}')) AS value FROM lines" for k, p in FACETS.items()) + "), " + f"""facts AS (SELECT session_id, line_id, array_to_string(list_filter(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), lambda s: regexp_matches(s, '{STATEMENT}')), '') AS fact FROM lines WHERE role = 'user'),
+more AS (SELECT session_id, line_id, array_to_string(list_filter(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), lambda s: regexp_matches(s, '{SPECIFIC}')), '') AS fact FROM lines),
+kept AS (SELECT session_id, string_agg(fact, ' ' ORDER BY line_id) AS blob FROM facts WHERE fact <> '' GROUP BY 1), wider AS (SELECT session_id, string_agg(fact, ' ' ORDER BY line_id) AS blob2 FROM more WHERE fact <> '' GROUP BY 1)"""
 
 
 def specifics(t: Tables) -> DataFrame:
     return facets(t.lines, FACETS).join(t.lines.select("line_id", "session_id", "role"), "line_id").distinct()
 
 
-def kept_text(t: Tables) -> DataFrame:
-    """What a store kept of each session: here every other line."""
-    line = F.when(F.col("line_id") % 2 == 1, F.struct("line_id", "text"))
-    return t.lines.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(line))["text"], " ").alias("blob"))
+def kept_facts(t: Tables, pattern: str = STATEMENT, roles: tuple[str, ...] = ("user",)) -> DataFrame:
+    """session_id, line_id, fact: what a store by rule keeps of each line; lines without a fact are left out."""
+    fact = F.array_join(F.filter(sentences("text"), lambda s: s.rlike(pattern)), "")
+    return t.lines.where(F.col("role").isin(*roles)).select("session_id", "line_id", fact.alias("fact")).where("fact <> ''")
+
+
+def kept_text(t: Tables, name: str = "blob", **store) -> DataFrame:
+    """What a store kept of each session."""
+    facts = kept_facts(t, **store).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "fact"))).alias("x"))
+    return facts.select("session_id", F.array_join("x.fact", " ").alias(name))
 
 
 @R.add("dq01_fidelity", _SPEC + " SELECT facet, count(*) AS stated, count(*) FILTER (contains(coalesce(blob, ''), value)) AS retained FROM (SELECT DISTINCT session_id, facet, value FROM spec) s LEFT JOIN kept USING (session_id) GROUP BY facet")
@@ -52,11 +64,12 @@ def _(t: Tables) -> DataFrame:
     return s.where(~F.coalesce("blob", F.lit("")).contains(F.col("value"))).select("session_id", "facet", "value")
 
 
-@R.add("dq05_paired_fidelity", _SPEC + ", v AS (SELECT DISTINCT session_id, facet, value, contains(coalesce(blob, ''), value) AS one, line_id % 3 > 0 AS two FROM spec LEFT JOIN kept USING (session_id)) SELECT count(*) FILTER (two AND NOT one) AS gained, count(*) FILTER (one AND NOT two) AS lost, count(*) FILTER (one AND two) AS both FROM v")
+@R.add("dq05_paired_fidelity", _SPEC + ", v AS (SELECT DISTINCT session_id, facet, value, contains(coalesce(blob, ''), value) AS one, contains(coalesce(blob2, ''), value) AS two FROM spec LEFT JOIN kept USING (session_id) LEFT JOIN wider USING (session_id)) SELECT count(*) FILTER (two AND NOT one) AS gained, count(*) FILTER (one AND NOT two) AS lost, count(*) FILTER (one AND two) AS both FROM v")
 def _(t: Tables) -> DataFrame:
-    v = specifics(t).join(kept_text(t), "session_id", "left").select("session_id", "facet", "value", F.coalesce("blob", F.lit("")).contains(F.col("value")).alias("one"), (F.col("line_id") % 3 > 0).alias("two")).distinct()
-    one, two = F.col("one"), F.col("two")
-    return v.agg(F.count_if(two & ~one).alias("gained"), F.count_if(one & ~two).alias("lost"), F.count_if(one & two).alias("both"))
+    """What a store of specifics holds that a store of first-person acts does not, and the other way."""
+    s = specifics(t).select("session_id", "facet", "value").distinct().join(kept_text(t), "session_id", "left").join(kept_text(t, "blob2", pattern=SPECIFIC, roles=("user", "assistant")), "session_id", "left")
+    one, two = (F.coalesce(c, F.lit("")).contains(F.col("value")) for c in ("blob", "blob2"))
+    return s.agg(F.count_if(two & ~one).alias("gained"), F.count_if(one & ~two).alias("lost"), F.count_if(one & two).alias("both"))
 
 
 @R.add("dq06_standardisation", "r AS (SELECT source, lang, count(*) AS n, avg(quality) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY ALL), w AS (SELECT lang, count(*) AS target FROM documents GROUP BY 1) SELECT source, round(sum(target * rate) / sum(target), 9) AS standardised FROM r JOIN w USING (lang) GROUP BY source")
@@ -90,13 +103,14 @@ def _(t: Tables) -> DataFrame:
     return t.turns.groupBy("session_id").agg(F.bool_or(F.trim("content") == "").alias("blank_turn"), F.bool_or(~F.col("role").isin("user", "assistant")).alias("bad_role"), (~F.bool_or(F.col("role") == "user")).alias("no_user_turn"))
 
 
-@R.add("dq11_ingest_state", "SELECT count(*) AS expected, count(*) FILTER (session_id % 3 = 0) AS done, count(*) FILTER (session_id % 3 = 1 AND session_id % 5 = 0) AS blocked, count(*) FILTER (session_id % 3 <> 0 AND NOT (session_id % 3 = 1 AND session_id % 5 = 0)) AS pending FROM sessions")
+@R.add("dq11_ingest_state", f"m AS ({SOURCED}), f AS (SELECT DISTINCT source_session AS session_id FROM m WHERE source_session IS NOT NULL), b AS (SELECT session_id FROM turns GROUP BY 1 HAVING bool_or(role NOT IN ('user', 'assistant'))) SELECT count(*) AS expected, count(*) FILTER (session_id IN (FROM f)) AS done, count(*) FILTER (session_id NOT IN (FROM f) AND session_id IN (FROM b)) AS blocked, count(*) FILTER (session_id NOT IN (FROM f) AND session_id NOT IN (FROM b)) AS pending FROM sessions")
 def _(t: Tables) -> DataFrame:
-    done = t.sessions.where("session_id % 3 = 0").select("session_id", F.lit("done").alias("state"))
-    blocked = t.sessions.where("session_id % 3 = 1 and session_id % 5 = 0").select("session_id", F.lit("blocked").alias("state"))
-    s = t.sessions.join(done.union(blocked), "session_id", "left")
-    n = lambda k: F.count_if(F.col("state") == k).alias(k)
-    return s.agg(F.count(F.lit(1)).alias("expected"), n("done"), n("blocked"), F.count_if(F.col("state").isNull()).alias("pending"))
+    """Sessions with facts are done; of the others those with a role that cannot be taken in are blocked, the rest pending."""
+    done = sourced(t).select(F.col("source_session").alias("session_id"), F.lit(True).alias("done")).where("session_id IS NOT NULL").distinct()
+    bad = t.turns.groupBy("session_id").agg(F.bool_or(~F.col("role").isin("user", "assistant")).alias("bad"))
+    s = t.sessions.join(done, "session_id", "left").join(bad, "session_id", "left")
+    state = F.when(F.col("done"), "done").when(F.col("bad"), "blocked").otherwise("pending")
+    return s.agg(F.count(F.lit(1)).alias("expected"), *[F.count_if(state == k).alias(k) for k in ("done", "blocked", "pending")])
 
 
 @R.add("dq12_temporal_gate", "p AS (SELECT status = 'superseded' AS closed, predicate = lead(predicate) OVER w AS same, lead(update_op) OVER k AS expected FROM memories WINDOW w AS (PARTITION BY user_id ORDER BY occurred_at, id), k AS (PARTITION BY user_id, subject, predicate ORDER BY occurred_at, id)), g AS (SELECT round(avg(closed::INT) FILTER (expected = 'replaces'), 9) AS replace_recall, round(avg(closed::INT) FILTER (expected = 'removes'), 9) AS removal_recall, round(avg(closed::INT) FILTER (expected = 'coexists'), 9) AS false_supersede, round(avg(same::INT), 9) AS same_key FROM p) SELECT *, replace_recall >= 0.8 AND false_supersede <= 0.05 AS passes FROM g")
@@ -153,16 +167,24 @@ def _(t: Tables) -> DataFrame:
     return score.groupBy("query_id", "doc_id").agg(F.max_by("i", F.struct("score", -F.col("i"))).alias("anchor"))
 
 
-@R.add("dq16_anchor_accuracy", _SPEC + ", u AS (SELECT session_id, value, min(line_id) AS only_line FROM spec GROUP BY ALL HAVING count(DISTINCT line_id) = 1) SELECT count(*) AS checkable, count(*) FILTER (only_line % 2 = 1) AS right_anchor FROM u")
+@R.add("dq16_anchor_accuracy", _SPEC + ", u AS (SELECT session_id, value, min(line_id) AS only_line FROM spec GROUP BY ALL HAVING count(DISTINCT line_id) = 1), a AS (SELECT u.session_id, u.value, only_line, min(f.line_id) AS anchor FROM u LEFT JOIN facts f ON f.session_id = u.session_id AND contains(f.fact, u.value) GROUP BY ALL) SELECT count(*) AS checkable, count(anchor) AS anchored, count(*) FILTER (anchor = only_line) AS right_anchor FROM a")
 def _(t: Tables) -> DataFrame:
+    """Values that one line of a session holds: whether the store has a fact with the value, and whether that comes from this line."""
     u = specifics(t).groupBy("session_id", "value").agg(F.count_distinct("line_id").alias("n"), F.min("line_id").alias("only")).where("n = 1")
-    return u.agg(F.count(F.lit(1)).alias("checkable"), F.count_if(F.col("only") % 2 == 1).alias("right_anchor"))
+    facts = kept_facts(t).withColumnRenamed("line_id", "from")
+    held = u.join(facts, "session_id").where(F.col("fact").contains(F.col("value"))).groupBy("session_id", "value").agg(F.min("from").alias("anchor"))
+    both = u.join(held, ["session_id", "value"], "left")
+    return both.agg(F.count(F.lit(1)).alias("checkable"), F.count("anchor").alias("anchored"), F.count_if(F.col("anchor") == F.col("only")).alias("right_anchor"))
 
 
-@R.add("dq17_quote_grounding", "q AS (SELECT line_id, CASE WHEN line_id % 4 = 0 THEN 'not there' ELSE substr(text, 3, 12) END AS quote FROM lines) SELECT line_id, CASE WHEN contains(text, quote) THEN 'grounded' ELSE 'quote not in turn' END AS reason FROM q JOIN lines USING (line_id)")
+@R.add("dq17_quote_grounding", _SPEC + ", l AS (SELECT *, max(CASE WHEN role = 'user' THEN turn_index END) OVER (PARTITION BY session_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said FROM lines) SELECT DISTINCT l.line_id, s.facet, s.value, CASE WHEN u.line_id IS NULL THEN 'no turn' WHEN contains(u.text, s.value) THEN 'grounded' ELSE 'quote not in turn' END AS reason FROM l JOIN spec s ON s.line_id = l.line_id AND s.role = 'assistant' LEFT JOIN lines u ON u.session_id = l.session_id AND u.turn_index = l.said")
 def _(t: Tables) -> DataFrame:
-    q = t.lines.select("line_id", F.when(F.col("line_id") % 4 == 0, "not there").otherwise(F.substring("text", 3, 12)).alias("quote"))
-    return q.join(t.lines, "line_id").select("line_id", F.when(F.col("text").contains(F.col("quote")), "grounded").otherwise("quote not in turn").alias("reason"))
+    """Each specific that the assistant states, held against what the user said last before it."""
+    before = W.partitionBy("session_id").orderBy("turn_index").rowsBetween(W.unboundedPreceding, -1)
+    said = t.lines.withColumn("u", F.max(F.when(F.col("role") == "user", F.struct("turn_index", "text"))).over(before)).select("line_id", "u.text")
+    s = specifics(t).where("role = 'assistant'").select("line_id", "facet", "value").distinct().join(said, "line_id")
+    reason = F.when(F.col("text").isNull(), "no turn").when(F.col("text").contains(F.col("value")), "grounded").otherwise("quote not in turn")
+    return s.select("line_id", "facet", "value", reason.alias("reason"))
 
 
 @R.add("dq19_label_coverage", "w AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS w FROM benchmark), v AS (SELECT w, bool_or(role = 'user') AS mine, bool_or(role <> 'user') AS theirs FROM (SELECT role, unnest(regexp_extract_all(lower(content), '[a-z0-9]{3,}')) AS w FROM turns) GROUP BY 1), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents), r AS (SELECT item_id, avg(coalesce(mine, false)::INT) AS mine, avg(coalesce(theirs, false)::INT) AS theirs, avg((v.w IS NOT NULL)::INT) AS any_turn, avg((d.w IS NOT NULL)::INT) AS corpus FROM w LEFT JOIN v ON v.w = w.w LEFT JOIN d ON d.w = w.w GROUP BY 1) SELECT CASE WHEN mine >= 0.8 THEN '1 user' WHEN theirs >= 0.8 THEN '2 others' WHEN any_turn >= 0.8 THEN '3 together' WHEN corpus >= 0.8 THEN '4 documents' ELSE '5 nowhere' END AS stage, count(*) AS n, round(avg(any_turn), 9) AS share FROM r GROUP BY 1")
@@ -207,11 +229,13 @@ def _(t: Tables) -> DataFrame:
     return r.groupBy("question_type").agg(F.count_if("a").alias("before"), F.count_if(F.coalesce("corrected", "a")).alias("after"), F.count_if(F.col("corrected") != F.col("a")).alias("changed"))
 
 
-@R.add("dq25_hash_coverage", "SELECT session_id, bool_and(turn_index <> 3) AS covered FROM turns WHERE role = 'assistant' GROUP BY session_id")
+@R.add("dq25_hash_coverage", TURNS_BM25 + ", d AS (SELECT DISTINCT t.session_id, t.turn_index, sha256(t.content) AS h FROM turn_rank r JOIN turns t ON t.session_id * 1000 + t.turn_index = r.turn_id) SELECT t.session_id, bool_and(d.h IS NOT NULL) AS covered FROM turns t LEFT JOIN d ON d.session_id = t.session_id AND d.turn_index = t.turn_index AND d.h = sha256(t.content) WHERE role = 'assistant' GROUP BY t.session_id")
 def _(t: Tables) -> DataFrame:
+    """Whether all that the assistant said in a session, told by place and digest, is among the turns that some query was given."""
     key = ["session_id", "turn_index", "h"]
-    rows = t.turns.select("session_id", "turn_index", F.sha2("content", 256).alias("h"), "role")
-    delivered = rows.where("turn_index <> 3").select(*key, F.lit(True).alias("there"))
+    rows = t.turns.select("session_id", "turn_index", F.sha2("content", 256).alias("h"), "role", (F.col("session_id") * 1000 + F.col("turn_index")).alias("turn_id"))
+    given = turns_given(t).select("turn_id").distinct()
+    delivered = rows.join(given, "turn_id").select(*key, F.lit(True).alias("there"))
     return rows.where("role = 'assistant'").join(delivered, key, "left").groupBy("session_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("covered"))
 
 

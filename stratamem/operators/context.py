@@ -65,16 +65,21 @@ bm AS (SELECT query_id, turn_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 turn_rank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, turn_id) AS rank FROM bm) WHERE rank <= 50)"""
 
 
+def turns_given(t: Tables) -> DataFrame:
+    """query_id, turn_id, rank: the 50 best turns of the archive for each benchmark text."""
+    from stratamem.operators.retrieval import bm25
+
+    archive = t.turns.select((F.col("session_id") * 1000 + F.col("turn_index")).alias("turn_id"), F.col("content").alias("text"))
+    queries = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return top_k(bm25(archive, queries, "turn_id"), ["query_id"], 50, F.desc("score"), F.col("turn_id")).select("query_id", "turn_id", "rank")
+
+
 @R.add("topk13_local_turns", TURNS_BM25 + """, best AS (SELECT query_id, turn_id // 1000 AS session_id FROM turn_rank WHERE rank = 1),
 l AS (SELECT b.query_id, t.session_id, t.turn_index, coalesce(r.rank, 1000000) AS place FROM best b JOIN turns t ON t.session_id = b.session_id LEFT JOIN turn_rank r ON r.query_id = b.query_id AND r.turn_id = t.session_id * 1000 + t.turn_index)
 SELECT query_id, session_id, turn_index FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, turn_index) AS rn FROM l) WHERE rn <= 3""")
 def _(t: Tables) -> DataFrame:
     """Turns of the session that holds a query's best turn, by their rank in the archive, the unranked last."""
-    from stratamem.operators.retrieval import bm25
-
-    archive = t.turns.select((F.col("session_id") * 1000 + F.col("turn_index")).alias("turn_id"), F.col("content").alias("text"))
-    queries = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    ranked = top_k(bm25(archive, queries, "turn_id"), ["query_id"], 50, F.desc("score"), F.col("turn_id")).select("query_id", "turn_id", "rank")
+    ranked = turns_given(t)
     best = ranked.where("rank = 1").select("query_id", F.floor(F.col("turn_id") / 1000).alias("session_id"))
     local = t.turns.select("session_id", "turn_index", (F.col("session_id") * 1000 + F.col("turn_index")).alias("turn_id")).join(best, "session_id")
     both = local.join(ranked, ["query_id", "turn_id"], "left").withColumn("place", F.coalesce("rank", F.lit(1_000_000).cast("long"))).drop("rank")
@@ -257,18 +262,6 @@ def _(t: Tables) -> DataFrame:
     return filled(top.select("user_id", "id", "rank", (30 + F.col("id") % 20).alias("cost")), ["user_id"], 500, F.col("rank"))
 
 
-@R.add("tmp11_confirmed_update")
-def _(t: Tables) -> DataFrame:
-    """Later facts of confirmed pairs take the earlier one's key and replace it; the keys touched are folded again."""
-    own = ["user_id", "subject", "predicate"]
-    facts = t.memories.select("id", *own, "object", "update_op", "occurred_at", "content", F.lit(None).cast("string").alias("target"))
-    pairs = facts.where("id % 400 = 1").select((F.col("id") + 1).alias("id"), F.col("predicate").alias("p"), F.col("user_id").alias("u"), F.col("object").alias("o"))
-    moved = facts.join(pairs, "id", "left")
-    moved = moved.withColumns({"predicate": F.coalesce("p", "predicate"), "user_id": F.coalesce("u", "user_id"), "target": F.coalesce("o", "target"), "update_op": F.when(F.col("p").isNotNull(), "replaces").otherwise(F.col("update_op"))}).drop("p", "u", "o")
-    touched = moved.where(F.col("target").isNotNull()).select(*own).distinct()
-    return resolved(moved.join(touched, own, "left_semi")).select("id", "status", "by")
-
-
 @R.add("tmp13_event_timeline", "SELECT line_id, regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS day FROM lines WHERE role = 'user' AND regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')")
 def _(t: Tables) -> DataFrame:
     day = F.try_element_at(all_of("text", "[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(1))

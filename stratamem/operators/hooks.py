@@ -178,3 +178,57 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     s = t.lines.where("role = 'user'").select("line_id", F.explode(sentences("text")).alias("fact"))
     return s.where(F.col("fact").rlike("I (moved|bought|visited|switched|replaced|ran)"))
+
+
+_loaded: dict = {}
+
+
+def session_extractor(name: str, load: Callable[[], Callable[[list[dict]], Iterator[dict]]], columns: str):
+    """A table function from the ordered turns of one session to facts, for a model of the user's own.
+
+    load() gives a function from a session's turns (dicts, in order) to facts (dicts with `columns`); it is called
+    once a worker process and name. Use it over a table parted by session: facts_by(df, extractor, by, order).
+    Spark brings each session's turns together and in order; a task holds one session at a time.
+    """
+    from pyspark.sql.functions import udtf
+
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    class Extract:
+        def __init__(self):
+            if name not in _loaded:
+                _loaded[name] = load()
+            self.turns: list[dict] = []
+
+        def eval(self, row):
+            self.turns.append(row.asDict())
+
+        def terminate(self):
+            for fact in _loaded[name](self.turns):
+                yield tuple(fact[k] for k in names)
+
+    return udtf(Extract, returnType=columns)
+
+
+def facts_by(turns: DataFrame, extract, by: list[str], order: list[str]) -> DataFrame:
+    """What a session_extractor finds in turns, parted by `by` and ordered by `order`."""
+    return extract(turns.asTable().partitionBy(*by).orderBy(*order))
+
+
+def answers() -> Callable[[list[dict]], Iterator[dict]]:
+    """A stand-in for a model that needs a session's order: the first sentence of each answer, with the length in words of what it answers."""
+    import re
+
+    def extract(turns: list[dict]) -> Iterator[dict]:
+        for asked, said in zip(turns, turns[1:], strict=False):
+            if asked["role"] == "user" and said["role"] == "assistant":
+                first = re.search(r"[^.!?]+(?:[.!?]+|$)", said["content"] or "")
+                yield {"session_id": said["session_id"], "turn_index": said["turn_index"], "asked_words": len((asked["content"] or "").split(" ")), "fact": first[0] if first else None}
+
+    return extract
+
+
+@R.add("udf05_session_extractor", "x AS (SELECT *, lag(role) OVER w AS before, lag(content) OVER w AS asked FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn_index)) SELECT session_id, turn_index, CAST(len(string_split(coalesce(asked, ''), ' ')) AS BIGINT) AS asked_words, nullif(regexp_extract(content, '[^.!?]+(?:[.!?]+|$)'), '') AS fact FROM x WHERE role = 'assistant' AND before = 'user'")
+def _(t: Tables) -> DataFrame:
+    extract = session_extractor("answers", answers, "session_id long, turn_index long, asked_words long, fact string")
+    return facts_by(t.turns.select("session_id", "turn_index", "role", "content"), extract, ["session_id"], ["turn_index"])

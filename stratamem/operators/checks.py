@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.functions.text import NUMBER_WORDS, all_of
+from stratamem.operators.context import TURNS_BM25, turns_given
 from stratamem.operators.evaluation import binomial_tail
+from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.retrieval import containing, top_k
 from stratamem.operators.timeline import FOLD, FOLDED, day_time, facts_of, resolved
 from stratamem.plans.fixtures import Registry, Tables
@@ -40,11 +42,19 @@ def _(t: Tables) -> DataFrame:
     return g.select("session_id", F.round(F.try_divide("got", "gold"), 9).alias("share"))
 
 
-@R.add("ret11_source_level", "r AS (SELECT user_id, session_id, turn_index, row_number() OVER (PARTITION BY user_id ORDER BY length(content) DESC, session_id, turn_index) AS rank FROM turns) SELECT user_id, CASE WHEN session_id % 3 = 0 THEN 'local' ELSE 'archive' END AS level FROM r WHERE rank = 1")
+@R.add("ret11_source_level", TURNS_BM25 + f""", m AS ({SOURCED}), found AS (SELECT DISTINCT r.query_id, m.source_session AS session_id FROM (SELECT query_id, turn_id FROM turn_rank WHERE rank BETWEEN 2 AND 6) r JOIN m ON m.source_session * 1000 + m.source_turn = r.turn_id),
+asked AS (SELECT item_id AS query_id FROM benchmark) SELECT asked.query_id, CASE WHEN b.turn_id IS NULL THEN 'none' WHEN f.session_id IS NOT NULL THEN 'local' ELSE 'archive' END AS level FROM asked LEFT JOIN (SELECT query_id, turn_id FROM turn_rank WHERE rank = 1) b USING (query_id) LEFT JOIN found f ON f.query_id = asked.query_id AND f.session_id = b.turn_id // 1000""")
 def _(t: Tables) -> DataFrame:
-    best = top_k(t.turns.withColumn("n", F.length("content")), ["user_id"], 1, F.desc("n"), F.col("session_id"), F.col("turn_index"))
-    retrieved = t.sessions.where("session_id % 3 = 0").select("session_id", F.lit("local").alias("level"))
-    return best.join(retrieved, "session_id", "left").select("user_id", F.coalesce("level", F.lit("archive")).alias("level"))
+    """Where a query's source is sought: in the sessions of the facts retrieved for it if its best turn lies there, else in the whole archive, else nowhere.
+
+    Facts retrieved are those that come from the query's next best turns.
+    """
+    ranked = turns_given(t)
+    facts = sourced(t).select((F.col("source_session") * 1000 + F.col("source_turn")).alias("turn_id"), F.col("source_session").alias("session_id"))
+    found = ranked.where("rank BETWEEN 2 AND 6").join(facts, "turn_id").select("query_id", "session_id", F.lit("local").alias("found")).distinct()
+    best = ranked.where("rank = 1").select("query_id", F.floor(F.col("turn_id") / 1000).alias("session_id"))
+    both = t.raw("benchmark").select(F.col("item_id").alias("query_id")).join(best.join(found, ["query_id", "session_id"], "left"), "query_id", "left")
+    return both.select("query_id", F.when(F.col("session_id").isNull(), "none").otherwise(F.coalesce("found", F.lit("archive"))).alias("level"))
 
 
 def density_pack(items: DataFrame, by: list[str], budget: int, overlap: float = 0.6, discount: float = 0.7) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from stratamem.functions.text import MONTHS, RELATIVE_SQL, all_of, relative_date, sentences
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.retrieval import BM25, nearest, similar_pairs, top_k, unit
-from stratamem.operators.timeline import filled, resolved
+from stratamem.operators.timeline import filled
 from stratamem.plans.fixtures import Registry, Tables
 
 R = Registry()
@@ -86,10 +86,12 @@ def _(t: Tables) -> DataFrame:
     return top_k(both, ["query_id"], 3, F.col("place"), F.col("turn_index")).select("query_id", "session_id", "turn_index")
 
 
-@R.add("topk18_candidate_choice", "SELECT question_type, min_by(question_id, (CASE WHEN b THEN 0 ELSE 1 END, question_id % 13, question_id)) AS chosen FROM results WHERE a GROUP BY question_type")
+@R.add("topk18_candidate_choice", "SELECT question_type, min_by(question_id, (CASE WHEN b THEN 0 ELSE 1 END, coalesce(n_chars, 1000000000), question_id)) AS chosen FROM results JOIN documents ON doc_id = question_id WHERE a GROUP BY question_type")
 def _(t: Tables) -> DataFrame:
-    key = F.struct(F.when(F.col("b"), 0).otherwise(1), F.col("question_id") % 13, F.col("question_id"))
-    return t.results.where("a").groupBy("question_type").agg(F.min_by("question_id", key).alias("chosen"))
+    """Of the candidates that pass the gate the one that is right in the other arm too, then the cheapest, an unknown cost last, then the first."""
+    cost = t.raw("documents").select(F.col("doc_id").alias("question_id"), F.coalesce("n_chars", F.lit(1_000_000_000)).alias("cost"))
+    key = F.struct(F.when(F.col("b"), 0).otherwise(1), "cost", F.col("question_id"))
+    return t.results.where("a").join(cost, "question_id").groupBy("question_type").agg(F.min_by("question_id", key).alias("chosen"))
 
 
 @R.add("ret02_postings", "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
@@ -225,11 +227,12 @@ def _(t: Tables) -> DataFrame:
     return filled(items, ["user_id"], 600, F.col("id"))
 
 
-@R.add("pack06_hydration", fill_sql("s AS (SELECT user_id, session_id, turn_index, unnest(regexp_extract_all(content, '[^.!?]+(?:[.!?]+|$)')) AS s, generate_subscripts(regexp_extract_all(content, '[^.!?]+(?:[.!?]+|$)'), 1) - 1 AS i FROM turns), a AS (SELECT DISTINCT user_id, session_id, turn_index, unnest([i - 1, i, i + 1]) AS i FROM s WHERE (session_id + turn_index + i) % 17 = 0), r AS (SELECT user_id, (session_id * 100 + turn_index) * 1000 + i AS id, greatest(1, CAST(floor(length(s) / 4.6) AS BIGINT)) AS c, row_number() OVER (PARTITION BY user_id ORDER BY (session_id * 100 + turn_index) * 1000 + i) AS rn FROM s JOIN a USING (user_id, session_id, turn_index, i))", 300))
+@R.add("pack06_hydration", fill_sql(TURNS_BM25 + ", s AS (SELECT user_id, session_id, turn_index, unnest(regexp_extract_all(content, '[^.!?]+(?:[.!?]+|$)')) AS s, generate_subscripts(regexp_extract_all(content, '[^.!?]+(?:[.!?]+|$)'), 1) - 1 AS i FROM turns), a AS (SELECT DISTINCT user_id, session_id, turn_index, unnest([i - 1, i, i + 1]) AS i FROM s WHERE session_id * 1000 + turn_index IN (SELECT turn_id FROM turn_rank WHERE rank <= 3) AND i = 0), r AS (SELECT user_id, (session_id * 100 + turn_index) * 1000 + i AS id, greatest(1, CAST(floor(length(s) / 4.6) AS BIGINT)) AS c, row_number() OVER (PARTITION BY user_id ORDER BY (session_id * 100 + turn_index) * 1000 + i) AS rn FROM s JOIN a USING (user_id, session_id, turn_index, i))", 300))
 def _(t: Tables) -> DataFrame:
-    """Anchored sentences with one neighbour on each side, under a budget of 300 for each user."""
+    """The first sentences of each query's three best turns, each with its neighbours, under a budget of 300 for each user."""
     s = t.turns.select("user_id", "session_id", "turn_index", F.posexplode(sentences("content")).alias("i", "s"))
-    anchor = s.where((F.col("session_id") + F.col("turn_index") + F.col("i")) % 17 == 0).select("user_id", "session_id", "turn_index", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("i")).distinct()
+    hits = turns_given(t).where("rank <= 3").select("turn_id").distinct()
+    anchor = s.where("i = 0").withColumn("turn_id", F.col("session_id") * 1000 + F.col("turn_index")).join(hits, "turn_id", "left_semi").select("user_id", "session_id", "turn_index", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("i")).distinct()
     found = s.join(anchor, ["user_id", "session_id", "turn_index", "i"])
     items = found.select("user_id", ((F.col("session_id") * 100 + F.col("turn_index")) * 1000 + F.col("i")).alias("id"), F.greatest(F.lit(1), F.floor(F.length("s") / 4.6)).cast("long").alias("cost"))
     return filled(items, ["user_id"], 300, F.col("id"))
@@ -256,10 +259,17 @@ def _next_span(a: Column) -> Column:
     return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end")))).alias("out"))
 
 
-@R.add("pack09_evidence_ledger", "r AS (SELECT user_id, id, rn AS o, 30 + id % 20 AS c FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rn FROM memories) WHERE rn <= 30), w AS (SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT user_id, 0::BIGINT AS o, 0::BIGINT AS used, NULL::BIGINT AS id, false AS taken FROM r UNION ALL SELECT r.user_id, r.o, CASE WHEN used + c <= 500 THEN used + c ELSE used END, r.id, used + c <= 500 FROM f JOIN r ON r.user_id = f.user_id AND r.o = f.o + 1) SELECT * FROM f)) SELECT user_id, id FROM w WHERE taken")
+@R.add("pack09_evidence_ledger", TURNS_BM25 + """, c AS (SELECT turn_id, content, greatest(1, CAST(floor(length('[' || turn_id || '] ' || content) / 4.6) AS BIGINT)) AS c FROM (SELECT session_id * 1000 + turn_index AS turn_id, content FROM turns)),
+u AS (SELECT query_id, c.content, min(rank) AS rank, min_by(c.turn_id, rank) AS id FROM turn_rank r JOIN c ON c.turn_id = r.turn_id GROUP BY ALL), r AS (SELECT u.query_id, id, c, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS o FROM u JOIN c ON c.turn_id = u.id),
+w AS (SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT query_id, 0::BIGINT AS o, 0::BIGINT AS used, NULL::BIGINT AS id, false AS taken FROM r UNION ALL SELECT r.query_id, r.o, CASE WHEN used + c <= 500 THEN used + c ELSE used END, r.id, used + c <= 500 FROM f JOIN r ON r.query_id = f.query_id AND r.o = f.o + 1) SELECT * FROM f))
+SELECT query_id, id FROM w WHERE taken""")
 def _(t: Tables) -> DataFrame:
-    top = top_k(t.memories, ["user_id"], 30, F.desc("importance"), F.col("id"))
-    return filled(top.select("user_id", "id", "rank", (30 + F.col("id") % 20).alias("cost")), ["user_id"], 500, F.col("rank"))
+    """A query's turns in rank order, each text once, as long as what they take when written with their label fits 500 tokens."""
+    turns = t.turns.select((F.col("session_id") * 1000 + F.col("turn_index")).alias("turn_id"), "content")
+    cost = F.greatest(F.lit(1), F.floor(F.length(F.concat(F.lit("["), F.col("turn_id").cast("string"), F.lit("] "), "content")) / 4.6)).cast("long")
+    hits = turns_given(t).join(turns.withColumn("cost", cost), "turn_id")
+    once = hits.groupBy("query_id", "content").agg(F.min(F.struct("rank", "turn_id", "cost")).alias("x"))
+    return filled(once.select("query_id", "x.rank", F.col("x.turn_id").alias("id"), "x.cost"), ["query_id"], 500, F.col("rank"))
 
 
 @R.add("tmp13_event_timeline", "SELECT line_id, regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS day FROM lines WHERE role = 'user' AND regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')")
@@ -369,11 +379,14 @@ def _(t: Tables) -> DataFrame:
     return t.results.agg(seen.cast("long").alias("observed"), F.round(F.avg(F.col("a").cast("int")), 9).alias("accuracy"))
 
 
-@R.add("eval18_exposure_order", "SELECT question_id FROM results WHERE CASE WHEN a THEN 2 ELSE 1 END > CASE WHEN question_id % 3 = 0 THEN 1 ELSE 2 END")
+@R.add("eval18_exposure_order", "SELECT question_id FROM (SELECT question_id, a, row_number() OVER (PARTITION BY question_type ORDER BY sha256('dev:' || question_id)) AS rn, count(*) OVER (PARTITION BY question_type) AS n FROM results) WHERE CASE WHEN a THEN 2 ELSE 1 END > CASE WHEN rn * 3 <= n THEN 1 ELSE 2 END")
 def _(t: Tables) -> DataFrame:
     level = F.create_map(*[F.lit(x) for pair in (("none", 0), ("dev", 1), ("test", 2)) for x in pair])
-    claim, recorded = F.when(F.col("a"), "test").otherwise("dev"), F.when(F.col("question_id") % 3 == 0, "dev").otherwise("test")
-    return t.results.where(F.element_at(level, claim) > F.element_at(level, recorded)).select("question_id")
+    own = W.partitionBy("question_type")
+    rn = F.row_number().over(own.orderBy(F.sha2(F.concat_ws(":", F.lit("dev"), "question_id"), 256)))
+    noted = t.results.withColumns({"rn": rn, "n": F.count(F.lit(1)).over(own)})  # a third of each type was noted for dev only
+    claim, recorded = F.when(F.col("a"), "test").otherwise("dev"), F.when(F.col("rn") * 3 <= F.col("n"), "dev").otherwise("test")
+    return noted.where(F.element_at(level, claim) > F.element_at(level, recorded)).select("question_id")
 
 
 @R.add("eval20_scan_gain", "g AS (SELECT user_id, count(*) FILTER (predicate = 'click') AS gold, count(*) FILTER (predicate = 'click' AND rn <= 20) AS found FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rn FROM memories) GROUP BY user_id) SELECT round(avg(found / gold), 9) AS top_k_recall, round(avg((found = gold)::INT), 9) AS complete FROM g WHERE gold > 0")

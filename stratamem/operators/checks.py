@@ -166,7 +166,7 @@ def _(t: Tables) -> DataFrame:
     found = lambda c: F.array_distinct(all_of(F.lower(c), "[a-z0-9]+"))
     w = t.raw("benchmark").select("item_id", found("text").alias("ws"))
     e = w.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    d = t.raw("documents").select("doc_id", F.explode(found("text")).alias("w")).join(F.broadcast(e.select("w").distinct()), "w", "left_semi")  # words of the benchmark
+    d = t.raw("documents").select("doc_id", F.explode(found("text")).alias("w")).join(e.select("w").distinct(), "w", "left_semi")
     h = e.join(d, "w").groupBy("item_id", "doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
     by = h.groupBy("item_id").agg(F.count_if(F.col("share") >= 0.8).alias("by_words"), F.round(F.max("share"), 9).alias("best"))
     literal = containing(t).groupBy(F.col("query_id").alias("item_id")).agg(F.count(F.lit(1)).alias("literal"))

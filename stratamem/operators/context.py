@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from stratamem.functions.text import MONTHS, RELATIVE_SQL, all_of, relative_date, sentences
 from stratamem.operators.facts import SOURCED, sourced
-from stratamem.operators.retrieval import BM25, nearest, similar_pairs, top_k, unit
+from stratamem.operators.retrieval import BM25, against, nearest, similar_pairs, top_k, unit
 from stratamem.operators.timeline import filled
 from stratamem.plans.fixtures import Registry, Tables
 
@@ -124,7 +124,7 @@ def _(t: Tables) -> DataFrame:
 
     v = t.vectors.select("id", unit("embedding").alias("v"))
     labels = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    scored = v.crossJoin(F.broadcast(labels)).select("id", "query_id", F.round(dot("q", "v"), 6).alias("cosine"))
+    scored = against(v, labels).select("id", "query_id", F.round(dot("q", "v"), 6).alias("cosine"))
     b = scored.groupBy("id").agg(F.max_by("query_id", F.struct("cosine", -F.col("query_id"))).alias("label"), F.max("cosine").alias("s"))
     head = lambda: F.lower(F.regexp_extract("text", "([A-Za-z0-9]+)", 1)).alias("head")
     rules = t.raw("benchmark").select(head(), "item_id").groupBy("head").agg(F.min("item_id").alias("item"))
@@ -164,14 +164,12 @@ f AS (SELECT query_id, min(rank) AS first FROM gold LEFT JOIN k USING (query_id,
 SELECT m, round(avg((coalesce(first, 1000000) <= m)::INT), 9) AS recall FROM f, (VALUES (1), (2), (3), (5), (10)) x(m) GROUP BY m""")
 def _(t: Tables) -> DataFrame:
     """Sources stand for sessions: ranked by their best document; gold is where a query's text stands."""
-    from stratamem.operators.retrieval import bm25, containing
+    from stratamem.operators.retrieval import bm25, containing, first_ranks
 
     queries = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
     of = t.raw("documents").select("doc_id", "source")
-    best = bm25(t.raw("documents").select("doc_id", "text"), queries).join(of, "doc_id").groupBy("query_id", "source").agg(F.max("score").alias("s"))
-    ranked = top_k(best, ["query_id"], 1 << 30, F.desc("s"), F.col("source"))
-    gold = containing(t).join(of, "doc_id").select("query_id", "source").distinct()
-    first = gold.join(ranked, ["query_id", "source"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    best = bm25(t.raw("documents").select("doc_id", "text"), queries).join(of, "doc_id").groupBy("query_id", "source").agg(F.max("score").alias("score"))
+    first = first_ranks(containing(t).join(of, "doc_id").select("query_id", "source"), best, "source")
     m = first.select("first", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 5, 10)])).alias("m"))
     return m.groupBy("m").agg(F.round(F.avg(F.coalesce(F.col("first") <= F.col("m"), F.lit(False)).cast("int")), 9).alias("recall"))
 
@@ -191,7 +189,7 @@ def _(t: Tables) -> DataFrame:
     pairs = t.memories.where("superseded_by % 100 = 0").select(F.col("superseded_by").alias("query_id"), F.col("id").alias("gold"))
     asked = pairs.join(v.select(F.col("id").alias("query_id"), F.col("tenant").alias("qt"), F.col("v").alias("q")), "query_id").join(v.select(F.col("id").alias("gold"), F.col("tenant").alias("gt"), F.col("v").alias("g")), "gold")
     asked = asked.select("query_id", "gold", "qt", "gt", "q", F.round(dot("q", "g"), 6).alias("mark"))
-    s = v.crossJoin(F.broadcast(asked)).where("id <> query_id").withColumn("cosine", F.round(dot("q", "v"), 6))
+    s = against(v, asked).where("id <> query_id").withColumn("cosine", F.round(dot("q", "v"), 6))
     before = (F.col("cosine") > F.col("mark")) | ((F.col("cosine") == F.col("mark")) & (F.col("id") < F.col("gold")))
     kinds = {"all": F.lit(True), "earlier": F.col("id") < F.col("query_id"), "tenant": F.col("tenant") == F.col("qt")}
     n = s.groupBy("query_id", "gold", "gt", "qt").agg(*[F.count_if(before & ok).alias(k) for k, ok in kinds.items()])

@@ -150,19 +150,30 @@ def _(t: Tables) -> DataFrame:
 def sign_flip(clusters: DataFrame, value: str, exact_most: int = 16, flips: int = 100_000, seed: int = 7) -> DataFrame:
     """p of the total under flips of whole clusters' signs: all 2^k of at most exact_most clusters, else seeded ones.
 
-    clusters: one row a cluster. Their number k decides; rows are numbered by value, the flips' numbers
-    come from range(), and each flip's total is one aggregation over clusters.
+    clusters: one row a cluster, told by its columns. Few clusters are numbered and sent to the flips. Of more, each task adds up
+    the flipped values of its own clusters for all flips, with signs from the seed and a hash of the row, so what
+    is shuffled is a row a flip and task.
     """
     k = clusters.count()
-    numbered = clusters.withColumn("i", (F.row_number().over(W.orderBy(value)) - 1).cast("int"))  # at most a few hundred clusters
     spark = clusters.sparkSession
-    sign = lambda bit: F.when(bit == 1, 1).otherwise(-1)
     total = abs(clusters.agg(F.sum(value).alias("s")).first()["s"] or 0.0)
     if k <= exact_most:
-        flip = spark.range(1 << k).crossJoin(F.broadcast(numbered)).select("id", (F.col(value) * sign(F.expr("shiftright(id, i) & 1"))).alias("x"))
+        numbered = clusters.withColumn("i", (F.row_number().over(W.orderBy(value)) - 1).cast("int"))  # exact_most rows at most
+        sign = F.when(F.expr("shiftright(id, i) & 1") == 1, 1).otherwise(-1)
+        sums = spark.range(1 << k).crossJoin(F.broadcast(numbered)).groupBy("id").agg(F.sum(F.col(value) * sign).alias("x"))
     else:
-        flip = spark.range(flips).crossJoin(F.broadcast(numbered)).select("id", (F.col(value) * sign(F.xxhash64(F.lit(seed), "id", "i").bitwiseAND(1))).alias("x"))
-    hits = flip.groupBy("id").agg(F.abs(F.sum("x")).alias("s")).agg(F.count_if(F.col("s") >= F.lit(total) - 1e-9).alias("h"), F.count(F.lit(1)).alias("n"))
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(flips)
+            for pdf in batches:
+                for x, h in zip(pdf["x"], pdf["h"], strict=True):
+                    rng = np.random.Generator(np.random.Philox(key=[seed, int(h) & (2**64 - 1)]))
+                    out += float(x) * (2.0 * rng.integers(0, 2, flips) - 1)
+            yield pd.DataFrame({"id": np.arange(flips), "x": out})
+
+        rows = clusters.select(F.col(value).cast("double").alias("x"), F.xxhash64(*clusters.columns).alias("h"))
+        sums = rows.mapInPandas(add, "id long, x double").groupBy("id").agg(F.sum("x").alias("x"))
+    hits = sums.agg(F.count_if(F.abs("x") >= F.lit(total) - 1e-9).alias("h"), F.count(F.lit(1)).alias("n"))
     p = F.col("h") / F.col("n") if k <= exact_most else (F.col("h") + 1) / (F.col("n") + 1)
     return hits.select(F.lit(k).cast("long").alias("clusters"), F.round(p, 9).alias("p"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.plans.fixtures import Registry, Tables
+from stratamem.sources.tables import kept
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -120,8 +121,21 @@ def _(t: Tables) -> DataFrame:
 f AS (SELECT query_id, min(rank) AS first FROM gold LEFT JOIN ranked USING (query_id, doc_id) GROUP BY query_id)
 SELECT count(*) AS queries, round(avg((coalesce(first, 1000000) <= 1)::INT), 9) AS r1, round(avg((coalesce(first, 1000000) <= 5)::INT), 9) AS r5, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr FROM f""")
 def _(t: Tables) -> DataFrame:
-    ranked = top_k(bm25(t.raw("documents").select("doc_id", "text"), _queries(t)), ["query_id"], 1 << 30, F.desc("score"), F.col("doc_id"))
-    return recall_mrr(containing(t), ranked)
+    first = first_ranks(containing(t), bm25(t.raw("documents").select("doc_id", "text"), _queries(t)))
+    at = lambda k: F.round(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("int")), 9)
+    return first.agg(F.count(F.lit(1)).alias("queries"), at(1).alias("r1"), at(5).alias("r5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 9).alias("mrr"))
+
+
+def first_ranks(gold: DataFrame, scored: DataFrame, item: str = "doc_id") -> DataFrame:
+    """query_id, first: the rank that a query's best gold item has among all scored ones (query_id, item, score), ties by item; null if none is scored.
+
+    It is one more than the items ahead of it: these are counted where they are, no list is sorted.
+    """
+    scored = kept(scored.select("query_id", item, "score"), "scored")
+    place = F.struct((-F.col("score")).alias("s"), F.col(item).alias("i"))
+    best = scored.join(gold.select("query_id", item).distinct(), ["query_id", item]).groupBy("query_id").agg(F.min(place).alias("best"))
+    ahead = scored.join(best, "query_id").groupBy("query_id").agg((F.count_if(place < F.col("best")) + 1).alias("first"))
+    return gold.select("query_id").distinct().join(ahead, "query_id", "left")
 
 
 def containing(t: Tables) -> DataFrame:
@@ -141,13 +155,6 @@ def containing(t: Tables) -> DataFrame:
     return found.union(short).distinct()
 
 
-def recall_mrr(gold: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Recall at 1 and 5, and mean reciprocal rank, of the first gold document of each query."""
-    first = gold.join(ranked, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
-    at = lambda k: F.round(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("int")), 9)
-    return first.agg(F.count(F.lit(1)).alias("queries"), at(1).alias("r1"), at(5).alias("r5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 9).alias("mrr"))
-
-
 def unit(v: str | Column) -> Column:
     """A vector of doubles with length 1; the norm is at least 1e-12."""
     v = F.col(v) if isinstance(v, str) else v
@@ -175,6 +182,15 @@ def met(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
     return dealt.join(sent, [*by, "_block"]).drop("_block")
 
 
+def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each row with each of a stated set of queries (query_id, ...): sent to the rows while the set is small enough, dealt in blocks beyond that."""
+    if queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
+        return rows.crossJoin(F.broadcast(queries))
+    n = -(-queries.count() // SENT_QUERIES)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+    return rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(queries.withColumn("_part", part), "_part").drop("_part")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest vectors of each query, exactly.
 
@@ -183,14 +199,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: list[str] |
     it is small enough to send, and in blocks beyond that. Each task keeps its own k best, so that only
     these are shuffled.
     """
-    if within:
-        pairs = met(vectors, queries, within)
-    elif queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
-        pairs = vectors.crossJoin(F.broadcast(queries))
-    else:
-        n = -(-queries.count() // SENT_QUERIES)
-        part = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
-        pairs = vectors.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(queries.withColumn("_part", part), "_part").drop("_part")
+    pairs = met(vectors, queries, within) if within else against(vectors, queries)
     if where is not None:
         pairs = pairs.where(where)
     scored = pairs.select("query_id", "id", F.round(dot("q", "v"), 6).alias("cosine"))
@@ -504,16 +513,14 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("ret17_depth_probe", BM25 + ", gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT query_id, min(rank) AS first FROM gold LEFT JOIN ranked USING (query_id, doc_id) GROUP BY 1) SELECT CASE WHEN first <= 3 THEN 'shown' WHEN first <= 20 THEN 'pool' WHEN first IS NOT NULL THEN 'deeper' ELSE 'absent' END AS bucket, count(*) AS n FROM f GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    ranked = top_k(bm25(t.raw("documents").select("doc_id", "text"), _queries(t)), ["query_id"], 1 << 30, F.desc("score"), F.col("doc_id"))
-    first = containing(t).join(ranked, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    first = first_ranks(containing(t), bm25(t.raw("documents").select("doc_id", "text"), _queries(t)))
     bucket = F.when(F.col("first") <= 3, "shown").when(F.col("first") <= 20, "pool").when(F.col("first").isNotNull(), "deeper").otherwise("absent")
     return first.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("ret18_depth_sweep", BM25 + ", gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT query_id, min(rank) AS first FROM gold LEFT JOIN ranked USING (query_id, doc_id) GROUP BY 1) SELECT k, round(avg((coalesce(first, 1000000) <= k)::INT), 9) AS recall FROM f, (VALUES (1), (3), (5), (10), (50)) x(k) GROUP BY k")
 def _(t: Tables) -> DataFrame:
-    ranked = top_k(bm25(t.raw("documents").select("doc_id", "text"), _queries(t)), ["query_id"], 1 << 30, F.desc("score"), F.col("doc_id"))
-    first = containing(t).join(ranked, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    first = first_ranks(containing(t), bm25(t.raw("documents").select("doc_id", "text"), _queries(t)))
     ks = first.select("first", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10, 50)])).alias("k"))
     return ks.groupBy("k").agg(F.round(F.avg(F.coalesce(F.col("first") <= F.col("k"), F.lit(False)).cast("int")), 9).alias("recall"))
 

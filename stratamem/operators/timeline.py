@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -234,17 +234,48 @@ def rollup(level: DataFrame, fan_out: int = 4) -> DataFrame:
     return out if out is not None else level.select(F.lit(0).alias("level"), "p", "d").limit(0)
 
 
+def streamed(rows: DataFrame, by: list[str], order: list[Column], start: Callable[[], dict], step: Callable[[dict, dict], dict | None], schema: str) -> DataFrame:
+    """What step(state, row) puts out, if anything, for the rows of each group in order; start() makes a group's state.
+
+    One shuffle by group and a sort; a task reads its groups as a stream of sorted rows and holds the state of the group
+    at hand, so that no group is gathered. Columns of schema that rows have too keep their type there.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.bool_() if c.endswith(" boolean") else pa.string() if c.endswith(" string") else pa.int64() for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                mine = tuple(row[c] for c in by)
+                if mine != key:
+                    key, state = mine, start()
+                put = step(state, row)
+                if put is not None:
+                    out.append(put)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in zip(columns, kinds, strict=True)], columns)
+
+    return rows.repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def _schema(rows: DataFrame, columns: list[str], more: str = "") -> str:
+    return ", ".join(f"{c} {'string' if rows.schema[c].dataType.simpleString() == 'string' else 'long'}" for c in columns) + more
+
+
 def filled(items: DataFrame, by: list[str], budget: int, *order: Column, cost: str = "cost", key: str = "id") -> DataFrame:
     """by, key of what a greedy fill takes: items in order, each taken if it still fits, else passed over.
 
-    One fold a group over a sorted array; a running sum would stop at the first misfit.
+    A running sum would stop at the first misfit; the state is what is used so far. by and key are strings or whole numbers.
     """
-    rn = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    lists = items.select(*by, F.struct(rn.alias("rn"), F.col(key).alias("key"), F.col(cost).cast("long").alias("cost")).alias("x")).groupBy(*by).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    key_type = items.schema[key].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{key_type}>").alias("taken"))
-    step = lambda a, x: F.when(a["used"] + x["cost"] <= budget, F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["taken"], F.array(x["key"])).alias("taken"))).otherwise(a)
-    return lists.select(*by, F.aggregate("xs", start, step).alias("a")).select(*by, F.explode("a.taken").alias(key))
+
+    def step(state: dict, row: dict) -> dict | None:
+        if state["used"] + row[cost] > budget:
+            return None
+        state["used"] += row[cost]
+        return row
+
+    return streamed(items, by, list(order), lambda: {"used": 0}, step, _schema(items, [*by, key]))
 
 
 GREEDY = """r AS (SELECT user_id, id, token_count AS c, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rn FROM memories WHERE status = 'active'),
@@ -279,29 +310,39 @@ def _(t: Tables) -> DataFrame:
 
 def paged(items: DataFrame, by: list[str], most: int, order: str) -> DataFrame:
     """by, id, page: items in order, a new page whenever the next does not fit."""
-    lists = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("id"), F.col("cost").alias("cost")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("page"), F.array().cast("array<struct<id:bigint,page:bigint>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["cost"] <= most
-        page = F.when(fits, a["page"]).otherwise(a["page"] + 1)
-        return F.struct(F.when(fits, a["used"] + x["cost"]).otherwise(x["cost"]).alias("used"), page.alias("page"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), page.alias("page")))).alias("out"))
+    def step(state: dict, row: dict) -> dict:
+        if state["used"] + row["cost"] > most:
+            state["used"], state["page"] = 0, state["page"] + 1
+        state["used"] += row["cost"]
+        return row | {"id": row[order], "page": state["page"]}
 
-    return lists.select(*by, F.explode(F.aggregate("xs", start, step)["out"]).alias("x")).select(*by, "x.id", "x.page")
+    return streamed(items, by, [F.col(order)], lambda: {"used": 0, "page": 0}, step, _schema(items, by, ", id long, page long"))
 
 
-@R.add("pack02_two_lanes")
+@R.add("pack02_two_lanes", """x AS (SELECT user_id, session_id * 100 + turn_index AS id, role = 'user' AS mine, greatest(1, CAST(floor(length(content) / 4.6) AS BIGINT)) AS c, row_number() OVER (PARTITION BY user_id ORDER BY session_id, turn_index) AS rn FROM turns),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lane, rn) AS o FROM (SELECT *, unnest(CASE WHEN mine THEN [0, 2] ELSE [1] END) AS lane FROM x)),
+w AS (SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT user_id, 0::BIGINT AS o, 0::BIGINT AS used, CAST([] AS BIGINT[]) AS ids FROM r UNION ALL
+  SELECT user_id, o, CASE WHEN ok THEN used + c ELSE used END, CASE WHEN ok THEN list_append(ids, id) ELSE ids END FROM (SELECT r.user_id, r.o, used, ids, id, c, used + c <= CASE WHEN lane = 0 THEN 900 ELSE 1200 END AND NOT list_contains(ids, id) AS ok FROM f JOIN r ON r.user_id = f.user_id AND r.o = f.o + 1)) SELECT user_id, max_by(ids, o) AS ids FROM f GROUP BY user_id))
+SELECT user_id, unnest(ids) AS id FROM w""")
 def _(t: Tables) -> DataFrame:
     """Three quarters of the budget for user turns, then others, then user turns again, in one ordered fold."""
-    rn = F.row_number().over(W.partitionBy("user_id").orderBy("session_id", "turn_index"))
-    turns = t.turns.select("user_id", rn.alias("rn"), (F.col("session_id") * 100 + F.col("turn_index")).alias("id"), (F.col("role") == "user").alias("mine"), F.greatest(F.lit(1), F.floor(F.length("content") / 4.6)).cast("long").alias("cost"))
+    turns = t.turns.select("user_id", "session_id", "turn_index", (F.col("session_id") * 100 + F.col("turn_index")).alias("id"), (F.col("role") == "user").alias("mine"), F.greatest(F.lit(1), F.floor(F.length("content") / 4.6)).cast("long").alias("cost"))
     lanes = turns.select("*", F.explode(F.when(F.col("mine"), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("lane"))
-    lists = lanes.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("lane", "rn", "id", "cost"))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    room = lambda x: F.when(x["lane"] == 0, 900).otherwise(1200)
-    fits = lambda a, x: (a["used"] + x["cost"] <= room(x)) & ~F.array_contains(a["taken"], x["id"])
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["taken"], F.array(x["id"])).alias("taken"))).otherwise(a)
-    return lists.select("user_id", F.explode(F.aggregate("xs", start, step)["taken"]).alias("id"))
+    return two_lanes(lanes, 900, 1200)
+
+
+def two_lanes(lanes: DataFrame, first: int, whole: int) -> DataFrame:
+    """user_id, id of what is taken: lane 0 up to `first`, then lanes 1 and 2 up to `whole`; what is taken once is not taken again."""
+
+    def step(state: dict, row: dict) -> dict | None:
+        if state["used"] + row["cost"] > (first if row["lane"] == 0 else whole) or row["id"] in state["taken"]:
+            return None
+        state["used"] += row["cost"]
+        state["taken"].add(row["id"])  # no more than the budget holds
+        return row
+
+    return streamed(lanes, ["user_id"], [F.col("lane"), F.col("session_id"), F.col("turn_index")], lambda: {"used": 0, "taken": set()}, step, "user_id long, id long")
 
 
 @R.add("pack10_grouped_rendering", "g AS (SELECT user_id, scope, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM memories GROUP BY user_id, scope) SELECT user_id, string_agg(scope || ': ' || ids, ' / ' ORDER BY CASE scope WHEN 'profile' THEN 1 WHEN 'event' THEN 2 ELSE 3 END) AS rendered FROM g GROUP BY user_id")

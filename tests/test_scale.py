@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stratamem.operators import similarity
-from stratamem.operators.evaluation import binomial_tail, bootstrap, probability_ordered
+from stratamem.operators.evaluation import binomial_tail, bootstrap, probability_ordered, sign_flip
 from stratamem.operators.quantiles import at_ranks, half_even, upper_middle
-from stratamem.operators.retrieval import similar_pairs, unit
+from stratamem.operators.retrieval import first_ranks, similar_pairs, unit
+from stratamem.operators.timeline import filled, paged
 from stratamem.plans.fixtures import Tables
 
 SF = "/root/testdata/sf0.01"
@@ -106,3 +107,40 @@ def test_bootstrap_draws_counts(spark):
         half = 1.96 * math.sqrt(p * (1 - p) / n)
         assert abs(got[g][0] - (p - half)) < 0.15 * half + 0.5 / n and abs(got[g][1] - (p + half)) < 0.15 * half + 0.5 / n
     assert got["c"] == (1.0, 1.0)
+
+
+def test_first_ranks_by_counting_ahead(spark):
+    rnd = random.Random(14)
+    scored = [(q, d, rnd.choice([1.0, 2.5, 3.0])) for q in range(20) for d in range(60) if rnd.random() < 0.7]
+    gold = [(q, d) for q in range(22) for d in rnd.sample(range(70), 3)]
+    order = {q: [d for _, d in sorted((-s, d) for x, d, s in scored if x == q)] for q in range(22)}
+    want = {q: min((order[q].index(d) + 1 for x, d in gold if x == q and d in order[q]), default=None) for q in range(22)}
+    got = first_ranks(spark.createDataFrame(gold, "query_id long, doc_id long"), spark.createDataFrame(scored, "query_id long, doc_id long, score double"))
+    assert {r["query_id"]: r["first"] for r in got.collect()} == want
+
+
+def test_sign_flips_by_draw_come_near_all_flips(spark):
+    rnd = random.Random(15)
+    rows = spark.createDataFrame([(k, rnd.choice([-2.0, -1.0, 1.0, 3.0])) for k in range(13)], "k long, d double").repartition(3)
+    exact, drawn = sign_flip(rows, "d").first(), sign_flip(rows, "d", exact_most=2, flips=20_000).first()
+    assert exact["clusters"] == drawn["clusters"] == 13 and abs(exact["p"] - drawn["p"]) < 0.02
+    assert drawn == sign_flip(rows.repartition(5), "d", exact_most=2, flips=20_000).first()
+
+
+def test_streamed_folds_on_one_hot_group(spark):
+    rnd = random.Random(16)
+    items = [(None if k % 9 == 0 else 1, k, rnd.randrange(1, 9)) for k in range(3000)]
+    df = spark.createDataFrame(items, "g long, id long, cost long").repartition(6)
+    taken, page = {}, {}
+    for g, k, c in items:
+        if taken.get(g, 0) + c <= 500:
+            taken[g] = taken.get(g, 0) + c
+            page.setdefault("taken", []).append((g, k))
+    assert sorted(map(tuple, filled(df, ["g"], 500, F.col("id")).collect()), key=str) == sorted(page["taken"], key=str)
+    used, at, want = {}, {}, []
+    for g, k, c in items:
+        if used.get(g, 0) + c > 20:
+            used[g], at[g] = 0, at.get(g, 0) + 1
+        used[g] = used.get(g, 0) + c
+        want.append((g, k, at.get(g, 0)))
+    assert sorted(map(tuple, paged(df, ["g"], 20, "id").collect()), key=str) == sorted(want, key=str)

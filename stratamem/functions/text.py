@@ -82,8 +82,11 @@ def route(c: str | Column) -> Column:
     )
 
 
-#: Words that carry no topic.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
+#: Words that say nothing about what a text is about.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "did", "do", "does", "for", "from", "had", "has", "have", "i", "in", "is", "it", "me", "my", "of", "on", "or", "s",
+    "that", "the", "their", "them", "they", "this", "to", "was", "were", "what", "when", "which", "who", "why", "with", "you", "your", "user",
+)
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 

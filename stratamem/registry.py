@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamem.functions import text
+from stratamem.functions import questions, text
 from stratamem.operators import audits, checks, context, evaluation, extraction, facts, hooks, measures, retrieval, similarity, textindex, timeline, writes
 from stratamem.sources import tables
 from stratamem.streaming import jobs
 from stratamem.streaming import timeline as live
 
-MODULES = (retrieval, textindex, similarity, facts, measures, timeline, evaluation, text, writes, extraction, audits, checks, context, hooks, tables, jobs, live)
+MODULES = (retrieval, textindex, similarity, facts, measures, timeline, evaluation, text, questions, writes, extraction, audits, checks, context, hooks, tables, jobs, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratamem.operators.quantiles import at_ranks
+from stratamem.operators.quantiles import at_ranks, row_numbers
 from stratamem.operators.retrieval import HYBRID, candidates
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import kept
@@ -228,8 +228,9 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("eval09_spearman", "r AS (SELECT p_size % 7 AS g, row_number() OVER (PARTITION BY p_size % 7 ORDER BY p_size, p_partkey) AS x, row_number() OVER (PARTITION BY p_size % 7 ORDER BY p_retailprice, p_partkey) AS y FROM part) SELECT g, round(corr(x, y), 9) AS rho FROM r GROUP BY g", views=True)
 def _(t: Tables) -> DataFrame:
-    own = W.partitionBy("g")
-    r = t.raw("part").withColumn("g", F.col("p_size") % 7).select("g", F.row_number().over(own.orderBy("p_size", "p_partkey")).alias("x"), F.row_number().over(own.orderBy("p_retailprice", "p_partkey")).alias("y"))
+    parts = t.raw("part").select((F.col("p_size") % 7).alias("g"), "p_size", "p_retailprice", "p_partkey")
+    x = row_numbers(parts, ["g"], F.col("p_size"), F.col("p_partkey"), name="x")
+    r = row_numbers(x, ["g"], F.col("p_retailprice"), F.col("p_partkey"), name="y")
     return r.groupBy("g").agg(F.round(F.corr("x", "y"), 9).alias("rho"))
 
 

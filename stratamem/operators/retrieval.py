@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.operators.facts import SOURCED, sourced
+from stratamem.operators.quantiles import row_numbers
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import kept
 
@@ -149,8 +150,10 @@ def containing(t: Tables) -> DataFrame:
     longest = F.element_at(F.array_sort(F.transform(inner, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("w")))), 1)["w"]
     b = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"), F.when(F.size(inner) > 0, longest).alias("w"))
     asked = b.select("w").distinct()
-    d = t.raw("documents").select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(asked, "w", "left_semi")
-    found = d.join(b, "w").where(F.col("text").contains(F.col("needle"))).select("query_id", "doc_id")
+    held = t.raw("documents").select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(asked, "w", "left_semi")
+    pairs = held.join(b, "w").select("query_id", "needle", "doc_id").distinct()
+    # texts come to the pairs, once each, and not with every asked word that they hold
+    found = pairs.join(t.raw("documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("needle"))).select("query_id", "doc_id")
     short = t.raw("documents").join(b.where("w IS NULL"), F.col("text").contains(F.col("needle"))).select("query_id", "doc_id")
     return found.union(short).distinct()
 
@@ -413,16 +416,17 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("topk11_eviction_list", "r AS (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(strength * importance, 9), last_accessed_at, id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM memories WHERE status = 'active') SELECT id, user_id FROM r WHERE rn <= n - 40")
 def _(t: Tables) -> DataFrame:
-    own = W.partitionBy("user_id")
-    rn = F.row_number().over(own.orderBy(F.round(F.col("strength") * F.col("importance"), 9), "last_accessed_at", "id"))
-    return t.memories.where("status = 'active'").withColumns({"rn": rn, "n": F.count(F.lit(1)).over(own)}).where("rn <= n - 40").select("id", "user_id")
+    rows = t.memories.where("status = 'active'").select("id", "user_id", F.round(F.col("strength") * F.col("importance"), 9).alias("worth"), "last_accessed_at")
+    sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return row_numbers(rows, ["user_id"], F.col("worth"), F.col("last_accessed_at"), F.col("id")).join(sizes, "user_id").where("rank <= n - 40").select("id", "user_id")
 
 
 @R.add("topk12_round_robin", "r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS depth, min(doc_id) OVER (PARTITION BY source) AS seen, lang FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY depth, seen, doc_id) AS place FROM r")
 def _(t: Tables) -> DataFrame:
-    own = W.partitionBy("source")
-    r = t.raw("documents").select("doc_id", "lang", F.row_number().over(own.orderBy("doc_id")).alias("depth"), F.min("doc_id").over(own).alias("seen"))
-    return r.select("doc_id", F.row_number().over(W.partitionBy("lang").orderBy("depth", "seen", "doc_id")).cast("long").alias("place"))
+    docs = t.raw("documents").select("doc_id", "lang", "source")
+    seen = docs.groupBy("source").agg(F.min("doc_id").alias("seen"))
+    r = row_numbers(docs, ["source"], F.col("doc_id"), name="depth").join(seen, "source")
+    return row_numbers(r, ["lang"], F.col("depth"), F.col("seen"), F.col("doc_id"), name="place").select("doc_id", "place")
 
 
 def stratified(df: DataFrame, id_col: str, stratum: str, n: int, seed: str) -> DataFrame:
@@ -454,10 +458,10 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("topk17_hash_half_split", "r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('s3:' || doc_id)) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, rn <= n // 2 AND doc_id % 10 <> 0 AS held_out FROM r")
 def _(t: Tables) -> DataFrame:
-    own = W.partitionBy("lang")
-    rn = F.row_number().over(own.orderBy(F.sha2(F.concat_ws(":", F.lit("s3"), "doc_id"), 256)))
+    docs = t.raw("documents").select("doc_id", "lang", F.sha2(F.concat_ws(":", F.lit("s3"), "doc_id"), 256).alias("draw"))
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     seen = F.col("doc_id") % 10 == 0
-    return t.raw("documents").select("doc_id", ((rn <= F.floor(F.count(F.lit(1)).over(own) / 2)) & ~seen).alias("held_out"))
+    return row_numbers(docs, ["lang"], F.col("draw")).join(sizes, "lang").select("doc_id", ((F.col("rank") <= F.floor(F.col("n") / 2)) & ~seen).alias("held_out"))
 
 
 @R.add("topk19_pareto_frontier", "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size >= p.p_size AND o.p_retailprice <= p.p_retailprice AND (o.p_size > p.p_size OR o.p_retailprice < p.p_retailprice))")

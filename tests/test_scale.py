@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratamem.operators import similarity
 from stratamem.operators.evaluation import binomial_tail, bootstrap, probability_ordered, sign_flip
-from stratamem.operators.quantiles import at_ranks, half_even, upper_middle
+from stratamem.operators.quantiles import at_ranks, half_even, row_numbers, upper_middle
 from stratamem.operators.retrieval import first_ranks, similar_pairs, unit
 from stratamem.operators.timeline import filled, paged
 from stratamem.plans.fixtures import Tables
@@ -144,3 +144,15 @@ def test_streamed_folds_on_one_hot_group(spark):
         used[g] = used.get(g, 0) + c
         want.append((g, k, at.get(g, 0)))
     assert sorted(map(tuple, paged(df, ["g"], 20, "id").collect()), key=str) == sorted(want, key=str)
+
+
+def test_row_numbers_of_hot_and_null_groups(spark):
+    rnd = random.Random(17)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randrange(40), k) for k in range(4000)]
+    got = row_numbers(spark.createDataFrame(rows, "g string, x long, k long").repartition(6), ["g"], F.desc("x"), F.col("k")).collect()
+    want, seen = {}, {}
+    for g, x, k in sorted(rows, key=lambda r: (-r[1], r[2])):
+        seen[g] = want[k] = seen.get(g, 0) + 1
+    assert {r["k"]: r["rank"] for r in got} == want and len(got) == 4000
+    assert row_numbers(spark.createDataFrame([], "g string, x long"), ["g"], F.col("x")).count() == 0
+    assert [r["rank"] for r in row_numbers(spark.range(9).toDF("x"), [], F.desc("x")).orderBy("x").collect()] == list(range(9, 0, -1))

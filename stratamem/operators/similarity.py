@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.operators.measures import content_words
-from stratamem.operators.retrieval import dot, met, unit
+from stratamem.operators.retrieval import connected, dot, met, unit
 from stratamem.plans.fixtures import Registry, Tables
+from stratamem.sources.tables import kept
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -86,10 +87,43 @@ def similar_pairs_lsh(vectors: DataFrame, at_least: float, recall: float = 0.999
     vectors: tenant, id, v (unit). No pair below the threshold is returned; one at it is missed with probability
     1 - recall, one above it less often. For a low threshold or all pairs whatever happens use similar_pairs.
     """
+    return _alike(near_candidates(vectors, at_least, recall, seed), vectors, at_least)
+
+
+def _alike(pairs: DataFrame, vectors: DataFrame, at_least: float) -> DataFrame:
+    """a, b, cosine of the pairs (tenant, a, b) that are at or above the threshold."""
     v = vectors.select("tenant", "id", "v")
-    x, y = v.toDF("tenant", "a", "q"), v.toDF("tenant", "b", "v")
-    found = near_candidates(vectors, at_least, recall, seed).join(x, ["tenant", "a"]).join(y, ["tenant", "b"])
-    return found.select("a", "b", F.round(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") >= at_least)
+    both = pairs.join(v.toDF("tenant", "a", "q"), ["tenant", "a"]).join(v.toDF("tenant", "b", "v"), ["tenant", "b"])
+    return both.select("a", "b", F.round(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") >= at_least)
+
+
+def similar_clusters(vectors: DataFrame, at_least: float, recall: float = 0.999, seed: int = SEED) -> DataFrame:
+    """id, root: components of the pairs of one tenant at or above the threshold; ids alone in theirs are left out.
+
+    Each vector is held against the least id of each bucket that it falls in or probes. In a bucket that then still
+    holds several components only the vectors outside of the largest meet the others, so that very many vectors
+    that are alike cost in proportion to their number, not to their pairs.
+    """
+    s = kept(sketches(vectors, *lsh_shape(at_least, recall), seed), "sketches")
+    own = s.select("tenant", F.explode("own").alias("bucket"), "id")
+    asked = s.select("tenant", F.explode(F.concat("own", "probed")).alias("bucket"), "id")
+    centre = own.groupBy("tenant", "bucket").agg(F.min("id").alias("b"))
+    near = asked.join(centre, ["tenant", "bucket"]).where("id <> b").select("tenant", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    first = kept(_alike(near, vectors, at_least).select("a", "b"), "links")
+    roots = connected(first)
+    rooted = lambda rows: rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = rooted(own)
+    sizes = held.groupBy("tenant", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("tenant", "bucket").agg(F.max(F.struct("n", "root")).alias("most")).select("tenant", "bucket", F.col("most.root").alias("big"))
+    # those outside of a bucket's largest component, whether they fall in it or probe it, meet all in it; those
+    # in it have to be met by the others, which the same rule sees to from the other side
+    out = rooted(asked).join(most, ["tenant", "bucket"]).where("root <> big").select("tenant", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
+    pairs = met(held.select("tenant", "bucket", F.col("id").alias("b"), F.col("root").alias("rb")), out, ["tenant", "bucket"]).where("ra <> rb")
+    back = rooted(asked).join(most, ["tenant", "bucket"]).where("root = big").select("tenant", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
+    few = held.join(most, ["tenant", "bucket"]).where("root <> big").select("tenant", "bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
+    pairs = pairs.select("tenant", "a", "b").union(met(back, few, ["tenant", "bucket"]).where("ra <> rb").select("tenant", "a", "b"))
+    pairs = pairs.select("tenant", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return connected(first.union(_alike(pairs, vectors, at_least).select("a", "b")))
 
 
 def restated(t: Tables) -> DataFrame:
@@ -100,13 +134,22 @@ def restated(t: Tables) -> DataFrame:
     return t.vectors.select("tenant", both.alias("x")).select("tenant", "x.id", unit(F.col("x.e")).alias("v"))
 
 
-@R.add("join11_hyperplane_pairs", """w AS (SELECT id, tenant, embedding::DOUBLE[] AS e FROM vectors),
-two AS (SELECT tenant, id * 2 AS id, e FROM w UNION ALL SELECT tenant, id * 2 + 1, list_transform(e, lambda x, i: x + list_concat(e[8:], e[:7])[i] * 0.3::DOUBLE) FROM w)
-SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.e, y.e), 6) AS cosine FROM two x JOIN two y ON x.tenant = y.tenant AND x.id < y.id WHERE round(list_cosine_similarity(x.e, y.e), 6) >= 0.84""")
+#: The same vectors in SQL.
+TWO = """w AS (SELECT id, tenant, embedding::DOUBLE[] AS e FROM vectors),
+two AS (SELECT tenant, id * 2 AS id, e FROM w UNION ALL SELECT tenant, id * 2 + 1, list_transform(e, lambda x, i: x + list_concat(e[8:], e[:7])[i] * 0.3::DOUBLE) FROM w)"""
+
+
+@R.add("join11_hyperplane_pairs", TWO + """ SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.e, y.e), 6) AS cosine FROM two x JOIN two y ON x.tenant = y.tenant AND x.id < y.id WHERE round(list_cosine_similarity(x.e, y.e), 6) >= 0.84""")
 def _(t: Tables) -> DataFrame:
     return similar_pairs_lsh(restated(t), 0.84, recall=1 - 1e-9)
 
 
+@R.add("life04_hyperplane_clusters", TWO + """, e AS (SELECT x.id AS a, y.id AS b FROM two x JOIN two y ON x.tenant = y.tenant AND x.id <> y.id WHERE round(list_cosine_similarity(x.e, y.e), 6) >= 0.84),
+r AS (SELECT * FROM (WITH RECURSIVE c AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id) SELECT id, min(root) AS root FROM c GROUP BY id)) SELECT id, root FROM r""")
+def _(t: Tables) -> DataFrame:
+    return similar_clusters(restated(t), 0.84, recall=1 - 1e-9)
+
+
 def contained(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     """doc_id, item_id, shared: documents that hold at least `share` of the distinct words of an item.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratamem.operators import similarity
 from stratamem.operators.evaluation import binomial_tail, bootstrap, probability_ordered, sign_flip
 from stratamem.operators.quantiles import at_ranks, half_even, row_numbers, upper_middle
-from stratamem.operators.retrieval import first_ranks, similar_pairs, unit
+from stratamem.operators.retrieval import connected, first_ranks, similar_pairs, unit
 from stratamem.operators.timeline import filled, paged
 from stratamem.plans.fixtures import Tables
 
@@ -39,6 +39,13 @@ def test_hyperplanes_find_nearly_all_and_compare_few(spark):
     assert exact == {(r["a"], r["b"]) for r in similarity.similar_pairs_lsh(spread, 0.84, 0.999999).collect()}
 
 
+def test_clusters_by_hyperplanes(spark):
+    v = vectors(spark).where("v IS NOT NULL")
+    for at_least in (0.84, 0.92):
+        want = {tuple(r) for r in connected(similar_pairs(v, at_least).select("a", "b")).collect()}
+        assert {tuple(r) for r in similarity.similar_clusters(v, at_least, recall=0.9999999).collect()} == want and len(want) > 200
+
+
 def test_shape_for_a_low_threshold_is_refused():
     assert similarity.lsh_shape(0.92, 0.95)[1] < similarity.lsh_shape(0.65, 0.95)[1] <= similarity.MOST_TABLES
     try:

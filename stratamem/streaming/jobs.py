@@ -51,8 +51,12 @@ def _(t: Tables) -> DataFrame:
     return rows.withColumn("rn", last).where("rn = 1").select("day", "user_id", "operation", "calls")
 
 
+#: Files of a micro-batch; rows are dealt evenly, so that none is empty.
+FILES = 4
+
+
 def arrivals(t: Tables, batches: int = 4, in_order: bool = False) -> DataFrame:
-    """The events as a stream of several micro-batches, a file each: by event_id % batches, so that older events come late, or in order of time."""
+    """The events as a stream of several micro-batches, FILES files each: by event_id % batches, so that older events come late, or in order of time."""
     path = scratch(t.spark, "arrivals")
     events = t.raw("events")
     if in_order:
@@ -61,8 +65,8 @@ def arrivals(t: Tables, batches: int = 4, in_order: bool = False) -> DataFrame:
     else:
         part = (F.col("event_id") % batches).cast("int")
     for k in range(batches):
-        events.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        events.where(part == k).repartition(FILES).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 FACTS = [
@@ -207,8 +211,8 @@ def _(t: Tables) -> DataFrame:
     """Turns gathered by their session's id in a stream, in order of their index whatever the order of arrival."""
     path, out = scratch(t.spark, "turns"), scratch(t.spark, "sessions")
     for k in (1, 0):
-        t.turns.where(F.col("turn_index") % 2 == k).coalesce(1).write.mode("append").parquet(path)
-    stream = t.spark.readStream.schema(t.turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        t.turns.where(F.col("turn_index") % 2 == k).repartition(FILES).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(t.turns.schema).option("maxFilesPerTrigger", FILES).parquet(path)
     line = F.struct("turn_index", F.concat_ws(": ", "role", "content").alias("x"))
     s = stream.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.sha2(F.array_join(F.array_sort(F.collect_list(line))["x"], "\n"), 256).alias("digest"))
     drained(t, s, "update", lambda w: w.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out)))

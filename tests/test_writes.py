@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from stratamem.operators.writes import Buckets, add_counters, drift, fingerprint
+from stratamem.sources.tables import drop_scratch, kept
 
 
 def files(table):
@@ -68,3 +69,11 @@ def test_drift(spark):
     same = fingerprint({"t": (one, "i")})
     assert drift(same, same).count() == 0
     assert {tuple(r) for r in drift(same, fingerprint({"t": (two, "i")})).collect()} == {("t.greatest", "changed", "2", "3"), ("t.sum", "changed", "3", "4")}
+
+
+def test_scratch_is_dropped(spark):
+    rows = kept(spark.range(5).toDF("x"), "five")
+    path = rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert rows.count() == 5 and os.path.isdir(path)
+    assert drop_scratch(spark) > 0 and not os.path.exists(path)
+    assert drop_scratch(spark) == 0

@@ -206,3 +206,38 @@ def _(t: Tables) -> DataFrame:
     asked = events.groupBy("user_id").agg(F.min_by("content", "id").alias("first"))
     questions = asked.select(F.col("user_id").alias("question_id"), "user_id", F.concat(F.lit("In what order, from first to last: "), "first").alias("question"))
     return question_timeline(questions, events).withColumn("day", F.col("day").cast("string"))
+
+
+def first_day(c: Column, said: Column) -> Column:
+    """The day that a first rule puts a text on: its first ISO date, else that of the first of yesterday and today in it, whatever they stand in."""
+    iso = F.try_to_date(F.try_element_at(all_of(c, "[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(1)), "yyyy-MM-dd")
+    word = F.lower(F.regexp_extract(c, r"(?is)^.*?\b(yesterday|today)\b", 1))
+    return F.coalesce(iso, F.when(word == "yesterday", F.date_sub(said, 1)).when(word == "today", said))
+
+
+def event_day(c: Column, said: Column) -> Column:
+    """The day that a text's event is on: the least date that it states, in figures or with the month's name, else its one exact relative day, unless that word is part of a title."""
+    word, is_title = title(c)
+    relative = relative_date(c, said)["exact"]
+    return F.coalesce(F.array_min(stated_dates(c)), F.when((word != "") & is_title, None).otherwise(relative))
+
+
+def day_change(old: Column, new: Column) -> Column:
+    """What becomes of a day that is worked out anew."""
+    return F.when(old.eqNullSafe(new), "unchanged").when(new.isNull(), "withdrawn").when(old.isNull(), "recovered").otherwise("corrected")
+
+
+_NAMED = "(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4}"
+
+
+@R.add("tmp14_event_day_backfill", RELATIVE_SQL + rf""", s AS (SELECT line_id, text, CAST(said_on AS DATE) AS said, regexp_extract_all(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS iso, regexp_extract_all(text, '{_NAMED}') AS named, lower(regexp_extract(text, '(?is)^.*?\b(yesterday|today)\b', 1)) AS word,
+  regexp_extract(text, '(?is)^(.*?)\b(yesterday|today|tomorrow)\b', 1) AS pre, regexp_extract(text, '(?is)^.*?\b(yesterday|today|tomorrow)\b', 1) AS day_word FROM lines),
+d AS (SELECT s.line_id, coalesce(try_cast(iso[1] AS DATE), CASE word WHEN 'yesterday' THEN said - 1 WHEN 'today' THEN said END) AS old,
+  coalesce(list_min(list_concat(list_transform(iso, lambda x: try_cast(x AS DATE)), list_transform(named, lambda x: CAST(strptime(x, '%B %-d, %Y') AS DATE)))),
+    CASE WHEN day_word <> '' AND ((length(pre) - length(replace(pre, '"', ''))) % 2 = 1 OR (regexp_matches(day_word, '^[A-Z]') AND NOT regexp_matches(pre, '(?:^|[.!?]\s+)$'))) THEN NULL ELSE r.exact END) AS new FROM s JOIN relative r ON r.line_id = s.line_id)
+SELECT line_id, CAST(old AS VARCHAR) AS old, CAST(new AS VARCHAR) AS new, CASE WHEN old IS NOT DISTINCT FROM new THEN 'unchanged' WHEN new IS NULL THEN 'withdrawn' WHEN old IS NULL THEN 'recovered' ELSE 'corrected' END AS change FROM d""")
+def _(t: Tables) -> DataFrame:
+    """Days under a first rule and under the present one, line by line."""
+    said = F.to_date("said_on")
+    d = t.lines.select("line_id", first_day(F.col("text"), said).alias("old"), event_day(F.col("text"), said).alias("new"))
+    return d.select("line_id", F.col("old").cast("string").alias("old"), F.col("new").cast("string").alias("new"), day_change(F.col("old"), F.col("new")).alias("change"))

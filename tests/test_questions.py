@@ -64,3 +64,15 @@ def test_question_timelines(spark):
     found = q.question_timeline(spark.createDataFrame(asked, "question_id long, user_id long, question string"), e).collect()
     assert sorted(tuple(r) for r in found if r["day"]) == [(1, 1, 10, date(2023, 5, 2)), (1, 2, 11, date(2024, 1, 1))]
     assert [tuple(r) for r in found if not r["day"]] == [(1, 3, 13, None)]
+
+
+def test_days_worked_out_anew(spark):
+    said = date(2024, 3, 10)
+    cases = {
+        "I left on 2024-03-01.": (date(2024, 3, 1), date(2024, 3, 1), "unchanged"), 'We watched "Yesterday" at home.': (date(2024, 3, 9), None, "withdrawn"),
+        "We met on May 4, 2023.": (None, date(2023, 5, 4), "recovered"), "The bill of April 2, 2024 came today.": (said, date(2024, 4, 2), "corrected"),
+        "It broke three days ago.": (None, date(2024, 3, 7), "recovered"), "Nothing to say.": (None, None, "unchanged"), "today or yesterday": (said, None, "withdrawn"),
+    }
+    df = spark.createDataFrame([(k, t, said) for k, t in enumerate(cases)], "k long, text string, said date")
+    got = df.select("k", q.first_day(F.col("text"), F.col("said")).alias("old"), q.event_day(F.col("text"), F.col("said")).alias("new")).withColumn("c", q.day_change(F.col("old"), F.col("new")))
+    assert [tuple(r)[1:] for r in got.orderBy("k").collect()] == list(cases.values())

@@ -236,7 +236,10 @@ def _(t: Tables) -> DataFrame:
     return filled(items, ["user_id"], 300, F.col("id"))
 
 
-@R.add("pack08_split_oversized")
+@R.add("pack08_split_oversized", """c AS (SELECT * FROM (WITH RECURSIVE f AS (SELECT session_id, turn_index, content, length(content) AS n, 0::BIGINT AS start, 0::BIGINT AS pos FROM turns UNION ALL
+  SELECT session_id, turn_index, content, n, pos, CASE WHEN pos + 400 >= n THEN n WHEN back > 200 AND back <= 400 THEN pos + back ELSE pos + 400 END
+  FROM (SELECT *, 401 - instr(reverse(substr(content, pos + 1, 400)), ' ') AS back FROM f WHERE pos < n)) SELECT * FROM f WHERE pos > start))
+SELECT session_id, turn_index, CAST(start AS INTEGER) AS start, CAST(pos AS INTEGER) AS end, sha256(substr(content, start + 1, pos - start)) AS digest FROM c""")
 def _(t: Tables) -> DataFrame:
     """Texts cut into spans of at most 400 characters at a space in the second half; offsets and digest of each."""
     n = F.col("n")

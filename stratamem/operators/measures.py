@@ -189,12 +189,36 @@ def _(t: Tables) -> DataFrame:
     return t.raw("orders").groupBy("o_custkey").agg(F.count_distinct(F.struct("o_orderstatus", "o_orderpriority")).alias("versions")).where("versions > 1")
 
 
-@R.add("agg30_table_fingerprint")
+def canonical(df: DataFrame) -> Column:
+    """A row as one text that every engine gives alike: whole hundredths for fractions, seconds for times, lengths before texts, ~ for null."""
+
+    def cell(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            c = F.round(c * 100).cast("long")
+        elif kind.startswith("timestamp"):
+            c = F.unix_seconds(c.cast("timestamp"))
+        text = c.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+    return F.concat(*[cell(*x) for x in df.dtypes])
+
+
+def _canonical_sql(table: str, cells: list[str]) -> str:
+    row = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || ({c}::VARCHAR), '~')" for c in cells)
+    return f"SELECT '{table}' AS name, {row} AS r FROM {table}"
+
+
+@R.add("agg30_table_fingerprint", "x AS (" + " UNION ALL ".join([
+    _canonical_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "CAST(round(o_totalprice * 100) AS BIGINT)", "CAST(epoch(o_orderdate) AS BIGINT)", "o_orderpriority"]),
+    _canonical_sql("customer", ["c_custkey", "c_name", "c_nationkey", "CAST(round(c_acctbal * 100) AS BIGINT)", "c_mktsegment"]),
+    _canonical_sql("nation", ["n_nationkey", "n_name", "n_regionkey"]),
+]) + ") SELECT name AS \"table\", count(*) AS n, CAST(sum(CAST('0x' || substr(md5('a' || r), 1, 15) AS BIGINT)) AS VARCHAR) AS sum_x, CAST(sum(CAST('0x' || substr(md5('b' || r), 1, 15) AS BIGINT)) AS VARCHAR) AS sum_y FROM x GROUP BY name")
 def _(t: Tables) -> DataFrame:
     """An order-free digest: sums of two independent row hashes, with the number of rows."""
-    part = lambda name: t.raw(name).select(F.lit(name).alias("table"), F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)").alias("x"), F.crc32(F.to_json(F.struct("*")).cast("binary")).alias("y"))
-    rows = part("orders").union(part("customer")).union(part("nation"))
-    return rows.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.sum("x").cast("string").alias("sum_x"), F.sum("y").alias("sum_y"))
+    half = lambda salt: F.sum(F.conv(F.substring(F.md5(F.concat(F.lit(salt), "r")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    rows = [t.raw(k).select(F.lit(k).alias("table"), canonical(t.raw(k)).alias("r")) for k in ("orders", "customer", "nation")]
+    return rows[0].union(rows[1]).union(rows[2]).groupBy("table").agg(F.count(F.lit(1)).alias("n"), half("a").alias("sum_x"), half("b").alias("sum_y"))
 
 
 @R.add("agg31_session_fingerprint", "SELECT session_id, sha256(string_agg(turn_index || ':' || role || ':' || content, chr(10) ORDER BY turn_index)) AS digest FROM turns GROUP BY session_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratamem.operators.measures import content_words
-from stratamem.operators.retrieval import connected, dot, met, unit
+from stratamem.operators.retrieval import connected, dot, met, top_k, unit
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import kept
 
@@ -144,6 +144,17 @@ def _(t: Tables) -> DataFrame:
     return similar_pairs_lsh(restated(t), 0.84, recall=1 - 1e-9)
 
 
+def earlier_neighbours(vectors: DataFrame, at_least: float, k: int, recall: float = 0.999) -> DataFrame:
+    """query_id, id, cosine, rank: of each vector the k nearest of its tenant with a lesser id, at or above the threshold; found by hyperplanes, compared exactly."""
+    pairs = similar_pairs_lsh(vectors, at_least, recall)
+    return top_k(pairs.select(F.col("b").alias("query_id"), F.col("a").alias("id"), "cosine"), ["query_id"], k, F.desc("cosine"), F.col("id"))
+
+
+@R.add("join13_hyperplane_neighbours", TWO + """ SELECT query_id, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM (SELECT x.id AS query_id, y.id AS id, round(list_cosine_similarity(x.e, y.e), 6) AS cosine FROM two x JOIN two y ON x.tenant = y.tenant AND y.id < x.id) WHERE cosine >= 0.84) WHERE rank <= 3""")
+def _(t: Tables) -> DataFrame:
+    return earlier_neighbours(restated(t), 0.84, 3, recall=1 - 1e-9)
+
+
 @R.add("life04_hyperplane_clusters", TWO + """, e AS (SELECT x.id AS a, y.id AS b FROM two x JOIN two y ON x.tenant = y.tenant AND x.id <> y.id WHERE round(list_cosine_similarity(x.e, y.e), 6) >= 0.84),
 r AS (SELECT * FROM (WITH RECURSIVE c AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id) SELECT id, min(root) AS root FROM c GROUP BY id)) SELECT id, root FROM r""")
 def _(t: Tables) -> DataFrame:

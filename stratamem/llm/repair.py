@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamem.llm import common
@@ -139,9 +139,8 @@ def apply(edits: str, state: int, roles: list[str], texts: list[str]) -> tuple[l
 
 
 _TALLY = ("rows", "blank", "duplicate", "truncated", "illegal", "turns", "cost")
-_EDGES = ("t0", "t1")
-_SEGMENT = "conv_id long, at long, whole boolean, rows long, blank long, duplicate long, truncated long, illegal long, turns long, cost long, t0 long, t1 long, r0 string, r1 string, audit string, codes binary, matrix array<long>, roles array<string>, texts array<string>"
-_TYPES = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 9, *[pa.string()] * 3, pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.string())] * 2]
+_SEGMENT = "conv_id long, at long, whole boolean, rows long, blank long, duplicate long, truncated long, illegal long, turns long, cost long, t0 long, t1 long, r0 string, r1 string, audit string, codes binary, whos binary, roles array<string>, texts array<string>"
+_TYPES = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 9, *[pa.string()] * 3, *[pa.binary()] * 2, *[pa.list_(pa.string())] * 2]
 
 
 def _batch(rows: list[dict], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
@@ -161,23 +160,29 @@ def _in_batches(rows: Iterator[dict], schema: str, types: list[pa.DataType], mos
         yield _batch(held, schema, types)
 
 
-def _segment(rows: list[tuple[int | None, str, str, int]], conv_id: int | None, whole: bool) -> dict:
-    """Counts of a run of rows (turn, role, text, fault) of one conversation; its edits if it is whole, else what other tasks need."""
+def _counts(codes: bytes) -> dict:
+    """How many rows have each fault."""
+    faults = [c >> 2 for c in codes]
+    return {"blank": faults.count(BLANK), "duplicate": faults.count(DUPLICATE), "truncated": faults.count(CUT_OFF)}
+
+
+def _segment(rows: list[tuple[int | None, str, str, int, bytes]], conv_id: int | None, whole: bool) -> dict:
+    """A run of rows (turn, role, text, fault, who) of one conversation: its edits if it is whole, else what other tasks need."""
     turns = [r[0] for r in rows if r[0] is not None]
-    faults = [r[3] for r in rows]
-    codes = bytes(row_code(r[1], r[3]) for r in rows)
     out = {
-        "conv_id": conv_id, "whole": whole, "rows": len(rows), "blank": faults.count(BLANK), "duplicate": faults.count(DUPLICATE), "truncated": faults.count(CUT_OFF),
-        "illegal": sum(a[1][:1] + b[1][:1] not in LEGAL for a, b in zip(rows, rows[1:], strict=False)), "turns": len(set(turns)),
+        "conv_id": conv_id, "whole": whole, "rows": len(rows), "illegal": sum(a[1][:1] + b[1][:1] not in LEGAL for a, b in zip(rows, rows[1:], strict=False)), "turns": len(set(turns)),
         "t0": turns[0] if turns else None, "t1": turns[-1] if turns else None, "r0": rows[0][1][:1], "r1": rows[-1][1][:1],
         "roles": [r[1] for r in rows], "texts": [r[2] for r in rows],
     }
-    if whole:
-        out["audit"], _, out["cost"] = walk(codes, FINAL, START, True)
-        out["roles"], out["texts"] = apply(out["audit"], START, out["roles"], out["texts"])
-    else:
-        out["codes"], out["matrix"] = codes, transfer(codes)
-    return out
+    if not whole:
+        return out | {"codes": bytes(row_code(r[1], r[3]) for r in rows), "whos": b"".join(r[4] for r in rows)}
+    seen, codes = set(), bytearray()
+    for _, role, _text, fault, who in rows:
+        codes.append(row_code(role, DUPLICATE if who in seen and fault != BLANK else fault))
+        seen.add(who)
+    out["audit"], _, out["cost"] = walk(bytes(codes), FINAL, START, True)
+    out["roles"], out["texts"] = apply(out["audit"], START, out["roles"], out["texts"])
+    return out | _counts(codes)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +191,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def segments() -> Iterator[dict]:
         at, key, held, chars, whole = TaskContext.get().partitionId() << 33, (), [], 0, False
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("conv_id", "turn", "role", "text", "fault")]
-            for conv_id, turn, role, text, fault in zip(*columns, strict=True):
+            columns = [batch.column(k).to_pylist() for k in ("conv_id", "turn", "role", "text", "fault", "who")]
+            for conv_id, turn, role, text, fault, who in zip(*columns, strict=True):
                 if key and key[0] == conv_id:
                     if len(held) >= SEGMENT or chars > SEGMENT_CHARS:
                         yield _segment(held, conv_id, False) | {"at": at}
@@ -197,7 +202,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield _segment(held, key[0], whole) | {"at": at}
                         at += 1
                     whole, key, held, chars = bool(key), (conv_id,), [], 0
-                held.append((turn, role, text, fault))
+                held.append((turn, role, text, fault, who))
                 chars += len(text)
         if held:
             yield _segment(held, key[0], False) | {"at": at}
@@ -209,6 +214,22 @@ def _by_conversation(df: DataFrame, back: bool = False) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("at") if back else F.asc("at"))
 
 
+_SCORED = "conv_id long, at long, codes binary, matrix array<long>, blank long, duplicate long, truncated long"
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of segments with their duplicates marked, counts of faults, and costs between states."""
+    for batch in batches:
+        rows = []
+        for x in batch.to_pylist():
+            codes = bytearray(x["codes"])
+            for i in x["dups"] or ():
+                if codes[i] >> 2 != BLANK:
+                    codes[i] = codes[i] & 3 | DUPLICATE << 2
+            rows.append({"conv_id": x["conv_id"], "at": x["at"], "codes": bytes(codes), "matrix": transfer(bytes(codes))} | _counts(codes))
+        yield _batch(rows, _SCORED, [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * 3])
+
+
 _CHECKED = "at long, ending array<long>, last boolean"
 _EXITS = "conv_id long, at long, ending array<long>, last boolean, exits array<long>"
 _ENTRIES = "at long, ending array<long>, last boolean, entry long"
@@ -267,18 +288,24 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, fault, who and place of rows; who tells conversation, role and text, place rows equal in all."""
+    """conv_id, turn, role, text, fault, who and place of rows; who tells conversation, role and text, place rows equal in all. What is a duplicate shows only in order."""
     said = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(k), F.lit(" ")).alias(k) for k in ("role", "text")],
         F.monotonically_increasing_id().alias("place"),
     )
     who = F.unhex(F.md5(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.length("role").cast("string"), F.lit(":"), "role", "text")))
-    said = said.withColumn("who", who).withColumn("order", F.struct(F.coalesce(F.col("turn"), F.lit(0)).alias("turn"), "place"))
-    said = said.withColumn("order", F.struct(F.col("turn").isNotNull().alias("given"), "order"))
-    firsts = said.groupBy("who").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("who", "first")
     rest = F.rtrim(F.col("text"), F.lit(SPACE))
-    fault = F.when(rest == "", BLANK).when(F.col("order") > F.col("first"), DUPLICATE).when(~F.substring(rest, -1, 1).isin(".", "!", "?"), CUT_OFF).otherwise(SOUND)
-    return said.join(firsts, "who", "left").select("conv_id", "turn", "role", "text", fault.alias("fault"), "who", "place")
+    fault = F.when(rest == "", BLANK).when(~F.substring(rest, -1, 1).isin(".", "!", "?"), CUT_OFF).otherwise(SOUND)
+    return said.select("conv_id", "turn", "role", "text", fault.alias("fault"), who.alias("who"), "place")
+
+
+def duplicates(parts: DataFrame) -> DataFrame:
+    """at, dups: the rows of segments (at, rows, whos) whose role and text an earlier row of the conversation has, in whichever segment."""
+    place = F.transform(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int")), lambda i: F.substring(F.col("whos"), i * 16 + 1, F.lit(16)))
+    each = parts.select("at", F.posexplode(place).alias("i", "who"))
+    here = F.struct("at", "i")
+    firsts = each.groupBy("who").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("who", "first")
+    return each.join(firsts, "who").where(here > F.col("first")).groupBy("at").agg(F.collect_list("i").alias("dups"))
 
 
 def repair(rows: DataFrame) -> DataFrame:
@@ -289,19 +316,21 @@ def repair(rows: DataFrame) -> DataFrame:
     repeats of one another, the later ones duplicates. A null conv_id is a conversation like others. A role that
     begins with none of s, u, a is never kept as it is. An empty table gives nothing.
 
-    Rows are shuffled once, in ranges by conversation and order, so that a conversation with a third of all rows
-    goes to many tasks; each holds a segment of at most SEGMENT rows. What is passed on to one task of a long
-    conversation is some numbers a segment.
+    Texts are shuffled once, in ranges by conversation and order, so that a conversation with a third of all rows
+    goes to many tasks; each holds a segment of at most SEGMENT rows. A conversation inside a range is repaired there.
+    Of others, checksums find the duplicates, and what is passed on to one task of a long one is some numbers a segment.
     """
     order = ("conv_id", "turn", "role", "who", "place")
     ranges = faults(rows).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = common.written(ranges.select("conv_id", "turn", "role", "text", "fault").mapInArrow(_cut, _SEGMENT), "segments")
+    found = common.written(ranges.select("conv_id", "turn", "role", "text", "fault", "who").mapInArrow(_cut, _SEGMENT), "segments")
     parts = found.where("NOT whole")
-    checked = _by_conversation(parts.select("conv_id", "at", "matrix"), back=True).mapInArrow(_backward, _CHECKED)
-    exits = parts.select("conv_id", "at", "codes").join(checked, "at").select("conv_id", "at", "codes", "ending", "last").mapInArrow(_exits, _EXITS)
+    marked = parts.select("conv_id", "at", "codes").join(duplicates(parts), "at", "left")
+    scored = common.written(marked.mapInArrow(_scored, _SCORED), "scored")
+    checked = _by_conversation(scored.select("conv_id", "at", "matrix"), back=True).mapInArrow(_backward, _CHECKED)
+    exits = scored.select("conv_id", "at", "codes").join(checked, "at").select("conv_id", "at", "codes", "ending", "last").mapInArrow(_exits, _EXITS)
     entries = _by_conversation(exits).mapInArrow(_forward, _ENTRIES)
-    edited = parts.join(entries, "at").mapInArrow(_edited, _SEGMENT)
-    return found.where("whole").unionByName(edited).drop("codes", "matrix")
+    texts = parts.drop("codes", "whos", "blank", "duplicate", "truncated").join(scored.drop("conv_id", "matrix"), "at").join(entries, "at")
+    return found.where("whole").unionByName(texts.mapInArrow(_edited, _SEGMENT)).drop("codes", "whos")
 
 
 _RESULT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"

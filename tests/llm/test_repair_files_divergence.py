@@ -218,6 +218,41 @@ def test_token_files_of_odd_rows(spark, monkeypatch):
         assert (tokenfiles.read_span(spark, path, a, b) == everything[a:b]).all()
 
 
+def test_token_files_end_at_a_size(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "FILE_BYTES", 3000, raising=False)
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices(["one", "two", "three", "Four,", "5"], k=rnd.choice([0, 1, 30, 90]))) for _ in range(3000)]
+    texts[700] = "long " * 20_000
+    ids = encoded(texts)
+    path = f"{common.shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tokenfiles.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.production_tokenizer(), path)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids").select("path", "length").collect()
+    sizes = sorted(r["length"] for r in files)
+    # a file ends with the document that fills it
+    assert sizes[-2] < 3000 + 17 + 2 * 200 + 200 and 2 * 20_000 < sizes[-1] < 3000 + 2 * 25_000
+    manifest = spark.read.parquet(f"{path}/manifest").collect()
+    assert len(manifest) > 30 and {r["file"] for r in manifest} < {r["path"] for r in files}
+    assert (sum(r["n_docs"] for r in manifest), sum(r["n_ids"] for r in manifest)) == (len(texts), sum(map(len, ids)))
+    got = sorted(tokenfiles.read_ids(spark, path).collect(), key=lambda r: r["start"])
+    starts = np.cumsum([0, *map(len, ids)])
+    assert [(r["doc_id"], r["start"], bytes(r["ids"])) for r in got] == [(k, int(starts[k]), x.tobytes()) for k, x in enumerate(ids)]
+    everything = np.concatenate(ids)
+    for a, b in [(0, len(everything)), (1400, 1600), (int(starts[700]) - 2000, int(starts[701]) + 2000)]:
+        assert (tokenfiles.read_span(spark, path, a, b) == everything[a:b]).all()
+
+
+def test_ledger_looks_into_no_shard(spark, monkeypatch):
+    path = f"{common.shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    docs = spark.createDataFrame([(k, "word " * 500) for k in range(400)], "doc_id long, text string")
+    tokenfiles.write_ids(docs, packing.production_tokenizer(), path)
+    want = spark.read.parquet(f"{path}/manifest").collect()
+    monkeypatch.setattr(tokenfiles, "LEDGER_MOST", 4096)
+    read = tokenfiles._files(spark, f"{path}/ids", tokenfiles.LEDGER_MOST).select("task").collect()
+    assert len(read) == len({r["task"] for r in want}) and sorted(tokenfiles._ledgers(spark, path).collect()) == sorted(want)
+
+
 def test_token_files_of_nothing(spark):
     path = f"{common.shared_dir(spark)}/t-{uuid.uuid4().hex}"
     tokenfiles.write_ids(spark.createDataFrame([], "doc_id long, text string"), packing.production_tokenizer(), path)

@@ -151,16 +151,19 @@ def _(t: Tables) -> DataFrame:
     return objects.select("object", F.array_join(members(F.col("object")), "|").alias("parts"), refusal(F.col("object")).alias("refused"))
 
 
-def locate(span: str | None, text: str | None) -> tuple[int, int] | None:
+def locate(span: str | None, text: str | None, whole: bool = False) -> tuple[int, int] | None:
     """Start and end (exclusive) of a span in a text, in code points of the text as it is; None if it is not there.
 
     The first place where it stands exactly; else the first beginning of a word from which on the text is the
     span but for case and white space, the white space after it included. Each letter of the text keeps
-    the place it came from, also where its lower-case form has another length.
+    the place it came from, also where its lower-case form has another length. whole: it has to begin and end
+    with a word of the text, so that `a th` is not found in `a the`.
     """
     if not span or not span.strip() or text is None:
         return None
     at = text.find(span)
+    while whole and at >= 0 and not (_parted(text, at) and _parted(text, at + len(span))):
+        at = text.find(span, at + 1)
     if at >= 0:
         return at, at + len(span)
     lowered, came, white = [], [], True
@@ -177,7 +180,7 @@ def locate(span: str | None, text: str | None) -> tuple[int, int] | None:
             white = False
     plain, wanted = "".join(lowered), " ".join("".join(x.lower() for x in w) for w in span.split())
     at = plain.find(wanted)
-    while at > 0 and plain[at - 1] != " ":
+    while at > 0 and plain[at - 1] != " " or whole and at >= 0 and not _parted(plain, at + len(wanted)):
         at = plain.find(wanted, at + 1)
     if at < 0:
         return None
@@ -187,11 +190,16 @@ def locate(span: str | None, text: str | None) -> tuple[int, int] | None:
     return start, end
 
 
-def located(span: Column, text: Column) -> Column:
+def _parted(text: str, at: int) -> bool:
+    """Whether no word of a text goes on over a place in it."""
+    return at in (0, len(text)) or text[at - 1].isspace() or text[at].isspace()
+
+
+def located(span: Column, text: Column, whole: bool = False) -> Column:
     """struct(start, end) by locate(), in Arrow batches; both null where the span is not there."""
 
     def find(spans: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        found = [locate(s, x) or (None, None) for s, x in zip(spans, texts, strict=True)]
+        found = [locate(s, x, whole) or (None, None) for s, x in zip(spans, texts, strict=True)]
         return pd.DataFrame({"start": pd.array([a for a, _ in found], "Int64"), "end": pd.array([b for _, b in found], "Int64")})
 
     return F.pandas_udf(find, "start long, end long")(span, text)
@@ -201,10 +209,10 @@ def located(span: Column, text: Column) -> Column:
 y AS (SELECT *, lower(trim(one)) = lower(two) AND starts_with(lower(two || gap || three), lower(two) || ' ' || lower(three)) AND lower(two) = lower(three) AS same FROM x)
 SELECT session_id, turn_index, CASE WHEN same THEN 0 ELSE length(one) END AS start, CASE WHEN same THEN length(one) + length(two) + length(gap) ELSE length(one) + length(two) + length(gap) + length(three) + length(rest) END AS end FROM y""")
 def _(t: Tables) -> DataFrame:
-    """A turn's second and third word, quoted with other spacing and in capitals: where the turn has them."""
+    """A turn's second and third word, quoted with other spacing and in capitals: where the turn has them as words."""
     p = r"^\S+ +(\S+) +(\S+)"
     quote = F.concat(F.translate(F.regexp_extract("content", p, 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("\t \n"), F.regexp_extract("content", p, 2))
-    x = t.turns.where(F.col("content").rlike(p)).select("session_id", "turn_index", located(quote, F.col("content")).alias("x"))
+    x = t.turns.where(F.col("content").rlike(p)).select("session_id", "turn_index", located(quote, F.col("content"), whole=True).alias("x"))
     return x.select("session_id", "turn_index", "x.start", "x.end")
 
 

@@ -75,6 +75,16 @@ def test_spans_are_those_of_the_text_as_it_is(spark):
         assert extraction.locate(span, text) == want, (span, text)
 
 
+def test_words_are_found_as_words(spark, tmp_path):
+    cases = [("THE\t \nth", "The the th ouinnd", (4, 11)), ("THE\t \nth", "The the the", None), ("a th", "a the a th", (6, 10)), ("the th", "xthe th the th", (8, 14)), ("ß", "ßa ß", (3, 4)), ("A B", "a  b", (0, 4))]
+    for span, text, want in cases:
+        assert extraction.locate(span, text, whole=True) == want, (span, text)
+    turns = [(1, 0, "user", "The the th ouinnd"), (1, 1, "user", "one two three"), (2, 0, "user", "the The the end")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in extraction.QUERIES["scl09_true_span"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 4, 11), (1, 1, 4, 13), (2, 0, 0, 8)}
+
+
 def test_updates_move_facts_to_the_earlier_key(spark):
     t = Tables(spark, SF)
     from stratamem.operators.timeline import facts_of

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from stratamem.operators.facts import SOURCED, sourced
 from stratamem.operators.quantiles import row_numbers
+from stratamem.operators.vectors import Links, Nearest, Pairs, meeting
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import kept
 
@@ -169,20 +170,8 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Queries that are sent to every task as one set, and vectors of a tenant that meet in one task.
-SENT_QUERIES, BLOCK = 4096, 8192
-
-
-def met(x: DataFrame, y: DataFrame, by: list[str]) -> DataFrame:
-    """x joined to y on `by`, a large group's rows of x dealt over as many tasks as its size asks for.
-
-    Each row of x goes to one block of its group, each row of y to all of them, so that no task holds a group whole.
-    """
-    blocks = x.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_m"))
-    own = F.xxhash64(*[c for c, kind in x.dtypes if not kind.startswith("array")])  # the same when a task runs again
-    dealt = x.join(blocks, by).withColumn("_block", F.pmod(own, F.col("_m")).cast("int")).drop("_m")
-    sent = y.join(blocks, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
-    return dealt.join(sent, [*by, "_block"]).drop("_block")
+#: Queries that are sent to every task as one set, and vectors of a group that a task holds at a time.
+SENT_QUERIES, BLOCK = 4096, 16384
 
 
 def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
@@ -194,19 +183,21 @@ def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(queries.withColumn("_part", part), "_part").drop("_part")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: list[str] | None = None, where: Column | None = None) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: list[str] | None = None, only: str | None = None) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest vectors of each query, exactly.
 
     queries: query_id, q (unit); vectors: id, v (unit). With `within` the search stays in groups equal
-    on these columns. Otherwise the stated set of queries meets each partition of the vectors in place while
-    it is small enough to send, and in blocks beyond that. Each task keeps its own k best, so that only
-    these are shuffled.
+    on these columns. only: `earlier` for ids below the query's, `other` for all but its own. The vectors are dealt
+    over tasks in blocks, each of which all queries of its group go past; each task keeps its own k best, so
+    that only these are shuffled.
     """
-    pairs = met(vectors, queries, within) if within else against(vectors, queries)
-    if where is not None:
-        pairs = pairs.where(where)
-    scored = pairs.select("query_id", "id", F.round(dot("q", "v"), 6).alias("cosine"))
-    return top_k(scored, ["query_id"], k, F.desc("cosine"), F.col("id"))
+    by = within or ["_all"]
+    whole = {} if within else {"_all": F.lit(0)}
+    x = queries.withColumns(whole).select(*by, F.col("query_id").alias("_id"), F.col("q").alias("_v"))
+    y = vectors.withColumns(whole).select(*by, F.col("id").alias("_id"), F.col("v").alias("_v"))
+    kinds = dict(queries.dtypes) | dict(vectors.dtypes)
+    scored = meeting(x, y, by, BLOCK, lambda: Nearest(k, only), f"query_id {kinds['query_id']}, id {kinds['id']}, cosine double")
+    return top_k(scored.select("query_id", "id", "cosine"), ["query_id"], k, F.desc("cosine"), F.col("id"))
 
 
 COS = "cos AS (SELECT x.id AS query_id, y.id AS id, x.tenant AS qt, y.tenant AS vt, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM vectors x, vectors y)"
@@ -232,13 +223,23 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("join10_nearest_earlier", COS + " SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM cos WHERE qt = vt AND id < query_id) WHERE rank <= 3")
 def _(t: Tables) -> DataFrame:
-    return nearest(_asked(t, 1), _unit(t), 3, ["tenant"], F.col("id") < F.col("query_id")).select("query_id", "id", "rank")
+    return nearest(_asked(t, 1), _unit(t), 3, ["tenant"], "earlier").select("query_id", "id", "rank")
 
 
 def similar_pairs(vectors: DataFrame, at_least: float) -> DataFrame:
     """a, b, cosine: each unordered pair of one tenant at or above the threshold, once. All of a tenant's pairs are compared, in blocks."""
-    x, y = vectors.select("tenant", F.col("id").alias("a"), F.col("v").alias("q")), vectors.select("tenant", F.col("id").alias("b"), "v")
-    return met(x, y, ["tenant"]).where("a < b").select("tenant", "a", "b", F.round(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") >= at_least)
+    return _compared(vectors, lambda: Pairs(at_least), "cosine double")
+
+
+def similar_links(vectors: DataFrame, at_least: float) -> DataFrame:
+    """a, b: pairs at or above the threshold that have the same components as all of them, but grow with the vectors, not with their pairs."""
+    return _compared(vectors, lambda: Links(at_least))
+
+
+def _compared(vectors: DataFrame, work, *more: str) -> DataFrame:
+    kind = dict(vectors.dtypes)["id"]
+    rows = vectors.select("tenant", F.col("id").alias("_id"), F.col("v").alias("_v"))
+    return meeting(rows, None, ["tenant"], BLOCK, work, ", ".join([f"a {kind}", f"b {kind}", *more]))
 
 
 @R.add("join11_threshold_pairs", COS + " SELECT query_id AS a, id AS b, cosine FROM cos WHERE qt = vt AND query_id < id AND cosine >= 0.25")
@@ -255,7 +256,7 @@ def _(t: Tables) -> DataFrame:
 r AS (SELECT * FROM (WITH RECURSIVE w AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id) SELECT id, min(root) AS root FROM w GROUP BY id))
 SELECT root, count(*) AS members, CAST(max(id) AS BIGINT) AS last FROM r GROUP BY root HAVING count(*) >= 3""")
 def _(t: Tables) -> DataFrame:
-    labels = connected(similar_pairs(_unit(t), 0.3).select("a", "b"))
+    labels = connected(similar_links(_unit(t), 0.3).select("a", "b"))
     return labels.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max("id").alias("last")).where("members >= 3")
 
 
@@ -531,7 +532,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("life09_neighbour_leak", COS + " SELECT count(*) FILTER (qt = vt) AS same_tenant, count(*) FILTER (qt <> vt) AS other_tenant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rn FROM cos WHERE query_id <> id AND query_id % 50 = 0) WHERE rn <= 10")
 def _(t: Tables) -> DataFrame:
-    near = nearest(_asked(t, 50).withColumnRenamed("tenant", "qt"), _unit(t), 10, where=F.col("id") != F.col("query_id"))
+    near = nearest(_asked(t, 50).withColumnRenamed("tenant", "qt"), _unit(t), 10, only="other")
     owner = t.vectors.select("id", "tenant")
     both = near.join(owner, "id").join(owner.toDF("query_id", "qt"), "query_id")
     return both.agg(F.count_if(F.col("tenant") == F.col("qt")).alias("same_tenant"), F.count_if(F.col("tenant") != F.col("qt")).alias("other_tenant"))

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratamem.operators import retrieval
 from stratamem.operators.measures import content_words
-from stratamem.operators.retrieval import connected, dot, met, top_k, unit
+from stratamem.operators.retrieval import connected, top_k, unit
+from stratamem.operators.vectors import Links, Met, Pairs, Rows, meeting
 from stratamem.plans.fixtures import Registry, Tables
-from stratamem.sources.tables import kept
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -43,42 +41,63 @@ def lsh_shape(at_least: float, recall: float) -> tuple[int, int]:
     return min(shapes)[1:]
 
 
-def sketches(vectors: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame:
-    """tenant, id, own, probed: a bucket of each table, and those that differ from it in one bit.
-
-    vectors: tenant, id, v (all of one length; a null v is left out). The planes come from the seed, so every
-    task has the same ones.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        flips = (1 << np.arange(bits)).astype(np.int64)
-        base = np.arange(tables, dtype=np.int64) << bits
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("v")
-            m = np.asarray(lists.flatten()).reshape(batch.num_rows, -1)
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-            on = (m @ planes > 0).reshape(len(m), tables, bits)
-            own = base + (on * flips).sum(axis=2)
-            probed = (own[:, :, None] ^ flips).reshape(len(m), -1)
-            cells = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("tenant"), batch.column("id"), cells(own), cells(probed)], ["tenant", "id", "own", "probed"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    rows = vectors.where("v IS NOT NULL").select("tenant", "id", "v")
-    return rows.mapInArrow(run, f"tenant {kinds['tenant']}, id {kinds['id']}, own array<long>, probed array<long>")
+class Sketch:
+    """Buckets of vectors in several tables of random hyperplanes. The planes come from the seed, so every task has the same ones."""
+
+    def __init__(self, bits: int, tables: int, seed: int = SEED):
+        self.bits, self.tables, self.seed = bits, tables, seed
+        self.planes = None
+        self.flips = (1 << np.arange(bits)).astype(np.int64)
+
+    def codes(self, v: np.ndarray) -> np.ndarray:
+        """The bucket of each vector in each table."""
+        if self.planes is None:
+            self.planes = np.random.default_rng(self.seed).standard_normal((v.shape[1], self.tables * self.bits))
+        out = np.empty((len(v), self.tables), np.int64)
+        for k in range(0, len(v), 2048):
+            on = (v[k : k + 2048] @ self.planes > 0).reshape(-1, self.tables, self.bits)
+            out[k : k + 2048] = on @ self.flips
+        return out
+
+    def begin(self, y: Rows) -> None:
+        """Orders a block of vectors by bucket, in each table."""
+        codes = self.codes(y.v).T
+        self.n = len(y)
+        self.order = np.argsort(codes, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(codes, self.order, axis=1)
+        self.starts = None
+        if self.bits <= 14:  # else looked up in order
+            self.starts = np.zeros((self.tables, (1 << self.bits) + 1), np.int64)
+            for t in range(self.tables):
+                np.cumsum(np.bincount(codes[t], minlength=1 << self.bits), out=self.starts[t, 1:])
+
+    def seen(self, x: Rows, whole: bool = False) -> np.ndarray | None:
+        """A cell for each of x and each of the block: whether they share a bucket of a table, but for one bit at most.
+
+        None where vectors are so alike that buckets hold more pairs than there are, unless asked for as a whole.
+        """
+        codes, probes, total = self.codes(x.v), [], 0
+        for t in range(self.tables):
+            at = codes[:, t, None] ^ np.concatenate([[0], self.flips])
+            low, high = (self.starts[t][at], self.starts[t][at + 1]) if self.starts is not None else (np.searchsorted(self.sorted[t], at), np.searchsorted(self.sorted[t], at, side="right"))
+            probes.append((low, high - low))
+            total += int((high - low).sum())
+        if total > len(x) * self.n and not whole:
+            return None
+        out = np.zeros(len(x) * self.n, bool)
+        for t, (low, many) in enumerate(probes):
+            row = np.repeat(np.arange(len(x)) * self.n, many.sum(axis=1))
+            flat = many.ravel()
+            place = np.repeat(low.ravel() - np.cumsum(flat) + flat, flat) + np.arange(len(row))
+            out[row + self.order[t][place]] = True
+        return out.reshape(len(x), self.n)
 
 
 def near_candidates(vectors: DataFrame, at_least: float, recall: float = 0.999, seed: int = SEED) -> DataFrame:
-    """tenant, a, b (a < b): pairs of one tenant that share a bucket, once each. A bucket of very many vectors is dealt over tasks."""
-    s = sketches(vectors, *lsh_shape(at_least, recall), seed)
-    own = s.select("tenant", F.explode("own").alias("bucket"), F.col("id").alias("a"))
-    asked = s.select("tenant", F.explode(F.concat("own", "probed")).alias("bucket"), F.col("id").alias("b"))
-    pairs = met(own, asked, ["tenant", "bucket"]).where("a <> b")
-    return pairs.select("tenant", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """tenant, a, b (a < b): pairs of one tenant that share a bucket, once each."""
+    kind = dict(vectors.dtypes)["id"]
+    shape = lsh_shape(at_least, recall)
+    return _sketched(vectors, lambda: Met(at_least, Sketch(*shape, seed)), f"a {kind}, b {kind}")
 
 
 def similar_pairs_lsh(vectors: DataFrame, at_least: float, recall: float = 0.999, seed: int = SEED) -> DataFrame:
@@ -86,44 +105,29 @@ def similar_pairs_lsh(vectors: DataFrame, at_least: float, recall: float = 0.999
 
     vectors: tenant, id, v (unit). No pair below the threshold is returned; one at it is missed with probability
     1 - recall, one above it less often. For a low threshold or all pairs whatever happens use similar_pairs.
+    Vectors meet in blocks, two of them in one task only, and what shares a bucket is found and compared there: neither
+    buckets nor candidates are shuffled. Where buckets hold so many that a product of the blocks is cheaper, it is made.
     """
-    return _alike(near_candidates(vectors, at_least, recall, seed), vectors, at_least)
+    kind = dict(vectors.dtypes)["id"]
+    shape = lsh_shape(at_least, recall)
+    return _sketched(vectors, lambda: Pairs(at_least, Sketch(*shape, seed)), f"a {kind}, b {kind}, cosine double").drop("tenant")
 
 
-def _alike(pairs: DataFrame, vectors: DataFrame, at_least: float) -> DataFrame:
-    """a, b, cosine of the pairs (tenant, a, b) that are at or above the threshold."""
-    v = vectors.select("tenant", "id", "v")
-    both = pairs.join(v.toDF("tenant", "a", "q"), ["tenant", "a"]).join(v.toDF("tenant", "b", "v"), ["tenant", "b"])
-    return both.select("a", "b", F.round(dot("q", "v"), 6).alias("cosine")).where(F.col("cosine") >= at_least)
+def _sketched(vectors: DataFrame, work, columns: str) -> DataFrame:
+    rows = vectors.where("v IS NOT NULL").select("tenant", F.col("id").alias("_id"), F.col("v").alias("_v"))
+    return meeting(rows, None, ["tenant"], retrieval.BLOCK, work, columns)
 
 
 def similar_clusters(vectors: DataFrame, at_least: float, recall: float = 0.999, seed: int = SEED) -> DataFrame:
     """id, root: components of the pairs of one tenant at or above the threshold; ids alone in theirs are left out.
 
-    Each vector is held against the least id of each bucket that it falls in or probes. In a bucket that then still
-    holds several components only the vectors outside of the largest meet the others, so that very many vectors
-    that are alike cost in proportion to their number, not to their pairs.
+    The pairs are those of similar_pairs_lsh. A task joins what it finds into components at once, so that very many
+    vectors that are alike leave links in proportion to their number, not to their pairs.
     """
-    s = kept(sketches(vectors, *lsh_shape(at_least, recall), seed), "sketches")
-    own = s.select("tenant", F.explode("own").alias("bucket"), "id")
-    asked = s.select("tenant", F.explode(F.concat("own", "probed")).alias("bucket"), "id")
-    centre = own.groupBy("tenant", "bucket").agg(F.min("id").alias("b"))
-    near = asked.join(centre, ["tenant", "bucket"]).where("id <> b").select("tenant", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    first = kept(_alike(near, vectors, at_least).select("a", "b"), "links")
-    roots = connected(first)
-    rooted = lambda rows: rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    held = rooted(own)
-    sizes = held.groupBy("tenant", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("tenant", "bucket").agg(F.max(F.struct("n", "root")).alias("most")).select("tenant", "bucket", F.col("most.root").alias("big"))
-    # those outside of a bucket's largest component, whether they fall in it or probe it, meet all in it; those
-    # in it have to be met by the others, which the same rule sees to from the other side
-    out = rooted(asked).join(most, ["tenant", "bucket"]).where("root <> big").select("tenant", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    pairs = met(held.select("tenant", "bucket", F.col("id").alias("b"), F.col("root").alias("rb")), out, ["tenant", "bucket"]).where("ra <> rb")
-    back = rooted(asked).join(most, ["tenant", "bucket"]).where("root = big").select("tenant", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    few = held.join(most, ["tenant", "bucket"]).where("root <> big").select("tenant", "bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    pairs = pairs.select("tenant", "a", "b").union(met(back, few, ["tenant", "bucket"]).where("ra <> rb").select("tenant", "a", "b"))
-    pairs = pairs.select("tenant", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return connected(first.union(_alike(pairs, vectors, at_least).select("a", "b")))
+    kind = dict(vectors.dtypes)["id"]
+    shape = lsh_shape(at_least, recall)
+    links = _sketched(vectors, lambda: Links(at_least, Sketch(*shape, seed)), f"a {kind}, b {kind}")
+    return connected(links.select("a", "b"))
 
 
 def restated(t: Tables) -> DataFrame:

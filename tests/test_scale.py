@@ -163,3 +163,39 @@ def test_row_numbers_of_hot_and_null_groups(spark):
     assert {r["k"]: r["rank"] for r in got} == want and len(got) == 4000
     assert row_numbers(spark.createDataFrame([], "g string, x long"), ["g"], F.col("x")).count() == 0
     assert [r["rank"] for r in row_numbers(spark.range(9).toDF("x"), [], F.desc("x")).orderBy("x").collect()] == list(range(9, 0, -1))
+
+
+def plain(v, at_least, earlier=None):
+    """Pairs a < b of one tenant by numpy alone."""
+    rows = [r for r in v.collect() if r["v"] is not None]
+    m = np.array([r["v"] for r in rows])
+    c = m @ m.T
+    return {(rows[i]["id"], rows[j]["id"]): round(float(c[i, j]), 6) for i in range(len(rows)) for j in range(len(rows)) if rows[i]["id"] < rows[j]["id"] and rows[i]["tenant"] == rows[j]["tenant"] and round(float(c[i, j]), 6) >= at_least}
+
+
+def shuffled_rows(df):
+    """The rows that the query's exchanges write."""
+    df.collect()
+    plan, n = df._jdf.queryExecution().executedPlan(), 0
+    walk = [plan]
+    while walk:
+        p = walk.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            walk.append(p.executedPlan())
+            continue
+        if "QueryStage" in p.nodeName():
+            walk.append(p.plan())
+        if p.nodeName() == "Exchange":
+            n += p.metrics().apply("shuffleRecordsWritten").value()
+        walk += [p.children().apply(k) for k in range(p.children().size())]
+    return n
+
+
+def test_hyperplane_pairs_do_not_shuffle_buckets_or_candidates(spark, monkeypatch):
+    v = vectors(spark)
+    for block in (16384, 37):
+        monkeypatch.setattr("stratamem.operators.retrieval.BLOCK", block)
+        pairs = similarity.similar_pairs_lsh(v, 0.84, recall=1 - 1e-9)
+        assert {(r["a"], r["b"]): r["cosine"] for r in pairs.collect()} == plain(v, 0.84)
+    monkeypatch.setattr("stratamem.operators.retrieval.BLOCK", 16384)
+    assert shuffled_rows(similarity.similar_pairs_lsh(v, 0.84, recall=1 - 1e-9)) < 10 * 601

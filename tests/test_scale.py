@@ -199,3 +199,14 @@ def test_hyperplane_pairs_do_not_shuffle_buckets_or_candidates(spark, monkeypatc
         assert {(r["a"], r["b"]): r["cosine"] for r in pairs.collect()} == plain(v, 0.84)
     monkeypatch.setattr("stratamem.operators.retrieval.BLOCK", 16384)
     assert shuffled_rows(similarity.similar_pairs_lsh(v, 0.84, recall=1 - 1e-9)) < 10 * 601
+
+
+def test_hyperplane_neighbours_do_not_shuffle_buckets(spark):
+    v = vectors(spark)
+    near = similarity.earlier_neighbours(v, 0.84, 3, recall=1 - 1e-9)
+    want = {}
+    for (a, b), c in sorted(plain(v, 0.84).items(), key=lambda x: (-x[1], x[0][0])):
+        if sum(q == b for q, _ in want) < 3:
+            want[b, a] = c
+    assert {(r["query_id"], r["id"]): r["cosine"] for r in near.collect()} == want
+    assert shuffled_rows(near) < 10 * 601 + len(plain(v, 0.84))

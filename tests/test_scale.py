@@ -210,3 +210,17 @@ def test_hyperplane_neighbours_do_not_shuffle_buckets(spark):
             want[b, a] = c
     assert {(r["query_id"], r["id"]): r["cosine"] for r in near.collect()} == want
     assert shuffled_rows(near) < 10 * 601 + len(plain(v, 0.84))
+
+
+def test_clusters_leave_links_in_proportion_to_vectors(spark, monkeypatch):
+    v = vectors(spark).where("v IS NOT NULL").withColumn("v", F.when(F.col("id") < 400, F.array(*[F.lit(1.0 if k == 0 else 0.0) for k in range(32)])).otherwise(F.col("v")))
+    v = v.withColumn("tenant", F.lit(1).cast("long"))
+    asked = []
+    monkeypatch.setattr(similarity, "connected", lambda e: asked.append(e) or connected(e))
+    for block in (16384, 100):
+        monkeypatch.setattr("stratamem.operators.retrieval.BLOCK", block)
+        got = {tuple(r) for r in similarity.similar_clusters(v, 0.84, recall=1 - 1e-9).collect()}
+        assert got == {tuple(r) for r in connected(similar_pairs(v, 0.84).select("a", "b")).collect()}
+        blocks = -(-600 // block)
+        assert asked[-1].count() <= 600 * (blocks + 2) and len(plain(v, 0.84)) > 79_000
+        assert shuffled_rows(asked[-1]) < 10 * 601 * blocks

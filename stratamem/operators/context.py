@@ -120,12 +120,9 @@ h AS (SELECT lower(regexp_extract(text, '[A-Za-z0-9]+')) AS head, min(item_id) A
 SELECT b.id, CASE WHEN item IS NOT NULL THEN 'rule ' || item WHEN s >= 0.35 THEN b.label::VARCHAR ELSE 'other' END AS label FROM b LEFT JOIN documents d ON d.doc_id = b.id LEFT JOIN h ON h.head = lower(regexp_extract(d.text, '[A-Za-z0-9]+'))""")
 def _(t: Tables) -> DataFrame:
     """A rule by the document's head word comes first, then the nearest labelled vector from 0.35 on, else `other`."""
-    from stratamem.operators.retrieval import dot
-
     v = t.vectors.select("id", unit("embedding").alias("v"))
-    labels = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    scored = against(v, labels).select("id", "query_id", F.round(dot("q", "v"), 6).alias("cosine"))
-    b = scored.groupBy("id").agg(F.max_by("query_id", F.struct("cosine", -F.col("query_id"))).alias("label"), F.max("cosine").alias("s"))
+    best = nearest(v.select(F.col("id").alias("query_id"), F.col("v").alias("q")), v.where("id % 100 = 0"), 1)
+    b = best.select(F.col("query_id").alias("id"), F.col("id").alias("label"), F.col("cosine").alias("s"))
     head = lambda: F.lower(F.regexp_extract("text", "([A-Za-z0-9]+)", 1)).alias("head")
     rules = t.raw("benchmark").select(head(), "item_id").groupBy("head").agg(F.min("item_id").alias("item"))
     texts = t.raw("documents").select(F.col("doc_id").alias("id"), head())
@@ -297,9 +294,9 @@ SELECT r.root, left(sha256(r.root || ':' || string_agg(r.id::VARCHAR, ',' ORDER
 FROM r JOIN memories m ON m.id = r.id JOIN n ON n.root = r.root GROUP BY r.root""")
 def _(t: Tables) -> DataFrame:
     """One summary row a similarity cluster: its id from its members, the greatest importance, all entities; an edge to each source, whose strength halves."""
-    from stratamem.operators.retrieval import connected
+    from stratamem.operators.retrieval import connected, similar_links
 
-    labels = connected(similar_pairs(t.vectors.select("id", "tenant", unit("embedding").alias("v")), 0.3).select("a", "b"))
+    labels = connected(similar_links(t.vectors.select("id", "tenant", unit("embedding").alias("v")), 0.3).select("a", "b"))
     c = labels.join(t.memories.select("id", "importance", "strength", "entities"), "id")
     ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
     named = F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities"))))

@@ -6,11 +6,12 @@ Sources are files; a job in production reads its own.
 
 from __future__ import annotations
 
-import json
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,6 +23,8 @@ from stratamem.sources.tables import scratch
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
+STATES = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def event_stream(t: Tables) -> DataFrame:
     """The events table as a stream, its time in the session's zone."""
@@ -35,6 +38,18 @@ def drained(t: Tables, stream: DataFrame, mode: str, sink) -> None:
     sink(stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(t.spark, "offsets")).trigger(availableNow=True)).start().awaitTermination()
 
 
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, so that it need not fit into memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(name, None)
+    spark.conf.set(name, STATES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if had is None else spark.conf.set(name, had)
+
+
 def daily_usage(events: DataFrame) -> DataFrame:
     """Calls of each user and operation by day; a day is put out once the watermark has passed it."""
     day = F.window("ts", "1 day")
@@ -96,31 +111,31 @@ def _(t: Tables) -> DataFrame:
     return last.select("id", "live.status", "live.by")
 
 
-def _keyed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A key's facts so far, by time and id, are the state; each batch folds them again and puts out the key's states."""
-    columns = ["at", "id", "object", "update_op", "target"]
-    held = json.loads(state.get[0]) if state.exists else []
-    for pdf in batches:
-        held += pdf[columns].astype(object).where(pdf[columns].notna(), None).to_numpy().tolist()
-    held = sorted({row[1]: row for row in held}.values(), key=lambda row: (row[0], row[1]))
-    state.update((json.dumps(held, default=int),))
-    fold, rows = KeyState(), []
-    for at, id_, value, op, target in held:
-        rows += fold.step(int(at), int(id_), value, op, target)
-    rows += fold.rest()
-    yield pd.DataFrame({"id": [r[0] for r in rows], "status": [r[1] for r in rows], "by": pd.array([r[3] for r in rows], "Int64"), "known": len(held)})
+def _refold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds the keys' histories, one a row: a list of facts (at, id, object, update_op, target) in any order, of which an id counts once."""
+    for batch in batches:
+        out = []
+        for facts in batch.column("facts"):
+            fold, held = KeyState(), {x["id"]: (x["at"], x["id"], x["object"], x["update_op"], x["target"]) for x in facts.as_py()}
+            rows = [row for fact in sorted(held.values(), key=lambda x: x[:2]) for row in fold.step(*fact)] + fold.rest()
+            out += [(r[0], r[1], r[3], len(held)) for r in rows]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["id", "status", "by", "known"])
 
 
 @R.add("str02_live_timeline", FOLDED + " SELECT id, status, r.by FROM resolved r")
 def _(t: Tables) -> DataFrame:
     """Keyed state in a stream: what a key has so far is folded again when more of it arrives, so that the order of arrival makes no difference.
 
-    State grows with a key's history; a state TTL or a watermark may bound it where late facts need no care.
+    State is a list of facts a key, kept by Spark itself; it grows with a key's history; a watermark may bound it where late
+    facts need no care.
     """
     out = scratch(t.spark, "timeline")
     facts = arrivals(t).selectExpr(*FACTS).withColumn("at", F.unix_micros(F.col("occurred_at").cast("timestamp")))
-    live = facts.select(*KEY, "at", "id", "object", "update_op", "target").groupBy(*KEY).applyInPandasWithState(_keyed, "id long, status string, by long, known long", "held string", "update", GroupStateTimeout.NoTimeout)
-    drained(t, live, "update", lambda w: w.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out)))
+    histories = facts.groupBy(*KEY).agg(F.collect_list(F.struct("at", "id", "object", "update_op", "target")).alias("facts"))
+    put = lambda batch, n: batch.select("facts").mapInArrow(_refold, "id long, status string, by long, known long").write.mode("append").parquet(out)
+    with state_on_disk(t.spark):
+        drained(t, histories, "update", lambda w: w.foreachBatch(put))
     # a later batch knows more of the key
     return t.spark.read.parquet(out).groupBy("id").agg(F.max_by(F.struct("status", "by"), "known").alias("x")).select("id", "x.status", "x.by")
 

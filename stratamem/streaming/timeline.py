@@ -1,4 +1,4 @@
-"""Timelines kept up by a stream: keyed state with an entry a fact, a bound for late facts, and their repair.
+"""Timelines kept up by a stream: keyed state, a bound for late facts, and their repair.
 
 Facts come in order of arrival, not of time. A key's facts wait in its state until the watermark, which
 follows arrival, is `grace` past their time; then they are folded in order into what stands. A fact that
@@ -8,6 +8,9 @@ late facts touch anew from the log.
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -17,22 +20,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from stratamem.operators.timeline import FOLD, KEY, resolved
 from stratamem.plans.fixtures import Registry, Tables
 from stratamem.sources.tables import scratch
-from stratamem.streaming.jobs import FACTS
+from stratamem.streaming.jobs import FACTS, state_on_disk
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 DAY_MS = 86_400_000
-STATES = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "kind string, id long, status string, until timestamp_ntz, by long"
 
 
+#: Slots that keys are dealt over by hash, and parts of what stands in a slot.
+SLOTS, PARTS = 512, 32
+DAY_US = DAY_MS * 1000
+
+
 class KeyTimeline(StatefulProcessor):
-    """The history of one key: facts that wait for their time, and those that stand.
+    """The histories of a slot of keys: facts that wait for their time, and those that stand.
 
-    State is a map entry a waiting fact, a map entry a standing fact, and the last fact that may be
-    repeated. A fact leaves `waiting` when it is folded and `standing` when it is closed, so what a batch
-    reads and writes follows what arrives and what it closes, not the key's history.
+    State is a map entry a day of waiting facts and a map entry a part of the slot's keys with what stands of them, so that
+    a call to the store serves many facts and keys. A fact leaves `waiting` when it is folded and `standing` when it is
+    closed, and a batch reads and writes the days that it adds to, those that fall due, and the parts that these touch.
     """
 
     def __init__(self, grace_ms: int):
@@ -40,64 +47,78 @@ class KeyTimeline(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id long", "object string, op string, target string")
-        self.standing = handle.getMapState("standing", "id long", "object string")
-        self.last = handle.getValueState("last", "id long, object string")
+        self.waiting = handle.getMapState("waiting", "day long", "facts string")
+        self.standing = handle.getMapState("standing", "part int", "keys string")
 
     def _due(self, at: int, watermark_ms: int) -> bool:
         return at // 1000 + self.grace_ms <= watermark_ms
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
-        watermark, first = timerValues.getCurrentWatermarkInMs(), None
+        watermark, first, days = timerValues.getCurrentWatermarkInMs(), None, defaultdict(list)
         for r in rows:
             if r.id is None:  # only moves the watermark
                 continue
             if watermark > 0 and self._due(r.at, watermark):
                 yield Row(kind="late", id=r.id, status=None, until=None, by=None)
                 continue
-            self.waiting.updateValue((r.at, r.id), (r.object, r.update_op, r.target))
+            days[r.at // DAY_US].append(json.dumps([[getattr(r, k) for k in KEY], r.at, r.id, r.object, r.update_op, r.target]))
             first = r.at if first is None else min(first, r.at)
+        for day, lines in days.items():
+            if self.waiting.containsKey((day,)):
+                lines.insert(0, self.waiting.getValue((day,))[0])
+            self.waiting.updateValue((day,), ("\n".join(lines),))
         if first is not None:
             self.handle.registerTimer(first // 1000 + self.grace_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N803
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
-        due = [x for x in held if self._due(x[0][0], watermark)]
-        if due:
-            open_ = {k[0]: v[0] for k, v in self.standing.iterator()}
-            last = tuple(self.last.get()) if self.last.exists() else None
-            was = last
-            for (at, id_), (value, op, target) in due:
-                self.waiting.removeKey((at, id_))
-                for change in self._step(open_, last, at, id_, value, op, target):
-                    yield change
-                if op == "removes":
-                    last = None
-                elif not (last and last[0] in open_ and value is not None and last[1] == value and id_ not in open_):
-                    last = (id_, value)
-            if last != was:
-                self.last.update(last) if last else self.last.clear()
-        if len(due) < len(held):
-            self.handle.registerTimer(held[len(due)][0][0] // 1000 + self.grace_ms)
-
-    def _step(self, open_: dict, last: tuple | None, at: int, id_: int, value: str | None, op: str | None, target: str | None) -> Iterator[Row]:
-        """The changes that a fact makes, in open_ and in the state."""
+        days, due, rest = sorted(k[0] for k in self.waiting.keys()), defaultdict(dict), None
+        for day in days:
+            if not self._due(day * DAY_US, watermark):
+                rest = min(at for _, at, *_ in self._facts(day)) if rest is None else rest
+                break
+            left = []
+            for line, fact in zip(self.waiting.getValue((day,))[0].split("\n"), self._facts(day), strict=True):
+                if self._due(fact[1], watermark):
+                    due[tuple(fact[0])][fact[1], fact[2]] = fact[3:]  # one that was sent again while it waited counts once
+                else:
+                    left.append(line)
+                    rest = fact[1] if rest is None else min(rest, fact[1])
+            self.waiting.updateValue((day,), ("\n".join(left),)) if left else self.waiting.removeKey((day,))
+        parts = defaultdict(list)
+        for of in due:
+            parts[zlib.crc32(json.dumps(of).encode()) % PARTS].append(of)
+        for part, keys in parts.items():
+            held = {tuple(k): (dict(map(tuple, stands)), last) for k, stands, last in json.loads(self.standing.getValue((part,))[0])} if self.standing.containsKey((part,)) else {}
+            for of in keys:
+                open_, last = held.get(of, ({}, None))
+                for (at, id_), (value, op, target) in sorted(due[of].items()):
+                    changes, last = self._step(open_, last, at, id_, value, op, target)
+                    yield from changes
+                held[of] = open_, last
+            stands = [[k, list(open_.items()), last] for k, (open_, last) in held.items() if open_ or last]
+            self.standing.updateValue((part,), (json.dumps(stands),)) if stands else self.standing.removeKey((part,))
+        if rest is not None:
+            self.handle.registerTimer(rest // 1000 + self.grace_ms)
+
+    def _facts(self, day: int) -> list[list]:
+        """The facts that wait in a day: key, at, id, object, op, target."""
+        return json.loads("[" + self.waiting.getValue((day,))[0].replace("\n", ",") + "]")
+
+    def _step(self, open_: dict, last: list | None, at: int, id_: int, value: str | None, op: str | None, target: str | None) -> tuple[list[Row], list | None]:
+        """The changes that a fact makes, in open_ as well, and the last fact that may be repeated then."""
         if last and last[0] in open_ and value is not None and last[1] == value and op != "removes":
-            yield Row(kind="folded", id=id_, status="superseded", until=None, by=last[0])
-            return
+            return [Row(kind="folded", id=id_, status="superseded", until=None, by=last[0])], last
+        out = []
         if op in ("replaces", "removes"):
-            named = [k for k, v in open_.items() if target is None or v == target]
+            named = list(open_) if target is None else [k for k, v in open_.items() if v == target]
             if len(named) == 1:
                 del open_[named[0]]
-                self.standing.removeKey((named[0],))
-                yield Row(kind="closed", id=named[0], status="superseded", until=moment(at), by=id_)
+                out.append(Row(kind="closed", id=named[0], status="superseded", until=moment(at), by=id_))
         if op == "removes":
-            yield Row(kind="closed", id=id_, status="historical", until=moment(at), by=None)
-            return
+            return [*out, Row(kind="closed", id=id_, status="historical", until=moment(at), by=None)], None
         open_[id_] = value
-        self.standing.updateValue((id_,), (value,))
-        yield Row(kind="standing", id=id_, status="active", until=None, by=None)
+        return [*out, Row(kind="standing", id=id_, status="active", until=None, by=None)], [id_, value]
 
     def close(self) -> None:
         pass
@@ -134,8 +155,8 @@ def live(facts: DataFrame, grace_ms: int) -> DataFrame:
     watermark on. A fact is late if its time and `grace_ms` are over by the watermark of its batch. A fact that
     is sent again while it waits counts once, after that it is late.
     """
-    marked = facts.withWatermark("arrived", "0 seconds")
-    return marked.groupBy(*KEY).transformWithState(KeyTimeline(grace_ms), CHANGES, "append", "eventTime")
+    marked = facts.withWatermark("arrived", "0 seconds").withColumn("slot", F.pmod(F.xxhash64(*KEY), F.lit(SLOTS)))
+    return marked.groupBy("slot").transformWithState(KeyTimeline(grace_ms), CHANGES, "append", "eventTime")
 
 
 def states(changes: DataFrame) -> DataFrame:
@@ -168,15 +189,11 @@ class Feed:
         self.run()
 
     def run(self) -> None:
-        had = self.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATES)
-        try:
+        with state_on_disk(self.spark):
             out = self.start(self.spark.readStream.schema(self.schema).parquet(self.source)).writeStream.outputMode("append").option("checkpointLocation", self.at).trigger(availableNow=True)
             query = (out.partitionBy(*self.by) if self.by else out).format("parquet").start(self.sink)
             query.awaitTermination()
             self.progress += query.recentProgress
-        finally:
-            self.spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if had is None else self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", had)
 
     def read(self, name: str = "sink") -> DataFrame:
         return self.spark.read.parquet(getattr(self, name))

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stratamem.operators.timeline import resolved
@@ -80,3 +81,24 @@ def test_sliding_windows_of_a_stream_and_of_a_table(spark):
     assert key(feed.read()) == key(sliding(table))
     assert feed.read().where("over_limit").count() == sum(r["requests"] > 2 or r["tokens"] > 400 for r in sliding(table).collect()) > 0
     assert sliding(table).agg(F.sum("requests")).first()[0] == 6 * len(rows)
+
+
+def test_state_is_called_by_the_slot_and_not_by_the_fact(spark):
+    rnd = random.Random(8)
+    rows = [(k, k % 400, "user", "p", rnd.choice("abc"), rnd.choice(["replaces", "removes", "coexists"]), START, rnd.choice([None, "a"]), START + timedelta(seconds=k), int((START - datetime(1970, 1, 1)).total_seconds() * 1e6) + k) for k in range(2000)]
+    rows = [(*r[:6], START + timedelta(microseconds=r[0]), *r[7:]) for r in rows]
+    log = spark.createDataFrame(rows, SCHEMA)
+    feed = Feed(spark, log.schema, lambda s: live(s, 2 * DAY_MS))
+    feed.push(log)
+    feed.push(ticks(log, 10))
+    assert settled(states(feed.read())) == settled(resolved(log))
+    # 2,000 facts of 400 keys wait in at most a row a slot, and then stand in at most a row a part of a slot
+    assert feed.progress[0]["stateOperators"][0]["numRowsTotal"] <= 4 * 400
+
+
+def test_histories_are_kept_without_python(spark):
+    from stratamem.streaming import jobs
+
+    table = pa.table({"facts": [[{"at": 2, "id": 2, "object": "a", "update_op": "replaces", "target": None}, {"at": 1, "id": 1, "object": "b", "update_op": "coexists", "target": None}, {"at": 2, "id": 2, "object": "a", "update_op": "replaces", "target": None}], []]})
+    out = [r for b in jobs._refold(iter(table.to_batches())) for r in b.to_pylist()]
+    assert sorted((r["id"], r["status"], r["by"], r["known"]) for r in out) == [(1, "superseded", 2, 2), (2, "active", None, 2)]

@@ -13,6 +13,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,7 +27,6 @@ R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 DAY_MS = 86_400_000
-CHANGES = "kind string, id long, status string, until timestamp_ntz, by long"
 
 
 #: Slots that keys are dealt over by hash, and parts of what stands in a slot.
@@ -55,14 +55,17 @@ class KeyTimeline(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
         watermark, first, days = timerValues.getCurrentWatermarkInMs(), None, defaultdict(list)
-        for r in rows:
-            if r.id is None:  # only moves the watermark
+        late = []
+        for line, (_, at, id_, *_) in ((line, fact) for r in rows for line, fact in zip(r.lines.split("\n"), _parsed(r.lines), strict=True)):
+            if id_ is None:  # only moves the watermark
                 continue
-            if watermark > 0 and self._due(r.at, watermark):
-                yield Row(kind="late", id=r.id, status=None, until=None, by=None)
+            if watermark > 0 and self._due(at, watermark):
+                late.append({"kind": "late", "id": id_})
                 continue
-            days[r.at // DAY_US].append(json.dumps([[getattr(r, k) for k in KEY], r.at, r.id, r.object, r.update_op, r.target]))
-            first = r.at if first is None else min(first, r.at)
+            days[at // DAY_US].append(line)
+            first = at if first is None else min(first, at)
+        if late:
+            yield _sent(late)
         for day, lines in days.items():
             if self.waiting.containsKey((day,)):
                 lines.insert(0, self.waiting.getValue((day,))[0])
@@ -89,46 +92,73 @@ class KeyTimeline(StatefulProcessor):
         for of in due:
             parts[zlib.crc32(json.dumps(of).encode()) % PARTS].append(of)
         for part, keys in parts.items():
+            made: list[dict] = []
             held = {tuple(k): (dict(map(tuple, stands)), last) for k, stands, last in json.loads(self.standing.getValue((part,))[0])} if self.standing.containsKey((part,)) else {}
             for of in keys:
                 open_, last = held.get(of, ({}, None))
                 for (at, id_), (value, op, target) in sorted(due[of].items()):
                     changes, last = self._step(open_, last, at, id_, value, op, target)
-                    yield from changes
+                    made += changes
                 held[of] = open_, last
+            if made:
+                yield _sent(made)
             stands = [[k, list(open_.items()), last] for k, (open_, last) in held.items() if open_ or last]
             self.standing.updateValue((part,), (json.dumps(stands),)) if stands else self.standing.removeKey((part,))
         if rest is not None:
             self.handle.registerTimer(rest // 1000 + self.grace_ms)
 
     def _facts(self, day: int) -> list[list]:
-        """The facts that wait in a day: key, at, id, object, op, target."""
-        return json.loads("[" + self.waiting.getValue((day,))[0].replace("\n", ",") + "]")
+        """The facts that wait in a day."""
+        return _parsed(self.waiting.getValue((day,))[0])
 
-    def _step(self, open_: dict, last: list | None, at: int, id_: int, value: str | None, op: str | None, target: str | None) -> tuple[list[Row], list | None]:
+    def _step(self, open_: dict, last: list | None, at: int, id_: int, value: str | None, op: str | None, target: str | None) -> tuple[list[dict], list | None]:
         """The changes that a fact makes, in open_ as well, and the last fact that may be repeated then."""
         if last and last[0] in open_ and value is not None and last[1] == value and op != "removes":
-            return [Row(kind="folded", id=id_, status="superseded", until=None, by=last[0])], last
+            return [{"kind": "folded", "id": id_, "status": "superseded", "by": last[0]}], last
         out = []
         if op in ("replaces", "removes"):
             named = list(open_) if target is None else [k for k, v in open_.items() if v == target]
             if len(named) == 1:
                 del open_[named[0]]
-                out.append(Row(kind="closed", id=named[0], status="superseded", until=moment(at), by=id_))
+                out.append({"kind": "closed", "id": named[0], "status": "superseded", "until": at, "by": id_})
         if op == "removes":
-            return [*out, Row(kind="closed", id=id_, status="historical", until=moment(at), by=None)], None
+            return [*out, {"kind": "closed", "id": id_, "status": "historical", "until": at}], None
         open_[id_] = value
-        return [*out, Row(kind="standing", id=id_, status="active", until=None, by=None)], [id_, value]
+        return [*out, {"kind": "standing", "id": id_, "status": "active"}], [id_, value]
 
     def close(self) -> None:
         pass
 
 
-def moment(at: int):
-    """A timestamp without zone from microseconds."""
-    from datetime import datetime, timedelta
+def _parsed(lines: str) -> list:
+    """The values of several lines of JSON."""
+    return json.loads("[" + lines.replace("\n", ",") + "]")
+
+
+def _sent(values: list) -> Row:
+    return Row(lines="\n".join(map(json.dumps, values)))
+
+
+def packed(rows: DataFrame, by: list[str], line: Column) -> DataFrame:
+    """slot, arrived, lines: the lines of JSON of many rows of a slot as one, with the latest arrival; by is what slots are dealt by.
+
+    Python then gets a row for many, in a stream as in a table.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch]).group_by("slot").aggregate([("arrived", "max"), ("line", "list")])
+                columns = [t.column("slot"), t.column("arrived_max"), pa.chunked_array([["\n".join(x) for x in t.column("line_list").to_pylist()]], pa.string())]
+                yield from pa.table(columns, ["slot", "arrived", "lines"]).to_batches()
+
+    slim = rows.select(F.pmod(F.xxhash64(*by), F.lit(SLOTS)).alias("slot"), "arrived", line.alias("line"))
+    return slim.repartition("slot").mapInArrow(pack, "slot long, arrived timestamp, lines string")
 
-    return datetime(1970, 1, 1) + timedelta(microseconds=at)
+
+def unpacked(sent: DataFrame, schema: str) -> DataFrame:
+    """The values in lines of JSON, a row each."""
+    return sent.select(F.explode(F.split("lines", "\n")).alias("line")).select(F.from_json("line", schema).alias("x")).select("x.*")
 
 
 class TurnNumbers(StatefulProcessor):
@@ -148,15 +178,66 @@ class TurnNumbers(StatefulProcessor):
         pass
 
 
+class SlotTurnNumbers(StatefulProcessor):
+    """TurnNumbers of a slot of sessions: a map entry a part of them is the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getMapState("next", "part int", "sessions string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N803
+        parts = defaultdict(lambda: defaultdict(list))
+        for r in rows:
+            for session, arrived, id_ in _parsed(r.lines):
+                parts[zlib.crc32(json.dumps(session).encode()) % PARTS][session].append((arrived, id_))
+        for part, sessions in parts.items():
+            held = dict(map(tuple, json.loads(self.next.getValue((part,))[0]))) if self.next.containsKey((part,)) else {}
+            made = []
+            for session, turns in sessions.items():
+                n = held.get(session, 0)
+                made += [{"id": id_, "turn_index": n + k} for k, (_, id_) in enumerate(sorted(turns))]
+                held[session] = n + len(turns)
+            self.next.updateValue((part,), (json.dumps(list(held.items())),))
+            yield _sent(made)
+
+    def close(self) -> None:
+        pass
+
+
+def _json(*columns: Column) -> Column:
+    """A JSON list of columns, whatever their kinds; a null is a null."""
+    return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(x, F.lit("null")) for x in columns]), F.lit("]"))
+
+
+def _string(name: str) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(F.col(name).cast("string")))
+    return F.when(F.col(name).isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def _value(rows: DataFrame, name: str) -> Column:
+    """A number or a string as JSON."""
+    return F.col(name).cast("string") if dict(rows.dtypes)[name] in ("bigint", "int", "smallint", "tinyint") else _string(name)
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """id, turn_index of a stream of turns (user_id, id, arrived): each session's turns by arrival, then id, on from where the last batch ended."""
+    line = _json(_value(turns, "user_id"), F.unix_micros("arrived").cast("string"), F.col("id").cast("string"))
+    sent = packed(turns, ["user_id"], line).groupBy("slot").transformWithState(SlotTurnNumbers(), "lines string", "append", "none")
+    return unpacked(sent, "id long, turn_index long")
+
+
 def live(facts: DataFrame, grace_ms: int) -> DataFrame:
-    """Changes of the facts' states as a stream: CHANGES, kind one of standing, closed, folded and late.
+    """kind, id, status, until, by: changes of the facts' states as a stream; kind is one of standing, closed, folded and late.
 
     facts: KEY, at (microseconds), id, object, update_op, target, arrived; a row with a null id only moves the
     watermark on. A fact is late if its time and `grace_ms` are over by the watermark of its batch. A fact that
     is sent again while it waits counts once, after that it is late.
     """
-    marked = facts.withWatermark("arrived", "0 seconds").withColumn("slot", F.pmod(F.xxhash64(*KEY), F.lit(SLOTS)))
-    return marked.groupBy("slot").transformWithState(KeyTimeline(grace_ms), CHANGES, "append", "eventTime")
+    line = _json(_json(*[_value(facts, k) for k in KEY]), F.col("at").cast("string"), F.col("id").cast("string"), *[_string(c) for c in ("object", "update_op", "target")])
+    slots = packed(facts, KEY, line).withWatermark("arrived", "0 seconds").groupBy("slot")
+    sent = unpacked(slots.transformWithState(KeyTimeline(grace_ms), "lines string", "append", "eventTime"), "kind string, id long, status string, until long, by long")
+    until = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(cast(until as decimal(20, 0)) / 1000000 as decimal(18, 6)))")
+    return sent.select("kind", "id", "status", until.alias("until"), "by")
 
 
 def states(changes: DataFrame) -> DataFrame:
@@ -263,9 +344,9 @@ def _(t: Tables) -> DataFrame:
 @R.add("str01_turn_index_and_fold", ARRIVED + ",\n" + FOLD.format(op="update_op", where="") + " SELECT r.id, row_number() OVER (PARTITION BY user_id ORDER BY batch, came, b.id) - 1 AS turn_index, status, r.by FROM resolved r JOIN batched b ON b.id = r.id")
 def _(t: Tables) -> DataFrame:
     """A live write: each turn is numbered in its session, logged, and its fact folded, all from state; no batch reads what earlier ones wrote."""
-    numbered = _through(t, lambda s: s.groupBy("user_id").transformWithState(TurnNumbers(), "id long, turn_index long", "append", "none"), tick=False)
+    turns = _through(t, numbered, tick=False)
     folded = _through(t, lambda s: live(s, 6 * DAY_MS))
-    return numbered.read().join(states(folded.read()), "id").select("id", "turn_index", "status", "by")
+    return turns.read().join(states(folded.read()), "id").select("id", "turn_index", "status", "by")
 
 
 def sliding(requests: DataFrame, every: str = "10 seconds", length: str = "60 seconds", most: int = 2, tokens: int = 400) -> DataFrame:

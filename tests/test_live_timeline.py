@@ -102,3 +102,21 @@ def test_histories_are_kept_without_python(spark):
     table = pa.table({"facts": [[{"at": 2, "id": 2, "object": "a", "update_op": "replaces", "target": None}, {"at": 1, "id": 1, "object": "b", "update_op": "coexists", "target": None}, {"at": 2, "id": 2, "object": "a", "update_op": "replaces", "target": None}], []]})
     out = [r for b in jobs._refold(iter(table.to_batches())) for r in b.to_pylist()]
     assert sorted((r["id"], r["status"], r["by"], r["known"]) for r in out) == [(1, "superseded", 2, 2), (2, "active", None, 2)]
+
+
+def test_packed_lines_keep_any_text_and_numbers_go_on_by_slot(spark):
+    from stratamem.streaming.timeline import numbered
+
+    odd = ['say "a\\b"', "line\nbreak", "comma, [x]", "", None, "é "]
+    rows = [(k, k % 2, "user", 'p"\n', odd[k % 6], "replaces" if k % 3 else "coexists", START + timedelta(seconds=k), odd[(k // 2) % 6], START + timedelta(seconds=k), int((START - datetime(1970, 1, 1)).total_seconds() * 1e6) + 1_000_000 * k) for k in range(60)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    feed = Feed(spark, log.schema, lambda s: live(s, 2 * DAY_MS))
+    feed.push(log)
+    feed.push(ticks(log, 10))
+    assert settled(states(feed.read())) == settled(resolved(log))
+    schema = "id long, user_id long, arrived timestamp"
+    feed = Feed(spark, spark.createDataFrame([], schema).schema, numbered)
+    at = lambda k: START + timedelta(minutes=k)
+    feed.push(spark.createDataFrame([(1, 7, at(2)), (2, 7, at(1)), (3, 8, at(0))], schema))
+    feed.push(spark.createDataFrame([(4, 7, at(0)), (5, None, at(9))], schema))
+    assert sorted((r["id"], r["turn_index"]) for r in feed.read().collect()) == [(1, 1), (2, 0), (3, 0), (4, 2), (5, 0)]
